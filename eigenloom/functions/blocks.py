@@ -14,8 +14,11 @@ CHUNK_BYTES = 8 << 20  # patch matrix worked on at a time: sized for the cache,
 REDUCE = {"max": np.max, "min": np.min, "avg": np.mean, "sum": np.sum}
 
 
-def pool(planes: np.ndarray, block: int, how: str, ragged: str) -> np.ndarray:
-    """Reduce non-overlapping blocks; an incomplete block is zero-filled or dropped."""
+def pool(planes: np.ndarray, block: int, how, ragged: str) -> np.ndarray:
+    """Reduce non-overlapping blocks; an incomplete block is zero-filled or dropped.
+
+    ``how`` is a name or a numpy reducer ``(cells, axis)``.
+    """
     if block <= 1:
         return planes
     c, n, h, w = planes.shape
@@ -23,7 +26,7 @@ def pool(planes: np.ndarray, block: int, how: str, ragged: str) -> np.ndarray:
     if ragged == "pad":
         planes = np.pad(planes, ((0, 0), (0, 0), (0, hb * block - h), (0, wb * block - w)))
     cells = planes[:, :, : hb * block, : wb * block].reshape(c, n, hb, block, wb, block)
-    return REDUCE[how](cells, axis=(3, 5))
+    return REDUCE.get(how, how)(cells, axis=(3, 5))
 
 
 def patch_chunks(planes: np.ndarray, spec: HopSpec):
@@ -73,20 +76,24 @@ def centred(x: np.ndarray, mean: np.ndarray, residual: bool) -> np.ndarray:
     return x
 
 
-def project(planes: np.ndarray, spec: HopSpec, node: dict, keep) -> tuple[np.ndarray, np.ndarray]:
+def coefficients(x: np.ndarray, spec: HopSpec, node: dict, keep: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Kept coefficients ``(k, patches)`` and patch means of the columns ``x``, which are overwritten."""
+    bias = node["bias"] if spec.need_bias else 0.0
+    x = centred(x, node["mean"], spec.center == "residual")
+    if bias:
+        x += bias
+    y = node["weights"][keep] @ x
+    if bias and node["use_dc"] and 0 in keep:
+        y[keep.index(0)] -= bias
+    return y, x.mean(axis=0)
+
+
+def project(planes: np.ndarray, spec: HopSpec, node: dict, keep: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Maps of the kept kernels ``(k, n, H', W')`` and the patch means ``(n, H', W')`` of one node."""
-    n = planes.shape[1]
-    hp, wp = node["out"]
-    weights, bias = node["weights"][keep], node["bias"] if spec.need_bias else 0.0
-    maps, dc = np.empty((len(weights), n, hp, wp)), np.empty((n, hp, wp))
+    n, (hp, wp) = planes.shape[1], node["out"]
+    maps, dc = np.empty((len(keep), n, hp, wp)), np.empty((n, hp, wp))
     for im, rows, x in patch_chunks(planes, spec):
-        x = centred(x, node["mean"], spec.center == "residual")
-        if bias:
-            x += bias
-        y = weights @ x
-        if bias and node["use_dc"] and 0 in keep:
-            y[list(keep).index(0)] -= bias
+        y, d = coefficients(x, spec, node, keep)
         shape = (im.stop - im.start, rows.stop - rows.start, wp)
-        maps[:, im, rows] = y.reshape(-1, *shape)
-        dc[im, rows] = x.mean(axis=0).reshape(shape)
+        maps[:, im, rows], dc[im, rows] = y.reshape(-1, *shape), d.reshape(shape)
     return pool(maps, spec.pool_after, spec.pool_fn, spec.ragged), dc

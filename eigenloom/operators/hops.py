@@ -197,13 +197,13 @@ def selector(select: str):
     return lambda node: list(range(len(node["weights"]))) if select == "all" else node[select]
 
 
-def _lists(values: np.ndarray) -> pa.ListArray:
+def lists(values: np.ndarray) -> pa.ListArray:
     rows, width = values.shape
     offsets = pa.array(np.arange(rows + 1, dtype=np.int64) * width, pa.int32())
     return pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))
 
 
-def _good(it, dims, size):
+def good_batches(it, dims, size):
     for part, planes, bad in read_batches(it, dims, size):
         if bad:
             raise ValueError(f"{bad} images do not have the fitted shape {dims} or miss pixels")
@@ -216,18 +216,18 @@ def score_maps(images: DataFrame, tree: list[dict], dims, select: str = "emit")
     wanted, size = selector(select), _scored_bytes(tree, dims)
 
     def score(it):
-        for part, planes in _good(it, dims, size):
+        for part, planes in good_batches(it, dims, size):
             n = part.num_rows
             for h, _, channels, maps, _ in _score(planes, tree, wanted):
                 for ch, m in zip(channels, maps):
                     cols = [part["image_id"].cast(pa.int64())]
                     cols += [pa.array(np.full(n, v, np.int32)) for v in (h, ch, m.shape[1], m.shape[2])]
-                    yield pa.RecordBatch.from_arrays([*cols, _lists(m.reshape(n, -1))], names=_MAP_NAMES)
+                    yield pa.RecordBatch.from_arrays([*cols, lists(m.reshape(n, -1))], names=MAP_NAMES)
 
     return image_columns(images).mapInArrow(score, MAPS)
 
 
-_MAP_NAMES = ["image_id", "hop", "channel", "height", "width", "v"]
+MAP_NAMES = ["image_id", "hop", "channel", "height", "width", "v"]
 
 
 def score_dc(images: DataFrame, tree: list[dict], dims) -> DataFrame:
@@ -235,11 +235,11 @@ def score_dc(images: DataFrame, tree: list[dict], dims) -> DataFrame:
     size = _scored_bytes(tree, dims)
 
     def score(it):
-        for part, planes in _good(it, dims, size):
+        for part, planes in good_batches(it, dims, size):
             n = part.num_rows
             for h, i, _, _, dc in _score(planes, tree, lambda node: []):
                 cols = [part["image_id"].cast(pa.int64()), *(pa.array(np.full(n, v, np.int32)) for v in (h, i))]
-                yield pa.RecordBatch.from_arrays([*cols, _lists(dc.reshape(n, -1))], names=["image_id", "hop", "node", "v"])
+                yield pa.RecordBatch.from_arrays([*cols, lists(dc.reshape(n, -1))], names=["image_id", "hop", "node", "v"])
 
     return image_columns(images).mapInArrow(score, DC)
 
@@ -251,12 +251,12 @@ def score_wide(images: DataFrame, tree: list[dict], dims, select: str, keep=())
     types = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in ("image_id", *keep))
 
     def score(it):
-        for part, planes in _good(it, dims, size):
+        for part, planes in good_batches(it, dims, size):
             n = part.num_rows
             got = [m.transpose(1, 0, 2, 3).reshape(n, -1) for _, _, ch, m, _ in _score(planes, tree, wanted) if ch]
             wide = np.concatenate(got, axis=1) if got else np.empty((n, 0))
             names = ["image_id", *keep]
-            yield pa.RecordBatch.from_arrays([*(part[c] for c in names), _lists(wide)], names=[*names, "features"])
+            yield pa.RecordBatch.from_arrays([*(part[c] for c in names), lists(wide)], names=[*names, "features"])
 
     return source.mapInArrow(score, f"{types}, features array<double>")
 

@@ -111,7 +111,8 @@ class _Fit:
         pooled = tuple(out_side(v, before["spec"].pool_after, before["spec"].ragged) for v in side)
         steps = [(before["spec"].pool_after, before["spec"].ragged, side), (spec.pool_before, spec.ragged, pooled)]
         ragged = any(b > 1 and how == "pad" and any(v % b for v in dims) for b, how, dims in steps)
-        return spec.patch_fn is None and not ragged
+        own = any(callable(s.pool_fn) and b > 1 for s, b in ((before["spec"], steps[0][0]), (spec, steps[1][0])))
+        return spec.patch_fn is None and not ragged and not own
 
     def biases(self) -> None:
         """Find the open biases in one scan and move the means of the next hop accordingly."""

@@ -22,15 +22,16 @@ class HopSpec:
     ``num_kernels``: keep the first n kernels (-1 = all). ``center``: project ``x - mean`` or the
     residual that also lost its patch mean. ``order``: feature order inside a patch, pixel position
     first (``ijc``) or channel first (``cij``).
+    ``pool_fn``: a name from ``POOLS`` or a numpy reducer ``(cells, axis) -> values``.
     ``patch_fn``: own neighbourhood function, numpy ``(n, H, W, C) -> (n, H', W', K)``, run per batch
-    inside the Spark task in place of the built-in pooling and patches. It is saved by name only.
+    inside the Spark task in place of the built-in pooling and patches. Functions are saved by name only.
     """
 
     window: int = 2
     stride: int = 1
     pool_before: int = 0
     pool_after: int = 0
-    pool_fn: str = "max"
+    pool_fn: str | Callable = "max"
     ragged: str = "pad"
     channelwise: bool | None = None
     use_dc: bool = True
@@ -45,7 +46,7 @@ class HopSpec:
     def __post_init__(self):
         _require(self.window >= 1 and self.stride >= 1, "window and stride must be at least 1")
         _require(self.pool_before >= 0 and self.pool_after >= 0, "pooling blocks must be 0 or more")
-        _require(self.pool_fn in POOLS, f"pool_fn must be one of {POOLS}")
+        _require(self.pool_fn in POOLS or callable(self.pool_fn), f"pool_fn must be one of {POOLS} or a function")
         _require(self.ragged in ("pad", "drop"), "ragged must be 'pad' or 'drop'")
         _require(self.num_kernels == -1 or self.num_kernels >= 1, "num_kernels must be -1 or positive")
         _require(self.ddof in (0, 1), "ddof must be 0 or 1")
@@ -54,18 +55,17 @@ class HopSpec:
         _require(self.patch_fn is None or callable(self.patch_fn), "patch_fn must be callable")
 
     def to_json(self) -> str:
-        d = asdict(replace(self, patch_fn=None))
-        d["patch_fn"] = getattr(self.patch_fn, "__name__", None)
-        return json.dumps(d, sort_keys=True)
+        """The settings as JSON, with functions replaced by their names."""
+        plain = asdict(replace(self, patch_fn=None, pool_fn="max" if callable(self.pool_fn) else self.pool_fn))
+        names = {k: getattr(self, k).__name__ for k in ("patch_fn", "pool_fn") if callable(getattr(self, k))}
+        return json.dumps({"settings": plain, "functions": names}, sort_keys=True)
 
     @staticmethod
     def from_json(text: str, hooks: dict[str, Callable] | None = None) -> "HopSpec":
-        d = json.loads(text)
-        name = d.pop("patch_fn")
-        if name is not None:
-            _require(name in (hooks or {}), f"this model needs the patch function {name!r}: pass it in hooks")
-            d["patch_fn"] = hooks[name]
-        return HopSpec(**d)
+        d, hooks = json.loads(text), hooks or {}
+        missing = sorted(set(d["functions"].values()) - set(hooks))
+        _require(not missing, f"this model needs the functions {missing}: pass them in hooks")
+        return HopSpec(**{**d["settings"], **{k: hooks[name] for k, name in d["functions"].items()}})
 
 
 def _require(ok: bool, message: str) -> None:
