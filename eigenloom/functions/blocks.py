@@ -11,7 +11,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from ..spec import HopSpec, out_side, patch_side
 
 CHUNK_BYTES = 8 << 20  # patch matrix worked on at a time: sized for the cache, not for the data
-REDUCE = {"max": np.max, "min": np.min, "avg": np.mean, "sum": np.sum}
+FOLD = {"max": np.maximum, "min": np.minimum, "avg": np.add, "sum": np.add}
 
 
 def pool(planes: np.ndarray, block: int, how, ragged: str) -> np.ndarray:
@@ -23,10 +23,17 @@ def pool(planes: np.ndarray, block: int, how, ragged: str) -> np.ndarray:
         return planes
     c, n, h, w = planes.shape
     hb, wb = out_side(h, block, ragged), out_side(w, block, ragged)
-    if ragged == "pad":
+    if c * n == 0:
+        return np.empty((c, n, hb, wb))
+    if hb * block > h or wb * block > w:
         planes = np.pad(planes, ((0, 0), (0, 0), (0, hb * block - h), (0, wb * block - w)))
-    cells = planes[:, :, : hb * block, : wb * block].reshape(c, n, hb, block, wb, block)
-    return REDUCE.get(how, how)(cells, axis=(3, 5))
+    planes = planes[:, :, : hb * block, : wb * block]
+    if callable(how):
+        return how(planes.reshape(c, n, hb, block, wb, block), axis=(3, 5))
+    out = planes[:, :, ::block, ::block].copy()
+    for a, b in list(np.ndindex(block, block))[1:]:
+        FOLD[how](out, planes[:, :, a::block, b::block], out=out)
+    return out / block**2 if how == "avg" else out
 
 
 def patch_chunks(planes: np.ndarray, spec: HopSpec):

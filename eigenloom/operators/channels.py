@@ -21,19 +21,12 @@ def split_channels(images: DataFrame, dims, hop: int = -1) -> DataFrame:
 
     def cut(it):
         for part, planes in H.good_batches(it, dims, 16 * dims[0] * dims[1] * dims[2]):
-            for ch, m in enumerate(planes):
-                yield map_rows(part["image_id"], hop, ch, m)
+            ids = part["image_id"].to_numpy(zero_copy_only=False)
+            yield H.map_rows(ids, hop, list(range(len(planes))), planes)
 
     return H.image_columns(images).mapInArrow(cut, H.MAPS)
 
 
-def map_rows(ids: pa.Array, hop: int, channel: int, maps: np.ndarray) -> pa.RecordBatch:
-    """Arrow rows of ``maps`` for one channel of a batch ``(n, H, W)``."""
-    n, h, w = maps.shape
-    numbers = [pa.array(np.full(n, v, np.int32)) for v in (hop, channel, h, w)]
-    return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *numbers, H.lists(maps.reshape(n, -1))], names=H.MAP_NAMES)
-
-
 def concat_channels(parts: Sequence[tuple[DataFrame, int]], hop: int) -> DataFrame:
     """Maps of several nodes as the channels of one hop. ``parts``: frames with their number of channels."""
     starts = np.cumsum([0, *(n for _, n in parts)])

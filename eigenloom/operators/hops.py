@@ -217,12 +217,10 @@ def score_maps(images: DataFrame, tree: list[dict], dims, select: str = "emit")
 
     def score(it):
         for part, planes in good_batches(it, dims, size):
-            n = part.num_rows
+            ids = part["image_id"].to_numpy(zero_copy_only=False)
             for h, _, channels, maps, _ in _score(planes, tree, wanted):
-                for ch, m in zip(channels, maps):
-                    cols = [part["image_id"].cast(pa.int64())]
-                    cols += [pa.array(np.full(n, v, np.int32)) for v in (h, ch, m.shape[1], m.shape[2])]
-                    yield pa.RecordBatch.from_arrays([*cols, lists(m.reshape(n, -1))], names=MAP_NAMES)
+                if channels:
+                    yield map_rows(ids, h, channels, maps)
 
     return image_columns(images).mapInArrow(score, MAPS)
 
@@ -230,6 +228,15 @@ def score_maps(images: DataFrame, tree: list[dict], dims, select: str = "emit")
 MAP_NAMES = ["image_id", "hop", "channel", "height", "width", "v"]
 
 
+def map_rows(ids: np.ndarray, hop: int, channels: list[int], maps: np.ndarray) -> pa.RecordBatch:
+    """Arrow rows of ``maps`` for some channels ``(k, n, H, W)`` of the images ``ids``."""
+    k, n, h, w = maps.shape
+    hop, h_, w_ = (pa.array(np.full(k * n, v, np.int32)) for v in (hop, h, w))
+    numbers = pa.array(np.repeat(np.asarray(channels, np.int32), n))
+    columns = [pa.array(np.tile(ids, k)), hop, numbers, h_, w_, lists(maps.reshape(k * n, -1))]
+    return pa.RecordBatch.from_arrays(columns, names=MAP_NAMES)
+
+
 def score_dc(images: DataFrame, tree: list[dict], dims) -> DataFrame:
     """Patch means after centring and bias, one row per image, hop and node."""
     size = _scored_bytes(tree, dims)

@@ -42,11 +42,13 @@ def vector_stats(images: DataFrame, shift: np.ndarray) -> DataFrame:
     """``stats (node, i, j, s)`` from one aggregate row; node -1 counts malformed rows."""
     k = len(shift)
     bad = malformed(k)
-    x = [F.when(~bad, e - F.lit(float(m))) for e, m in zip(elements(k), shift)]
-    sums = {(-1, -1): F.sum(F.when(bad, 0.0).otherwise(1.0))}
-    sums.update({(i, -1): F.sum(x[i]) for i in range(k)})
-    sums.update({(i, j): F.sum(x[i] * x[j]) for i in range(k) for j in range(i, k)})
-    one = images.agg(F.count(F.when(bad, 1)).cast("double").alias("bad"), *[v.alias(_name(c)) for c, v in sums.items()])
+    x = [F.when(~bad, e - F.lit(float(m))).alias(f"x{i}") for i, (e, m) in enumerate(zip(elements(k), shift))]
+    x0 = F.col("x0")
+    sums = {(-1, -1): F.count(x0).cast("double")}
+    sums.update({(i, -1): F.sum(f"x{i}") for i in range(k)})
+    sums.update({(i, j): F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(k) for j in range(i, k)})
+    missing = F.count(F.when(x0.isNull(), 1)).cast("double").alias("bad")
+    one = images.select(*x).agg(missing, *[v.alias(_name(c)) for c, v in sums.items()])
     rows = [F.struct(F.lit(0).alias("node"), F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(_name((i, j))).alias("s"))
             for i, j in sums]
     rows.append(F.struct(F.lit(-1).alias("node"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.col("bad").alias("s")))

@@ -44,7 +44,8 @@ def query(sql: str | None = None):
 
 
 def num(value: str | Column, digits: int = 6) -> Column:
-    return F.round(F.col(value) if isinstance(value, str) else value, digits) + F.lit(0.0)
+    value = F.col(value) if isinstance(value, str) else value
+    return F.round(value.cast("double"), digits) + F.lit(0.0)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -46,15 +46,16 @@ class ChannelwiseHop:
 
     def transform(self, maps: DataFrame) -> DataFrame:
         """Each map row becomes one row per kernel of its channel. No shuffle."""
-        node_of, nodes, spec, hop, shape = dict(zip(self.channels, self.nodes)), None, self.spec, self.hop, self.shape
+        node_of, spec, hop, shape = dict(zip(self.channels, self.nodes)), self.spec, self.hop, self.shape
         slim = {ch: {k: n[k] for k in ("first", "mean", "bias", "use_dc", "out", "weights")} for ch, n in node_of.items()}
 
         def score(it):
             for ch, rows, planes in channel_batches(it, shape, slim):
                 node = slim[ch]
                 keep = list(range(len(node["weights"])))
-                for q, m in zip(keep, B.project(B.enter(planes, spec), spec, node, keep)[0]):
-                    yield C.map_rows(rows["image_id"], hop, node["first"] + q, m)
+                out = B.project(B.enter(planes, spec), spec, node, keep)[0]
+                ids = rows["image_id"].to_numpy(zero_copy_only=False)
+                yield H.map_rows(ids, hop, [node["first"] + q for q in keep], out)
 
         return maps.select(*H.MAP_NAMES).mapInArrow(score, H.MAPS)
 

@@ -11,7 +11,11 @@ IMAGES = "image_id bigint, label int, height int, width int, channels int, pixel
 
 
 def as_images(df: DataFrame, image_id: str, pixels: Column, shape: Sequence[int], label: str | None = None) -> DataFrame:
-    """Give a frame the ``images`` layout; a projection, so unused columns are never read."""
+    """Give a frame the ``images`` layout; a projection, so unused columns are never read.
+
+    Pixels keep their stored type, so float or byte images cross into Python at their own width. All
+    computation is in double.
+    """
     h, w, c = shape
     return df.select(
         F.col(image_id).cast("bigint").alias("image_id"),
@@ -19,7 +23,7 @@ def as_images(df: DataFrame, image_id: str, pixels: Column, shape: Sequence[int]
         F.lit(h).alias("height"),
         F.lit(w).alias("width"),
         F.lit(c).alias("channels"),
-        pixels.cast("array<double>").alias("pixels"),
+        pixels.alias("pixels"),
     )
 
 
