@@ -62,9 +62,12 @@ def same_shape(batch: pa.RecordBatch):
 
 
 def select_channels(maps: DataFrame, kernels: DataFrame, role: str) -> DataFrame:
-    """Maps whose kernel has the given role. The kernel table is small; Spark checks before it broadcasts."""
+    """Maps whose kernel has the given role.
+
+    Two integers per kernel are broadcast: their number follows from the settings of the fit, not from the images.
+    """
     chosen = kernels.filter(F.col("role") == role).select("hop", "channel")
-    return maps.join(chosen, ["hop", "channel"], "left_semi").select(*H.MAP_NAMES)
+    return maps.join(F.broadcast(chosen), ["hop", "channel"], "left_semi").select(*H.MAP_NAMES)
 
 
 def filter_channels(maps: DataFrame, kernels: DataFrame, th1: float = 0.001, th2: float = 0.0001, block: int = 2,

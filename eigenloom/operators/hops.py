@@ -21,6 +21,7 @@ from ..spec import HopSpec
 
 BATCH_BYTES = 64 << 20  # maps of one sub-batch of images inside a task
 STATE_BYTES = 512 << 20  # Gram matrices a task may hold; more nodes are split over several frames
+MODEL_BYTES = 256 << 20  # kernels sent along with a task; a larger tree is split into lineages
 COLUMNS = ("image_id", "height", "width", "channels", "pixels")
 
 
@@ -84,6 +85,57 @@ def tree_bytes(tree: list[dict], dims) -> int:
     return max(a + b for a, b in zip(sizes, sizes[1:] + [0]))
 
 
+# ---- what travels to the tasks ----
+
+
+def slim(tree: list[dict], select: str | None = None) -> list[dict]:
+    """A tree without its reports. ``give``: the kernels of each node that are put out."""
+    keys = ("first", "mean", "bias", "use_dc", "out", "forward", "emit", "weights")
+
+    def one(i, node):
+        give = {None: [], "all": list(range(len(node["weights"])))}.get(select, node.get(select))
+        return {**{k: node[k] for k in keys}, "id": i, "give": give, "own": True}
+
+    return [{"spec": hop["spec"], "nodes": [one(i, n) for i, n in enumerate(hop["nodes"])]} for hop in tree]
+
+
+def model_bytes(tree: list[dict]) -> int:
+    return sum(n["weights"].nbytes for hop in tree for n in hop["nodes"])
+
+
+def towards(tree: list[dict], channels: set[int], owner: bool = False) -> list[dict]:
+    """The part of a tree that leads to some of the channels its last hop forwards.
+
+    Node i of a hop reads the i-th channel forwarded before it, so a node and that channel go together;
+    hop 0 keeps all nodes, they read the image. Only the ``owner`` also puts out what these nodes give.
+    """
+    hop, nodes, used, seen = tree[-1], [], set(), 0
+    for i, node in enumerate(hop["nodes"]):
+        on = [q for c, q in enumerate(node["forward"], seen) if c in channels]
+        seen += len(node["forward"])
+        if on or owner or len(tree) == 1:
+            used.add(i)
+            nodes.append({**node, "forward": on} if owner else {**node, "forward": on, "give": [], "own": False})
+    above = towards(tree[:-1], used, owner) if len(tree) > 1 else []
+    return [*above, {**hop, "nodes": nodes}]
+
+
+def lineages(tree: list[dict]) -> list[list[dict]]:
+    """The tree cut by its last nodes into parts of about MODEL_BYTES; usually one part."""
+    nodes = tree[-1]["nodes"]
+    per = max(1, len(nodes) * MODEL_BYTES // max(1, model_bytes(tree)))
+    if len(tree) == 1 or per >= len(nodes):
+        return [tree]
+    return [
+        [*towards(tree[:-1], set(range(lo, lo + per)), lo == 0), {**tree[-1], "nodes": nodes[lo : lo + per]}]
+        for lo in range(0, len(nodes), per)
+    ]
+
+
+def union(frames) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
 # ---- statistics ----
 
 
@@ -94,10 +146,16 @@ def image_stats(images: DataFrame, tree: list[dict], spec: HopSpec, shift: np.nd
     taken relative to ``shift``. Each task sends its sums once; the rest is a hash aggregate.
     """
     nodes, k = shift.shape
+    tree = slim(tree)
     per = max(1, STATE_BYTES // (8 * k * (k + 2)))
-    source = image_columns(images)
-    frames = [_partial_sums(source, tree, spec, shift, dims, lo, min(nodes, lo + per)) for lo in range(0, nodes, per)]
-    return sum_stats(reduce(DataFrame.unionByName, frames))
+    if tree:
+        per = min(per, max(1, nodes * MODEL_BYTES // model_bytes(tree)))
+    source, frames = image_columns(images), []
+    for lo in range(0, nodes, per):
+        part = range(lo, min(nodes, lo + per))
+        above = towards(tree, set(part)) if tree and len(part) < nodes else tree
+        frames.append(_partial_sums(source, above, spec, shift, dims, part))
+    return sum_stats(union(frames))
 
 
 def sum_stats(partial: DataFrame) -> DataFrame:
@@ -131,23 +189,28 @@ def state_rows(state: dict, bad: int = 0) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, PARTIAL_ARROW)], schema=PARTIAL_ARROW)
 
 
-def _partial_sums(source, tree, spec, shift, dims, lo, hi) -> DataFrame:
-    size = tree_bytes(tree, dims)
+def _partial_sums(source, tree, spec, shift, dims, part: range) -> DataFrame:
+    size, skipped = tree_bytes(tree, dims), part.start if tree else 0
 
     def sums(it):
         state, bad = {}, 0
         for _, planes, b in read_batches(it, dims, size):
             bad += b
             planes = advance(planes, tree)
-            for i in range(lo, hi):
-                add_patches(state, i, node_input(planes, spec, i), spec, shift[i])
-        yield state_rows(state, bad if lo == 0 else 0)
+            for i in part:
+                add_patches(state, i, node_input(planes, spec, i - skipped), spec, shift[i])
+        yield state_rows(state, bad if part.start == 0 else 0)
 
     return source.mapInArrow(sums, PARTIAL)
 
 
 def residual_maxima(images: DataFrame, tree: list[dict], hops: list[int], dims) -> DataFrame:
     """``(hop, node, sq)``: the largest squared residual norm of each node of ``hops``, in one scan."""
+    frames = [_partial_maxima(image_columns(images), part, hops, dims) for part in lineages(slim(tree))]
+    return union(frames).groupBy("hop", "node").agg(F.max("sq").alias("sq"))
+
+
+def _partial_maxima(source, tree, hops, dims) -> DataFrame:
     size = tree_bytes(tree, dims)
     schema = pa.schema([("hop", pa.int32()), ("node", pa.int32()), ("sq", pa.float64())])
 
@@ -155,18 +218,24 @@ def residual_maxima(images: DataFrame, tree: list[dict], hops: list[int], dims)
         best: dict = {}
         for _, planes, _ in read_batches(it, dims, size):
             for h, hop in enumerate(tree):
-                if h in hops:
-                    for i, node in enumerate(hop["nodes"]):
-                        for _, _, x in B.patch_chunks(node_input(planes, hop["spec"], i), hop["spec"]):
-                            x = B.centred(x, node["mean"], True)
-                            if x.shape[1]:
-                                best[h, i] = max(best.get((h, i), 0.0), float((x * x).sum(axis=0).max()))
+                for i, node in enumerate(hop["nodes"]):
+                    if h in hops and node["own"]:
+                        key = h, node["id"]
+                        best[key] = max(best.get(key, 0.0), largest(node_input(planes, hop["spec"], i), hop["spec"], node))
                 if h + 1 < len(tree):
                     planes = advance(planes, [hop])
         yield pa.RecordBatch.from_pylist([{"hop": h, "node": i, "sq": v} for (h, i), v in best.items()], schema)
 
-    partial = image_columns(images).mapInArrow(maxima, "hop int, node int, sq double")
-    return partial.groupBy("hop", "node").agg(F.max("sq").alias("sq"))
+    return source.mapInArrow(maxima, "hop int, node int, sq double")
+
+
+def largest(planes: np.ndarray, spec: HopSpec, node: dict) -> float:
+    """The largest squared residual norm of a node's patches."""
+    best = 0.0
+    for _, _, x in B.patch_chunks(planes, spec):
+        x = B.centred(x, node["mean"], True)
+        best = max(best, float((x * x).sum(axis=0).max(initial=0.0)))
+    return best
 
 
 # ---- output ----
@@ -175,28 +244,23 @@ MAPS = "image_id bigint, hop int, channel int, height int, width int, v array<do
 DC = "image_id bigint, hop int, node int, v array<double>"
 
 
-def _score(planes, tree, wanted):
-    """Yield ``(hop, node number, channels, maps, patch means)``, computing only the kernels in use."""
+def _score(planes, tree):
+    """Yield ``(hop, node, channels, maps, patch means)``, computing only the kernels in use."""
     for h, hop in enumerate(tree):
         last, onward = h + 1 == len(tree), []
         for i, node in enumerate(hop["nodes"]):
-            give, on = wanted(node), [] if last else node["forward"]
+            give, on = node["give"], [] if last else node["forward"]
+            if not (give or on or node["own"]):
+                continue
             keep = sorted(set(give) | set(on))
             maps, dc = B.project(node_input(planes, hop["spec"], i), hop["spec"], node, keep)
             if on:
                 onward.append(maps[[keep.index(q) for q in on]])
-            yield h, i, [node["first"] + q for q in give], maps[[keep.index(q) for q in give]], dc
+            yield h, node, [node["first"] + q for q in give], maps[[keep.index(q) for q in give]], dc
         if onward:
             planes = np.concatenate(onward)
 
 
-def selector(select: str):
-    """Which kernels of a node are put out: ``emit``, ``forward`` or ``all``."""
-    if select not in ("emit", "forward", "all"):
-        raise ValueError("select must be 'emit', 'forward' or 'all'")
-    return lambda node: list(range(len(node["weights"]))) if select == "all" else node[select]
-
-
 def lists(values: np.ndarray) -> pa.ListArray:
     rows, width = values.shape
     offsets = pa.array(np.arange(rows + 1, dtype=np.int64) * width, pa.int32())
@@ -211,18 +275,28 @@ def good_batches(it, dims, size):
             yield part, planes
 
 
+def check_select(select: str) -> str:
+    if select not in ("emit", "forward", "all"):
+        raise ValueError("select must be 'emit', 'forward' or 'all'")
+    return select
+
+
 def score_maps(images: DataFrame, tree: list[dict], dims, select: str = "emit") -> DataFrame:
     """One row per image and chosen channel. Map-only and lazy."""
-    wanted, size = selector(select), _scored_bytes(tree, dims)
 
-    def score(it):
-        for part, planes in good_batches(it, dims, size):
-            ids = part["image_id"].to_numpy(zero_copy_only=False)
-            for h, _, channels, maps, _ in _score(planes, tree, wanted):
-                if channels:
-                    yield map_rows(ids, h, channels, maps)
+    def scored(tree):
+        size = _scored_bytes(tree, dims)
+
+        def score(it):
+            for part, planes in good_batches(it, dims, size):
+                ids = part["image_id"].to_numpy(zero_copy_only=False)
+                for h, _, channels, maps, _ in _score(planes, tree):
+                    if channels:
+                        yield map_rows(ids, h, channels, maps)
+
+        return image_columns(images).mapInArrow(score, MAPS)
 
-    return image_columns(images).mapInArrow(score, MAPS)
+    return union([scored(part) for part in lineages(slim(tree, check_select(select)))])
 
 
 MAP_NAMES = ["image_id", "hop", "channel", "height", "width", "v"]
@@ -239,28 +313,39 @@ def map_rows(ids: np.ndarray, hop: int, channels: list[int], maps: np.ndarray) -
 
 def score_dc(images: DataFrame, tree: list[dict], dims) -> DataFrame:
     """Patch means after centring and bias, one row per image, hop and node."""
-    size = _scored_bytes(tree, dims)
 
-    def score(it):
-        for part, planes in good_batches(it, dims, size):
-            n = part.num_rows
-            for h, i, _, _, dc in _score(planes, tree, lambda node: []):
-                cols = [part["image_id"].cast(pa.int64()), *(pa.array(np.full(n, v, np.int32)) for v in (h, i))]
-                yield pa.RecordBatch.from_arrays([*cols, lists(dc.reshape(n, -1))], names=["image_id", "hop", "node", "v"])
+    def scored(tree):
+        size = _scored_bytes(tree, dims)
+
+        def score(it):
+            for part, planes in good_batches(it, dims, size):
+                n, ids = part.num_rows, part["image_id"].cast(pa.int64())
+                for h, node, _, _, dc in _score(planes, tree):
+                    if node["own"]:
+                        numbers = (pa.array(np.full(n, v, np.int32)) for v in (h, node["id"]))
+                        columns = [ids, *numbers, lists(dc.reshape(n, -1))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["image_id", "hop", "node", "v"])
+
+        return image_columns(images).mapInArrow(score, DC)
 
-    return image_columns(images).mapInArrow(score, DC)
+    return union([scored(part) for part in lineages(slim(tree))])
 
 
-def score_wide(images: DataFrame, tree: list[dict], dims, select: str, keep=()) -> DataFrame:
-    """One row per image: all chosen channels end to end, by (hop, channel, row, column)."""
-    wanted, size = selector(select), _scored_bytes(tree, dims)
-    source = image_columns(images, keep)
+def score_wide(images: DataFrame, tree: list[dict], dims, select: str, keep=()) -> DataFrame | None:
+    """One row per image: all chosen channels end to end, by (hop, channel, row, column).
+
+    None if the tree must be split: then a task does not see all channels of an image.
+    """
+    tree = slim(tree, check_select(select))
+    if len(lineages(tree)) > 1:
+        return None
+    size, source = _scored_bytes(tree, dims), image_columns(images, keep)
     types = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in ("image_id", *keep))
 
     def score(it):
         for part, planes in good_batches(it, dims, size):
             n = part.num_rows
-            got = [m.transpose(1, 0, 2, 3).reshape(n, -1) for _, _, ch, m, _ in _score(planes, tree, wanted) if ch]
+            got = [m.transpose(1, 0, 2, 3).reshape(n, -1) for _, _, ch, m, _ in _score(planes, tree) if ch]
             wide = np.concatenate(got, axis=1) if got else np.empty((n, 0))
             names = ["image_id", *keep]
             yield pa.RecordBatch.from_arrays([*(part[c] for c in names), lists(wide)], names=[*names, "features"])

@@ -13,28 +13,40 @@ from ..spec import HopSpec
 from . import hops as H
 
 KEYS = ("image_id", "r", "c")
+BROADCAST_VALUES = 4_000_000  # 32 MB of kernel weights
 
 
-def project_by_join(patches: DataFrame, kernels: DataFrame) -> DataFrame:
+def project_by_join(patches: DataFrame, kernels: DataFrame, salts: int = 64) -> DataFrame:
     """``(image_id, r, c, node, kidx, value)`` for centred patches and any table ``(node, kidx, weights)``.
 
-    No broadcast hint: Spark compares the size of the kernel table with its threshold and shuffles beyond it.
+    The kernel values are counted first. A small table is broadcast. A large one is copied ``salts`` times and
+    shuffled, so that the patches of one node, which may be all patches, spread over as many tasks.
     """
-    return patches.join(kernels.select("node", "kidx", "weights"), "node").select(
-        *KEYS, "node", "kidx", P.dot(F.col("f"), F.col("weights")).alias("value")
-    )
+    small = kernels.select("node", "kidx", "weights")
+    values = small.agg(F.sum(F.size("weights"))).first()[0] or 0
+    if values <= BROADCAST_VALUES:
+        joined = patches.join(F.broadcast(small), "node")
+    else:
+        copies = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salt = F.pmod(F.xxhash64(*KEYS), F.lit(salts)).cast("int")
+        joined = patches.withColumn("salt", salt).join(copies.hint("merge"), ["node", "salt"])
+    return joined.select(*KEYS, "node", "kidx", P.dot(F.col("f"), F.col("weights")).alias("value"))
 
 
 def coefficients(images: DataFrame, tree: list[dict], dims, hop: int = 0, node: int = 0) -> DataFrame:
     """``(image_id, r, c, y)``: all coefficients of one node, one row per patch, before any pooling."""
-    above, here = tree[:hop], tree[hop]
-    spec, one = here["spec"], here["nodes"][node]
+    spec, one = tree[hop]["spec"], tree[hop]["nodes"][node]
+    above = H.slim(tree[:hop])
+    if above:
+        above, index = H.towards(above, {node}), 0
+    else:
+        index = node
     size = H.tree_bytes(above, dims)
 
     def score(it):
         for part, planes in H.good_batches(it, dims, size):
             ids = part["image_id"].to_numpy(zero_copy_only=False)
-            planes = H.node_input(H.advance(planes, above), spec, node)
+            planes = H.node_input(H.advance(planes, above), spec, index)
             hp, wp = one["out"]
             for im, rows, x in B.patch_chunks(planes, spec):
                 y = B.coefficients(x, spec, one, list(range(len(one["weights"]))))[0]

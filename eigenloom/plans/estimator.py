@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import blocks as B
+from ..operators import channels as C
 from ..operators import hops as H
 from ..operators import kernels as K
 from ..operators import vectors as V
@@ -187,8 +188,8 @@ class SubspaceModel(Model):
         """``maps``: one row per image, hop and channel; ``select``: ``emit``, ``forward`` or ``all``."""
         if self.vectors:
             node, spec = self._only()
-            return V.vector_maps(images, node, spec, H.selector(select)(node))
-        return H.score_maps(images, self._light(), self.dims, select)
+            return V.vector_maps(images, node, spec, self._chosen(select))
+        return H.score_maps(images, self.tree, self.dims, select)
 
     def _transform(self, images: DataFrame) -> DataFrame:
         return self.transform_maps(images)
@@ -197,22 +198,26 @@ class SubspaceModel(Model):
         """One row per image: ``image_id``, the columns in ``keep`` and ``features array<double>``."""
         if self.vectors:
             node, spec = self._only()
-            return V.vector_wide(images, node, spec, H.selector(select)(node), keep)
-        return H.score_wide(images, self._light(), self.dims, select, tuple(keep))
+            return V.vector_wide(images, node, spec, self._chosen(select), keep)
+        wide = H.score_wide(images, self.tree, self.dims, select, tuple(keep))
+        if wide is not None:
+            return wide
+        joined = C.wide_features(self.transform_maps(images, select))
+        empty = F.array().cast("array<double>")
+        return images.select("image_id", *keep).join(joined, "image_id", "left").withColumn(
+            "features", F.coalesce("features", empty))
 
     def dc(self, images: DataFrame) -> DataFrame:
         """``dc``: the patch means of each node after centring and bias."""
         if self.vectors:
             return V.vector_dc(images, *self._only())
-        return H.score_dc(images, self._light(), self.dims)
+        return H.score_dc(images, self.tree, self.dims)
 
     def _only(self):
         return self.tree[0]["nodes"][0], self.tree[0]["spec"]
 
-    def _light(self) -> list[dict]:
-        """The tree without the report rows: this is what travels to the tasks."""
-        slim = ("first", "mean", "bias", "use_dc", "out", "forward", "emit", "weights")
-        return [{"spec": hop["spec"], "nodes": [{k: n[k] for k in slim} for n in hop["nodes"]]} for hop in self.tree]
+    def _chosen(self, select: str) -> list[int]:
+        return H.slim(self.tree, H.check_select(select))[0]["nodes"][0]["give"]
 
     # ---- the model as tables ----
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import pixels as P
@@ -364,31 +364,33 @@ def dc_kernel(spark, sf):
     return weights(kernels.filter("is_dc"), "kidx").drop("kidx")
 
 
-@query("SELECT 36 AS n_kernels, TRUE AS ok_residual, TRUE AS ok_orthonormal, TRUE AS ok_trace, TRUE AS ok_sign, TRUE AS ok_order")
+@query("SELECT name, TRUE AS ok FROM (VALUES ('residual'), ('orthonormal'), ('sign'), ('trace'), ('order')) t(name)")
 def kernel_invariants(spark, sf):
     """Checks the 36 kernels of 3 x 3 x 4 patches against their covariance, all as joins."""
     images = colour(spark, sf)
     spec = HopSpec(window=3, use_dc=False)
     kernels = SubspaceEstimator([spec]).fit(images).kernels(spark)
     cov = S.residual_covariance(H.image_stats(images, [], spec, np.zeros((1, 36)), COLOUR))
-    w = kernels.select("kidx", F.posexplode("weights").alias("i", "w"))
-    trace = cov.filter("i = j").agg(F.sum("value").alias("t"))
-    cw = cov.join(w.withColumnRenamed("i", "j"), "j").groupBy("kidx", "i").agg(F.sum(F.col("value") * F.col("w")).alias("cw"))
-    gap = (
-        cw.join(w, ["kidx", "i"]).join(kernels.select("kidx", "energy"), "kidx").join(F.broadcast(trace))
-        .agg(F.max(F.abs(F.col("cw") - F.col("energy") * F.col("t") * F.col("w"))).alias("gap"))
+    trace = F.sum(F.when(F.col("i") == F.col("j"), F.col("value"))).over(Window.partitionBy("node"))
+    w = kernels.select("kidx", "energy", F.posexplode("weights").alias("i", "w"))
+    turned = (
+        cov.withColumn("t", trace).join(w.withColumnRenamed("i", "j"), "j")
+        .groupBy("kidx", "i").agg(F.sum(F.col("value") * F.col("w")).alias("cw"), F.first("t").alias("t"))
     )
-    pairs = w.join(w.select(F.col("kidx").alias("q"), "i", F.col("w").alias("v")), "i").groupBy("kidx", "q").agg(
+    gap = F.max(F.abs(F.col("cw") - F.col("energy") * F.col("t") * F.col("w")))
+    same = F.when(F.col("kidx") == F.col("q"), 1.0).otherwise(0.0)
+    dots = w.join(w.select(F.col("kidx").alias("q"), "i", F.col("w").alias("v")), "i").groupBy("kidx", "q").agg(
         F.sum(F.col("w") * F.col("v")).alias("dot"))
-    ortho = pairs.agg(F.max(F.abs(F.col("dot") - F.when(F.col("kidx") == F.col("q"), 1.0).otherwise(0.0))).alias("o"))
-    signs = w.groupBy("kidx").agg(F.max("w").alias("hi"), F.min("w").alias("lo")).agg(
-        F.min(F.col("hi") * (1 + 1e-9) + F.col("lo")).alias("s"))
-    order = kernels.agg(F.sum("energy").alias("e"), F.array_agg(F.struct("kidx", "energy")).alias("es"), F.count("*").alias("n"))
-    down = F.transform(F.sort_array("es"), lambda x: -x["energy"])
-    return gap.join(ortho).join(signs).join(order).select(
-        F.col("n").cast("int").alias("n_kernels"), (F.col("gap") < 1e-9).alias("ok_residual"),
-        (F.col("o") < 1e-9).alias("ok_orthonormal"), (F.abs(F.col("e") - 1) < 1e-9).alias("ok_trace"),
-        (F.col("s") >= 0).alias("ok_sign"), (F.array_sort(down) == down).alias("ok_order"))
+    down = F.transform(F.sort_array(F.array_agg(F.struct("kidx", "energy"))), lambda x: -x["energy"])
+    leads = w.groupBy("kidx").agg((F.max("w") * (1 + 1e-9) + F.min("w")).alias("lead"))
+    checks = [
+        turned.join(w, ["kidx", "i"]).agg((gap < 1e-9).alias("ok")).withColumn("name", F.lit("residual")),
+        dots.agg((F.max(F.abs(F.col("dot") - same)) < 1e-9).alias("ok")).withColumn("name", F.lit("orthonormal")),
+        leads.agg(((F.min("lead") >= 0) & (F.count("lead") == 36)).alias("ok")).withColumn("name", F.lit("sign")),
+        kernels.agg((F.abs(F.sum("energy") - 1) < 1e-9).alias("ok")).withColumn("name", F.lit("trace")),
+        kernels.agg((F.array_sort(down) == down).alias("ok")).withColumn("name", F.lit("order")),
+    ]
+    return C.concat_hops(checks).select("name", "ok")
 
 
 # ---- projection and inverse ----
@@ -468,22 +470,20 @@ def inverse_plain(spark, sf):
     return inverse(spark, sf, False)
 
 
-@query("SELECT * FROM (VALUES (TRUE, FALSE, 0.0::DOUBLE, TRUE), (TRUE, TRUE, 0.0, TRUE), (FALSE, FALSE, 0.0, TRUE), "
-       "(FALSE, TRUE, 0.0, TRUE)) t(use_dc, need_bias, mae, all_rows)")
+@query("SELECT use_dc, need_bias, 0.0::DOUBLE AS mae, count(*) AS n FROM embeddings, (VALUES (TRUE), (FALSE)) a(use_dc), "
+       "(VALUES (TRUE), (FALSE)) b(need_bias) GROUP BY use_dc, need_bias")
 def inverse_error(spark, sf):
     """Mean absolute error of the way there and back, on vectors of 64 values, for all flag settings."""
     vectors = I.vectors_from_array(table(spark, sf, "embeddings"), "vec_id", "embedding", 64)
     patches = PT.patch_table(vectors, (1, 1, 64), HopSpec(window=1))
-    total = vectors.agg(F.count(F.lit(1)).alias("total"))
     out = []
     for use_dc in (True, False):
         for need_bias in (False, True):
             model = SubspaceEstimator([HopSpec(window=1, use_dc=use_dc, need_bias=need_bias)]).fit(vectors)
             node, spec = model.tree[0]["nodes"][0], model.tree[0]["spec"]
             back = E.invert(E.coefficients(vectors, model.tree, model.dims), node, spec)
-            error = E.reconstruction_error(patches, back).join(total)
-            out.append(error.select(F.lit(use_dc).alias("use_dc"), F.lit(need_bias).alias("need_bias"),
-                                    num("mae", 9).alias("mae"), (F.col("n") == F.col("total")).alias("all_rows")))
+            error = E.reconstruction_error(patches, back)
+            out.append(error.select(F.lit(use_dc).alias("use_dc"), F.lit(need_bias).alias("need_bias"), num("mae", 9).alias("mae"), "n"))
     return C.concat_hops(out)
 
 

@@ -130,6 +130,41 @@ def test_small_chunks_change_nothing(spark, monkeypatch):
     np.testing.assert_allclose(maps_array(model.transform_maps(df, "all"), 1)[0], want, atol=1e-8)
 
 
+@pytest.mark.parametrize("channelwise", [False, True])
+def test_a_tree_in_parts_changes_nothing(spark, monkeypatch, channelwise):
+    """Kernels too large for one task travel as several lineages."""
+    from eigenloom.operators import hops as H
+    from eigenloom.operators import project as E
+
+    x = smooth(np.random.default_rng(6), 15, 9, 9, 2)
+    specs = [HopSpec(2, 1, channelwise=channelwise, need_bias=True), HopSpec(2, 1, need_bias=True), HopSpec(2, 1, need_bias=True)]
+    df, est = images(spark, x), SubspaceEstimator(specs, th1=0.03, th2=0.001, emit="all")
+    whole = est.fit(df)
+    assert len(whole.tree) == 3 and len(whole.tree[2]["nodes"]) > 2 and len(H.lineages(H.slim(whole.tree))) == 1
+
+    def outputs(model):
+        maps = {s: sorted(map(tuple, model.transform_maps(df, s).select("image_id", "hop", "channel", "v").collect()))
+                for s in ("emit", "forward", "all")}
+        dc = sorted(map(tuple, model.dc(df).collect()))
+        wide = model.features(df.withColumn("tag", df.image_id * 2), keep=("tag",))
+        coef = E.coefficients(df, model.tree, model.dims, 2, 1).collect()
+        return [*maps.values(), dc, sorted(map(tuple, wide.collect())), sorted(map(tuple, coef))]
+
+    want = outputs(whole)
+    monkeypatch.setattr(H, "MODEL_BYTES", 1)
+    parts = est.fit(df)
+    assert len(H.lineages(H.slim(parts.tree))) == len(parts.tree[2]["nodes"])
+    for a, b in zip(whole.tree, parts.tree):
+        for p, q in zip(a["nodes"], b["nodes"]):
+            np.testing.assert_allclose(p["weights"], q["weights"], atol=1e-9)
+            assert p["bias"] == pytest.approx(q["bias"], abs=1e-9)
+    parts.tree = whole.tree
+    for a, b in zip(want, outputs(parts)):
+        assert [r[:-1] for r in a] == [r[:-1] for r in b]
+        for r, t in zip(a, b):
+            np.testing.assert_allclose(r[-1], t[-1], atol=1e-9)
+
+
 @settings(max_examples=60, deadline=None)
 @given(
     x=hnp.arrays(np.float64, hnp.array_shapes(min_dims=2, max_dims=2, min_side=1, max_side=9),

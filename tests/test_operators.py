@@ -150,6 +150,19 @@ def test_inverse_restores_the_patches(spark, use_dc, need_bias):
     assert (plain_ < 1e-9) == (not use_dc)
 
 
+def test_projection_on_a_large_kernel_table(spark, monkeypatch):
+    x = smooth(np.random.default_rng(5), 10, 6, 6, 1)
+    df = images(spark, x)
+    model = SubspaceEstimator([HopSpec(2, 1)]).fit(df)
+    patches = S.remove_mean(PT.patch_table(df, (6, 6, 1), HopSpec(2, 1)), model.tree[0]["nodes"][0]["mean"])
+    patches = patches.withColumn("node", F.lit(0))
+    small = E.project_by_join(patches, model.kernels(spark))
+    monkeypatch.setattr(E, "BROADCAST_VALUES", 0)
+    large = E.project_by_join(patches, model.kernels(spark), salts=5)
+    assert "SortMergeJoin" in large._jdf.queryExecution().toString()
+    assert small.count() == large.count() == 10 * 25 * 4 and small.exceptAll(large).count() == 0
+
+
 def test_inverse_of_the_second_hop(spark):
     x = smooth(np.random.default_rng(2), 15, 8, 8, 1)
     df = images(spark, x)
