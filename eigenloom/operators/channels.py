@@ -7,11 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import blocks as B
-from ..spec import out_side
 from . import hops as H
 from . import kernels as K
 
@@ -95,5 +95,6 @@ def wide_features(maps: DataFrame) -> DataFrame:
     return maps.groupBy("image_id").agg(F.flatten(F.transform(ordered, lambda s: s["v"])).alias("features"))
 
 
-def pooled_shape(height: int, width: int, block: int, ragged: str = "pad") -> tuple[int, int]:
-    return out_side(height, block, ragged), out_side(width, block, ragged)
+def as_vector(features: DataFrame) -> DataFrame:
+    """``features`` as the vector type that ``pyspark.ml`` estimators take."""
+    return features.withColumn("features", array_to_vector("features"))

@@ -275,14 +275,18 @@ def good_batches(it, dims, size):
             yield part, planes
 
 
+OUTPUT = {"double": np.float64, "float": np.float32}  # computation is always in double
+
+
 def check_select(select: str) -> str:
     if select not in ("emit", "forward", "all"):
         raise ValueError("select must be 'emit', 'forward' or 'all'")
     return select
 
 
-def score_maps(images: DataFrame, tree: list[dict], dims, select: str = "emit") -> DataFrame:
+def score_maps(images: DataFrame, tree: list[dict], dims, select: str = "emit", dtype: str = "double") -> DataFrame:
     """One row per image and chosen channel. Map-only and lazy."""
+    kind = OUTPUT[dtype]
 
     def scored(tree):
         size = _scored_bytes(tree, dims)
@@ -292,9 +296,9 @@ def score_maps(images: DataFrame, tree: list[dict], dims, select: str = "emit")
                 ids = part["image_id"].to_numpy(zero_copy_only=False)
                 for h, _, channels, maps, _ in _score(planes, tree):
                     if channels:
-                        yield map_rows(ids, h, channels, maps)
+                        yield map_rows(ids, h, channels, maps.astype(kind, copy=False))
 
-        return image_columns(images).mapInArrow(score, MAPS)
+        return image_columns(images).mapInArrow(score, MAPS.replace("array<double>", f"array<{dtype}>"))
 
     return union([scored(part) for part in lineages(slim(tree, check_select(select)))])
 
@@ -331,7 +335,7 @@ def score_dc(images: DataFrame, tree: list[dict], dims) -> DataFrame:
     return union([scored(part) for part in lineages(slim(tree))])
 
 
-def score_wide(images: DataFrame, tree: list[dict], dims, select: str, keep=()) -> DataFrame | None:
+def score_wide(images: DataFrame, tree: list[dict], dims, select: str, keep=(), dtype: str = "double") -> DataFrame | None:
     """One row per image: all chosen channels end to end, by (hop, channel, row, column).
 
     None if the tree must be split: then a task does not see all channels of an image.
@@ -339,7 +343,7 @@ def score_wide(images: DataFrame, tree: list[dict], dims, select: str, keep=())
     tree = slim(tree, check_select(select))
     if len(lineages(tree)) > 1:
         return None
-    size, source = _scored_bytes(tree, dims), image_columns(images, keep)
+    size, source, kind = _scored_bytes(tree, dims), image_columns(images, keep), OUTPUT[dtype]
     types = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in ("image_id", *keep))
 
     def score(it):
@@ -347,10 +351,10 @@ def score_wide(images: DataFrame, tree: list[dict], dims, select: str, keep=())
             n = part.num_rows
             got = [m.transpose(1, 0, 2, 3).reshape(n, -1) for _, _, ch, m, _ in _score(planes, tree) if ch]
             wide = np.concatenate(got, axis=1) if got else np.empty((n, 0))
-            names = ["image_id", *keep]
+            names, wide = ["image_id", *keep], wide.astype(kind, copy=False)
             yield pa.RecordBatch.from_arrays([*(part[c] for c in names), lists(wide)], names=[*names, "features"])
 
-    return source.mapInArrow(score, f"{types}, features array<double>")
+    return source.mapInArrow(score, f"{types}, features array<{dtype}>")
 
 
 def _scored_bytes(tree, dims):

@@ -173,6 +173,10 @@ def read_nodes(rows: Sequence[Row], out: tuple[int, int], emit: str) -> list[dic
     return nodes
 
 
+def _cast(df: DataFrame, column: str, dtype: str) -> DataFrame:
+    return df if dtype == "double" else df.withColumn(column, F.col(column).cast(f"array<{dtype}>"))
+
+
 class SubspaceModel(Model):
     """The fitted hops. ``transform`` and its relatives are lazy, map-only plans."""
 
@@ -184,28 +188,30 @@ class SubspaceModel(Model):
     def depth(self) -> int:
         return len(self.tree)
 
-    def transform_maps(self, images: DataFrame, select: str = "emit") -> DataFrame:
-        """``maps``: one row per image, hop and channel; ``select``: ``emit``, ``forward`` or ``all``."""
+    def transform_maps(self, images: DataFrame, select: str = "emit", dtype: str = "double") -> DataFrame:
+        """``maps``: one row per image, hop and channel.
+
+        ``select``: ``emit``, ``forward`` or ``all``; ``dtype``: ``double`` or ``float`` output.
+        """
         if self.vectors:
             node, spec = self._only()
-            return V.vector_maps(images, node, spec, self._chosen(select))
-        return H.score_maps(images, self.tree, self.dims, select)
+            return _cast(V.vector_maps(images, node, spec, self._chosen(select)), "v", dtype)
+        return H.score_maps(images, self.tree, self.dims, select, dtype)
 
     def _transform(self, images: DataFrame) -> DataFrame:
         return self.transform_maps(images)
 
-    def features(self, images: DataFrame, select: str = "emit", keep: Sequence[str] = ()) -> DataFrame:
-        """One row per image: ``image_id``, the columns in ``keep`` and ``features array<double>``."""
+    def features(self, images: DataFrame, select: str = "emit", keep: Sequence[str] = (), dtype: str = "double") -> DataFrame:
+        """One row per image: ``image_id``, the columns in ``keep`` and ``features``, an array."""
         if self.vectors:
             node, spec = self._only()
-            return V.vector_wide(images, node, spec, self._chosen(select), keep)
-        wide = H.score_wide(images, self.tree, self.dims, select, tuple(keep))
+            return _cast(V.vector_wide(images, node, spec, self._chosen(select), keep), "features", dtype)
+        wide = H.score_wide(images, self.tree, self.dims, select, tuple(keep), dtype)
         if wide is not None:
             return wide
-        joined = C.wide_features(self.transform_maps(images, select))
-        empty = F.array().cast("array<double>")
+        joined = C.wide_features(self.transform_maps(images, select, dtype))
         return images.select("image_id", *keep).join(joined, "image_id", "left").withColumn(
-            "features", F.coalesce("features", empty))
+            "features", F.coalesce("features", F.array().cast(f"array<{dtype}>")))
 
     def dc(self, images: DataFrame) -> DataFrame:
         """``dc``: the patch means of each node after centring and bias."""

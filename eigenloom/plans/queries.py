@@ -604,6 +604,26 @@ def max_pool_expression(spark, sf):
     return cells(small, "channel", digits=6)
 
 
+SELECTED = [*GREY_QUADS, *Q.fit4("h", "qd"), Q.roles("h", None, TH1, 0.24852, False), Q.score4("h", "qd")]
+
+
+def selected(spark, sf, role):
+    images, model = one_hop(spark, sf)
+    kernels = K.assign_roles(model.kernels(spark), TH1, 0.24852, 2)
+    return C.select_channels(model.transform_maps(images, "all"), kernels, role), kernels.filter(F.col("role") == role)
+
+
+@query(Q.with_(*SELECTED) + value_sql(where=" WHERE role = 'emit'"))
+def channel_select(spark, sf):
+    return cells(selected(spark, sf, "emit")[0], "channel")
+
+
+@query(Q.with_(*SELECTED) + f"SELECT CAST(channel AS INT) AS channel, CAST(i AS INT) AS i, {Q.r('energy', 9)} AS energy, "
+       f"{Q.r('w[i + 1]')} AS value FROM h_r, range(4) t(i) WHERE role = 'emit'")
+def kernel_select(spark, sf):
+    return weights(selected(spark, sf, "emit")[1].withColumn("energy", num("energy", 9)), "channel", "energy")
+
+
 # ---- thresholds, trees and features ----
 
 

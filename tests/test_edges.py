@@ -186,3 +186,40 @@ def test_fit_counts_scans_not_channels(spark):
         return found
 
     assert jobs(1, "few") == jobs(6, "many")
+
+
+def test_output_types(spark):
+    for shape in ((8, 8, 1), (1, 1, 5)):
+        df = images(spark, smooth(np.random.default_rng(8), 30, *shape))
+        model = SubspaceEstimator([HopSpec(min(2, shape[0]), 1)]).fit(df)
+        for get, column in ((model.transform_maps, "v"), (model.features, "features")):
+            a, b = get(df, "all"), get(df, "all", dtype="float")
+            assert (a.schema[column].dataType.simpleString(), b.schema[column].dataType.simpleString()) == ("array<double>", "array<float>")
+            keys = [c for c in ("image_id", "channel") if c in a.columns]
+            x, y = ([r[column] for r in f.orderBy(*keys).collect()] for f in (a, b))
+            np.testing.assert_allclose(x, y, rtol=1e-6, atol=1e-6)
+        with pytest.raises(ValueError, match="select"):
+            model.features(df, "some")
+
+
+def test_features_feed_an_ml_estimator(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    from eigenloom.operators.channels import as_vector
+
+    rng = np.random.default_rng(9)
+    x = smooth(rng, 60, 6, 6, 1)
+    x[:30, :, :3] += 3.0
+    df = images(spark, x).selectExpr("*", "int(image_id >= 30) AS label")
+    model = SubspaceEstimator([HopSpec(2, 2)], th2=0.0).fit(df)
+    data = as_vector(model.features(df, "all", keep=("label",)))
+    fitted = LogisticRegression(maxIter=20).fit(data)
+    assert fitted.transform(data).filter("prediction = label").count() >= 55
+
+
+def test_empty_selection(spark):
+    for shape in ((4, 4, 1), (1, 1, 3)):
+        df = images(spark, smooth(np.random.default_rng(10), 12, *shape))
+        model = SubspaceEstimator([HopSpec(min(2, shape[0]), 1)], th2=2.0).fit(df)
+        assert model.transform(df).count() == 0
+        assert [r.features for r in model.features(df).collect()] == [[]] * 12
