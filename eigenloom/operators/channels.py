@@ -95,6 +95,18 @@ def wide_features(maps: DataFrame) -> DataFrame:
     return maps.groupBy("image_id").agg(F.flatten(F.transform(ordered, lambda s: s["v"])).alias("features"))
 
 
+def stack_channels(maps: DataFrame) -> DataFrame:
+    """Images with all channels of ``maps`` in channel order: the inverse of ``split_channels``.
+
+    One shuffle by image; a group holds the channels of one image.
+    """
+    channels = F.transform(F.sort_array(F.collect_list(F.struct("hop", "channel", "v"))), lambda s: s["v"])
+    one = maps.groupBy("image_id", "height", "width").agg(channels.alias("m"))
+    cells = F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)
+    pixels = F.flatten(F.transform(cells, lambda p: F.transform("m", lambda v: F.get(v, p))))
+    return one.select("image_id", "height", "width", F.size("m").alias("channels"), pixels.alias("pixels"))
+
+
 def as_vector(features: DataFrame) -> DataFrame:
     """``features`` as the vector type that ``pyspark.ml`` estimators take."""
     return features.withColumn("features", array_to_vector("features"))

@@ -543,6 +543,14 @@ def channel_split(spark, sf):
     return long.select("image_id", "channel", "pos", num("x").alias("value"))
 
 
+@query(Q.with_(Q.IMG) + "SELECT image_id, 4 AS channels, CAST(k AS INT) AS pos, " + f"{Q.r('p[k + 1]')} AS value FROM img, range(64) t(k)")
+def channel_stack(spark, sf):
+    """Split into maps and put together again."""
+    images = C.stack_channels(C.split_channels(colour(spark, sf), COLOUR))
+    long = images.select("image_id", "channels", F.posexplode("pixels").alias("pos", "v"))
+    return long.select("image_id", "channels", "pos", num("v").alias("value"))
+
+
 @query(pixel_sql(*COLOUR) + "SELECT image_id, CAST(node + 4 * s AS INT) AS channel, CAST(r AS INT) AS r, CAST(c AS INT) AS c, "
        f"{Q.r('v * (1 + s)', 5)} AS value FROM px, range(2) t(s)")
 def channel_concat(spark, sf):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zipfile
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +66,56 @@ def vectors_from_columns(df: DataFrame, row_id: str | Column, columns: Sequence[
 def vectors_from_array(df: DataFrame, row_id: str, column: str, length: int) -> DataFrame:
     """An array column of fixed length as vectors."""
     return as_images(df, row_id, F.col(column), (1, 1, length)).drop("label")
+
+
+def _npz_member(path: str, name: str):
+    """Shape, type and start of the values of one array in an npz archive."""
+    with zipfile.ZipFile(path) as z, z.open(f"{name}.npy") as f:
+        major, _ = np.lib.format.read_magic(f)
+        header = np.lib.format.read_array_header_1_0 if major == 1 else np.lib.format.read_array_header_2_0
+        shape, fortran, dtype = header(f)
+        if fortran or dtype.hasobject:
+            raise ValueError(f"{name} must be a plain row-major array")
+        return shape, dtype, f.tell()
+
+
+def _npz_rows(path: str, name: str, start: int, count: int, dtype, per: int, first: int) -> np.ndarray:
+    with zipfile.ZipFile(path) as z, z.open(f"{name}.npy") as f:
+        f.seek(start + first * per * dtype.itemsize)
+        return np.frombuffer(f.read(count * per * dtype.itemsize), dtype=dtype).reshape(count, per)
+
+
+def read_npz(spark: SparkSession, path: str, x: str, y: str | None = None, parts: int | None = None) -> DataFrame:
+    """Saved arrays ``x (N, H, W, C)`` and labels ``y (N)`` of an npz archive as images.
+
+    The driver reads the headers only. Each task opens the archive, which must lie in a folder all executors
+    see, and reads its own range of images in small steps; the row number becomes the id.
+    """
+    shape, dtype, start = _npz_member(path, x)
+    if len(shape) != 4:
+        raise ValueError(f"{x} must have four dimensions, found {shape}")
+    n, dims, per = shape[0], shape[1:], int(np.prod(shape[1:]))
+    label = _npz_member(path, y) if y else None
+    if label and label[0] != (n,):
+        raise ValueError(f"{y} must have one label for each of the {n} images, found {label[0]}")
+    step = max(1, (8 << 20) // max(1, per * 8))
+
+    def rows(it):
+        for batch in it:
+            ids = batch["id"].to_numpy()
+            for a in range(0, len(ids), step):
+                part = ids[a : a + step]  # spark.range gives consecutive ids within a partition
+                count, first = len(part), int(part[0])
+                v = _npz_rows(path, x, start, count, dtype, per, first).astype(np.float64)
+                offsets = pa.array(np.arange(count + 1, dtype=np.int32) * per)
+                labels = pa.nulls(count, pa.int32())
+                if label:
+                    labels = pa.array(_npz_rows(path, y, label[2], count, label[1], 1, first).ravel().astype(np.int32))
+                sides = [pa.array(np.full(count, d, np.int32)) for d in dims]
+                pixels = pa.ListArray.from_arrays(offsets, pa.array(v.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(part), labels, *sides, pixels], names=NAMES)
+
+    return spark.range(0, n, 1, parts or spark.sparkContext.defaultParallelism).mapInArrow(rows, IMAGES)
+
+
+NAMES = ["image_id", "label", "height", "width", "channels", "pixels"]

@@ -80,6 +80,34 @@ def test_write_and_read_splits(spark):
     assert I.images_from_rows(spark, rows).first().pixels == [1.0, 2.0]
 
 
+@pytest.mark.parametrize("save", [np.savez, np.savez_compressed])
+@pytest.mark.parametrize("kind", [np.uint8, np.float32])
+def test_reading_saved_arrays(spark, tmp_path, save, kind):
+    x = np.random.default_rng(0).integers(0, 255, size=(23, 4, 5, 3)).astype(kind)
+    y = np.arange(23) % 10
+    path = str(tmp_path / "set.npz")
+    save(path, x_train=x, y_train=y)
+    rows = I.read_npz(spark, path, "x_train", "y_train", parts=4).orderBy("image_id").collect()
+    assert [r.image_id for r in rows] == list(range(23)) and [r.label for r in rows] == list(y)
+    assert {(r.height, r.width, r.channels) for r in rows} == {(4, 5, 3)}
+    np.testing.assert_array_equal([r.pixels for r in rows], x.reshape(23, -1))
+    assert I.read_npz(spark, path, "x_train").first().label is None
+    save(path, x_train=x, y_train=y[:5], flat=x.reshape(23, -1))
+    with pytest.raises(ValueError, match="one label"):
+        I.read_npz(spark, path, "x_train", "y_train")
+    with pytest.raises(ValueError, match="four dimensions"):
+        I.read_npz(spark, path, "flat")
+    with pytest.raises(FileNotFoundError):
+        I.read_npz(spark, path + ".none", "x_train")
+
+
+def test_maps_stack_to_images(spark):
+    x = smooth(np.random.default_rng(6), 6, 4, 3, 3)
+    back = C.stack_channels(C.split_channels(images(spark, x), (4, 3, 3))).orderBy("image_id").collect()
+    assert {(r.height, r.width, r.channels) for r in back} == {(4, 3, 3)}
+    np.testing.assert_array_equal([r.pixels for r in back], x.reshape(6, -1))
+
+
 @pytest.mark.parametrize("shape", [(7, 6, 2), (5, 8, 1)])
 def test_expressions_match_numpy(spark, shape):
     h, w, c = shape
