@@ -26,7 +26,7 @@ COLUMNS = ("image_id", "height", "width", "channels", "pixels")
 
 
 def image_columns(images: DataFrame, keep=()) -> DataFrame:
-    return images.select(*[c for c in (*COLUMNS, *keep)])
+    return images.select(F.col("image_id").cast("bigint").alias("image_id"), *COLUMNS[1:], *keep)
 
 
 def _usable(part: pa.RecordBatch, dims) -> np.ndarray:
@@ -58,80 +58,95 @@ def read_batches(it: Iterator[pa.RecordBatch], dims, tree_bytes: int):
             yield part, np.ascontiguousarray(planes, dtype=np.float64), bad
 
 
-def node_input(planes: np.ndarray, spec: HopSpec, i: int) -> np.ndarray:
-    return B.enter(planes[i : i + 1] if spec.channelwise else planes, spec)
+def node_input(planes: np.ndarray, spec: HopSpec, node: dict) -> np.ndarray:
+    return B.enter(planes[node["source"]][None] if spec.channelwise else planes, spec)
 
 
 def advance(planes: np.ndarray, tree: list[dict]) -> np.ndarray:
     """The planes that reach the hop after ``tree``: one per forwarded channel."""
     for hop in tree:
-        out = [
-            B.project(node_input(planes, hop["spec"], i), hop["spec"], node, node["forward"])[0]
-            for i, node in enumerate(hop["nodes"])
-            if node["forward"]
-        ]
-        planes = np.concatenate(out)
+        spec = hop["spec"]
+        planes = np.concatenate([
+            B.project(node_input(planes, spec, node), spec, node, node["forward"])[0]
+            for node in hop["nodes"] if node["forward"]
+        ])
     return planes
 
 
-def tree_bytes(tree: list[dict], dims) -> int:
-    """Bytes of the widest pair of neighbouring hops for one image."""
-    h, w, c = dims
-    sizes = [8 * h * w * c]
-    for hop in tree:
-        kept = sum(len(set(n["forward"]) | set(n["emit"])) for n in hop["nodes"])
-        ho, wo = hop["nodes"][0]["out"]
-        sizes.append(8 * ho * wo * max(kept, 1))
-    return max(a + b for a, b in zip(sizes, sizes[1:] + [0]))
-
-
 # ---- what travels to the tasks ----
 
 
 def slim(tree: list[dict], select: str | None = None) -> list[dict]:
-    """A tree without its reports. ``give``: the kernels of each node that are put out."""
-    keys = ("first", "mean", "bias", "use_dc", "out", "forward", "emit", "weights")
+    """A tree without its reports. ``source``: the plane a node reads; ``give``: the kernels it puts out."""
+    keys = ("first", "mean", "bias", "use_dc", "out", "forward", "weights")
 
     def one(i, node):
         give = {None: [], "all": list(range(len(node["weights"])))}.get(select, node.get(select))
-        return {**{k: node[k] for k in keys}, "id": i, "give": give, "own": True}
+        return {**{k: node[k] for k in keys}, "id": i, "source": i, "give": give}
 
     return [{"spec": hop["spec"], "nodes": [one(i, n) for i, n in enumerate(hop["nodes"])]} for hop in tree]
 
 
+def pruned(tree: list[dict], wanted) -> list[dict]:
+    """The nodes for which ``wanted(hop, node)`` holds, and of the others only what leads to them.
+
+    Sources are renumbered to the channels that are still forwarded. ``own`` marks the wanted nodes.
+    """
+    out, below = [], []
+    for h in range(len(tree) - 1, -1, -1):
+        reads = sorted({n["source"] for n in below})
+        rank = {c: i for i, c in enumerate(reads)}
+        if out:
+            out[0] = {**out[0], "nodes": [{**n, "source": rank[n["source"]]} for n in below]}
+        below, seen = [], 0
+        for node in tree[h]["nodes"]:
+            on = [q for c, q in enumerate(node["forward"], seen) if c in rank]
+            seen += len(node["forward"])
+            own = bool(wanted(h, node))
+            if on or own:
+                below.append({**node, "forward": on, "own": own, "give": node["give"] if own else []})
+        out.insert(0, {**tree[h], "nodes": below})
+    while out and not out[-1]["nodes"]:
+        out.pop()
+    return out
+
+
+def leading_to(tree: list[dict], channels) -> list[dict]:
+    """The part of a tree that yields some of the channels its last hop forwards, in their order."""
+    end = {"nodes": [{"source": c, "forward": [], "give": []} for c in channels]}
+    return pruned([*tree, end], lambda h, _: h == len(tree))[: len(tree)]
+
+
 def model_bytes(tree: list[dict]) -> int:
     return sum(n["weights"].nbytes for hop in tree for n in hop["nodes"])
 
 
-def towards(tree: list[dict], channels: set[int], owner: bool = False) -> list[dict]:
-    """The part of a tree that leads to some of the channels its last hop forwards.
+def lineages(tree: list[dict], wanted=lambda h, node: True) -> list[list[dict]]:
+    """The wanted nodes of a tree and what they need, in parts of about MODEL_BYTES; usually one part.
 
-    Node i of a hop reads the i-th channel forwarded before it, so a node and that channel go together;
-    hop 0 keeps all nodes, they read the image. Only the ``owner`` also puts out what these nodes give.
+    A larger tree is cut by the nodes of its last hop. Those of the other hops put out with the first part.
     """
-    hop, nodes, used, seen = tree[-1], [], set(), 0
-    for i, node in enumerate(hop["nodes"]):
-        on = [q for c, q in enumerate(node["forward"], seen) if c in channels]
-        seen += len(node["forward"])
-        if on or owner or len(tree) == 1:
-            used.add(i)
-            nodes.append({**node, "forward": on} if owner else {**node, "forward": on, "give": [], "own": False})
-    above = towards(tree[:-1], used, owner) if len(tree) > 1 else []
-    return [*above, {**hop, "nodes": nodes}]
-
-
-def lineages(tree: list[dict]) -> list[list[dict]]:
-    """The tree cut by its last nodes into parts of about MODEL_BYTES; usually one part."""
-    nodes = tree[-1]["nodes"]
+    tree = pruned(tree, wanted)
+    if not tree:
+        return [tree]
+    nodes, last = tree[-1]["nodes"], len(tree) - 1
     per = max(1, len(nodes) * MODEL_BYTES // max(1, model_bytes(tree)))
-    if len(tree) == 1 or per >= len(nodes):
+    if per >= len(nodes):
         return [tree]
     return [
-        [*towards(tree[:-1], set(range(lo, lo + per)), lo == 0), {**tree[-1], "nodes": nodes[lo : lo + per]}]
+        pruned(tree, lambda h, n, ids={n["id"] for n in nodes[lo : lo + per]}, first=lo == 0:
+               n["own"] and (n["id"] in ids if h == last else first))
         for lo in range(0, len(nodes), per)
     ]
 
 
+def tree_bytes(tree: list[dict], dims) -> int:
+    """Bytes of one image and all its maps that a task computes."""
+    sizes = [dims[0] * dims[1] * dims[2]]
+    sizes += [n["out"][0] * n["out"][1] * len(set(n["forward"]) | set(n["give"])) for hop in tree for n in hop["nodes"]]
+    return 8 * sum(sizes)
+
+
 def union(frames) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -153,7 +168,7 @@ def image_stats(images: DataFrame, tree: list[dict], spec: HopSpec, shift: np.nd
     source, frames = image_columns(images), []
     for lo in range(0, nodes, per):
         part = range(lo, min(nodes, lo + per))
-        above = towards(tree, set(part)) if tree and len(part) < nodes else tree
+        above = leading_to(tree, part) if tree and len(part) < nodes else tree
         frames.append(_partial_sums(source, above, spec, shift, dims, part))
     return sum_stats(union(frames))
 
@@ -198,7 +213,7 @@ def _partial_sums(source, tree, spec, shift, dims, part: range) -> DataFrame:
             bad += b
             planes = advance(planes, tree)
             for i in part:
-                add_patches(state, i, node_input(planes, spec, i - skipped), spec, shift[i])
+                add_patches(state, i, node_input(planes, spec, {"source": i - skipped}), spec, shift[i])
         yield state_rows(state, bad if part.start == 0 else 0)
 
     return source.mapInArrow(sums, PARTIAL)
@@ -206,11 +221,12 @@ def _partial_sums(source, tree, spec, shift, dims, part: range) -> DataFrame:
 
 def residual_maxima(images: DataFrame, tree: list[dict], hops: list[int], dims) -> DataFrame:
     """``(hop, node, sq)``: the largest squared residual norm of each node of ``hops``, in one scan."""
-    frames = [_partial_maxima(image_columns(images), part, hops, dims) for part in lineages(slim(tree))]
+    parts = lineages(slim(tree), lambda h, _: h in hops)
+    frames = [_partial_maxima(image_columns(images), part, dims) for part in parts]
     return union(frames).groupBy("hop", "node").agg(F.max("sq").alias("sq"))
 
 
-def _partial_maxima(source, tree, hops, dims) -> DataFrame:
+def _partial_maxima(source, tree, dims) -> DataFrame:
     size = tree_bytes(tree, dims)
     schema = pa.schema([("hop", pa.int32()), ("node", pa.int32()), ("sq", pa.float64())])
 
@@ -218,10 +234,10 @@ def _partial_maxima(source, tree, hops, dims) -> DataFrame:
         best: dict = {}
         for _, planes, _ in read_batches(it, dims, size):
             for h, hop in enumerate(tree):
-                for i, node in enumerate(hop["nodes"]):
-                    if h in hops and node["own"]:
+                for node in hop["nodes"]:
+                    if node["own"]:
                         key = h, node["id"]
-                        best[key] = max(best.get(key, 0.0), largest(node_input(planes, hop["spec"], i), hop["spec"], node))
+                        best[key] = max(best.get(key, 0.0), largest(node_input(planes, hop["spec"], node), hop["spec"], node))
                 if h + 1 < len(tree):
                     planes = advance(planes, [hop])
         yield pa.RecordBatch.from_pylist([{"hop": h, "node": i, "sq": v} for (h, i), v in best.items()], schema)
@@ -245,15 +261,13 @@ DC = "image_id bigint, hop int, node int, v array<double>"
 
 
 def _score(planes, tree):
-    """Yield ``(hop, node, channels, maps, patch means)``, computing only the kernels in use."""
+    """Yield ``(hop, node, channels, maps, patch means)`` of every node, computing only the kernels in use."""
     for h, hop in enumerate(tree):
-        last, onward = h + 1 == len(tree), []
-        for i, node in enumerate(hop["nodes"]):
-            give, on = node["give"], [] if last else node["forward"]
-            if not (give or on or node["own"]):
-                continue
+        onward = []
+        for node in hop["nodes"]:
+            give, on = node["give"], node["forward"]
             keep = sorted(set(give) | set(on))
-            maps, dc = B.project(node_input(planes, hop["spec"], i), hop["spec"], node, keep)
+            maps, dc = B.project(node_input(planes, hop["spec"], node), hop["spec"], node, keep)
             if on:
                 onward.append(maps[[keep.index(q) for q in on]])
             yield h, node, [node["first"] + q for q in give], maps[[keep.index(q) for q in give]], dc
@@ -261,6 +275,10 @@ def _score(planes, tree):
             planes = np.concatenate(onward)
 
 
+def gives(h: int, node: dict) -> bool:
+    return bool(node["give"])
+
+
 def lists(values: np.ndarray) -> pa.ListArray:
     rows, width = values.shape
     offsets = pa.array(np.arange(rows + 1, dtype=np.int64) * width, pa.int32())
@@ -289,7 +307,7 @@ def score_maps(images: DataFrame, tree: list[dict], dims, select: str = "emit",
     kind = OUTPUT[dtype]
 
     def scored(tree):
-        size = _scored_bytes(tree, dims)
+        size = tree_bytes(tree, dims)
 
         def score(it):
             for part, planes in good_batches(it, dims, size):
@@ -300,7 +318,7 @@ def score_maps(images: DataFrame, tree: list[dict], dims, select: str = "emit",
 
         return image_columns(images).mapInArrow(score, MAPS.replace("array<double>", f"array<{dtype}>"))
 
-    return union([scored(part) for part in lineages(slim(tree, check_select(select)))])
+    return union([scored(part) for part in lineages(slim(tree, check_select(select)), gives)])
 
 
 MAP_NAMES = ["image_id", "hop", "channel", "height", "width", "v"]
@@ -319,7 +337,7 @@ def score_dc(images: DataFrame, tree: list[dict], dims) -> DataFrame:
     """Patch means after centring and bias, one row per image, hop and node."""
 
     def scored(tree):
-        size = _scored_bytes(tree, dims)
+        size = tree_bytes(tree, dims)
 
         def score(it):
             for part, planes in good_batches(it, dims, size):
@@ -340,10 +358,11 @@ def score_wide(images: DataFrame, tree: list[dict], dims, select: str, keep=(),
 
     None if the tree must be split: then a task does not see all channels of an image.
     """
-    tree = slim(tree, check_select(select))
-    if len(lineages(tree)) > 1:
+    parts = lineages(slim(tree, check_select(select)), gives)
+    if len(parts) > 1:
         return None
-    size, source, kind = _scored_bytes(tree, dims), image_columns(images, keep), OUTPUT[dtype]
+    tree, source, kind = parts[0], image_columns(images, keep), OUTPUT[dtype]
+    size = tree_bytes(tree, dims)
     types = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in ("image_id", *keep))
 
     def score(it):
@@ -356,10 +375,3 @@ def score_wide(images: DataFrame, tree: list[dict], dims, select: str, keep=(),
 
     return source.mapInArrow(score, f"{types}, features array<{dtype}>")
 
-
-def _scored_bytes(tree, dims):
-    """As ``tree_bytes``, plus every kernel of every hop: an upper bound for any selection."""
-    return tree_bytes(tree, dims) + sum(
-        8 * hop["nodes"][0]["out"][0] * hop["nodes"][0]["out"][1] * sum(len(n["weights"]) for n in hop["nodes"])
-        for hop in tree
-    )

@@ -35,18 +35,14 @@ def project_by_join(patches: DataFrame, kernels: DataFrame, salts: int = 64) ->
 
 def coefficients(images: DataFrame, tree: list[dict], dims, hop: int = 0, node: int = 0) -> DataFrame:
     """``(image_id, r, c, y)``: all coefficients of one node, one row per patch, before any pooling."""
-    spec, one = tree[hop]["spec"], tree[hop]["nodes"][node]
-    above = H.slim(tree[:hop])
-    if above:
-        above, index = H.towards(above, {node}), 0
-    else:
-        index = node
+    spec, one = tree[hop]["spec"], {**tree[hop]["nodes"][node], "source": 0 if hop else node}
+    above = H.leading_to(H.slim(tree[:hop]), [node])
     size = H.tree_bytes(above, dims)
 
     def score(it):
         for part, planes in H.good_batches(it, dims, size):
             ids = part["image_id"].to_numpy(zero_copy_only=False)
-            planes = H.node_input(H.advance(planes, above), spec, index)
+            planes = H.node_input(H.advance(planes, above), spec, one)
             hp, wp = one["out"]
             for im, rows, x in B.patch_chunks(planes, spec):
                 y = B.coefficients(x, spec, one, list(range(len(one["weights"]))))[0]

@@ -74,10 +74,10 @@ class _Fit:
         if self.open and not self._carries_constants(h):
             self.biases()
         if self.tree:
-            sample = H.advance(sample, self.tree[-1:])
+            sample = H.advance(sample, H.slim(self.tree[-1:]))
         shape = (*sample.shape[2:], 1 if spec.channelwise else sample.shape[0])
         *out, _ = B.map_shape(*shape, spec)
-        shift = np.stack([_patch_mean(H.node_input(sample, spec, p["node"]), spec) for p in self.parents])
+        shift = np.stack([_patch_mean(H.node_input(sample, spec, {"source": p["node"]}), spec) for p in self.parents])
         if self.vectors:
             stats = V.vector_stats(self.images, shift[0])
         else:

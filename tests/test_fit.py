@@ -100,6 +100,24 @@ def test_short_vectors_agree_with_the_arrow_pass(spark, monkeypatch):
     np.testing.assert_allclose(a, b, atol=1e-9)
 
 
+def test_branches_without_output_are_not_computed(spark):
+    from eigenloom.operators import hops as H
+
+    x = smooth(np.random.default_rng(7), 20, 9, 9, 2)
+    df = images(spark, x)
+    model = SubspaceEstimator([HopSpec(2, 1, channelwise=True)] + [HopSpec(2, 1)] * 2, th1=0.08, th2=0.06).fit(df)
+    full = H.slim(model.tree, "emit")
+    part = H.lineages(full, H.gives)[0]
+    count = lambda tree: sum(len(n["forward"]) for hop in tree for n in hop["nodes"])
+    assert count(part) < count(full)
+    every = {(r.image_id, r.hop, r.channel): r.v for r in model.transform_maps(df, "all").collect()}
+    some = model.transform(df).collect()
+    want = {(h, n["first"] + q) for h, hop in enumerate(model.tree) for n in hop["nodes"] for q in n["emit"]}
+    assert {(r.hop, r.channel) for r in some} == want and len(some) == 20 * len(want)
+    for r in some:
+        np.testing.assert_allclose(r.v, every[r.image_id, r.hop, r.channel], atol=1e-9)
+
+
 def test_all_pixel_types_and_a_pipeline(spark):
     from pyspark.ml import Pipeline
 
