@@ -83,24 +83,28 @@ def centred(x: np.ndarray, mean: np.ndarray, residual: bool) -> np.ndarray:
     return x
 
 
-def coefficients(x: np.ndarray, spec: HopSpec, node: dict, keep: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Kept coefficients ``(k, patches)`` and patch means of the columns ``x``, which are overwritten."""
+def coefficients(x: np.ndarray, spec: HopSpec, node: dict, keep: list[int]) -> np.ndarray:
+    """Kept coefficients ``(k, patches)`` of the columns ``x``, which are centred and biased in place."""
     bias = node["bias"] if spec.need_bias else 0.0
-    x = centred(x, node["mean"], spec.center == "residual")
-    if bias:
+    if spec.center == "residual":
+        centred(x, node["mean"], True)
         x += bias
+    else:
+        centred(x, node["mean"] - bias, False)
     y = node["weights"][keep] @ x
     if bias and node["use_dc"] and 0 in keep:
         y[keep.index(0)] -= bias
-    return y, x.mean(axis=0)
+    return y
 
 
-def project(planes: np.ndarray, spec: HopSpec, node: dict, keep: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Maps of the kept kernels ``(k, n, H', W')`` and the patch means ``(n, H', W')`` of one node."""
+def project(planes: np.ndarray, spec: HopSpec, node: dict, keep: list[int], dc: bool = False):
+    """Maps of the kept kernels ``(k, n, H', W')`` and, if asked, the patch means ``(n, H', W')`` of one node."""
     n, (hp, wp) = planes.shape[1], node["out"]
-    maps, dc = np.empty((len(keep), n, hp, wp)), np.empty((n, hp, wp))
+    maps, means = np.empty((len(keep), n, hp, wp)), np.empty((n, hp, wp)) if dc else None
     for im, rows, x in patch_chunks(planes, spec):
-        y, d = coefficients(x, spec, node, keep)
+        y = coefficients(x, spec, node, keep)
         shape = (im.stop - im.start, rows.stop - rows.start, wp)
-        maps[:, im, rows], dc[im, rows] = y.reshape(-1, *shape), d.reshape(shape)
-    return pool(maps, spec.pool_after, spec.pool_fn, spec.ragged), dc
+        maps[:, im, rows] = y.reshape(-1, *shape)
+        if dc:
+            means[im, rows] = x.mean(axis=0).reshape(shape)
+    return pool(maps, spec.pool_after, spec.pool_fn, spec.ragged), means

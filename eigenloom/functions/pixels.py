@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from ..spec import out_side, patch_side
 
+# Channel means and deviations used to normalise 32 x 32 colour images scaled to [0, 1].
+COLOUR_MEAN = (0.4914, 0.4822, 0.4465)
+COLOUR_STD = (0.247, 0.243, 0.261)
+
 
 def _range(n: int) -> Column:
     return F.sequence(F.lit(0), F.lit(n - 1))

@@ -260,17 +260,17 @@ MAPS = "image_id bigint, hop int, channel int, height int, width int, v array<do
 DC = "image_id bigint, hop int, node int, v array<double>"
 
 
-def _score(planes, tree):
+def _score(planes, tree, dc=False):
     """Yield ``(hop, node, channels, maps, patch means)`` of every node, computing only the kernels in use."""
     for h, hop in enumerate(tree):
         onward = []
         for node in hop["nodes"]:
             give, on = node["give"], node["forward"]
             keep = sorted(set(give) | set(on))
-            maps, dc = B.project(node_input(planes, hop["spec"], node), hop["spec"], node, keep)
+            maps, means = B.project(node_input(planes, hop["spec"], node), hop["spec"], node, keep, dc)
             if on:
                 onward.append(maps[[keep.index(q) for q in on]])
-            yield h, node, [node["first"] + q for q in give], maps[[keep.index(q) for q in give]], dc
+            yield h, node, [node["first"] + q for q in give], maps[[keep.index(q) for q in give]], means
         if onward:
             planes = np.concatenate(onward)
 
@@ -342,10 +342,10 @@ def score_dc(images: DataFrame, tree: list[dict], dims) -> DataFrame:
         def score(it):
             for part, planes in good_batches(it, dims, size):
                 n, ids = part.num_rows, part["image_id"].cast(pa.int64())
-                for h, node, _, _, dc in _score(planes, tree):
+                for h, node, _, _, means in _score(planes, tree, True):
                     if node["own"]:
                         numbers = (pa.array(np.full(n, v, np.int32)) for v in (h, node["id"]))
-                        columns = [ids, *numbers, lists(dc.reshape(n, -1))]
+                        columns = [ids, *numbers, lists(means.reshape(n, -1))]
                         yield pa.RecordBatch.from_arrays(columns, names=["image_id", "hop", "node", "v"])
 
         return image_columns(images).mapInArrow(score, DC)

@@ -45,7 +45,7 @@ def coefficients(images: DataFrame, tree: list[dict], dims, hop: int = 0, node:
             planes = H.node_input(H.advance(planes, above), spec, one)
             hp, wp = one["out"]
             for im, rows, x in B.patch_chunks(planes, spec):
-                y = B.coefficients(x, spec, one, list(range(len(one["weights"]))))[0]
+                y = B.coefficients(x, spec, one, list(range(len(one["weights"]))))
                 n, hr = im.stop - im.start, rows.stop - rows.start
                 yield patch_rows(ids[im], rows.start, hr, wp, y.T, "y")
 

@@ -28,7 +28,7 @@ ORACLE: dict[str, str] = {}
 GREY, COLOUR = (8, 8, 1), (4, 4, 4)  # the 64 values of an embedding read as an image
 TILE, SLIDE = HopSpec(window=2, stride=2), HopSpec(window=2, stride=1)
 TH1, TH2 = 0.2515, 0.0495  # gives all three roles on the sliding two-hop tree
-MEAN, STD = (0.4914, 0.4822, 0.4465, 0.5), (0.247, 0.243, 0.261, 0.25)
+MEAN, STD = (*P.COLOUR_MEAN, 0.5), (*P.COLOUR_STD, 0.25)  # the views have four channels
 
 
 def query(sql: str | None = None):
@@ -487,22 +487,27 @@ def inverse_error(spark, sf):
     return C.concat_hops(out)
 
 
-K3 = [
-    ITEMS,
-    "pq AS (SELECT *, (x0 - x1) / sqrt(2.0) AS p, (x0 + x1 - 2 * x2) / sqrt(6.0) AS q, (x0 + x1 + x2) / 3 AS d FROM it)",
-    "st AS (SELECT avg(x0) AS m0, avg(x1) AS m1, avg(x2) AS m2, avg(p) AS mp, avg(q) AS mq, 3 * var_pop(d) AS l, "
-    "var_samp(p) AS vp, var_samp(q) AS vq, covar_samp(p, q) AS pq FROM pq)",
-    "ev AS (SELECT *, (vp + vq) / 2 + sqrt(((vp - vq) / 2) ** 2 + pq * pq) AS l1, "
-    "(vp + vq) / 2 - sqrt(((vp - vq) / 2) ** 2 + pq * pq) AS l2 FROM st)",
-    # in the (p, q) plane the first axis is at half the angle of (vp - vq, 2 pq); the second is at right angles
-    "ax AS (SELECT *, atan2(2 * pq, vp - vq) / 2 AS t FROM ev)",
-    "ke AS (SELECT 0 AS kidx, l / (l + l1 + l2) AS energy, list_transform(range(3), lambda i: 1 / sqrt(3 * l)) AS w FROM ax "
-    "UNION ALL SELECT 1, l1 / (l + l1 + l2), [cos(t) / sqrt(2.0) + sin(t) / sqrt(6.0), -cos(t) / sqrt(2.0) + sin(t) / sqrt(6.0), "
-    "-2 * sin(t) / sqrt(6.0)] FROM ax UNION ALL SELECT 2, l2 / (l + l1 + l2), [-sin(t) / sqrt(2.0) + cos(t) / sqrt(6.0), "
-    "sin(t) / sqrt(2.0) + cos(t) / sqrt(6.0), -2 * cos(t) / sqrt(6.0)] FROM ax)",
-    "kn AS (SELECT kidx, energy, list_transform(w, lambda x: x * sign(list_filter(w, lambda y: abs(y) >= (1 - 1e-9) * "
-    "list_max(list_transform(w, lambda z: abs(z))))[1])) AS w FROM ke)",
-]
+def fit3(source: str) -> list[str]:
+    """Kernels ``kn`` of the three columns of ``it``."""
+    return [
+        source,
+        "pq AS (SELECT *, (x0 - x1) / sqrt(2.0) AS p, (x0 + x1 - 2 * x2) / sqrt(6.0) AS q, (x0 + x1 + x2) / 3 AS d FROM it)",
+        "st AS (SELECT avg(x0) AS m0, avg(x1) AS m1, avg(x2) AS m2, avg(p) AS mp, avg(q) AS mq, 3 * var_pop(d) AS l, "
+        "var_samp(p) AS vp, var_samp(q) AS vq, covar_samp(p, q) AS pq FROM pq)",
+        "ev AS (SELECT *, (vp + vq) / 2 + sqrt(((vp - vq) / 2) ** 2 + pq * pq) AS l1, "
+        "(vp + vq) / 2 - sqrt(((vp - vq) / 2) ** 2 + pq * pq) AS l2 FROM st)",
+        # in the (p, q) plane the first axis is at half the angle of (vp - vq, 2 pq); the second is at right angles
+        "ax AS (SELECT *, atan2(2 * pq, vp - vq) / 2 AS t FROM ev)",
+        "ke AS (SELECT 0 AS kidx, l / (l + l1 + l2) AS energy, list_transform(range(3), lambda i: 1 / sqrt(3 * l)) AS w FROM ax "
+        "UNION ALL SELECT 1, l1 / (l + l1 + l2), [cos(t) / sqrt(2.0) + sin(t) / sqrt(6.0), -cos(t) / sqrt(2.0) + sin(t) / sqrt(6.0), "
+        "-2 * sin(t) / sqrt(6.0)] FROM ax UNION ALL SELECT 2, l2 / (l + l1 + l2), [-sin(t) / sqrt(2.0) + cos(t) / sqrt(6.0), "
+        "sin(t) / sqrt(2.0) + cos(t) / sqrt(6.0), -2 * cos(t) / sqrt(6.0)] FROM ax)",
+        "kn AS (SELECT kidx, energy, list_transform(w, lambda x: x * sign(list_filter(w, lambda y: abs(y) >= (1 - 1e-9) * "
+        "list_max(list_transform(w, lambda z: abs(z))))[1])) AS w FROM ke)",
+    ]
+
+
+K3 = fit3(ITEMS)
 VECTOR = HopSpec(window=1)
 
 
@@ -533,6 +538,30 @@ def vector_dc_k3(spark, sf):
     return dc.select("image_id", num(F.get("v", F.lit(0)), 5).alias("value"))
 
 
+def kernels3_sql(source: str) -> str:
+    return (Q.with_(*fit3(source)) + f"SELECT kidx, CAST(i AS INT) AS i, {Q.r('energy', 9)} AS energy, {Q.r('w[i + 1]')} AS value "
+            "FROM kn, range(3) t(i)")
+
+
+def kernels3(vectors: DataFrame) -> DataFrame:
+    kernels = SubspaceEstimator([VECTOR]).fit(vectors).kernels(vectors.sparkSession)
+    return weights(kernels.withColumn("energy", num("energy", 9)), "kidx", "energy").select("kidx", "i", "energy", "value")
+
+
+@query(kernels3_sql("it AS (SELECT p_size::DOUBLE AS x0, p_retailprice AS x1, p_partkey::DOUBLE AS x2 FROM part)"))
+def vector_scales_k3(spark, sf):
+    """Columns of very different scale."""
+    return kernels3(I.vectors_from_columns(table(spark, sf, "part"), "p_partkey", ["p_size", "p_retailprice", "p_partkey"]))
+
+
+@query(kernels3_sql("it AS (SELECT o_totalprice AS x0, o_custkey::DOUBLE AS x1, o_orderkey::DOUBLE AS x2 FROM orders)"))
+def vector_offset_k3(spark, sf):
+    """The same after adding a hundred million to every column: covariance and kernels must not notice."""
+    orders = table(spark, sf, "orders")
+    far = [(F.col(c) + 1e8).alias(c) for c in ("o_totalprice", "o_custkey", "o_orderkey")]
+    return kernels3(I.vectors_from_columns(orders.select(*far), "o_orderkey", ["o_totalprice", "o_custkey", "o_orderkey"]))
+
+
 # ---- channels and pooling ----
 
 

@@ -42,8 +42,7 @@ def node(x, spec):
     values, vectors = np.linalg.eigh(z.T @ z / max(n - spec.ddof, 1))
     values, kernels = values[::-1], vectors.T[::-1]
     if spec.sign_align:
-        lead = np.argmax(np.abs(kernels), axis=1)
-        kernels = kernels * np.sign(kernels[range(k), lead])[:, None]
+        kernels = np.array([row if max(row) >= -min(row) else -row for row in kernels])
     level = k * d.var()
     use_dc = spec.use_dc and level > 1e-20
     if use_dc:
