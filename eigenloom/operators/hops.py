@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from ..functions import blocks as B
 from ..spec import HopSpec
+from . import trees as T
 
 BATCH_BYTES = 64 << 20  # maps of one sub-batch of images inside a task
 STATE_BYTES = 512 << 20  # Gram matrices a task may hold; more nodes are split over several frames
-MODEL_BYTES = 256 << 20  # kernels sent along with a task; a larger tree is split into lineages
 COLUMNS = ("image_id", "height", "width", "channels", "pixels")
 
 
@@ -42,10 +42,10 @@ def _usable(part: pa.RecordBatch, dims) -> np.ndarray:
     return ok
 
 
-def read_batches(it: Iterator[pa.RecordBatch], dims, tree_bytes: int):
+def read_batches(it: Iterator[pa.RecordBatch], dims, image_bytes: int):
     """Yield ``(rows, planes (C, n, H, W), malformed)`` for slices whose maps stay within BATCH_BYTES."""
     h, w, c = dims
-    step = max(1, BATCH_BYTES // max(1, tree_bytes))
+    step = max(1, BATCH_BYTES // max(1, image_bytes))
     for batch in it:
         for a in range(0, batch.num_rows, step):
             part = batch.slice(a, step)
@@ -73,80 +73,6 @@ def advance(planes: np.ndarray, tree: list[dict]) -> np.ndarray:
     return planes
 
 
-# ---- what travels to the tasks ----
-
-
-def slim(tree: list[dict], select: str | None = None) -> list[dict]:
-    """A tree without its reports. ``source``: the plane a node reads; ``give``: the kernels it puts out."""
-    keys = ("first", "mean", "bias", "use_dc", "out", "forward", "weights")
-
-    def one(i, node):
-        give = {None: [], "all": list(range(len(node["weights"])))}.get(select, node.get(select))
-        return {**{k: node[k] for k in keys}, "id": i, "source": i, "give": give}
-
-    return [{"spec": hop["spec"], "nodes": [one(i, n) for i, n in enumerate(hop["nodes"])]} for hop in tree]
-
-
-def pruned(tree: list[dict], wanted) -> list[dict]:
-    """The nodes for which ``wanted(hop, node)`` holds, and of the others only what leads to them.
-
-    Sources are renumbered to the channels that are still forwarded. ``own`` marks the wanted nodes.
-    """
-    out, below = [], []
-    for h in range(len(tree) - 1, -1, -1):
-        reads = sorted({n["source"] for n in below})
-        rank = {c: i for i, c in enumerate(reads)}
-        if out:
-            out[0] = {**out[0], "nodes": [{**n, "source": rank[n["source"]]} for n in below]}
-        below, seen = [], 0
-        for node in tree[h]["nodes"]:
-            on = [q for c, q in enumerate(node["forward"], seen) if c in rank]
-            seen += len(node["forward"])
-            own = bool(wanted(h, node))
-            if on or own:
-                below.append({**node, "forward": on, "own": own, "give": node["give"] if own else []})
-        out.insert(0, {**tree[h], "nodes": below})
-    while out and not out[-1]["nodes"]:
-        out.pop()
-    return out
-
-
-def leading_to(tree: list[dict], channels) -> list[dict]:
-    """The part of a tree that yields some of the channels its last hop forwards, in their order."""
-    end = {"nodes": [{"source": c, "forward": [], "give": []} for c in channels]}
-    return pruned([*tree, end], lambda h, _: h == len(tree))[: len(tree)]
-
-
-def model_bytes(tree: list[dict]) -> int:
-    return sum(n["weights"].nbytes for hop in tree for n in hop["nodes"])
-
-
-def lineages(tree: list[dict], wanted=lambda h, node: True) -> list[list[dict]]:
-    """The wanted nodes of a tree and what they need, in parts of about MODEL_BYTES; usually one part.
-
-    A larger tree is cut by the nodes of its last hop. Those of the other hops put out with the first part.
-    """
-    tree = pruned(tree, wanted)
-    if not tree:
-        return [tree]
-    nodes, last = tree[-1]["nodes"], len(tree) - 1
-    per = max(1, len(nodes) * MODEL_BYTES // max(1, model_bytes(tree)))
-    if per >= len(nodes):
-        return [tree]
-    return [
-        pruned(tree, lambda h, n, ids={n["id"] for n in nodes[lo : lo + per]}, first=lo == 0:
-               n["own"] and (n["id"] in ids if h == last else first))
-        for lo in range(0, len(nodes), per)
-    ]
-
-
-def tree_bytes(tree: list[dict], dims) -> int:
-    """Bytes of one image and all its maps that a task computes."""
-    sizes = [dims[0] * dims[1] * dims[2]]
-    sizes += [n["out"][0] * n["out"][1] * len(set(n["forward"]) | set(n["give"])) for hop in tree for n in hop["nodes"]]
-    return 8 * sum(sizes)
-
-
 def union(frames) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -161,14 +87,14 @@ def image_stats(images: DataFrame, tree: list[dict], spec: HopSpec, shift: np.nd
     taken relative to ``shift``. Each task sends its sums once; the rest is a hash aggregate.
     """
     nodes, k = shift.shape
-    tree = slim(tree)
+    tree = T.slim(tree)
     per = max(1, STATE_BYTES // (8 * k * (k + 2)))
     if tree:
-        per = min(per, max(1, nodes * MODEL_BYTES // model_bytes(tree)))
+        per = min(per, max(1, nodes * T.MODEL_BYTES // T.model_bytes(tree)))
     source, frames = image_columns(images), []
     for lo in range(0, nodes, per):
         part = range(lo, min(nodes, lo + per))
-        above = leading_to(tree, part) if tree and len(part) < nodes else tree
+        above = T.leading_to(tree, part) if tree and len(part) < nodes else tree
         frames.append(_partial_sums(source, above, spec, shift, dims, part))
     return sum_stats(union(frames))
 
@@ -205,7 +131,7 @@ def state_rows(state: dict, bad: int = 0) -> pa.RecordBatch:
 
 
 def _partial_sums(source, tree, spec, shift, dims, part: range) -> DataFrame:
-    size, skipped = tree_bytes(tree, dims), part.start if tree else 0
+    size, skipped = T.tree_bytes(tree, dims), part.start if tree else 0
 
     def sums(it):
         state, bad = {}, 0
@@ -221,13 +147,13 @@ def _partial_sums(source, tree, spec, shift, dims, part: range) -> DataFrame:
 
 def residual_maxima(images: DataFrame, tree: list[dict], hops: list[int], dims) -> DataFrame:
     """``(hop, node, sq)``: the largest squared residual norm of each node of ``hops``, in one scan."""
-    parts = lineages(slim(tree), lambda h, _: h in hops)
+    parts = T.lineages(T.slim(tree), lambda h, _: h in hops)
     frames = [_partial_maxima(image_columns(images), part, dims) for part in parts]
     return union(frames).groupBy("hop", "node").agg(F.max("sq").alias("sq"))
 
 
 def _partial_maxima(source, tree, dims) -> DataFrame:
-    size = tree_bytes(tree, dims)
+    size = T.tree_bytes(tree, dims)
     schema = pa.schema([("hop", pa.int32()), ("node", pa.int32()), ("sq", pa.float64())])
 
     def maxima(it):
@@ -307,7 +233,7 @@ def score_maps(images: DataFrame, tree: list[dict], dims, select: str = "emit",
     kind = OUTPUT[dtype]
 
     def scored(tree):
-        size = tree_bytes(tree, dims)
+        size = T.tree_bytes(tree, dims)
 
         def score(it):
             for part, planes in good_batches(it, dims, size):
@@ -318,7 +244,7 @@ def score_maps(images: DataFrame, tree: list[dict], dims, select: str = "emit",
 
         return image_columns(images).mapInArrow(score, MAPS.replace("array<double>", f"array<{dtype}>"))
 
-    return union([scored(part) for part in lineages(slim(tree, check_select(select)), gives)])
+    return union([scored(part) for part in T.lineages(T.slim(tree, check_select(select)), gives)])
 
 
 MAP_NAMES = ["image_id", "hop", "channel", "height", "width", "v"]
@@ -337,7 +263,7 @@ def score_dc(images: DataFrame, tree: list[dict], dims) -> DataFrame:
     """Patch means after centring and bias, one row per image, hop and node."""
 
     def scored(tree):
-        size = tree_bytes(tree, dims)
+        size = T.tree_bytes(tree, dims)
 
         def score(it):
             for part, planes in good_batches(it, dims, size):
@@ -350,7 +276,7 @@ def score_dc(images: DataFrame, tree: list[dict], dims) -> DataFrame:
 
         return image_columns(images).mapInArrow(score, DC)
 
-    return union([scored(part) for part in lineages(slim(tree))])
+    return union([scored(part) for part in T.lineages(T.slim(tree))])
 
 
 def score_wide(images: DataFrame, tree: list[dict], dims, select: str, keep=(), dtype: str = "double") -> DataFrame | None:
@@ -358,11 +284,11 @@ def score_wide(images: DataFrame, tree: list[dict], dims, select: str, keep=(),
 
     None if the tree must be split: then a task does not see all channels of an image.
     """
-    parts = lineages(slim(tree, check_select(select)), gives)
+    parts = T.lineages(T.slim(tree, check_select(select)), gives)
     if len(parts) > 1:
         return None
     tree, source, kind = parts[0], image_columns(images, keep), OUTPUT[dtype]
-    size = tree_bytes(tree, dims)
+    size = T.tree_bytes(tree, dims)
     types = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in ("image_id", *keep))
 
     def score(it):

@@ -16,9 +16,10 @@ from ..spec import HopSpec
 
 SOLVED = (
     "node int, kidx int, is_dc boolean, use_dc boolean, k int, n bigint, mean array<double>, "
-    "dc_energy double, weights array<double>, local_energy double"
+    "dc_energy double, poor_shift boolean, weights array<double>, local_energy double"
 )
 ZERO_ABS, ZERO_REL, TIE = 1e-24, 1e-14, 1e-9
+POOR_SHIFT = 1e6  # squared distance of shift and mean, in units of the variance, that costs too many digits
 
 
 def node_kernels(n: float, s: np.ndarray, gram: np.ndarray, shift: np.ndarray, spec: HopSpec) -> dict:
@@ -51,6 +52,7 @@ def node_kernels(n: float, s: np.ndarray, gram: np.ndarray, shift: np.ndarray, s
         "mean": shift + m,
         "dc_energy": dc_energy,
         "use_dc": use_dc,
+        "poor_shift": bool(np.trace(gram) / n > ZERO_ABS + POOR_SHIFT * max(np.trace(cov), 0.0)),
         "weights": np.ascontiguousarray(vectors[:keep]),
         "energy": energy[:keep],
     }
@@ -67,7 +69,7 @@ def solve(stats: DataFrame, spec: HopSpec, shift: np.ndarray) -> DataFrame:
         i, j, v = pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["s"].to_numpy()
         n = float(v[i == -1][0])
         if node < 0:
-            row = [node, -1, False, False, 0, int(n), [], 0.0, [], 0.0]
+            row = [node, -1, False, False, 0, int(n), [], 0.0, False, [], 0.0]
             return pd.DataFrame([row], columns=_names(SOLVED))
         first = (i >= 0) & (j == -1)
         k = int(first.sum())
@@ -78,7 +80,7 @@ def solve(stats: DataFrame, spec: HopSpec, shift: np.ndarray) -> DataFrame:
         r = node_kernels(n, s, gram, shift[node], spec)
         return pd.DataFrame(
             [
-                [node, q, r["use_dc"] and q == 0, r["use_dc"], k, int(n), r["mean"], r["dc_energy"], w, e]
+                [node, q, r["use_dc"] and q == 0, r["use_dc"], k, int(n), r["mean"], r["dc_energy"], r["poor_shift"], w, e]
                 for q, (w, e) in enumerate(zip(r["weights"], r["energy"]))
             ],
             columns=_names(SOLVED),

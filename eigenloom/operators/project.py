@@ -11,6 +11,7 @@ from ..functions import blocks as B
 from ..functions import pixels as P
 from ..spec import HopSpec
 from . import hops as H
+from . import trees as T
 
 KEYS = ("image_id", "r", "c")
 BROADCAST_VALUES = 4_000_000  # 32 MB of kernel weights
@@ -36,8 +37,8 @@ def project_by_join(patches: DataFrame, kernels: DataFrame, salts: int = 64) ->
 def coefficients(images: DataFrame, tree: list[dict], dims, hop: int = 0, node: int = 0) -> DataFrame:
     """``(image_id, r, c, y)``: all coefficients of one node, one row per patch, before any pooling."""
     spec, one = tree[hop]["spec"], {**tree[hop]["nodes"][node], "source": 0 if hop else node}
-    above = H.leading_to(H.slim(tree[:hop]), [node])
-    size = H.tree_bytes(above, dims)
+    above = T.leading_to(T.slim(tree[:hop]), [node])
+    size = T.tree_bytes(above, dims)
 
     def score(it):
         for part, planes in H.good_batches(it, dims, size):

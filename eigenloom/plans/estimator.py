@@ -15,6 +15,7 @@ from ..functions import blocks as B
 from ..operators import channels as C
 from ..operators import hops as H
 from ..operators import kernels as K
+from ..operators import trees as T
 from ..operators import vectors as V
 from ..spec import HopSpec, check_hops, out_side
 
@@ -74,18 +75,14 @@ class _Fit:
         if self.open and not self._carries_constants(h):
             self.biases()
         if self.tree:
-            sample = H.advance(sample, H.slim(self.tree[-1:]))
+            sample = H.advance(sample, T.slim(self.tree[-1:]))
         shape = (*sample.shape[2:], 1 if spec.channelwise else sample.shape[0])
         *out, _ = B.map_shape(*shape, spec)
         shift = np.stack([_patch_mean(H.node_input(sample, spec, {"source": p["node"]}), spec) for p in self.parents])
-        if self.vectors:
-            stats = V.vector_stats(self.images, shift[0])
-        else:
-            stats = H.image_stats(self.images, self.tree, spec, shift, self.dims)
-        rows = self._kernels(stats, spec, shift, h).collect()
-        if any(r.node < 0 for r in rows):
-            bad = next(r.n for r in rows if r.node < 0)
-            raise ValueError(f"{bad} images do not have the shape {self.dims} of the first one, or miss pixels")
+        rows = self._solved(spec, shift, h)
+        if any(r.poor_shift for r in rows):  # the first image was far off: take the sums again around the mean
+            means = {r.node: r.mean for r in rows}
+            rows = self._solved(spec, np.array([means[i] for i in range(len(shift))]), h)
         self.tree.append({"spec": spec, "nodes": read_nodes(rows, tuple(out), est.emit)})
         if spec.need_bias:
             self.open.append(h)
@@ -98,6 +95,18 @@ class _Fit:
                         enumerate(sorted(onward, key=lambda r: r.channel))]
         return sample
 
+    def _solved(self, spec: HopSpec, shift: np.ndarray, h: int) -> list[Row]:
+        """One scan: all kernels of hop ``h``."""
+        if self.vectors:
+            stats = V.vector_stats(self.images, shift[0])
+        else:
+            stats = H.image_stats(self.images, self.tree, spec, shift, self.dims)
+        rows = self._kernels(stats, spec, shift, h).collect()
+        if any(r.node < 0 for r in rows):
+            bad = next(r.n for r in rows if r.node < 0)
+            raise ValueError(f"{bad} images do not have the shape {self.dims} of the first one, or miss pixels")
+        return rows
+
     def _kernels(self, stats: DataFrame, spec: HopSpec, shift: np.ndarray, h: int) -> DataFrame:
         schema = pa.schema([("node", pa.int32()), ("parent_channel", pa.int32()), ("parent_energy", pa.float64())])
         parents = K.small_frame(self.images.sparkSession, self.parents, schema)
@@ -223,7 +232,7 @@ class SubspaceModel(Model):
         return self.tree[0]["nodes"][0], self.tree[0]["spec"]
 
     def _chosen(self, select: str) -> list[int]:
-        return H.slim(self.tree, H.check_select(select))[0]["nodes"][0]["give"]
+        return T.slim(self.tree, H.check_select(select))[0]["nodes"][0]["give"]
 
     # ---- the model as tables ----
 

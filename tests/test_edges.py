@@ -96,6 +96,29 @@ def test_large_offset_does_not_cancel(spark):
     np.testing.assert_allclose(b.tree[0]["nodes"][0]["weights"], a.tree[0]["nodes"][0]["weights"], atol=1e-5)
 
 
+@pytest.mark.parametrize("shape", [(6, 6, 1), (1, 1, 4)])
+def test_a_first_image_far_off_is_noticed(spark, monkeypatch, shape):
+    from plain import node as plain_node
+    from plain import patches as plain_patches
+
+    x = smooth(np.random.default_rng(3), 400, *shape)
+    x[0] += 1e6
+    spec = HopSpec(min(2, shape[0]), 1)
+    want = plain_node(plain_patches(x, spec.window, 1).reshape(-1, 4), spec)
+    shifts = []
+    solve = K.solve
+    monkeypatch.setattr(K, "solve", lambda stats, spec, shift: shifts.append(shift) or solve(stats, spec, shift))
+    for limit, scans in ((1e6, 1), (1e2, 2)):
+        monkeypatch.setattr(K, "POOR_SHIFT", limit)
+        shifts.clear()
+        model = SubspaceEstimator([spec]).fit(images(spark, x, 1).orderBy("image_id"))
+        got = model.tree[0]["nodes"][0]
+        assert len(shifts) == scans
+        np.testing.assert_allclose(got["mean"], want["mean"], rtol=1e-9)
+        np.testing.assert_allclose([r["energy"] for r in got["rows"]], want["energy"], atol=1e-9)
+    np.testing.assert_allclose(shifts[1][0], want["mean"], rtol=1e-9)
+
+
 def test_sign_tie_takes_the_first_entry():
     x = np.array([[1.0, -1.0], [-1.0, 1.0], [2.0, -2.0], [0.5, 0.5]])
     got = node_kernels(4, x.sum(axis=0), x.T @ x, np.zeros(2), HopSpec(use_dc=False))

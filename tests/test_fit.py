@@ -102,12 +102,13 @@ def test_short_vectors_agree_with_the_arrow_pass(spark, monkeypatch):
 
 def test_branches_without_output_are_not_computed(spark):
     from eigenloom.operators import hops as H
+    from eigenloom.operators import trees as T
 
     x = smooth(np.random.default_rng(7), 20, 9, 9, 2)
     df = images(spark, x)
     model = SubspaceEstimator([HopSpec(2, 1, channelwise=True)] + [HopSpec(2, 1)] * 2, th1=0.08, th2=0.06).fit(df)
-    full = H.slim(model.tree, "emit")
-    part = H.lineages(full, H.gives)[0]
+    full = T.slim(model.tree, "emit")
+    part = T.lineages(full, H.gives)[0]
     count = lambda tree: sum(len(n["forward"]) for hop in tree for n in hop["nodes"])
     assert count(part) < count(full)
     every = {(r.image_id, r.hop, r.channel): r.v for r in model.transform_maps(df, "all").collect()}
@@ -136,6 +137,7 @@ def test_all_pixel_types_and_a_pipeline(spark):
 def test_small_chunks_change_nothing(spark, monkeypatch):
     """One image row per chunk, one image per batch, one node per frame."""
     from eigenloom.operators import hops as H
+    from eigenloom.operators import trees as T
 
     x = smooth(np.random.default_rng(5), 12, 9, 9, 2)
     df, est = images(spark, x), SubspaceEstimator([HopSpec(3, 1, need_bias=True), HopSpec(2, 1)], th1=0.05, th2=0.001)
@@ -152,13 +154,14 @@ def test_small_chunks_change_nothing(spark, monkeypatch):
 def test_a_tree_in_parts_changes_nothing(spark, monkeypatch, channelwise):
     """Kernels too large for one task travel as several lineages."""
     from eigenloom.operators import hops as H
+    from eigenloom.operators import trees as T
     from eigenloom.operators import project as E
 
     x = smooth(np.random.default_rng(6), 15, 9, 9, 2)
     specs = [HopSpec(2, 1, channelwise=channelwise, need_bias=True), HopSpec(2, 1, need_bias=True), HopSpec(2, 1, need_bias=True)]
     df, est = images(spark, x), SubspaceEstimator(specs, th1=0.03, th2=0.001, emit="all")
     whole = est.fit(df)
-    assert len(whole.tree) == 3 and len(whole.tree[2]["nodes"]) > 2 and len(H.lineages(H.slim(whole.tree))) == 1
+    assert len(whole.tree) == 3 and len(whole.tree[2]["nodes"]) > 2 and len(T.lineages(T.slim(whole.tree))) == 1
 
     def outputs(model):
         maps = {s: sorted(map(tuple, model.transform_maps(df, s).select("image_id", "hop", "channel", "v").collect()))
@@ -169,9 +172,9 @@ def test_a_tree_in_parts_changes_nothing(spark, monkeypatch, channelwise):
         return [*maps.values(), dc, sorted(map(tuple, wide.collect())), sorted(map(tuple, coef))]
 
     want = outputs(whole)
-    monkeypatch.setattr(H, "MODEL_BYTES", 1)
+    monkeypatch.setattr(T, "MODEL_BYTES", 1)
     parts = est.fit(df)
-    assert len(H.lineages(H.slim(parts.tree))) == len(parts.tree[2]["nodes"])
+    assert len(T.lineages(T.slim(parts.tree))) == len(parts.tree[2]["nodes"])
     for a, b in zip(whole.tree, parts.tree):
         for p, q in zip(a["nodes"], b["nodes"]):
             np.testing.assert_allclose(p["weights"], q["weights"], atol=1e-9)
