@@ -22,6 +22,7 @@ from . import trees as T
 
 BATCH_BYTES = 64 << 20  # maps of one sub-batch of images inside a task
 STATE_BYTES = 512 << 20  # Gram matrices a task may hold; more nodes are split over several frames
+SENT_VALUES = 1 << 20  # sums in one Arrow batch
 COLUMNS = ("image_id", "height", "width", "channels", "pixels")
 
 
@@ -121,13 +122,24 @@ def add_patches(state: dict, node: int, planes: np.ndarray, spec: HopSpec, shift
         state[node] = (n + x.shape[1], s + x.sum(axis=1), g + x @ x.T)
 
 
-def state_rows(state: dict, bad: int = 0) -> pa.RecordBatch:
-    rows = [(-1, -1, [float(bad)])] if bad else []
+def state_rows(state: dict, bad: int = 0) -> Iterator[pa.RecordBatch]:
+    """The sums as rows ``(node, i, row)``, in batches of bounded size."""
+    rows, values = [(-1, -1, [float(bad)])] if bad else [], 0
     for node, (n, s, g) in state.items():
         rows.append((node, -1, [float(n)]))
-        rows += [(node, i, np.concatenate([s[i : i + 1], g[i, i:]])) for i in range(len(s))]
-    cols = list(zip(*rows)) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, PARTIAL_ARROW)], schema=PARTIAL_ARROW)
+        for i in range(len(s)):
+            rows.append((node, i, np.concatenate([s[i : i + 1], g[i, i:]])))
+            values += len(s) - i + 1
+            if values > SENT_VALUES:
+                yield _partial_batch(rows)
+                rows, values = [], 0
+    if rows:
+        yield _partial_batch(rows)
+
+
+def _partial_batch(rows) -> pa.RecordBatch:
+    columns = [pa.array(c, t.type) for c, t in zip(zip(*rows), PARTIAL_ARROW)]
+    return pa.RecordBatch.from_arrays(columns, schema=PARTIAL_ARROW)
 
 
 def _partial_sums(source, tree, spec, shift, dims, part: range) -> DataFrame:
@@ -140,7 +152,7 @@ def _partial_sums(source, tree, spec, shift, dims, part: range) -> DataFrame:
             planes = advance(planes, tree)
             for i in part:
                 add_patches(state, i, node_input(planes, spec, {"source": i - skipped}), spec, shift[i])
-        yield state_rows(state, bad if part.start == 0 else 0)
+        yield from state_rows(state, bad if part.start == 0 else 0)
 
     return source.mapInArrow(sums, PARTIAL)
 

@@ -119,9 +119,9 @@ def _channel_sums(maps, spec, channels, shape, shift) -> DataFrame:
         for ch, _, planes in channel_batches(it, shape, number):
             H.add_patches(state, number[ch], B.enter(planes, spec), spec, shift[number[ch]])
             if len(state) * 8 * shift.shape[1] ** 2 > H.STATE_BYTES:
-                yield H.state_rows(state)  # sums add up, so a full table is handed on at any time
+                yield from H.state_rows(state)  # sums add up, so a full table is handed on at any time
                 state.clear()
-        yield H.state_rows(state)
+        yield from H.state_rows(state)
 
     return maps.select(*H.MAP_NAMES).mapInArrow(sums, H.PARTIAL)
 

@@ -146,6 +146,7 @@ def test_small_chunks_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(B, "CHUNK_BYTES", 1)
     monkeypatch.setattr(H, "BATCH_BYTES", 1)
     monkeypatch.setattr(H, "STATE_BYTES", 1)
+    monkeypatch.setattr(H, "SENT_VALUES", 3)
     model = est.fit(df)
     np.testing.assert_allclose(maps_array(model.transform_maps(df, "all"), 1)[0], want, atol=1e-8)
 
