@@ -30,15 +30,15 @@ def image_columns(images: DataFrame, keep=()) -> DataFrame:
     return images.select(F.col("image_id").cast("bigint").alias("image_id"), *COLUMNS[1:], *keep)
 
 
-def _usable(part: pa.RecordBatch, dims) -> np.ndarray:
-    """Rows of the expected shape without missing values."""
-    h, w, c = dims
+def usable(part: pa.RecordBatch, sides: dict[str, int], column: str, size: int) -> np.ndarray:
+    """Rows with the expected sides and ``size`` values, none of them missing."""
     ok = np.ones(part.num_rows, dtype=bool)
-    for name, want in zip(("height", "width", "channels"), dims):
-        ok &= pc.fill_null(pc.equal(part[name], want), False).to_numpy(zero_copy_only=False)
-    ok &= pc.fill_null(pc.equal(pc.list_value_length(part["pixels"]), h * w * c), False).to_numpy(zero_copy_only=False)
-    if part["pixels"].flatten().null_count:
-        holes = pc.list_parent_indices(part["pixels"]).filter(pc.is_null(part["pixels"].flatten()))
+    checks = [pc.equal(part[name], want) for name, want in sides.items()]
+    for check in (*checks, pc.equal(pc.list_value_length(part[column]), size)):
+        ok &= pc.fill_null(check, False).to_numpy(zero_copy_only=False)
+    values = part[column].flatten()
+    if values.null_count:
+        holes = pc.list_parent_indices(part[column]).filter(pc.is_null(values))
         ok[np.unique(holes.to_numpy())] = False
     return ok
 
@@ -46,11 +46,12 @@ def _usable(part: pa.RecordBatch, dims) -> np.ndarray:
 def read_batches(it: Iterator[pa.RecordBatch], dims, image_bytes: int):
     """Yield ``(rows, planes (C, n, H, W), malformed)`` for slices whose maps stay within BATCH_BYTES."""
     h, w, c = dims
+    sides = {"height": h, "width": w, "channels": c}
     step = max(1, BATCH_BYTES // max(1, image_bytes))
     for batch in it:
         for a in range(0, batch.num_rows, step):
             part = batch.slice(a, step)
-            ok = _usable(part, dims)
+            ok = usable(part, sides, "pixels", h * w * c)
             bad = int((~ok).sum())
             if bad:
                 part = part.filter(pa.array(ok))
@@ -114,10 +115,11 @@ PARTIAL = "node int, i int, row array<double>"
 PARTIAL_ARROW = pa.schema([("node", pa.int32()), ("i", pa.int32()), ("row", pa.list_(pa.float64()))])
 
 
-def add_patches(state: dict, node: int, planes: np.ndarray, spec: HopSpec, shift: np.ndarray) -> None:
+def add_patches(state: dict, node: int, planes: np.ndarray, spec: HopSpec, shift: np.ndarray | None) -> None:
     """Add the shifted patches of ``planes`` to the sums of one node."""
     for _, _, x in B.patch_chunks(planes, spec):
-        x -= shift[:, None]
+        if shift is not None:
+            x -= shift[:, None]
         n, s, g = state.get(node, (0, 0.0, 0.0))
         state[node] = (n + x.shape[1], s + x.sum(axis=1), g + x @ x.T)
 

@@ -58,9 +58,10 @@ def node_kernels(n: float, s: np.ndarray, gram: np.ndarray, shift: np.ndarray, s
     }
 
 
-def solve(stats: DataFrame, spec: HopSpec, shift: np.ndarray) -> DataFrame:
+def solve(stats: DataFrame, spec: HopSpec, shift=None) -> DataFrame:
     """Kernels of every node from ``stats (node, i, j, s)``; a node's group has K(K+3)/2 + 1 rows.
 
+    ``shift``: what was subtracted from the patches of each node, by node; nothing if None.
     Node -1 carries the number of malformed images and passes through as a row with ``kidx = -1``.
     """
 
@@ -77,7 +78,7 @@ def solve(stats: DataFrame, spec: HopSpec, shift: np.ndarray) -> DataFrame:
         s[i[first]] = v[first]
         upper = j >= 0
         gram[i[upper], j[upper]] = gram[j[upper], i[upper]] = v[upper]
-        r = node_kernels(n, s, gram, shift[node], spec)
+        r = node_kernels(n, s, gram, np.zeros(k) if shift is None else shift[node], spec)
         return pd.DataFrame(
             [
                 [node, q, r["use_dc"] and q == 0, r["use_dc"], k, int(n), r["mean"], r["dc_energy"], r["poor_shift"], w, e]

@@ -11,13 +11,13 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import blocks as B
-from ..operators import channels as C
 from ..operators import hops as H
 from ..operators import kernels as K
+from ..operators import trees as T
 from ..spec import HopSpec
 from .estimator import SubspaceEstimator, SubspaceModel, read_nodes
 
@@ -45,98 +45,101 @@ class ChannelwiseHop:
         return table.drop("role").withColumn("hop", F.lit(self.hop))
 
     def transform(self, maps: DataFrame) -> DataFrame:
-        """Each map row becomes one row per kernel of its channel. No shuffle."""
-        node_of, spec, hop, shape = dict(zip(self.channels, self.nodes)), self.spec, self.hop, self.shape
-        slim = {ch: {k: n[k] for k in ("first", "mean", "bias", "use_dc", "out", "weights")} for ch, n in node_of.items()}
+        """Each map row becomes one row per kernel of its channel; other channels are left out. No shuffle."""
+        spec, hop, shape = self.spec, self.hop, self.shape
+        nodes = dict(zip(self.channels, T.slim([{"spec": spec, "nodes": self.nodes}], "all")[0]["nodes"]))
 
         def score(it):
-            for ch, rows, planes in channel_batches(it, shape, slim):
-                node = slim[ch]
-                keep = list(range(len(node["weights"])))
-                out = B.project(B.enter(planes, spec), spec, node, keep)[0]
-                ids = rows["image_id"].to_numpy(zero_copy_only=False)
-                yield H.map_rows(ids, hop, [node["first"] + q for q in keep], out)
+            for ch, rows, planes, bad in channel_batches(it, shape):
+                if bad:
+                    raise ValueError(f"{bad} maps do not have the fitted shape {shape} or miss values")
+                if ch in nodes:
+                    out = B.project(B.enter(planes, spec), spec, nodes[ch], nodes[ch]["give"])[0]
+                    ids = rows["image_id"].to_numpy(zero_copy_only=False)
+                    yield H.map_rows(ids, hop, [nodes[ch]["first"] + q for q in nodes[ch]["give"]], out)
 
         return maps.select(*H.MAP_NAMES).mapInArrow(score, H.MAPS)
 
 
-def channel_batches(it, shape, known):
-    """Yield ``(channel, rows, planes (1, n, H, W))`` from batches of ``maps``; other channels are left out."""
+def channel_batches(it, shape):
+    """Yield ``(channel, rows, planes (1, n, H, W), malformed)`` from batches of ``maps``."""
+    h, w = shape
     for batch in it:
+        ok = H.usable(batch, {"height": h, "width": w}, "v", h * w)
+        bad = int((~ok).sum())
+        batch = batch.filter(pa.array(ok)) if bad else batch
         channels = batch["channel"].to_numpy(zero_copy_only=False)
+        if bad:
+            yield None, None, None, bad
         for ch in np.unique(channels):
-            if int(ch) not in known:
-                continue
-            for rows, m in C.same_shape(batch.filter(pa.array(channels == ch))):
-                if m.shape[1:] != tuple(shape):
-                    raise ValueError(f"channel {ch} has maps of {m.shape[1:]}, fitted were {tuple(shape)}")
-                yield int(ch), rows, np.array(m[None], dtype=np.float64)
+            rows = batch.filter(pa.array(channels == ch))
+            v = rows["v"].flatten().to_numpy(zero_copy_only=False)
+            yield int(ch), rows, np.array(v.reshape(1, -1, h, w), dtype=np.float64), 0
 
 
 def fit_channelwise(maps: DataFrame, energy: Mapping[int, float] | None = None, spec: HopSpec = FUNCTIONAL):
     """Fit one hop on every channel of ``maps`` at once: ``(kernels, new maps, fitted hop)``.
 
-    ``energy``: energy of each channel, 1 where missing. Two scans, or three with a bias: one for shapes and
-    per-channel offsets, one for the sums of all channels, one for the largest residuals.
+    ``energy``: energy of each channel, 1 where missing. One scan for the sums of all channels, one more for
+    a bias. Should the values of a channel lie far from zero, the sums are taken again around its mean.
     """
-    spec = replace(spec, channelwise=True)
-    level = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v")
-    found = maps.groupBy("channel").agg(
-        F.min("hop").alias("hop"), F.avg(level).alias("level"),
-        *[f(c).alias(f"{n}_{c}") for c in ("height", "width") for n, f in (("lo", F.min), ("hi", F.max))],
-        F.count(F.when(~F.coalesce(F.size("v") == F.col("height") * F.col("width"), F.lit(False)) | level.isNull(), 1)).alias("bad"),
-    ).orderBy("channel").collect()
-    if not found:
+    spec, first = replace(spec, channelwise=True), maps.select(*H.MAP_NAMES).head(1)
+    if not first:
         raise ValueError("there are no maps to fit on")
-    shapes = {(r.lo_height, r.lo_width) for r in found} | {(r.hi_height, r.hi_width) for r in found}
-    if len(shapes) != 1 or any(r.bad for r in found):
-        raise ValueError(f"maps must share one shape and have all values, found {sorted(shapes)}")
-    shape, hop = shapes.pop(), max(r.hop for r in found) + 1
-    channels = [r.channel for r in found]
+    shape, hop = (first[0].height, first[0].width), first[0].hop + 1
+    if None in shape:
+        raise ValueError(f"map {first[0].image_id} of channel {first[0].channel} has no shape")
     *out, k = B.map_shape(*shape, 1, spec)
-    grow = spec.pool_before**2 if spec.pool_fn == "sum" and spec.pool_before > 1 else 1
-    shift = np.array([[r.level * grow] * k for r in found])
-
-    stats = H.sum_stats(_channel_sums(maps, spec, channels, shape, shift))
-    parents = [{"node": i, "parent_channel": ch, "parent_energy": float((energy or {}).get(ch, 1.0))}
-               for i, ch in enumerate(channels)]
-    schema = pa.schema([("node", pa.int32()), ("parent_channel", pa.int32()), ("parent_energy", pa.float64())])
-    solved = K.solve(stats, spec, shift).withColumn("hop", F.lit(hop))
-    numbered = K.number_channels(K.child_energy(solved, K.small_frame(maps.sparkSession, parents, schema)))
-    nodes = read_nodes(numbered.withColumn("role", F.lit("emit")).collect(), tuple(out), "tail")
+    rows = _channel_kernels(maps, spec, shape, None)
+    if any(r.poor_shift for r in rows):
+        rows = _channel_kernels(maps, spec, shape, {r.node: np.array(r.mean) for r in rows})
+    channels = sorted({r.node for r in rows})
+    parents = [{"node": ch, "parent_channel": ch, "parent_energy": float((energy or {}).get(ch, 1.0))} for ch in channels]
+    number, first_kernel, nodes_in = {ch: i for i, ch in enumerate(channels)}, 0, []
+    for p in parents:
+        mine = sorted((r for r in rows if r.node == p["node"]), key=lambda r: r.kidx)
+        for r in mine:
+            nodes_in.append(Row(**{**r.asDict(), **p, "node": number[r.node], "channel": first_kernel + r.kidx,
+                                   "energy": r.local_energy * p["parent_energy"], "role": "emit"}))
+        first_kernel += len(mine)
+    nodes = read_nodes(nodes_in, tuple(out), "tail")
     if spec.need_bias:
-        for r in _channel_maxima(maps, spec, channels, shape, nodes).collect():
-            nodes[r.node]["bias"] = float(np.sqrt(r.sq / k))
+        for r in _channel_maxima(maps, spec, shape, {ch: nodes[i]["mean"] for ch, i in number.items()}).collect():
+            nodes[number[r.channel]]["bias"] = float(np.sqrt(r.sq / k))
     fitted = ChannelwiseHop(hop, spec, channels, shape, nodes)
     return fitted.kernels(maps.sparkSession), fitted.transform(maps), fitted
 
 
-def _channel_sums(maps, spec, channels, shape, shift) -> DataFrame:
-    number = {ch: i for i, ch in enumerate(channels)}
+def _channel_kernels(maps: DataFrame, spec: HopSpec, shape, shift) -> list[Row]:
+    """One scan: the kernels of every channel, keyed by channel number."""
 
     def sums(it):
-        state: dict = {}
-        for ch, _, planes in channel_batches(it, shape, number):
-            H.add_patches(state, number[ch], B.enter(planes, spec), spec, shift[number[ch]])
-            if len(state) * 8 * shift.shape[1] ** 2 > H.STATE_BYTES:
-                yield from H.state_rows(state)  # sums add up, so a full table is handed on at any time
-                state.clear()
-        yield from H.state_rows(state)
-
-    return maps.select(*H.MAP_NAMES).mapInArrow(sums, H.PARTIAL)
-
-
-def _channel_maxima(maps, spec, channels, shape, nodes) -> DataFrame:
-    number, means = {ch: i for i, ch in enumerate(channels)}, [n["mean"] for n in nodes]
-
+        state, bad = {}, 0
+        for ch, _, planes, b in channel_batches(it, shape):
+            bad += b
+            if ch is not None:
+                H.add_patches(state, ch, B.enter(planes, spec), spec, None if shift is None else shift[ch])
+                if len(state) * state[ch][2].nbytes > H.STATE_BYTES:
+                    yield from H.state_rows(state)  # sums add up, so a full table is handed on at any time
+                    state.clear()
+        yield from H.state_rows(state, bad)
+
+    stats = H.sum_stats(maps.select(*H.MAP_NAMES).mapInArrow(sums, H.PARTIAL))
+    rows = K.solve(stats, spec, shift).collect()
+    bad = sum(r.n for r in rows if r.node < 0)
+    if bad:
+        raise ValueError(f"{bad} maps do not have the shape {shape} of the first one, or miss values")
+    return rows
+
+
+def _channel_maxima(maps: DataFrame, spec: HopSpec, shape, means: dict) -> DataFrame:
     def maxima(it):
         best: dict = {}
-        for ch, _, planes in channel_batches(it, shape, number):
-            i = number[ch]
-            for _, _, x in B.patch_chunks(B.enter(planes, spec), spec):
-                x = B.centred(x, means[i], True)
-                best[i] = max(best.get(i, 0.0), float((x * x).sum(axis=0).max()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array(list(best.values()), pa.float64())],
-                                         names=["node", "sq"])
-
-    return maps.select(*H.MAP_NAMES).mapInArrow(maxima, "node int, sq double").groupBy("node").agg(F.max("sq").alias("sq"))
+        for ch, _, planes, _ in channel_batches(it, shape):
+            if ch is not None:
+                best[ch] = max(best.get(ch, 0.0), H.largest(B.enter(planes, spec), spec, {"mean": means[ch]}))
+        columns = [pa.array(list(best), pa.int32()), pa.array(list(best.values()), pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["channel", "sq"])
+
+    partial = maps.select(*H.MAP_NAMES).mapInArrow(maxima, "channel int, sq double")
+    return partial.groupBy("channel").agg(F.max("sq").alias("sq"))

@@ -231,8 +231,11 @@ def test_steps_report_bad_maps(spark):
     schema = "image_id bigint, hop int, channel int, height int, width int, v array<double>"
     good = [(i, 0, 0, 2, 2, [1.0 * i, 2.0, 3.0, 4.0]) for i in range(4)]
     for bad in [(9, 0, 0, 2, 2, [1.0]), (9, 0, 1, 1, 1, [1.0]), (9, 0, 0, 2, 2, [None, 1.0, 1.0, 1.0]), (9, 0, 0, 2, 2, None)]:
-        with pytest.raises(ValueError, match="one shape"):
+        with pytest.raises(ValueError, match="1 maps"):
             fit_channelwise(spark.createDataFrame(good + [bad], schema), spec=HopSpec(2, 1))
+        fitted = fit_channelwise(spark.createDataFrame(good, schema), spec=HopSpec(2, 1))[2]
+        with pytest.raises(Exception, match="1 maps"):
+            fitted.transform(spark.createDataFrame(good + [bad], schema)).collect()
     with pytest.raises(ValueError, match="no maps"):
         fit_channelwise(spark.createDataFrame([], schema), spec=HopSpec(2, 1))
 
@@ -248,3 +251,15 @@ def test_full_state_is_handed_on(spark, monkeypatch):
     got = fit_channelwise(maps, spec=spec)[0].orderBy("channel").collect()
     for a, b in zip(want, got):
         np.testing.assert_allclose(a.weights, b.weights, atol=1e-9)
+
+
+def test_step_on_maps_far_from_zero(spark):
+    x = smooth(np.random.default_rng(4), 30, 6, 6, 2)
+    x[..., 1] += 1e7
+    maps = C.split_channels(images(spark, x), (6, 6, 2)).withColumn("channel", F.col("channel") * 3 + 2)
+    kernels, out, fitted = fit_channelwise(maps, {2: 0.5}, HopSpec(2, 1, need_bias=True))
+    want = plain.tree(x, [HopSpec(2, 1, need_bias=True, channelwise=True)], 0, 0)[0]
+    rows = kernels.orderBy("channel").collect()
+    assert [r.channel for r in rows] == list(range(8)) and {(r.hop, r.node) for r in rows} == {(0, 0), (0, 1)}
+    np.testing.assert_allclose([r.energy for r in rows], want["energy"] * np.repeat([0.5, 1.0], 4), atol=1e-6)
+    np.testing.assert_allclose(maps_array(out, 0)[0], want["maps"], atol=1e-4)
