@@ -104,9 +104,9 @@ def subset_exact(df: DataFrame, key: str, n: int | None = None, fraction: float
         if digits >= 32:
             raise ValueError(f"the key {key!r} is not unique: {size} rows share one hash")
         digits += BUCKET_DIGITS
-    edge = keys.orderBy("h", "k").limit(wanted).agg(F.max(F.struct("h", "k")).alias("e")).first().e
-    ties = keys.filter((F.col("h") == edge.h) & (F.col("k") == edge.k)).limit(2).count()
-    if ties > 1:
+    place = F.row_number().over(Window.orderBy("h", "k"))  # at most BOUNDARY_ROWS keys are left
+    edge, *after = keys.withColumn("place", place).filter(F.col("place").between(wanted, wanted + 1)).orderBy("place").collect()
+    if after and (after[0].h, after[0].k) == (edge.h, edge.k):
         raise ValueError(f"the key {key!r} is not unique: {edge.k} occurs more than once")
     return df.filter((h < edge.h) | ((h == edge.h) & (F.col(key) <= F.lit(edge.k))))
 

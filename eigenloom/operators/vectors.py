@@ -86,28 +86,26 @@ def projected(node: dict, spec: HopSpec, keep: list[int]) -> list[Column]:
 
 
 def checked(k: int, value: Column) -> Column:
-    message = F.lit(f"a row is not a vector of {k} values")
-    return F.when(malformed(k), F.raise_error(message).cast("double")).otherwise(value)
+    """The value, or an error for a malformed row."""
+    return F.when(malformed(k), F.raise_error(F.lit(f"a row is not a vector of {k} values"))).otherwise(value)
 
 
 def vector_maps(images: DataFrame, node: dict, spec: HopSpec, keep: list[int]) -> DataFrame:
     """As ``score_maps``."""
-    k = len(node["mean"])
-    rows = [F.struct(F.lit(int(node["first"] + q)).alias("channel"), F.array(checked(k, y)).alias("v"))
+    rows = [F.struct(F.lit(int(node["first"] + q)).alias("channel"), F.array(y).alias("v"))
             for q, y in zip(keep, projected(node, spec, keep))]
     if not rows:
         empty = "image_id bigint, hop int, channel int, height int, width int, v array<double>"
         return images.sparkSession.createDataFrame([], empty)
-    wide = images.select(F.col("image_id").cast("bigint").alias("image_id"), F.explode(F.array(*rows)).alias("m"))
+    wide = images.select(_id(), F.explode(checked(len(node["mean"]), F.array(*rows))).alias("m"))
     one = F.lit(1)
     return wide.select("image_id", F.lit(0).alias("hop"), "m.channel", one.alias("height"), one.alias("width"), "m.v")
 
 
 def vector_wide(images: DataFrame, node: dict, spec: HopSpec, keep: list[int], also=()) -> DataFrame:
     """As ``score_wide``."""
-    k = len(node["mean"])
-    features = F.array(*[checked(k, y) for y in projected(node, spec, keep)]).cast("array<double>")
-    return images.select("image_id", *also, features.alias("features"))
+    features = F.array(*projected(node, spec, keep)).cast("array<double>")
+    return images.select(_id(), *also, checked(len(node["mean"]), features).alias("features"))
 
 
 def vector_dc(images: DataFrame, node: dict, spec: HopSpec) -> DataFrame:
@@ -115,5 +113,8 @@ def vector_dc(images: DataFrame, node: dict, spec: HopSpec) -> DataFrame:
     x = centred(node, spec.center == "residual")
     dc = reduce(add, x) / len(x) + (float(node["bias"]) if spec.need_bias else 0.0)
     zero = F.lit(0)
-    return images.select(F.col("image_id").cast("bigint").alias("image_id"), zero.alias("hop"), zero.alias("node"),
-                         F.array(checked(len(x), dc)).alias("v"))
+    return images.select(_id(), zero.alias("hop"), zero.alias("node"), checked(len(x), F.array(dc)).alias("v"))
+
+
+def _id() -> Column:
+    return F.col("image_id").cast("bigint").alias("image_id")
