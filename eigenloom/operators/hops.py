@@ -209,10 +209,14 @@ def _score(planes, tree, dc=False):
             keep = sorted(set(give) | set(on))
             maps, means = B.project(node_input(planes, hop["spec"], node), hop["spec"], node, keep, dc)
             if on:
-                onward.append(maps[[keep.index(q) for q in on]])
-            yield h, node, [node["first"] + q for q in give], maps[[keep.index(q) for q in give]], means
+                onward.append(_pick(maps, keep, on))
+            yield h, node, [node["first"] + q for q in give], _pick(maps, keep, give), means
         if onward:
-            planes = np.concatenate(onward)
+            planes = np.concatenate(onward) if len(onward) > 1 else onward[0]
+
+
+def _pick(maps: np.ndarray, kept: list[int], some: list[int]) -> np.ndarray:
+    return maps if some == kept else maps[[kept.index(q) for q in some]]
 
 
 def gives(h: int, node: dict) -> bool:
