@@ -22,6 +22,15 @@ def _range(n: int) -> Column:
     return F.sequence(F.lit(0), F.lit(n - 1))
 
 
+def once(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    Spark merges chained projections, so without this an array expression used inside a lambda would be
+    computed again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _lookup(values: Sequence[float], i: Column) -> Column:
     return F.element_at(F.array(*[F.lit(float(v)) for v in values]), (i + 1).cast("int"))
 
@@ -36,27 +45,29 @@ def channel_normalise(pixels: Column, mean: Sequence[float], std: Sequence[float
 
 def channel_last(pixels: Column, h: int, w: int, c: int) -> Column:
     """From (C, H, W) to (H, W, C)."""
-    return F.transform(_range(h * w * c), lambda k: F.get(pixels, (k % c) * (h * w) + F.floor(k / c).cast("int")))
+    return once(pixels, lambda px: F.transform(
+        _range(h * w * c), lambda k: F.get(px, (k % c) * (h * w) + F.floor(k / c).cast("int"))))
 
 
 def channel_first(pixels: Column, h: int, w: int, c: int) -> Column:
     """From (H, W, C) to (C, H, W)."""
-    return F.transform(
-        _range(h * w * c), lambda k: F.get(pixels, (k % (h * w)) * c + F.floor(k / (h * w)).cast("int"))
-    )
+    return once(pixels, lambda px: F.transform(
+        _range(h * w * c), lambda k: F.get(px, (k % (h * w)) * c + F.floor(k / (h * w)).cast("int"))))
 
 
 def pad(pixels: Column, h: int, w: int, c: int, p: int, fill: float = 0.0) -> Column:
-    """Constant border of ``p`` pixels on all four sides."""
-    wide = (w + 2 * p) * c
+    """Constant border of ``p`` pixels on all four sides. Copies whole image rows, not single values."""
+    if p == 0:
+        return pixels
+    edge, side = (F.array_repeat(F.lit(float(fill)), n) for n in (p * (w + 2 * p) * c, p * c))
+
+    def rows(px):
+        def row(r):
+            return F.concat(side, F.slice(px, r * (w * c) + 1, F.lit(w * c)).cast("array<double>"), side)
 
-    def cell(k):
-        r, rest = F.floor(k / wide).cast("int") - p, k % wide
-        col, ch = F.floor(rest / c).cast("int") - p, rest % c
-        inside = (r >= 0) & (r < h) & (col >= 0) & (col < w)
-        return F.when(inside, F.get(pixels, (r * w + col) * c + ch)).otherwise(F.lit(float(fill)))
+        return F.flatten(F.transform(_range(h), row))
 
-    return F.transform(_range((h + 2 * p) * wide), cell)
+    return F.concat(edge, once(pixels, rows), edge)
 
 
 def patches(pixels: Column, h: int, w: int, c: int, window: int, stride: int = 1, order: str = "ijc") -> Column:
@@ -66,33 +77,31 @@ def patches(pixels: Column, h: int, w: int, c: int, window: int, stride: int = 1
     """
     hp, wp, k2 = patch_side(h, window, stride), patch_side(w, window, stride), window * window
 
-    def feature(r, col):
+    def feature(px, r, col):
         def at(k):
             if order == "ijc":
                 di, dj, ch = F.floor(k / (window * c)), F.floor(k / c) % window, k % c
             else:
                 ch, di, dj = F.floor(k / k2), F.floor(k / window) % window, k % window
-            return F.get(pixels, (((r * stride + di) * w + col * stride + dj) * c + ch).cast("int"))
+            return F.get(px, (((r * stride + di) * w + col * stride + dj) * c + ch).cast("int"))
 
         return at
 
-    return F.transform(
-        _range(hp * wp),
-        lambda p: F.transform(_range(k2 * c), feature(F.floor(p / wp), p % wp)),
-    )
+    return once(pixels, lambda px: F.transform(
+        _range(hp * wp), lambda p: F.transform(_range(k2 * c), feature(px, F.floor(p / wp), p % wp))))
 
 
 def pool_map(v: Column, h: int, w: int, block: int, how: str = "max", ragged: str = "pad") -> Column:
     """Reduce the blocks of one channel's map; an incomplete block is zero-filled or dropped."""
     hb, wb = out_side(h, block, ragged), out_side(w, block, ragged)
 
-    def cells(p):
+    def cells(m, p):
         r0, c0 = F.floor(p / wb) * block, (p % wb) * block
         out = []
         for a in range(block):
             for b in range(block):
                 inside = (r0 + a < h) & (c0 + b < w)
-                value = F.get(v, ((r0 + a) * w + c0 + b).cast("int"))
+                value = F.get(m, ((r0 + a) * w + c0 + b).cast("int"))
                 out.append(F.when(inside, value).otherwise(F.lit(0.0)))
         return F.array(*out)
 
@@ -100,12 +109,12 @@ def pool_map(v: Column, h: int, w: int, block: int, how: str = "max", ragged: st
         return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
 
     fold = {"max": F.array_max, "min": F.array_min, "sum": total, "avg": lambda xs: total(xs) / (block * block)}
-    return F.transform(_range(hb * wb), lambda p: fold[how](cells(p)))
+    return once(v, lambda m: F.transform(_range(hb * wb), lambda p: fold[how](cells(m, p))))
 
 
 def channel_slice(pixels: Column, size: int, c: int, ch: Column) -> Column:
     """The map of one channel of an (H, W, C) image with ``size`` = H * W."""
-    return F.transform(_range(size), lambda p: F.get(pixels, (p * c + ch).cast("int")))
+    return once(pixels, lambda px: F.transform(_range(size), lambda p: F.get(px, (p * c + ch).cast("int"))))
 
 
 # ---- one vector or patch at a time ----
@@ -124,8 +133,9 @@ def minus(f: Column, g: Column) -> Column:
     return F.zip_with(f, g, lambda x, y: x - y)
 
 
-def minus_scalar(f: Column, x: Column) -> Column:
-    return F.transform(f, lambda v: v - x)
+def residual(f: Column) -> Column:
+    """The array less its own mean."""
+    return once(f, lambda g: once(patch_mean(g), lambda m: F.transform(g, lambda v: v - m)))
 
 
 def norm(f: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import blocks as B
+from ..functions.pixels import once
 from . import hops as H
 from . import kernels as K
 
@@ -103,7 +104,7 @@ def stack_channels(maps: DataFrame) -> DataFrame:
     channels = F.transform(F.sort_array(F.collect_list(F.struct("hop", "channel", "v"))), lambda s: s["v"])
     one = maps.groupBy("image_id", "height", "width").agg(channels.alias("m"))
     cells = F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)
-    pixels = F.flatten(F.transform(cells, lambda p: F.transform("m", lambda v: F.get(v, p))))
+    pixels = once(F.col("m"), lambda m: F.flatten(F.transform(cells, lambda p: F.transform(m, lambda v: F.get(v, p)))))
     return one.select("image_id", "height", "width", F.size("m").alias("channels"), pixels.alias("pixels"))
 
 

@@ -77,7 +77,7 @@ def add_dc(patches: DataFrame, column: str = "f") -> DataFrame:
 
 
 def remove_dc(patches: DataFrame, column: str = "f") -> DataFrame:
-    return patches.withColumn(column, P.minus_scalar(F.col(column), P.patch_mean(F.col(column))))
+    return patches.withColumn(column, P.residual(F.col(column)))
 
 
 def remove_mean(patches: DataFrame, mean, column: str = "f") -> DataFrame:

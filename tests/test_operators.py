@@ -1,6 +1,7 @@
 """Operators outside the fit, on small fixtures."""
 
 import hashlib
+import time
 
 import numpy as np
 import plain
@@ -135,6 +136,22 @@ def test_expressions_match_numpy(spark, shape):
                 np.testing.assert_allclose(e.transpose(1, 2, 3, 0), want_, atol=1e-12)
 
 
+def test_chained_expressions_do_not_multiply(spark):
+    """Spark merges the projections; each step must still run once per row, not once per pixel of the next."""
+    x = np.random.default_rng(1).normal(size=(4, 64, 64, 3))
+    px, df = F.col("pixels"), images(spark, x, 1)
+    df = df.withColumn("pixels", P.channel_normalise(px, P.COLOUR_MEAN, P.COLOUR_STD, 1.0))
+    df = df.withColumn("pixels", P.pad(px, 64, 64, 3, 1)).withColumn("pixels", P.channel_first(px, 66, 66, 3))
+    df = df.withColumn("pixels", P.channel_last(px, 66, 66, 3)).withColumn("pixels", P.channel_slice(px, 66 * 66, 3, F.lit(1)))
+    df = df.withColumn("pixels", P.pool_map(px, 66, 66, 2)).withColumn("pixels", P.residual(P.residual(px)))
+    start = time.time()
+    got = np.array([r.pixels for r in df.orderBy("image_id").collect()])
+    assert time.time() - start < 20
+    want = np.pad((x[..., 1] - P.COLOUR_MEAN[1]) / P.COLOUR_STD[1], ((0, 0), (1, 1), (1, 1)))
+    want = want.reshape(4, 33, 2, 33, 2).max(axis=(2, 4)).reshape(4, -1)
+    np.testing.assert_allclose(got, want - want.mean(axis=1, keepdims=True), atol=1e-9)
+
+
 @pytest.mark.parametrize("order", ["ijc", "cij"])
 def test_patch_tables_agree(spark, order):
     x = np.random.default_rng(0).normal(size=(4, 7, 6, 2))
