@@ -16,22 +16,26 @@ from ..spec import HopSpec
 
 SOLVED = (
     "node int, kidx int, is_dc boolean, use_dc boolean, k int, n bigint, mean array<double>, "
-    "dc_energy double, poor_shift boolean, weights array<double>, local_energy double"
+    "dc_energy double, spread double, poor_shift boolean, weights array<double>, local_energy double"
 )
-ZERO_ABS, ZERO_REL, TIE = 1e-24, 1e-14, 1e-9
+ROUNDING, ZERO_REL, TIE = 1e-24, 1e-14, 1e-9  # squared rounding noise; lost digits in sums; equal magnitudes
 POOR_SHIFT = 1e6  # squared distance of shift and mean, in units of the variance, that costs too many digits
 
 
-def node_kernels(n: float, s: np.ndarray, gram: np.ndarray, shift: np.ndarray, spec: HopSpec) -> dict:
+def node_kernels(
+    n: float, s: np.ndarray, gram: np.ndarray, shift: np.ndarray, spec: HopSpec, floor: float = 0.0
+) -> dict:
     """Mean, kernels and energies of one node from the sums of its shifted patches.
 
     With ``S = G/n - ss'/n**2`` and ``P`` the projector that removes a patch's own mean, the residual
     covariance is ``P S P`` and the DC energy ``1'S1 / K``: one pass over the data feeds everything.
+    Variances up to ``floor`` are rounding noise of the hop before and count as zero.
     """
     k = len(s)
     m = s / n
     cov = gram / n - np.outer(m, m)
-    zero = ZERO_ABS + ZERO_REL * np.trace(gram) / n
+    spread, moment = max(np.trace(cov), 0.0), np.trace(gram) / n
+    zero = floor + ZERO_REL * moment
     dc_energy = max(cov.sum() / k, 0.0)
     side = cov.mean(axis=0)
     ac = (cov - side - side[:, None] + side.mean()) * (n / (n - spec.ddof) if n > spec.ddof else 1.0)
@@ -52,16 +56,18 @@ def node_kernels(n: float, s: np.ndarray, gram: np.ndarray, shift: np.ndarray, s
         "mean": shift + m,
         "dc_energy": dc_energy,
         "use_dc": use_dc,
-        "poor_shift": bool(np.trace(gram) / n > ZERO_ABS + POOR_SHIFT * max(np.trace(cov), 0.0)),
+        "spread": spread,
+        "poor_shift": bool(moment > floor + ROUNDING * (shift @ shift) + POOR_SHIFT * spread),
         "weights": np.ascontiguousarray(vectors[:keep]),
         "energy": energy[:keep],
     }
 
 
-def solve(stats: DataFrame, spec: HopSpec, shift=None) -> DataFrame:
+def solve(stats: DataFrame, spec: HopSpec, shift=None, floor=None) -> DataFrame:
     """Kernels of every node from ``stats (node, i, j, s)``; a node's group has K(K+3)/2 + 1 rows.
 
-    ``shift``: what was subtracted from the patches of each node, by node; nothing if None.
+    ``shift``: what was subtracted from the patches of each node, by node; nothing if None. ``floor``: the
+    variance below which a node counts as constant, by node; 0 if None.
     Node -1 carries the number of malformed images and passes through as a row with ``kidx = -1``.
     """
 
@@ -70,7 +76,7 @@ def solve(stats: DataFrame, spec: HopSpec, shift=None) -> DataFrame:
         i, j, v = pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["s"].to_numpy()
         n = float(v[i == -1][0])
         if node < 0:
-            row = [node, -1, False, False, 0, int(n), [], 0.0, False, [], 0.0]
+            row = [node, -1, False, False, 0, int(n), [], 0.0, 0.0, False, [], 0.0]
             return pd.DataFrame([row], columns=_names(SOLVED))
         first = (i >= 0) & (j == -1)
         k = int(first.sum())
@@ -78,10 +84,12 @@ def solve(stats: DataFrame, spec: HopSpec, shift=None) -> DataFrame:
         s[i[first]] = v[first]
         upper = j >= 0
         gram[i[upper], j[upper]] = gram[j[upper], i[upper]] = v[upper]
-        r = node_kernels(n, s, gram, np.zeros(k) if shift is None else shift[node], spec)
+        base = np.zeros(k) if shift is None else shift[node]
+        r = node_kernels(n, s, gram, base, spec, 0.0 if floor is None else floor[node])
         return pd.DataFrame(
             [
-                [node, q, r["use_dc"] and q == 0, r["use_dc"], k, int(n), r["mean"], r["dc_energy"], r["poor_shift"], w, e]
+                [node, q, r["use_dc"] and q == 0, r["use_dc"], k, int(n), r["mean"], r["dc_energy"], r["spread"],
+                 r["poor_shift"], w, e]
                 for q, (w, e) in enumerate(zip(r["weights"], r["energy"]))
             ],
             columns=_names(SOLVED),

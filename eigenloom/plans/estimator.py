@@ -67,6 +67,7 @@ class _Fit:
         self.parents = [{"node": 0, "parent_channel": -1, "parent_energy": 1.0}]
         if est.hops[0].channelwise:
             self.parents = [{"node": i, "parent_channel": i, "parent_energy": 1.0} for i in range(dims[2])]
+        self.floor = [0.0] * len(self.parents)
 
     def next_hop(self, sample: np.ndarray) -> np.ndarray | None:
         """Fit the next hop; return the sample's planes behind it, or None if nothing goes on."""
@@ -91,8 +92,10 @@ class _Fit:
             if h + 1 < len(est.hops):
                 warnings.warn(f"no channel of hop {h} reaches th1 = {est.th1}: depth is {h + 1}")
             return None
-        self.parents = [{"node": i, "parent_channel": r.channel, "parent_energy": r.energy} for i, r in
-                        enumerate(sorted(onward, key=lambda r: r.channel))]
+        onward = sorted(onward, key=lambda r: r.channel)
+        self.parents = [{"node": i, "parent_channel": r.channel, "parent_energy": r.energy} for i, r in enumerate(onward)]
+        # a map can carry no less than the rounding of the patches it was projected from
+        self.floor = [K.ROUNDING * float(np.dot(r.weights, r.weights)) * r.spread for r in onward]
         return sample
 
     def _solved(self, spec: HopSpec, shift: np.ndarray, h: int) -> list[Row]:
@@ -110,7 +113,7 @@ class _Fit:
     def _kernels(self, stats: DataFrame, spec: HopSpec, shift: np.ndarray, h: int) -> DataFrame:
         schema = pa.schema([("node", pa.int32()), ("parent_channel", pa.int32()), ("parent_energy", pa.float64())])
         parents = K.small_frame(self.images.sparkSession, self.parents, schema)
-        solved = K.solve(stats, spec, shift).withColumn("hop", F.lit(h))
+        solved = K.solve(stats, spec, shift, self.floor).withColumn("hop", F.lit(h))
         numbered = K.number_channels(K.child_energy(solved, parents))
         return K.assign_roles(numbered, self.est.th1, self.est.th2, len(self.est.hops))
 

@@ -107,7 +107,7 @@ def test_a_first_image_far_off_is_noticed(spark, monkeypatch, shape):
     want = plain_node(plain_patches(x, spec.window, 1).reshape(-1, 4), spec)
     shifts = []
     solve = K.solve
-    monkeypatch.setattr(K, "solve", lambda stats, spec, shift: shifts.append(shift) or solve(stats, spec, shift))
+    monkeypatch.setattr(K, "solve", lambda stats, spec, shift, floor: shifts.append(shift) or solve(stats, spec, shift, floor))
     for limit, scans in ((1e6, 1), (1e2, 2)):
         monkeypatch.setattr(K, "POOR_SHIFT", limit)
         shifts.clear()
@@ -119,6 +119,16 @@ def test_a_first_image_far_off_is_noticed(spark, monkeypatch, shape):
     np.testing.assert_allclose(shifts[1][0], want["mean"], rtol=1e-9)
 
 
+@pytest.mark.parametrize("scale", [1e-14, 1e12])
+def test_energies_do_not_depend_on_the_scale(spark, scale):
+    x = smooth(np.random.default_rng(11), 30, 8, 8, 1)
+    a, b = (SubspaceEstimator(SLIDE, th1=0.05, th2=0.01).fit(images(spark, y)) for y in (x, x * scale))
+    for h, k in zip(a.tree, b.tree):
+        assert len(h["nodes"]) == len(k["nodes"])
+        for p, q in zip(h["nodes"], k["nodes"]):
+            np.testing.assert_allclose([r["energy"] for r in p["rows"]], [r["energy"] for r in q["rows"]], atol=1e-9)
+
+
 def test_sign_tie_takes_the_first_entry():
     x = np.array([[1.0, -1.0], [-1.0, 1.0], [2.0, -2.0], [0.5, 0.5]])
     got = node_kernels(4, x.sum(axis=0), x.T @ x, np.zeros(2), HopSpec(use_dc=False))
