@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_DIGITS = 4  # hexadecimal digits: at most 65,536 buckets, whatever the number of rows
+BROADCAST_KEYS = 2_000_000  # ids sent to every task, some tens of megabytes
 BOUNDARY_ROWS = 100_000  # ids that may be sorted in one task to find the edge of a subset
 
 
@@ -50,9 +51,18 @@ def parity(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     )
 
 
-def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Rows of ``left`` without a partner."""
-    return left.join(right.select(key).distinct(), key, "left_anti")
+def unmatched(left: DataFrame, right: DataFrame, key: str, salts: int = 32) -> DataFrame:
+    """Rows of ``left`` without a partner.
+
+    The distinct keys of ``right`` are counted: few are broadcast, so ``left`` stays where it is. Many are
+    copied ``salts`` times, so that the rows of one frequent key spread over as many tasks.
+    """
+    keys = right.select(key).distinct()
+    if keys.count() <= BROADCAST_KEYS:
+        return left.join(F.broadcast(keys), key, "left_anti")
+    copies = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = left.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    return salted.join(copies.hint("merge"), [key, "_salt"], "left_anti").select(*left.columns)
 
 
 def row_hash(key: str, seed: int) -> Column:
