@@ -832,6 +832,25 @@ def channelwise_kernels(spark, sf):
     return weights(one_hop(spark, sf, HopSpec(channelwise=True), colour)[1].kernels(spark), "node", "kidx")
 
 
+PIXELS = [
+    Q.IMG, "qd AS (SELECT 0 AS node, image_id, r, c, " + ", ".join(f"p[(r * 4 + c) * 4 + {i} + 1] AS x{i}" for i in range(4))
+    + " FROM img, range(4) a(r), range(4) b(c))",
+    *Q.fit4("h", "qd"), Q.roles("h", None, 0.24, 0.05, False), Q.children("h"), Q.score4("h", "qd", True),
+    Q.next_maps("m1", "h"), Q.quads("qe", "m1", 3, 1), *Q.fit4("g", "qe"), Q.roles("g", "h_f", 0.24, 0.05, True),
+    Q.score4("g", "qe", True), "all_o AS (SELECT 0 AS hop, * FROM h_o UNION ALL SELECT 1, * FROM g_o)",
+]
+
+
+@query(Q.with_(*PIXELS) + HOP_VALUES + " WHERE role <> 'discard'")
+def colour_features(spark, sf):
+    """A joint first hop over the four channels of each pixel, then sliding patches per channel."""
+    images = colour(spark, sf)
+    specs = [HopSpec(window=1, need_bias=True), HopSpec(window=2, need_bias=True)]
+    model = SubspaceEstimator(specs, th1=0.24, th2=0.05).fit(images)
+    both = C.concat_hops([model.transform_maps(images, s) for s in ("emit", "forward")])
+    return cells(both, "hop", "channel")
+
+
 # ---- the step-by-step interface ----
 
 STEP = HopSpec(window=2, stride=1, ddof=0)
