@@ -79,6 +79,8 @@ class _Fit:
             sample = H.advance(sample, T.slim(self.tree[-1:]))
         shape = (*sample.shape[2:], 1 if spec.channelwise else sample.shape[0])
         *out, _ = B.map_shape(*shape, spec)
+        for side in out:
+            out_side(side, spec.pool_after, spec.ragged)  # an impossible pooling fails before the scan
         shift = np.stack([_patch_mean(H.node_input(sample, spec, {"source": p["node"]}), spec) for p in self.parents])
         rows = self._solved(spec, shift, h)
         if any(r.poor_shift for r in rows):  # the first image was far off: take the sums again around the mean

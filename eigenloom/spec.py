@@ -90,6 +90,7 @@ def out_side(side: int, block: int, ragged: str) -> int:
     """Side of a map after pooling in blocks."""
     if block <= 1:
         return side
+    _require(ragged == "pad" or side >= block, f"a map side of {side} is smaller than the pooling block {block}")
     return -(-side // block) if ragged == "pad" else side // block
 
 

@@ -69,6 +69,52 @@ def test_tree_matches_two_pass_model(spark, name):
     np.testing.assert_allclose(wide, np.concatenate(flat, axis=1), atol=1e-9)
 
 
+def random_tree(rng):
+    """Random settings; with K = 2 the sign of the second kernel is arbitrary, so that is left out."""
+    h, w, c = rng.integers(6, 12), rng.integers(6, 12), int(rng.choice([1, 3]))
+    specs = [
+        HopSpec(
+            window=int(rng.integers(1, 4)), stride=int(rng.integers(1, 3)), pool_before=int(rng.choice([0, 0, 2])),
+            pool_after=int(rng.choice([0, 0, 2, 3])), pool_fn=str(rng.choice(["max", "min", "avg", "sum"])),
+            ragged=str(rng.choice(["pad", "drop"])), channelwise=i > 0 or bool(rng.integers(2)),
+            use_dc=bool(rng.integers(2)), need_bias=bool(rng.integers(2)), num_kernels=int(rng.choice([-1, -1, 3])),
+            ddof=int(rng.integers(2)), order=str(rng.choice(["ijc", "cij"])),
+        )
+        for i in range(rng.integers(1, 4))
+    ]
+    return smooth(rng, int(rng.integers(20, 40)), h, w, c), specs, float(rng.choice([0.02, 0.1, 0.2]))
+
+
+@pytest.mark.filterwarnings("ignore")
+@pytest.mark.parametrize("seed", range(24))
+def test_random_trees_match_two_pass_model(spark, seed):
+    rng = np.random.default_rng(seed)
+    x, specs, th1 = random_tree(rng)
+    df = images(spark, x, int(rng.integers(1, 5)))
+    try:
+        want = plain_tree(x, specs, th1, 0.001)
+        assert min(min(hop["maps"].shape) for hop in want) > 0
+    except (AssertionError, ValueError):
+        with pytest.raises(ValueError, match="smaller than the"):
+            SubspaceEstimator(specs, th1=th1).fit(df)
+        return
+    model = SubspaceEstimator(specs, th1=th1, th2=0.001).fit(df)
+    assert model.depth == len(want)
+    every = model.transform_maps(df, "all").cache()
+    for h, hop in enumerate(want):
+        values, first = maps_array(every, h)[0], 0
+        for g, w in zip(model.tree[h]["nodes"], hop["nodes"]):
+            np.testing.assert_allclose(g["mean"], w["mean"], atol=1e-7)
+            np.testing.assert_allclose(g["bias"], w["bias"], atol=1e-7)
+            for q, e in enumerate(w["energy"]):
+                alone = np.abs(np.delete(w["energy"], q) - e).min(initial=1.0) > 1e-6
+                if alone and e > 1e-8:  # where eigenvalues meet, the kernels are not unique
+                    np.testing.assert_allclose(values[..., first + q], hop["maps"][..., first + q], atol=1e-5)
+            first += len(w["energy"])
+        np.testing.assert_allclose([r["energy"] for g in model.tree[h]["nodes"] for r in g["rows"]], hop["energy"], atol=1e-9)
+    every.unpersist()
+
+
 @pytest.mark.parametrize("parts", [1, 7, 64])
 def test_result_does_not_depend_on_partitions(spark, parts):
     x = smooth(np.random.default_rng(2), 50, 8, 8, 1)
