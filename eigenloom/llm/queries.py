@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from .frames import table
 from .oracle import ORACLE  # noqa: F401
+from .packing import pack_documents
 from .simhash import near_duplicates
 from .substring_dedup import repeat_digest
 
@@ -16,4 +19,8 @@ def op6_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op6_simhash)}
+def op7_best_fit_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op6_simhash, op7_best_fit_packing)}
