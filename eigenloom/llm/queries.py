@@ -3,18 +3,33 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from .frames import table
 from .oracle import ORACLE  # noqa: F401
 from .packing import pack_documents
+from .quality import importance_sample
 from .simhash import near_duplicates
 from .substring_dedup import repeat_digest
+from .toxicity import fit_toxicity
+
+
+def fold(col: str, folds: int):
+    """crc32 of the id as text, modulo ``folds``; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
 def op2_substring_dedup(spark, sf_dir):
     return repeat_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), use=fold("k", 3) != 1)
+    held_out = docs.withColumn("held_out", fold("doc_id", 3) == 1)
+    return model.score(held_out).drop("text")
+
+
 def op6_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -23,4 +38,8 @@ def op7_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op6_simhash, op7_best_fit_packing)}
+def op10_quality(spark, sf_dir):
+    return importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op6_simhash, op7_best_fit_packing, op4_toxicity, op10_quality)}
