@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from .frames import table
+from .kmeans_tree import near_neighbours
 from .oracle import ORACLE  # noqa: F401
 from .packing import pack_documents
 from .quality import importance_sample
 from .simhash import near_duplicates
 from .substring_dedup import repeat_digest
 from .toxicity import fit_toxicity
+from .voronoi import exact_top_k
 
 
 def fold(col: str, folds: int):
@@ -23,6 +25,10 @@ def op2_substring_dedup(spark, sf_dir):
     return repeat_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_exact_top_k(spark, sf_dir):
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op4_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), use=fold("k", 3) != 1)
@@ -38,8 +44,12 @@ def op7_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_nearest_neighbours(spark, sf_dir):
+    return near_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op10_quality(spark, sf_dir):
     return importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op6_simhash, op7_best_fit_packing, op4_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op6_simhash, op7_best_fit_packing, op3_exact_top_k, op4_toxicity, op9_nearest_neighbours, op10_quality)}
