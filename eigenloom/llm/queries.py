@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path
 from .frames import table
+from .idcoder import read_ids, write_ids
 from .kmeans_tree import near_neighbours
+from .language import fit_language
 from .oracle import ORACLE  # noqa: F401
 from .packing import pack_documents
+from .pieces import round_trip
 from .quality import importance_sample
 from .simhash import near_duplicates
 from .substring_dedup import repeat_digest
@@ -21,6 +25,10 @@ def fold(col: str, folds: int):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def op1_sentencepiece(spark, sf_dir):
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_substring_dedup(spark, sf_dir):
     return repeat_digest(table(spark, sf_dir, "documents"))
 
@@ -36,6 +44,12 @@ def op4_toxicity(spark, sf_dir):
     return model.score(held_out).drop("text")
 
 
+def op5_token_ids(spark, sf_dir):
+    path = scratch_path(spark, "token-ids")
+    write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return read_ids(spark, path, ids=False)
+
+
 def op6_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -44,6 +58,12 @@ def op7_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_language(docs, use=fold("k", 4) != 2)
+    return model.predict(docs.select("doc_id", "text", (fold("doc_id", 4) == 2).alias("held_out"))).drop("text")
+
+
 def op9_nearest_neighbours(spark, sf_dir):
     return near_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
@@ -52,4 +72,4 @@ def op10_quality(spark, sf_dir):
     return importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op6_simhash, op7_best_fit_packing, op3_exact_top_k, op4_toxicity, op9_nearest_neighbours, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op6_simhash, op7_best_fit_packing, op3_exact_top_k, op4_toxicity, op5_token_ids, op8_language, op9_nearest_neighbours, op10_quality)}
