@@ -32,9 +32,11 @@ from .tokens import encoder
 BLOCK = 4096
 LANES = 1024
 MAGIC = b"EIDS1\0"
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
+#: One word is settled below the first; a whole id's symbols (44 bits at most) fit above the second.
+_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 48)
 _U = np.uint64
 _LIMIT = 4000
+_ONES = np.ones(16, np.float32)
 
 
 class _Range:
@@ -71,12 +73,11 @@ class _Writer(_Range):
         self.words[at, size] = (self.low[at] >> _U(48)).astype(np.uint16)
         self.size[at] = size + 1
 
-    def pick(self, ends: np.ndarray, symbol: np.ndarray, skip: np.ndarray | None) -> np.ndarray:
-        """Codes a symbol per lane; ``ends``: running sums of the frequencies. ``skip``: lanes where nothing is coded."""
-        n, rows = len(ends), np.arange(len(ends))
-        high = ends[rows, symbol].astype(_U)
-        below = np.where(symbol > 0, ends[rows, symbol - 1], 0).astype(_U)
-        self.take(n, below, high, ends[:, -1].astype(_U), skip)
+    def pick(self, ends: np.ndarray, symbol: np.ndarray, at: np.ndarray, count: np.ndarray, skip: np.ndarray | None) -> np.ndarray:
+        """Codes a symbol per lane; ``ends``: running sums of the frequencies, ``count``: all of them, a lane's from ``at`` on. ``skip``: lanes where nothing is coded."""
+        n, width = ends.shape
+        high = ends.ravel().take(np.arange(n) * width + symbol).astype(_U)
+        self.take(n, high - count.take(at + symbol).astype(_U), high, ends[:, -1].astype(_U), skip)
         return symbol
 
     def uniform(self, n: int, value: np.ndarray, bits: int, skip: np.ndarray) -> np.ndarray:
@@ -120,13 +121,13 @@ class _Reader(_Range):
         unit = self.range[:n] // total
         return unit, np.minimum((self.code[:n] - self.low[:n]) // unit, total - _U(1))
 
-    def pick(self, ends: np.ndarray, symbol, skip: np.ndarray | None) -> np.ndarray:
-        n, rows, total = len(ends), np.arange(len(ends)), ends[:, -1].astype(_U)
+    def pick(self, ends: np.ndarray, symbol, at: np.ndarray, count: np.ndarray, skip: np.ndarray | None) -> np.ndarray:
+        n, width = ends.shape
+        total = ends[:, -1].astype(_U)
         unit, value = self._value(n, total)
-        symbol = (ends <= value[:, None].astype(ends.dtype)).sum(1)
-        high = ends[rows, symbol].astype(_U)
-        below = np.where(symbol > 0, ends[rows, symbol - 1], 0).astype(_U)
-        self._drop(n, unit, below, high, total, skip)
+        symbol = ((ends <= value.astype(np.float32)[:, None]).astype(np.float32) @ _ONES[:width]).astype(np.int64)
+        high = ends.ravel().take(np.arange(n) * width + symbol).astype(_U)
+        self._drop(n, unit, high - count.take(at + symbol).astype(_U), high, total, skip)
         return symbol
 
     def uniform(self, n: int, value, bits: int, skip: np.ndarray) -> np.ndarray:
@@ -146,62 +147,69 @@ class _Context:
     """For each lane, what id followed a context last, and how firmly."""
 
     def __init__(self, lanes: int, bits: int):
-        self.ids = np.full((lanes, 1 << bits), -1, np.int32)
-        self.firm = np.zeros((lanes, 1 << bits), np.int8)
-        self.bits = bits
+        self.ids = np.full(lanes << bits, -1, np.int32)
+        self.firm = np.zeros(lanes << bits, np.int8)
+        self.bits, self.base = bits, np.arange(lanes, dtype=np.int64) << bits
 
-    def guess(self, rows: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        self.rows, self.slot = rows, (context * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - self.bits)
-        self.said, self.held = self.ids[rows, self.slot], self.firm[rows, self.slot]
+    def guess(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.slot = self.base[: len(context)] + ((context * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - self.bits))
+        self.said, self.held = self.ids.take(self.slot), self.firm.take(self.slot)
         return self.said, self.held
 
     def learn(self, ids: np.ndarray) -> None:
         right = self.said == ids
-        keep = right | (self.held > 1)
-        self.ids[self.rows, self.slot] = np.where(keep, self.said, ids)
-        self.firm[self.rows, self.slot] = np.where(right, np.minimum(self.held + 1, 3), np.where(self.held > 1, self.held - 1, 1))
-
-
-def _learn(table: np.ndarray, rows: np.ndarray, context, symbol: np.ndarray, step: int, total: np.ndarray) -> None:
-    table[rows, context, symbol] += step
-    full = np.flatnonzero(total + step > _LIMIT)
-    if len(full):
-        c = context[full] if isinstance(context, np.ndarray) else context
-        table[rows[full], c] = (table[rows[full], c] + 1) >> 1
+        self.ids[self.slot] = np.where(right | (self.held > 1), self.said, ids)
+        self.firm[self.slot] = np.where(right, np.minimum(self.held + 1, 3), np.maximum(self.held - 1, 1))
+
+
+class _Frequencies:
+    """Adaptive frequencies of ``width`` symbols for each lane and context."""
+
+    def __init__(self, lanes: int, contexts: int, first: list[int], step: int):
+        self.width, self.step = len(first), step
+        self.count = np.tile(np.array(first, np.float32), lanes * contexts)
+        self.rows = self.count.reshape(-1, self.width)
+        self.base = np.arange(lanes, dtype=np.int64) * contexts
+        self.sums = np.triu(np.ones((self.width, self.width), np.float32))
+
+    def code(self, coder, context, symbol, skip) -> np.ndarray:
+        """Codes a symbol in each lane but those to skip, and learns it there. Whole numbers below 2^24, so float32 sums are exact."""
+        row = self.base[: len(context)] + context
+        ends = self.rows.take(row, axis=0) @ self.sums
+        symbol = coder.pick(ends, symbol, row * self.width, self.count, skip)
+        at, total = row * self.width + symbol, ends[:, -1]
+        if skip is not None:
+            there = np.flatnonzero(~skip)
+            at, row, total = at[there], row[there], total[there]
+        self.count[at] += self.step
+        full = row[total > _LIMIT - self.step]
+        if len(full):
+            self.rows[full] = np.floor((self.rows[full] + 1) / 2)
+        return symbol
 
 
 def _run(coder, sizes: np.ndarray, ids: np.ndarray | None, wide: bool) -> np.ndarray:
     """Codes blocks in step (``ids``: a row for each, sizes descending), or decodes them."""
     lanes, steps = len(sizes), int(sizes[0])
     one, two = _Context(lanes, 10), _Context(lanes, 12)
-    gate = np.tile(np.array([6, 1, 1], np.int32), (lanes, 16, 1))
-    high = np.ones((lanes, 1, 16), np.int32)
-    middle = np.ones((lanes, 16, 16), np.int32)
-    out = np.zeros((lanes, steps), np.int64)
+    gate = _Frequencies(lanes, 16, [6, 1, 1], 24)
+    high, middle = _Frequencies(lanes, 1, [1] * 16, 32), _Frequencies(lanes, 16, [1] * 16, 32)
+    out = np.zeros((steps, lanes), np.int64)
+    given = None if ids is None else np.ascontiguousarray(ids.T)
     before, earlier = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     live = np.searchsorted(-sizes, -np.arange(steps), "left")
     zero = np.zeros(lanes, np.int64)
     for t in range(steps):
         n = int(live[t])
-        rows = np.arange(n)
-        x = ids[:n, t] if ids is not None else None
-        said1, firm1 = one.guess(rows, before[:n] + 1)
-        said2, firm2 = two.guess(rows, (before[:n] + 1) * 0x10003 + earlier[:n])
-        mixed = firm2 * 4 + firm1
-        ends = np.cumsum(gate[rows, mixed], axis=1)
+        x = None if given is None else given[t, :n]
+        said1, firm1 = one.guess(before[:n] + 1)
+        said2, firm2 = two.guess((before[:n] + 1) * 0x10003 + earlier[:n])
         way = None if x is None else np.where(x == said2, 1, np.where(x == said1, 2, 0))
-        way = coder.pick(ends, way, None)
-        _learn(gate, rows, mixed, way, 24, ends[:, -1])
+        way = gate.code(coder, firm2 * 4 + firm1, way, None)
         known = way > 0
-        ends = np.cumsum(high[rows, 0], axis=1)
-        a = coder.pick(ends, None if x is None else (x >> 12) & 15, known)
-        coder.shift(n)
-        miss = np.flatnonzero(~known)
-        _learn(high, miss, zero[: len(miss)], a[miss], 32, ends[miss, -1])
+        a = high.code(coder, zero[:n], None if x is None else (x >> 12) & 15, known)
         a = np.where(known, 0, a)
-        ends = np.cumsum(middle[rows, a], axis=1)
-        b = coder.pick(ends, None if x is None else (x >> 8) & 15, known)
-        _learn(middle, miss, a[miss], b[miss], 32, ends[miss, -1])
+        b = middle.code(coder, a, None if x is None else (x >> 8) & 15, known)
         c = coder.uniform(n, None if x is None else x & 255, 8, known)
         coder.shift(n)
         if wide:
@@ -212,12 +220,12 @@ def _run(coder, sizes: np.ndarray, ids: np.ndarray | None, wide: bool) -> np.nda
             if wide:
                 x |= d << 16
             x = np.where(way == 1, said2, np.where(way == 2, said1, x))
-            out[:n, t] = x
+            out[t, :n] = x
         one.learn(x)
         two.learn(x)
         earlier[:n] = before[:n]
         before[:n] = x
-    return out
+    return out.T
 
 
 def encode_segment(doc_ids: list[int], docs: list[bytes]) -> bytes:
