@@ -1,22 +1,54 @@
-"""A corpus through five operators: quality, toxicity, near duplicates, repeated passages, packing."""
+"""A corpus through five operators: quality, toxicity, near duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame; all but the last return the columns of documents. Classifiers are fitted on the rows that
+their stage gets, with the labels of ``sf_dir``. Rejected documents go; one document of each near-duplicate group stays; repeated passages are cut out of
+texts; what is left is packed into sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from eigenloom.llm.packing import pack_documents
+from eigenloom.llm.quality import fit_quality
 from eigenloom.llm.simhash import keep_first
 from eigenloom.llm.substring_dedup import strip_repeats
+from eigenloom.llm.toxicity import fit_toxicity
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return fit_quality(docs, _labels(spark, sf_dir)).accept(docs)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return fit_toxicity(docs, _labels(spark, sf_dir)).score(docs, reject=True)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_first(docs)
 
 
-def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return strip_repeats(docs)
 
 
-STAGES = [("simhash", near_duplicate_stage), ("substring", repeats_stage)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("repeated_passages", repeated_passage_stage),
+    ("packing", packing_stage),
+]
+#: Classifiers, XXH64 and tokenizers are beyond SQL.
 ORACLE_SQL = None
 
 
