@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .frames import fresh, key, stored
+from .frames import LAST, fresh, key
 
 WINDOW = 50
 PREFIX = 8
@@ -80,25 +80,31 @@ def _prefixes(window: int):
     return run
 
 
-_PIECE = pa.schema([("p", pa.int64()), ("sh", pa.binary()), ("k", pa.int64()), ("th", pa.int64()), ("w", pa.int32()), ("n", pa.int32()), ("d", pa.int32()), ("seg", pa.binary())])
-_PIECE_DDL = "p long, sh binary, k long, th long, w int, n int, d int, seg binary"
+_PIECE = pa.schema([("p", pa.int64()), ("sh", pa.binary()), ("k", pa.int64()), ("th", pa.int64()), ("w", pa.int32()), ("n", pa.int32()), ("d", pa.int32())])
+_PIECE_DDL = "p long, sh binary, k long, th long, w int, n int, d int"
+_TEXT = pa.schema([("p", pa.int64()), ("sh", pa.binary()), ("seg", pa.binary())])
+_TEXT_DDL = "p long, sh binary, seg binary"
 
 
 def _text_hash(buf: np.ndarray, offs: np.ndarray, row: int) -> int:
     return xxhash.xxh64_intdigest(buf[offs[row] : offs[row + 1]].tobytes()) - 2**63
 
 
-def _pieces(window: int):
-    """Of each text, the pieces around anchors whose prefix is in its list; those of heavy prefixes window by window."""
+def _pieces(window: int, k_col: str, text_col: str, ps_col: str, texts: bool):
+    """Of each text, the places of the pieces around anchors whose prefix is in its list; those of heavy prefixes window by window.
+
+    ``texts``: instead the words of the pieces, each once a task at least.
+    """
+    schema = _TEXT if texts else _PIECE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for part, buf, offs in X.slices(batches, "t"):
+        for part, buf, offs in X.slices(batches, text_col):
             words = X.Words(buf, offs)
             doc, prefix, at, lo, hi = anchors(words, window)
             text, starts, ends = words.joined()
             text = text.tobytes()
-            lists, ids = part.column("ps"), part.column("k").to_numpy()
+            lists, ids = part.column(ps_col), part.column(k_col).to_numpy()
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
             wanted = lists.flatten()
             row = np.repeat(np.arange(len(ids)), sizes)
@@ -108,27 +114,30 @@ def _pieces(window: int):
             have = np.rec.fromarrays([doc.astype(np.int64), prefix], names="d,p")
             place = np.minimum(np.searchsorted(mine, have), max(len(mine) - 1, 0))
             hit = np.flatnonzero(mine[place] == have) if len(mine) else np.empty(0, np.int64)
-            cols: dict[str, list] = {f.name: [] for f in _PIECE}
-            put = [cols[f.name].append for f in _PIECE]
-            hashes = {r: _text_hash(buf, offs, r) for r in set(doc[hit].tolist())}
+            cols: list[list] = [[] for _ in schema]
+            put = [c.append for c in cols]
+            hashes = {} if texts else {r: _text_hash(buf, offs, r) for r in set(doc[hit].tolist())}
             for j in hit.tolist():
                 r, a, i, e = int(doc[j]), int(at[j]), int(lo[j]), int(hi[j])
                 p, base = int(prefix[j].view(np.int64)), int(words.first[r])
                 if heavy[place[j]]:
-                    for w in range(i, e + 1):
+                    for w in range(i, e + 1) if not texts else ():
                         sh = xxhash.xxh3_128_digest(text[starts[w] : ends[w + window - 1]])
-                        for f, v in zip(put, (p, sh, int(ids[r]), hashes[r], w - base, 1, -1, None)):
+                        for f, v in zip(put, (p, sh, int(ids[r]), hashes[r], w - base, 1, -1)):
                             f(v)
                     continue
                 seg = text[starts[i] : ends[e + window - 1]]
                 sh = xxhash.xxh3_128_digest(seg, a - i)
-                if len(seen) > 200_000:
-                    seen.clear()
-                new = sh not in seen
-                seen.add(sh)
-                for f, v in zip(put, (p, sh, int(ids[r]), hashes[r], i - base, e - i + 1, a - i, seg if new else None)):
-                    f(v)
-            yield pa.record_batch([pa.array(cols[f.name], f.type) for f in _PIECE], schema=_PIECE)
+                if not texts:
+                    for f, v in zip(put, (p, sh, int(ids[r]), hashes[r], i - base, e - i + 1, a - i)):
+                        f(v)
+                elif sh not in seen:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.add(sh)
+                    for f, v in zip(put, (p, sh, seg)):
+                        f(v)
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return run
 
@@ -177,19 +186,23 @@ def _trees(window: int):
             cols = list(zip(*found)) if found else [[]] * 5
             return pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()))], ["p", "sh", "w0", "w1", "low"])
 
-        rows, words = [], 0
+        rows, words, about = [], 0, None
         for batch in batches:
             ready = []
             for r in zip(*(batch.column(c).to_pylist() for c in ("p", "sh", "lo", "hi", "n", "d", "seg"))):
-                if r[6] is None:  # the prefix is the window itself
-                    if r[2] < r[3]:
+                if r[6] is None:  # what is known of a piece comes before its words
+                    about = r
+                    if r[5] < 0 and r[2] < r[3]:  # the prefix is the window itself
                         ready.append((r[0], r[1], 0, 0, r[2]))
                     continue
+                if about is None or about[1] != r[1]:
+                    continue  # the same words, sent by another task
                 if words >= BUILD_WORDS and rows[-1][0] != r[0]:
                     yield out(_built(rows, window))
                     rows, words = [], 0
-                rows.append(r)
-                words += r[4] + window - 1
+                rows.append((*about[:6], r[6]))
+                words += about[4] + window - 1
+                about = None
             yield out(ready)
         if rows:
             yield out(_built(rows, window))
@@ -197,21 +210,27 @@ def _trees(window: int):
     return run
 
 
-def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """(k, spans): for each id with repeated words the spans ``(th, s, e)``, words s to e - 1 of its text of hash th."""
-    docs = df.select(key(id_col).alias("k"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    pairs = stored(docs.mapInArrow(_prefixes(window), "p long, k long"))
+def _with_spans(df: DataFrame, id_col: str, text_col: str, window: int, group: int = GROUP) -> tuple[DataFrame, str, str]:
+    """The rows with their key and ``spans``: an array of (th, s, e), words s to e - 1 of the key's text with hash th are repeats.
+
+    The table is dealt out by its key twice in one plan, with the same columns, so that Spark reuses the exchange.
+    """
+    k, spans, ps = fresh(df, "__k"), fresh(df, "__spans"), fresh(df, "__ps")
+    base = df.withColumn(k, key(id_col))
+    pairs = df.select(key(id_col).alias("k"), F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(_prefixes(window), "p long, k long")
     shared = pairs.groupBy("p").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
     wanted = pairs.join(shared.select("p", (F.col("c") > group).alias("heavy")), "p")
-    wanted = wanted.groupBy("k").agg(F.collect_set(F.struct("p", "heavy")).alias("ps"))
-    pieces = stored(docs.join(wanted, "k").select("k", "t", "ps").mapInArrow(_pieces(window), _PIECE_DDL))
-    merged = pieces.groupBy("p", "sh").agg(
-        F.min("k").alias("lo"), F.max("k").alias("hi"), F.first("n").alias("n"), F.first("d").alias("d"), F.first("seg", ignorenulls=True).alias("seg")
-    )
-    nodes = merged.repartition("p").sortWithinPartitions("p").mapInArrow(_trees(window), "p long, sh binary, w0 int, w1 int, low long")
+    wanted = wanted.groupBy(F.col("k").alias(k)).agg(F.collect_set(F.struct("p", "heavy")).alias(ps))
+    around = base.join(wanted, k)
+    pieces = around.mapInArrow(_pieces(window, k, text_col, ps, False), _PIECE_DDL)
+    texts = around.mapInArrow(_pieces(window, k, text_col, ps, True), _TEXT_DDL)
+    known = pieces.groupBy("p", "sh").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.first("n").alias("n"), F.first("d").alias("d"))
+    groups = known.withColumn("seg", F.lit(None).cast("binary")).unionByName(texts, allowMissingColumns=True)
+    nodes = groups.repartition("p").sortWithinPartitions("p", "sh", F.asc_nulls_first("seg")).mapInArrow(_trees(window), "p long, sh binary, w0 int, w1 int, low long")
     found = pieces.select("p", "sh", "k", "th", "w").join(nodes, ["p", "sh"]).filter("low < k")
     span = F.struct("th", (F.col("w") + F.col("w0")).alias("s"), (F.col("w") + F.col("w1") + window).alias("e"))
-    return found.groupBy("k").agg(F.collect_list(span).alias("spans"))
+    found = found.groupBy(F.col("k").alias(k)).agg(F.collect_list(span).alias(spans))
+    return base.join(found, k, "left"), k, spans
 
 
 def _removed(part: pa.RecordBatch, spans: str, buf: np.ndarray, offs: np.ndarray, words: X.Words) -> np.ndarray:
@@ -232,12 +251,6 @@ def _removed(part: pa.RecordBatch, spans: str, buf: np.ndarray, offs: np.ndarray
     return np.cumsum(change[:-1]) > 0
 
 
-def _with_spans(df: DataFrame, id_col: str, text_col: str, window: int) -> tuple[DataFrame, str]:
-    k, spans = fresh(df, "__k"), fresh(df, "__spans")
-    found = repeats(df, id_col, text_col, window).withColumnsRenamed({"k": k, "spans": spans})
-    return df.withColumn(k, key(id_col)).join(found, k, "left").drop(k), spans
-
-
 def repeat_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Per row its id, n_words, n_removed and the SHA-256 of its kept words, joined by single spaces."""
 
@@ -260,11 +273,11 @@ def repeat_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     heads, tails = stay[cut], stay[np.r_[cut[1:], len(stay)] - 1] if len(stay) else stay
                     kept = b" ".join(text[starts[x] : ends[y]] for x, y in zip(heads, tails))
                 digests.append(hashlib.sha256(kept).hexdigest())
-            yield pa.record_batch([part.column("doc_id"), pa.array(words.size.astype(np.int64)), pa.array(counts.astype(np.int64)), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.record_batch([pa.array(part.column("k").to_numpy(), mask=part.column("k").to_numpy() == LAST), pa.array(words.size.astype(np.int64)), pa.array(counts.astype(np.int64)), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    marked, spans = _with_spans(docs, "doc_id", "t", window)
-    marked = marked.select("doc_id", "t", F.col(spans).alias("spans"))
+    docs = df.select(key(id_col).alias("k"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    marked, _, spans = _with_spans(docs, "k", "t", window)
+    marked = marked.select("k", "t", F.col(spans).alias("spans"))
     return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -273,7 +286,7 @@ def strip_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A column ``n_chars`` gets the new number of characters.
     """
-    marked, spans = _with_spans(df, id_col, text_col, window)
+    marked, _, spans = _with_spans(df, id_col, text_col, window)
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
