@@ -10,6 +10,22 @@ import numpy as np
 
 #: Words whose ids a worker remembers; beyond it, it starts anew.
 CACHE = 300_000
+#: The pre-tokenizers' patterns of the two kinds of files, over ASCII and the letters of Latin-1.
+_PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
+_BYTE_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\t\n\r A-Za-zÀ-ÖØ-öø-ÿ0-9]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
+_WORD_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\t\n\r A-Za-zÀ-ÖØ-öø-ÿ0-9]+")
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level files: itself if it prints, else the next one from 256 on."""
+    out, more = [], 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+            out.append(chr(b))
+        else:
+            out.append(chr(more))
+            more += 1
+    return out
 
 
 class Encoder:
@@ -17,7 +33,8 @@ class Encoder:
 
     Its pre-tokenizer never joins what stands before and after a space that a non-space follows, so a text may be cut there
     and equal words encoded once. ``lead``: the space belongs to the word after it (byte-level files); otherwise spaces leave
-    no ids. Other white space stays inside the pieces and is left to the library.
+    no ids. Words of ASCII and Latin-1 letters are cut by the pre-tokenizer's pattern here and only their parts go to the
+    library's model, each once; all other words go through the whole library.
     """
 
     def __init__(self, path: str, lead: bool):
@@ -31,18 +48,32 @@ class Encoder:
         self.cut = re.compile(r" (?=\S)")
         self.heads: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        self.cut_parts = (_BYTE_PARTS if lead else _WORD_PARTS).findall
+
+    def _part(self, part: str) -> bytes:
+        spelt = "".join([self.letters[b] for b in part.encode()])
+        ids = np.asarray([t.id for t in self.tokenizer.model.tokenize(spelt)], "<u4").tobytes()
+        self.parts[part] = ids
+        return ids
 
     def _learn(self, cache: dict[str, bytes], words: list[str], before: str) -> None:
-        new = list(dict.fromkeys(w for w in words if w not in cache))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        rare, get, lower = [], self.parts.get, not self.lead
+        for w in dict.fromkeys(w for w in words if w not in cache):
+            if _PLAIN.fullmatch(w):
+                cache[w] = b"".join([get(p) or self._part(p) for p in self.cut_parts(w.lower() if lower else before + w)])
+            else:
+                rare.append(w)
+        for at in range(0, len(rare), 4096):
+            part = rare[at : at + 4096]
             found = self.tokenizer.encode_batch_fast([before + w for w in part], add_special_tokens=False)
             cache.update((w, np.asarray(x.ids, "<u4").tobytes()) for w, x in zip(part, found))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         if len(self.words) + len(self.heads) > CACHE:
-            self.words, self.heads = {}, {}
+            self.words, self.heads, self.parts = {}, {}, {}
         if not self.lead:
             split = [t.split(" ") for t in texts]
             self._learn(self.words, [w for s in split for w in s], "")
