@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from .vectors import matrix, queries_of, sample, search, squares, usable
 
-FIT_ROWS = 20_000
-BRANCH = 12
-LEAF = 100
+FIT_ROWS = 10_000
+BRANCH = 8
+LEAF = 200
 CALIBRATE = 200
 RECALL = 0.95
 
