@@ -29,7 +29,7 @@ BITS = 16
 ROUNDS = 25
 RIDGE = 1e-6
 #: Words that forward-backward takes at once, about.
-STEP_WORDS = 1_500_000
+STEP_WORDS = 1_000_000
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 

@@ -123,10 +123,17 @@ class _Sequences:
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, tuple]]:
-    """Runs (first sequence, how many, ((length, offset), ...)) that hold every length as often as the histogram says."""
+    """Runs (first sequence, how many, ((length, offset), ...)) that hold every length as often as the histogram says.
+
+    The grouped plan, unless taking no length as large (best-fit alone) needs fewer sequences.
+    """
+    return min((_plan(histogram, capacity, small) for small in (SMALL, 1.0)), key=lambda runs: sum(c for _, c, _ in runs))
+
+
+def _plan(histogram: dict[int, int], capacity: int, small: float) -> list[tuple[int, int, tuple]]:
     out = _Sequences(capacity)
     left: dict[int, int] = {}
-    large = sorted((n for n in histogram if n > SMALL * capacity), reverse=True)
+    large = sorted((n for n in histogram if n > small * capacity), reverse=True)
     total = sum(histogram[n] for n in large)
     if total:
         groups: list[list[list[int]]] = []
@@ -169,7 +176,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
             for n, m in q:
                 left[n] = left.get(n, 0) + m
     for n in histogram:
-        if 0 < n <= SMALL * capacity:
+        if 0 < n <= small * capacity:
             left[n] = histogram[n]
     for n in sorted(left, reverse=True):
         out.best_fit(n, left[n])

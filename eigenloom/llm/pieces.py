@@ -28,7 +28,7 @@ from . import textops as X
 
 MARK = "▁"
 BYTE_SCORE = -40_000.0
-CACHE = 300_000
+CACHE = 200_000
 _CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 

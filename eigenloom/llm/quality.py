@@ -103,7 +103,7 @@ class QualityModel:
             for part, buf, offs in X.slices(batches, text_col):
                 doc, bucket = ngrams(X.Words(buf, offs))
                 n = np.bincount(doc, minlength=part.num_rows)
-                weight = np.bincount(doc, ratio[bucket].astype(float), minlength=part.num_rows)
+                weight = np.bincount(doc, ratio[bucket].astype(float), minlength=part.num_rows).astype(float)
                 mean = weight / np.maximum(n, 1)
                 accepted = pa.array(mean >= threshold)
                 if reject:

@@ -36,7 +36,7 @@ WINDOW = 50
 PREFIX = 8
 #: Pieces in one subtree at most, and words built at once.
 GROUP = 32_768
-BUILD_WORDS = 600_000
+BUILD_WORDS = 250_000
 
 
 def anchors(words: X.Words, window: int) -> tuple[np.ndarray, ...]:

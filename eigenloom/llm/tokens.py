@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words whose ids a worker remembers; beyond it, it starts anew.
-CACHE = 300_000
+CACHE = 200_000
 #: The pre-tokenizers' patterns of the two kinds of files, over ASCII and the letters of Latin-1.
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 _BYTE_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\t\n\r A-Za-zÀ-ÖØ-öø-ÿ0-9]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
