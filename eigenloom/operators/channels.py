@@ -40,7 +40,10 @@ def concat_channels(parts: Sequence[tuple[DataFrame, int]], hop: int) -> DataFra
 
 def pool_maps(maps: DataFrame, block: int, how: str | Callable = "max", ragged: str = "pad") -> DataFrame:
     """Reduce every map in blocks; maps of one batch may differ in size."""
+    return _pooled(maps.select(*H.MAP_NAMES), block, how, ragged, [])
 
+
+def _pooled(maps: DataFrame, block: int, how: str | Callable, ragged: str, also: list[str]) -> DataFrame:
     def pooled(it):
         for batch in it:
             for rows, m in same_shape(batch):
@@ -48,10 +51,11 @@ def pool_maps(maps: DataFrame, block: int, how: str | Callable = "max", ragged:
                 n, h, w = out.shape
                 sides = [pa.array(np.full(n, v, np.int32)) for v in (h, w)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(rows[c] for c in H.MAP_NAMES[:3]), *sides, H.lists(out.reshape(n, -1))], names=H.MAP_NAMES
+                    [*(rows[c] for c in H.MAP_NAMES[:3]), *sides, H.lists(out.reshape(n, -1)), *(rows[c] for c in also)],
+                    names=[*H.MAP_NAMES, *also],
                 )
 
-    return maps.select(*H.MAP_NAMES).mapInArrow(pooled, H.MAPS)
+    return maps.mapInArrow(pooled, ", ".join([H.MAPS, *(f"{c} string" for c in also)]))
 
 
 def same_shape(batch: pa.RecordBatch):
@@ -71,16 +75,33 @@ def select_channels(maps: DataFrame, kernels: DataFrame, role: str) -> DataFrame
     return maps.join(F.broadcast(chosen), ["hop", "channel"], "left_semi").select(*H.MAP_NAMES)
 
 
+def pooled_roles(maps: DataFrame, kernels: DataFrame, block: int = 2, how: str | Callable = "max", ragged: str = "pad") -> DataFrame:
+    """Pooled maps of the forwarded and emitted channels with their ``role``: one pass over ``maps``.
+
+    ``kernels`` has a ``role``; three small columns per kernel are broadcast, as in ``select_channels``. Write it with
+    ``partitionBy("role")`` to get both parts from one pass.
+    """
+    chosen = kernels.filter("role <> 'discard'").select("hop", "channel", "role")
+    return _pooled(maps.join(F.broadcast(chosen), ["hop", "channel"]).select(*H.MAP_NAMES, "role"), block, how, ragged, ["role"])
+
+
 def filter_channels(maps: DataFrame, kernels: DataFrame, th1: float = 0.001, th2: float = 0.0001, block: int = 2,
                     how: str | Callable = "max", ragged: str = "pad"):
-    """Pool, then part into ``(forward maps, forward kernels, emit maps, emit kernels, report)``."""
-    kernels = kernels.withColumn("role", K.role(F.col("energy"), th1, th2, F.lit(False)))
-    out = []
+    """Pool, then part into ``(forward maps, forward kernels, emit maps, emit kernels, report)``.
+
+    Each part reads only its own channels; whoever needs both at once takes ``pooled_roles``.
+    """
+    kernels, out = part_kernels(kernels, th1, th2), []
     for role in ("forward", "emit"):
         out += [pool_maps(select_channels(maps, kernels, role), block, how, ragged), kernels.filter(F.col("role") == role)]
     return (*out, K.filter_report(kernels))
 
 
+def part_kernels(kernels: DataFrame, th1: float, th2: float) -> DataFrame:
+    """Kernels with the role that an inner hop gives them."""
+    return kernels.withColumn("role", K.role(F.col("energy"), th1, th2, F.lit(False)))
+
+
 def concat_hops(maps: Sequence[DataFrame]) -> DataFrame:
     """The outputs of several hops in one frame."""
     return reduce(DataFrame.unionByName, maps)

@@ -31,15 +31,15 @@ def image_columns(images: DataFrame, keep=()) -> DataFrame:
 
 
 def usable(part: pa.RecordBatch, sides: dict[str, int], column: str, size: int) -> np.ndarray:
-    """Rows with the expected sides and ``size`` values, none of them missing."""
+    """Rows with the expected sides and ``size`` values, all of them finite numbers."""
     ok = np.ones(part.num_rows, dtype=bool)
     checks = [pc.equal(part[name], want) for name, want in sides.items()]
     for check in (*checks, pc.equal(pc.list_value_length(part[column]), size)):
         ok &= pc.fill_null(check, False).to_numpy(zero_copy_only=False)
     values = part[column].flatten()
-    if values.null_count:
-        holes = pc.list_parent_indices(part[column]).filter(pc.is_null(values))
-        ok[np.unique(holes.to_numpy())] = False
+    fine = pc.fill_null(pc.is_finite(values), False) if pa.types.is_floating(values.type) else pc.is_valid(values)
+    if not pc.all(fine, min_count=0).as_py():
+        ok[np.unique(pc.list_parent_indices(part[column]).filter(pc.invert(fine)).to_numpy())] = False
     return ok
 
 
@@ -297,25 +297,33 @@ def score_dc(images: DataFrame, tree: list[dict], dims) -> DataFrame:
     return union([scored(part) for part in T.lineages(T.slim(tree))])
 
 
-def score_wide(images: DataFrame, tree: list[dict], dims, select: str, keep=(), dtype: str = "double") -> DataFrame | None:
-    """One row per image: all chosen channels end to end, by (hop, channel, row, column).
+def score_wide(images: DataFrame, tree: list[dict], dims, select: str, keep=(), dtype: str = "double") -> DataFrame:
+    """One row per input row: all chosen channels end to end, by (hop, channel, row, column).
 
-    None if the tree must be split: then a task does not see all channels of an image.
+    A large tree is scored by one narrow pass per lineage in the same stage; each appends its channels to the row it is given. So no pass
+    holds more than one lineage, and neither ids nor their uniqueness matter: repeated and null ids keep their own rows at any model size.
     """
     parts = T.lineages(T.slim(tree, check_select(select)), gives)
-    if len(parts) > 1:
-        return None
-    tree, source, kind = parts[0], image_columns(images, keep), OUTPUT[dtype]
-    size = T.tree_bytes(tree, dims)
-    types = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in ("image_id", *keep))
+    rows = image_columns(images, [c for c in keep if c not in COLUMNS])
+    for number, part in enumerate(parts):
+        rows = _widened(rows, part, dims, keep, dtype, number == 0, number == len(parts) - 1)
+    return rows
+
+
+def _widened(rows: DataFrame, tree: list[dict], dims, keep, dtype: str, first: bool, last: bool) -> DataFrame:
+    kind, size = OUTPUT[dtype], T.tree_bytes(tree, dims)
+    given = rows.columns if first else rows.columns[:-1]
+    names = ["image_id", *(c for c in keep if c != "image_id")] if last else given
+    types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
 
     def score(it):
         for part, planes in good_batches(it, dims, size):
             n = part.num_rows
             got = [m.transpose(1, 0, 2, 3).reshape(n, -1) for _, _, ch, m, _ in _score(planes, tree) if ch]
+            if not first:
+                got.insert(0, part["features"].flatten().to_numpy().reshape(n, -1))
             wide = np.concatenate(got, axis=1) if got else np.empty((n, 0))
-            names, wide = ["image_id", *keep], wide.astype(kind, copy=False)
-            yield pa.RecordBatch.from_arrays([*(part[c] for c in names), lists(wide)], names=[*names, "features"])
-
-    return source.mapInArrow(score, f"{types}, features array<{dtype}>")
+            values = lists(wide.astype(kind, copy=False))
+            yield pa.RecordBatch.from_arrays([*(part[c] for c in names), values], names=[*names, "features"])
 
+    return rows.mapInArrow(score, f"{types}, features array<{dtype}>")

@@ -38,12 +38,20 @@ def explode_values(patches: DataFrame, *keys: str, column: str = "f") -> DataFra
     return patches.select(*keys, F.posexplode(column).alias("k", "value"))
 
 
-def maps_from_values(values: DataFrame, hop: int, height: int, width: int) -> DataFrame:
-    """``maps`` rows from ``(image_id, channel, r, c, value)``.
+def maps_from_values(values: DataFrame, hop: int | None, height: int, width: int) -> DataFrame:
+    """``maps`` rows from ``(image_id, channel, r, c, value)``; with ``hop=None`` the column ``hop`` of ``values`` is part of the key.
 
+    Every cell of a map must be there exactly once, or the map's row is an error.
     One group is one channel of one image, so its size is the map's and does not grow with the table.
     """
+    number = F.col("hop") if hop is None else F.lit(hop)
     cells = F.sort_array(F.collect_list(F.struct("r", "c", "value")))
-    return values.groupBy("image_id", "channel").agg(F.transform(cells, lambda s: s["value"]).alias("v")).select(
-        "image_id", F.lit(hop).alias("hop"), "channel", F.lit(height).alias("height"), F.lit(width).alias("width"), "v"
+    keyed = values.select("image_id", number.cast("int").alias("hop"), "channel", "r", "c", "value")
+    places = F.transform("cells", lambda s: (s["r"] * width + s["c"]).cast("int"))
+    inside = F.forall("cells", lambda s: (s["c"] >= 0) & (s["c"] < width))
+    whole = F.coalesce((places == F.sequence(F.lit(0), F.lit(height * width - 1))) & inside, F.lit(False))
+    wrong = F.raise_error(F.format_string(f"image %s, channel %s: not every cell of a {height} x {width} map occurs exactly once", "image_id", "channel"))
+    v = F.when(whole, F.transform("cells", lambda s: s["value"])).otherwise(wrong)
+    return keyed.groupBy("image_id", "hop", "channel").agg(cells.alias("cells")).select(
+        "image_id", "hop", "channel", F.lit(height).alias("height"), F.lit(width).alias("width"), v.alias("v")
     )

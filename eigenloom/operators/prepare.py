@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .vectors import finite
+
 BUCKET_DIGITS = 4  # hexadecimal digits: at most 65,536 buckets, whatever the number of rows
 BROADCAST_KEYS = 2_000_000  # ids sent to every task, some tens of megabytes
 BOUNDARY_ROWS = 100_000  # ids that may be sorted in one task to find the edge of a subset
 
 
 def shape_audit(images: DataFrame) -> DataFrame:
-    """Images per shape, and how many of them lack pixels: one row per shape, counted on the map side."""
-    whole = (F.size("pixels") == F.col("height") * F.col("width") * F.col("channels")) & ~F.exists(
-        "pixels", lambda x: x.isNull()
+    """Images per shape, and how many of them lack finite pixels: one row per shape, counted on the map side."""
+    whole = (F.size("pixels") == F.col("height") * F.col("width") * F.col("channels")) & F.forall(
+        "pixels", lambda x: F.coalesce(finite(x.cast("double")), F.lit(False))
     )
     broken = F.count(F.when(~F.coalesce(whole, F.lit(False)), 1))
     return images.groupBy("height", "width", "channels").agg(

@@ -65,33 +65,81 @@ def patch_rows(ids: np.ndarray, first_row: int, rows: int, cols: int, values: np
     return pa.RecordBatch.from_arrays(columns, names=[*KEYS, name])
 
 
-def invert(coefs: DataFrame, node: dict, spec: HopSpec, exact: bool = True) -> DataFrame:
+def invert(coefs: DataFrame, node: dict, spec: HopSpec, exact: bool = True, dc: DataFrame | None = None) -> DataFrame:
     """Patches back from their coefficients: ``(image_id, r, c, f)``.
 
     The kernel of the patch mean has norm ``1/sqrt(L)``, so the plain formula scales that part by ``1/L``.
     ``exact`` multiplies it by L first; ``exact=False`` gives the plain formula.
+    ``dc``: the rows ``(image_id, hop, node, v)`` of the same node, if at hand; another number of patches than ``coefs`` has is an error.
     """
-    w, mean = node["weights"], node["mean"]
-    b = node["bias"] if spec.need_bias else 0.0
-    dc_energy, use_dc = node["dc_energy"], node["use_dc"]
+    if dc is not None:
+        require_same_patches(coefs, dc)
 
     def back(it):
         for part in it:
-            y = part["y"].flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, len(w)).copy()
-            if use_dc:
-                y[:, 0] += b
-                if exact:
-                    y[:, 0] *= dc_energy
-            x = y @ w - b + mean
-            yield pa.RecordBatch.from_arrays([*(part[k] for k in KEYS), H.lists(x)], names=[*KEYS, "f"])
+            y = part["y"].flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).T
+            yield pa.RecordBatch.from_arrays([*(part[k] for k in KEYS), H.lists(_back(y, node, spec, exact).T)], names=[*KEYS, "f"])
 
     return coefs.select(*KEYS, "y").mapInArrow(back, "image_id bigint, r int, c int, f array<double>")
 
 
+def _back(y: np.ndarray, node: dict, spec: HopSpec, exact: bool) -> np.ndarray:
+    """Patch columns ``(K, patches)`` from coefficient columns."""
+    b, y = node["bias"] if spec.need_bias else 0.0, y.copy()
+    if node["use_dc"]:
+        y[0] += b
+        if exact:
+            y[0] *= node["dc_energy"]
+    return node["weights"].T @ y - b + node["mean"][:, None]
+
+
+def require_same_patches(coefs: DataFrame, dc: DataFrame) -> None:
+    """An error unless there is one patch mean for each row of coefficients; one aggregate over both."""
+    ones = coefs.select(F.lit(1).alias("y"), F.lit(0).alias("d"))
+    both = ones.unionByName(dc.select(F.lit(0).alias("y"), F.coalesce(F.greatest(F.size("v"), F.lit(0)), F.lit(0)).alias("d")))
+    n = both.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("y"), F.coalesce(F.sum("d"), F.lit(0)).alias("d")).first()
+    if n.y != n.d:
+        raise ValueError(f"{n.y} rows of coefficients do not go with {n.d} patch means")
+
+
 def reconstruction_error(a: DataFrame, b: DataFrame, keys=KEYS, column: str = "f") -> DataFrame:
-    """One row: mean absolute difference over all values, and the number of rows compared."""
-    other = b.select(*keys, F.col(column).alias("_g"))
-    gap = P.total(F.zip_with(column, "_g", lambda x, y: F.abs(x - y)))
-    return a.join(other, list(keys)).agg(
-        (F.sum(gap) / F.sum(F.size(column))).alias("mae"), F.count(F.lit(1)).alias("n")
+    """One row: mean absolute difference over all values of matching rows, and how many rows ``n`` that is.
+
+    Rows of one side only, a null key among them, are counted in ``n_left_only`` and ``n_right_only``; pairs of unlike length or
+    with null values in ``n_unlike``. None of these is part of ``mae``, which is null if nothing matches. For the error of a fitted node
+    ``round_trip_error`` needs no join.
+    """
+    left = a.select(*keys, F.col(column).alias("_f"), F.lit(True).alias("_a"))
+    right = b.select(*keys, F.col(column).alias("_g"), F.lit(True).alias("_b"))
+    gap, both = P.total(F.zip_with("_f", "_g", lambda x, y: F.abs(x - y))), F.col("_a") & F.col("_b")
+    pairs = left.join(right, list(keys), "full_outer").withColumn("_gap", F.when(F.size("_f") == F.size("_g"), gap))
+    like = both & F.col("_gap").isNotNull()
+    return pairs.agg(
+        (F.sum(F.when(like, F.col("_gap"))) / F.sum(F.when(like, F.size("_f")))).alias("mae"),
+        F.count(F.when(like, 1)).alias("n"),
+        F.count(F.when(F.col("_b").isNull(), 1)).alias("n_left_only"),
+        F.count(F.when(F.col("_a").isNull(), 1)).alias("n_right_only"),
+        F.count(F.when(both & F.col("_gap").isNull(), 1)).alias("n_unlike"),
     )
+
+
+def round_trip_error(images: DataFrame, tree: list[dict], dims, hop: int = 0, node: int = 0, exact: bool = True) -> DataFrame:
+    """One row: mean absolute error ``mae`` of the patches of one node on their way to coefficients and back, and their number ``n``.
+
+    Both ends of the way are in the same pass, so nothing is joined and a task sends one row.
+    """
+    spec, one = tree[hop]["spec"], {**tree[hop]["nodes"][node], "source": 0 if hop else node}
+    above = T.leading_to(T.slim(tree[:hop]), [node])
+    size = T.tree_bytes(above, dims)
+
+    def compare(it):
+        gap, values, n = 0.0, 0, 0
+        for _, planes in H.good_batches(it, dims, size):
+            for _, _, x in B.patch_chunks(H.node_input(H.advance(planes, above), spec, one), spec):
+                y = B.coefficients(x.copy(), spec, one, list(range(len(one["weights"]))))
+                gap += float(np.abs(_back(y, one, spec, exact) - x).sum())
+                values, n = values + x.size, n + x.shape[1]
+        yield pa.RecordBatch.from_pydict({"gap": [gap], "cells": [values], "n": [n]})
+
+    partial = H.image_columns(images).mapInArrow(compare, "gap double, cells bigint, n bigint")
+    return partial.agg((F.sum("gap") / F.sum("cells")).alias("mae"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))

@@ -1,72 +1,125 @@
-"""Means, covariance and DC variance as queries on the small ``stats`` table, and row-wise centring.
+"""Means, covariance and DC variance from the small ``stats`` table, and row-wise centring.
 
-``stats`` has one row per node and Gram cell, so these joins and windows work on K x K rows per node,
-however many patches went into the sums.
+``stats`` has one row per node and Gram cell. Each result is one group-wise pass over K x K rows per node, however many patches went into
+the sums, so the data behind ``stats`` is read once for each result.
+
+Sums are taken relative to a shift, because ``G/N - mm'`` loses the digits that a large offset takes. A shift that was measured here travels
+in ``stats`` (rows with ``j = -2``) and is added back to the means; one that the caller gave is not.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import blocks as B
 from ..functions import pixels as P
-from ..spec import HopSpec
+from ..spec import HopSpec, check_hops
 from . import hops as H
 from . import vectors as V
 
+LOOK = 1024  # rows whose mean is the shift; any shift gives the same results up to rounding
+
 
 def row_stats(rows: DataFrame, k: int, shift: np.ndarray | None = None, column: str = "f") -> DataFrame:
     """``stats`` of any frame with an array column of length ``k`` (patches or plain vectors).
 
-    Short rows are summed by generated JVM code, long ones by matrix products on Arrow batches.
+    Short rows are summed by generated JVM code, long ones by matrix products on Arrow batches. ``shift=None``: the mean of the first rows.
     """
-    one = F.lit(1)
+    given = shift is not None
+    if not given:
+        seen = [r[0] for r in rows.select(column).filter(F.size(column) == k).head(LOOK)]
+        shift = _middle(np.array([v for v in seen if None not in v], dtype=np.float64).reshape(-1, k))
+    shift, one = np.asarray(shift, dtype=np.float64), F.lit(1)
     images = rows.select(F.lit(0).cast("bigint").alias("image_id"), one.alias("height"), one.alias("width"),
                          F.lit(k).alias("channels"), F.col(column).alias("pixels"))
-    shift = np.zeros(k) if shift is None else np.asarray(shift, dtype=np.float64)
     if k <= V.MAX_K:
-        return V.vector_stats(images, shift)
-    return H.image_stats(images, [], HopSpec(window=1, stride=1), shift[None], (1, 1, k))
+        stats = V.vector_stats(images, shift)
+    else:
+        stats = H.image_stats(images, [], HopSpec(window=1, stride=1), shift[None], (1, 1, k))
+    return stats if given else carry_shift(stats, shift[None])
+
+
+def patch_stats(images: DataFrame, dims, spec: HopSpec) -> DataFrame:
+    """``stats`` of the patches of a first hop, per channel if the spec says so, relative to the mean patch of the first image."""
+    spec, (h, w, c) = check_hops([spec], 1)[0], dims
+    nodes, k = (c if spec.channelwise else 1), B.map_shape(h, w, 1 if spec.channelwise else c, spec)[2]
+    row = images.select("pixels").filter(F.size("pixels") == h * w * c).head(1)
+    shift = np.zeros((nodes, k))
+    if row and None not in row[0].pixels:
+        planes = np.asarray(row[0].pixels, dtype=np.float64).reshape(1, h, w, c).transpose(3, 0, 1, 2)
+        for i in range(nodes):
+            chunks = B.patch_chunks(H.node_input(planes, spec, {"source": i}), spec)
+            shift[i] = _middle(np.concatenate([x for _, _, x in chunks], axis=1).T)
+    return carry_shift(H.image_stats(images, [], spec, shift, dims), shift)
+
+
+def _middle(rows: np.ndarray) -> np.ndarray:
+    rows = rows[np.isfinite(rows).all(axis=1)]
+    return rows.mean(axis=0) if len(rows) else np.zeros(rows.shape[1])
+
+
+def carry_shift(stats: DataFrame, shift: np.ndarray) -> DataFrame:
+    """``stats`` with the shift of its nodes, by node, in rows ``j = -2``; written into the plan, no scan."""
+    cells = [(n, i, -2, float(v)) for n, row in enumerate(shift) for i, v in enumerate(row) if v]
+    return stats.unionByName(stats.sparkSession.createDataFrame(cells, "node int, i int, j int, s double")) if cells else stats
 
 
 def counts(stats: DataFrame) -> DataFrame:
     return stats.filter("node >= 0 and i = -1").select("node", F.col("s").cast("bigint").alias("n"))
 
 
+def _by_node(stats: DataFrame, schema: str, rows: Callable) -> DataFrame:
+    """One row set per node from ``rows(n, mean relative to the shift, population covariance, shift)``."""
+
+    def one(key, pdf):
+        i, j, s = (pdf[c].to_numpy() for c in "ijs")
+        first = (i >= 0) & (j == -1)
+        k, n = int(first.sum()), float(s[i == -1].sum())
+        if n == 0:  # nothing but a shift
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        m, shift, gram = np.zeros(k), np.zeros(k), np.zeros((k, k))
+        m[i[first]], shift[i[j == -2]] = s[first] / n, s[j == -2]
+        upper = j >= 0
+        gram[i[upper], j[upper]] = gram[j[upper], i[upper]] = s[upper]
+        out = rows(n, m, gram / n - np.outer(m, m), shift)
+        return pd.DataFrame({"node": int(key[0]), **out})
+
+    return stats.filter("node >= 0").groupBy("node").applyInPandas(one, schema)
+
+
+def _cells(value: np.ndarray) -> dict:
+    i, j = np.indices(value.shape)
+    return {"i": i.ravel(), "j": j.ravel(), "value": value.ravel()}
+
+
 def feature_means(stats: DataFrame) -> DataFrame:
-    """``(node, k, value)``, relative to the shift the sums were taken with."""
-    sums = stats.filter("i >= 0 and j = -1").select("node", F.col("i").alias("k"), "s")
-    return sums.join(counts(stats), "node").select("node", "k", (F.col("s") / F.col("n")).alias("value"))
+    """``(node, k, value)``; relative to the shift if the caller gave one."""
+    return _by_node(stats, "node int, k int, value double", lambda n, m, c, shift: {"k": np.arange(len(m)), "value": m + shift})
 
 
 def covariance(stats: DataFrame) -> DataFrame:
     """``(node, n, i, j, value)``: population covariance of the features, both triangles."""
-    gram = stats.filter("j >= 0").select("node", "i", "j", "s")
-    both = gram.unionByName(gram.filter("i < j").select("node", F.col("j").alias("i"), F.col("i").alias("j"), "s"))
-    m = feature_means(stats)
-    mi = m.select("node", F.col("k").alias("i"), F.col("value").alias("mi"))
-    mj = m.select("node", F.col("k").alias("j"), F.col("value").alias("mj"))
-    value = F.col("s") / F.col("n") - F.col("mi") * F.col("mj")
-    return both.join(counts(stats), "node").join(mi, ["node", "i"]).join(mj, ["node", "j"]).select(
-        "node", "n", "i", "j", value.alias("value")
-    )
+    return _by_node(stats, "node int, n bigint, i int, j int, value double", lambda n, m, c, _: {"n": int(n), **_cells(c)})
 
 
 def residual_covariance(stats: DataFrame, ddof: int = 1) -> DataFrame:
     """``(node, i, j, value)`` after each patch lost its own mean: the covariance centred on both sides."""
-    side_i, side_j, all_ = (Window.partitionBy("node", *k) for k in (["i"], ["j"], []))
-    c = F.col("value")
-    centred = c - F.avg(c).over(side_i) - F.avg(c).over(side_j) + F.avg(c).over(all_)
-    return covariance(stats).select(
-        "node", "i", "j", (centred * F.col("n") / F.greatest(F.col("n") - ddof, F.lit(1))).alias("value")
-    )
+
+    def centred(n, m, c, _):
+        side = c.mean(axis=0)
+        return _cells((c - side - side[:, None] + side.mean()) * (n / max(n - ddof, 1.0)))
+
+    return _by_node(stats, "node int, i int, j int, value double", centred)
 
 
 def dc_variance(stats: DataFrame) -> DataFrame:
     """``(node, value)``: K times the population variance of the patch means."""
-    k = F.sqrt(F.count(F.lit(1)))
-    return covariance(stats).groupBy("node").agg((F.sum("value") / k).alias("value"))
+    return _by_node(stats, "node int, value double", lambda n, m, c, _: {"value": [c.sum() / len(m)]})
 
 
 # ---- row by row ----

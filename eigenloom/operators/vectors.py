@@ -7,7 +7,7 @@ Python and only the columns in use are read. Longer vectors take the Arrow pass
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -33,9 +33,14 @@ def elements(k: int) -> list[Column]:
 
 
 def malformed(k: int) -> Column:
-    """True where a row is not a 1 x 1 x K image with all values present."""
+    """True where a row is not a 1 x 1 x K image with finite numbers only."""
     shape = (F.col("height") == 1) & (F.col("width") == 1) & (F.col("channels") == k) & (F.size("pixels") == k)
-    return ~F.coalesce(shape, F.lit(False)) | reduce(add, elements(k)).isNull()
+    return ~F.coalesce(reduce(and_, map(finite, elements(k)), shape), F.lit(False))
+
+
+def finite(x: Column) -> Column:
+    """NaN counts as larger than infinity."""
+    return F.abs(x) < F.lit(float("inf"))
 
 
 def vector_stats(images: DataFrame, shift: np.ndarray) -> DataFrame:

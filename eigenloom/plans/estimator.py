@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import blocks as B
-from ..operators import channels as C
 from ..operators import hops as H
 from ..operators import kernels as K
 from ..operators import trees as T
@@ -44,7 +43,7 @@ class SubspaceEstimator(Estimator):
         dims = (row.height, row.width, row.channels)
         if None in dims or row.pixels is None or len(row.pixels) != row.height * row.width * row.channels:
             raise ValueError(f"image {row.image_id} does not have the pixels its shape asks for")
-        if None in row.pixels:
+        if None in row.pixels or not np.isfinite(np.asarray(row.pixels, dtype=np.float64)).all():
             raise ValueError(f"image {row.image_id} misses pixels")
         h, w, c = dims
         sample = np.asarray(row.pixels, dtype=np.float64).reshape(1, h, w, c).transpose(3, 0, 1, 2)
@@ -216,16 +215,11 @@ class SubspaceModel(Model):
         return self.transform_maps(images)
 
     def features(self, images: DataFrame, select: str = "emit", keep: Sequence[str] = (), dtype: str = "double") -> DataFrame:
-        """One row per image: ``image_id``, the columns in ``keep`` and ``features``, an array."""
+        """One row per input row: ``image_id``, the columns in ``keep`` and ``features``, an array. Narrow at every model size."""
         if self.vectors:
             node, spec = self._only()
             return _cast(V.vector_wide(images, node, spec, self._chosen(select), keep), "features", dtype)
-        wide = H.score_wide(images, self.tree, self.dims, select, tuple(keep), dtype)
-        if wide is not None:
-            return wide
-        joined = C.wide_features(self.transform_maps(images, select, dtype))
-        return images.select("image_id", *keep).join(joined, "image_id", "left").withColumn(
-            "features", F.coalesce("features", F.array().cast(f"array<{dtype}>")))
+        return H.score_wide(images, self.tree, self.dims, select, tuple(keep), dtype)
 
     def dc(self, images: DataFrame) -> DataFrame:
         """``dc``: the patch means of each node after centring and bias."""

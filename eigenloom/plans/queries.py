@@ -276,10 +276,18 @@ def patch_covariance(spark, sf):
 @query(covariance_sql(COLOUR, 3, 9))
 def patch_covariance_wide(spark, sf):
     """36 features: summed by matrix products on Arrow batches."""
-    stats = H.image_stats(colour(spark, sf), [], HopSpec(window=3), np.zeros((1, 36)), COLOUR)
+    stats = S.patch_stats(colour(spark, sf), COLOUR, HopSpec(window=3))
     return S.residual_covariance(stats).select("i", "j", num("value", 9).alias("value"))
 
 
+@query(covariance_sql(COLOUR, 3, 6))
+def patch_covariance_offset(spark, sf):
+    """The same covariance with 1e8 added to every pixel: a constant must not cost digits."""
+    moved = colour(spark, sf).withColumn("pixels", F.transform("pixels", lambda x: x.cast("double") + 1e8))
+    stats = S.patch_stats(moved, COLOUR, HopSpec(window=3))
+    return S.residual_covariance(stats).select("i", "j", num("value", 6).alias("value"))
+
+
 @query(Q.with_(Q.IMG, Q.patches(*GREY, 3, 1)) + f"SELECT {Q.r('9 * var_pop(d)', 9)} AS value "
        "FROM (SELECT avg(x) AS d FROM pt GROUP BY image_id, r, c)")
 def dc_variance(spark, sf):
@@ -310,7 +318,7 @@ WIDE = " UNION ALL ".join(f"SELECT node, image_id, r, c, {i} AS k, x{i} AS x FRO
        f"{Q.r('covar_samp(a.z, b.z)', 9)} AS value FROM z a JOIN z b USING (node, image_id, r, c) GROUP BY node, a.k, b.k")
 def channel_covariance(spark, sf):
     """Every channel on its own, all in one job."""
-    stats = H.image_stats(colour(spark, sf), [], HopSpec(channelwise=True), np.zeros((4, 4)), COLOUR)
+    stats = S.patch_stats(colour(spark, sf), COLOUR, HopSpec(channelwise=True))
     return S.residual_covariance(stats).select("node", "i", "j", num("value", 9).alias("value"))
 
 
@@ -370,7 +378,7 @@ def kernel_invariants(spark, sf):
     images = colour(spark, sf)
     spec = HopSpec(window=3, use_dc=False)
     kernels = SubspaceEstimator([spec]).fit(images).kernels(spark)
-    cov = S.residual_covariance(H.image_stats(images, [], spec, np.zeros((1, 36)), COLOUR))
+    cov = S.residual_covariance(S.patch_stats(images, COLOUR, spec))
     trace = F.sum(F.when(F.col("i") == F.col("j"), F.col("value"))).over(Window.partitionBy("node"))
     w = kernels.select("kidx", "energy", F.posexplode("weights").alias("i", "w"))
     turned = (
@@ -475,18 +483,29 @@ def inverse_plain(spark, sf):
 def inverse_error(spark, sf):
     """Mean absolute error of the way there and back, on vectors of 64 values, for all flag settings."""
     vectors = I.vectors_from_array(table(spark, sf, "embeddings"), "vec_id", "embedding", 64)
-    patches = PT.patch_table(vectors, (1, 1, 64), HopSpec(window=1))
     out = []
     for use_dc in (True, False):
         for need_bias in (False, True):
             model = SubspaceEstimator([HopSpec(window=1, use_dc=use_dc, need_bias=need_bias)]).fit(vectors)
-            node, spec = model.tree[0]["nodes"][0], model.tree[0]["spec"]
-            back = E.invert(E.coefficients(vectors, model.tree, model.dims), node, spec)
-            error = E.reconstruction_error(patches, back)
+            error = E.round_trip_error(vectors, model.tree, model.dims)
             out.append(error.select(F.lit(use_dc).alias("use_dc"), F.lit(need_bias).alias("need_bias"), num("mae", 9).alias("mae"), "n"))
     return C.concat_hops(out)
 
 
+@query("SELECT 0.0::DOUBLE AS mae, count(*) FILTER (vec_id % 4 <> 1 AND vec_id % 7 <> 2) AS n, "
+       "count(*) FILTER (vec_id % 4 <> 1 AND vec_id % 7 = 2) AS n_left_only, "
+       "count(*) FILTER (vec_id % 4 = 1 AND vec_id % 7 <> 2) AS n_right_only, 0::BIGINT AS n_unlike FROM embeddings")
+def inverse_error_unmatched(spark, sf):
+    """Patches and their reconstruction as two tables, each short of other rows: what has no partner is counted."""
+    vectors = I.vectors_from_array(table(spark, sf, "embeddings"), "vec_id", "embedding", 64)
+    model = SubspaceEstimator([HopSpec(window=1)]).fit(vectors)
+    coefs = E.coefficients(vectors, model.tree, model.dims)
+    back = E.invert(coefs, model.tree[0]["nodes"][0], model.tree[0]["spec"], dc=model.dc(vectors))
+    patches = PT.patch_table(vectors, (1, 1, 64), HopSpec(window=1))
+    error = E.reconstruction_error(patches.filter("image_id % 4 <> 1"), back.filter("image_id % 7 <> 2"))
+    return error.withColumn("mae", num("mae", 9))
+
+
 def fit3(source: str) -> list[str]:
     """Kernels ``kn`` of the three columns of ``it``."""
     return [
@@ -872,9 +891,7 @@ def step_joint_energy(spark, sf):
        f"{Q.r('v', 5)} AS value FROM h_p WHERE role <> 'discard'")
 def step_filter(spark, sf):
     kernels, maps, _ = fit_joint(grey(spark, sf), spec=STEP)
-    forward, _, emit, _, _ = C.filter_channels(maps, kernels, 0.249, 0.24853)
-    both = forward.withColumn("role", F.lit("forward")).unionByName(emit.withColumn("role", F.lit("emit")))
-    return cells(both, "role", "channel")
+    return cells(C.pooled_roles(maps, C.part_kernels(kernels, 0.249, 0.24853)), "role", "channel")
 
 
 STEP2_SQL = [*STEP_SQL, Q.pool("h_p", "h_o", 7, 2, "max", "pad", "image_id, channel, role"), Q.children("h"),
@@ -933,7 +950,7 @@ def custom_concat(spark, sf):
 
 @query("SELECT t AS tbl, 0::BIGINT AS n FROM (VALUES ('dc'), ('kernels'), ('maps'), ('nodes')) v(t)")
 def save_load_difference(spark, sf):
-    """Rows that differ between a model and its reloaded copy, in every table."""
+    """Groups that differ between a model and its reloaded copy, in every table: by number of rows and sum of their hashes."""
     images, model = two_hops(spark, sf)
     path = scratch_path(spark, "model")
     save_model(model, spark, path)
@@ -944,6 +961,37 @@ def save_load_difference(spark, sf):
         "maps": (model.transform_maps(images, "all"), again.transform_maps(images, "all")),
         "nodes": (model.nodes(spark), again.nodes(spark)),
     }
-    out = [a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("tbl"), "n")
-           for t, (a, b) in pairs.items()]
-    return C.concat_hops(out)
+    return C.concat_hops([differing_groups(a, b).select(F.lit(t).alias("tbl"), "n") for t, (a, b) in pairs.items()])
+
+
+def differing_groups(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row ``n``: hops and channels (or nodes) whose rows differ. Only a count and a hash sum per group leave a task."""
+    keys = ["hop", "channel" if "channel" in a.columns else "node"]
+    value = F.xxhash64(*a.columns).cast("decimal(38,0)")
+    sides = [df.select(*keys, value.alias("x"), F.lit(sign).alias("one")) for df, sign in ((a, 1), (b, -1))]
+    sums = sides[0].unionByName(sides[1]).groupBy(*keys).agg(F.sum("one").alias("rows"), F.sum(F.col("x") * F.col("one")).alias("x"))
+    return sums.agg(F.count(F.when((F.col("rows") != 0) | (F.col("x") != 0), 1)).alias("n"))
+
+
+# ---- settings ----
+
+
+@query("SELECT 2 AS depth, hop, CAST(n AS BIGINT) AS n_kernels FROM (SELECT 0 AS hop, 4 AS n UNION ALL SELECT 1, 16) t "
+       "WHERE EXISTS (SELECT 1 FROM embeddings)")
+def depth_clamp(spark, sf):
+    """Depth 5 with two specs gives two hops; with threshold 0 all four kernels go on, each to four kernels."""
+    images = grey(spark, sf)
+    model = SubspaceEstimator([SLIDE, SLIDE], depth=5, th1=0.0, th2=0.0).fit(images)
+    return model.kernels(spark).groupBy("hop").agg(F.count(F.lit(1)).alias("n_kernels")).select(F.lit(model.depth).alias("depth"), "hop", "n_kernels")
+
+
+@query("SELECT column_name AS name, CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'DOUBLE[]' THEN 'array<double>' "
+       "ELSE lower(data_type) END AS type, n FROM information_schema.columns JOIN (" + " UNION ALL ".join(
+           f"SELECT '{c}' AS column_name, count({c}) AS n FROM embeddings" for c in ("vec_id", "embedding", "label"))
+       + ") USING (column_name) WHERE table_name = 'embeddings'")
+def column_types(spark, sf):
+    """Names and types from the schema, with the number of values that are not null."""
+    data = table(spark, sf, "embeddings")
+    filled = data.agg(*[F.count(c).alias(c) for c in data.columns])
+    long = filled.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in data.columns])))
+    return A.summary_types(data).join(F.broadcast(long), "name")

@@ -47,10 +47,11 @@ class ChannelwiseHop:
     def transform(self, maps: DataFrame) -> DataFrame:
         """Each map row becomes one row per kernel of its channel; other channels are left out. No shuffle."""
         spec, hop, shape = self.spec, self.hop, self.shape
+        most = max((len(n["weights"]) for n in self.nodes), default=1)
         nodes = dict(zip(self.channels, T.slim([{"spec": spec, "nodes": self.nodes}], "all")[0]["nodes"]))
 
         def score(it):
-            for ch, rows, planes, bad in channel_batches(it, shape):
+            for ch, rows, planes, bad in channel_batches(it, shape, most):
                 if bad:
                     raise ValueError(f"{bad} maps do not have the fitted shape {shape} or miss values")
                 if ch in nodes:
@@ -61,20 +62,30 @@ class ChannelwiseHop:
         return maps.select(*H.MAP_NAMES).mapInArrow(score, H.MAPS)
 
 
-def channel_batches(it, shape):
-    """Yield ``(channel, rows, planes (1, n, H, W), malformed)`` from batches of ``maps``."""
+def channel_batches(it, shape, copies: int = 1):
+    """Yield ``(channel, rows, planes (1, n, H, W), malformed)`` from batches of ``maps``.
+
+    ``copies``: maps that come out of one; slices are cut so that all of them stay within BATCH_BYTES. A slice is sorted by channel once.
+    """
     h, w = shape
-    for batch in it:
-        ok = H.usable(batch, {"height": h, "width": w}, "v", h * w)
-        bad = int((~ok).sum())
-        batch = batch.filter(pa.array(ok)) if bad else batch
-        channels = batch["channel"].to_numpy(zero_copy_only=False)
-        if bad:
-            yield None, None, None, bad
-        for ch in np.unique(channels):
-            rows = batch.filter(pa.array(channels == ch))
-            v = rows["v"].flatten().to_numpy(zero_copy_only=False)
-            yield int(ch), rows, np.array(v.reshape(1, -1, h, w), dtype=np.float64), 0
+    step = max(1, H.BATCH_BYTES // max(1, 8 * h * w * (1 + copies)))
+    for whole in it:
+        for at in range(0, whole.num_rows, step):
+            batch = whole.slice(at, step)
+            ok = H.usable(batch, {"height": h, "width": w}, "v", h * w)
+            bad = int((~ok).sum())
+            if bad:
+                batch = batch.filter(pa.array(ok))
+                yield None, None, None, bad
+            channels = batch["channel"].to_numpy(zero_copy_only=False)
+            order = np.argsort(channels, kind="stable")
+            batch, channels = batch.take(pa.array(order)), channels[order]
+            ends = np.flatnonzero(np.diff(channels)) + 1
+            for lo, hi in zip(np.r_[0, ends], np.r_[ends, len(channels)]):
+                if hi > lo:
+                    rows = batch.slice(int(lo), int(hi - lo))
+                    v = rows["v"].flatten().to_numpy(zero_copy_only=False)
+                    yield int(channels[lo]), rows, np.array(v.reshape(1, -1, h, w), dtype=np.float64), 0
 
 
 def fit_channelwise(maps: DataFrame, energy: Mapping[int, float] | None = None, spec: HopSpec = FUNCTIONAL):
