@@ -14,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most ``rows`` rows in an Arrow batch, a smaller setting of the session stays: a batch of whole texts, and Spark's buffers for it, then hold a few MB."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def key(col: str | Column) -> Column:
     """An id as a long; null counts as the largest one."""
     return F.coalesce((F.col(f"`{col}`") if isinstance(col, str) else col).cast("long"), F.lit(LAST))
