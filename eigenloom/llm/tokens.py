@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
-#: Words whose ids a worker remembers; beyond it, it starts anew.
-CACHE = 200_000
+#: Words, and parts of words, whose ids a worker remembers at least; it holds at most twice as many and those of one call.
+CACHE = 150_000
 #: The pre-tokenizers' patterns of the two kinds of files, over ASCII and the letters of Latin-1.
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 _BYTE_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\t\n\r A-Za-zÀ-ÖØ-öø-ÿ0-9]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
@@ -28,6 +28,30 @@ def byte_letters() -> list[str]:
     return out
 
 
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class Recent(dict):
+    """Ids by text. Beyond ``CACHE`` entries ``turn`` sets them aside, and those used again come back; the others go with the next turn."""
+
+    aside: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self) > CACHE:
+            self.aside = dict(self)
+            self.clear()
+
+    def back(self, text: str) -> bytes | None:
+        found = self.aside.get(text)
+        if found is not None:
+            self[text] = found
+        return found
+
+
 class Encoder:
     """Ids as the ``tokenizers`` library gives them, special strings read as ordinary text.
 
@@ -46,42 +70,44 @@ class Encoder:
         self.lead = lead
         self.odd = re.compile(r" (?:\s|\Z)")
         self.cut = re.compile(r" (?=\S)")
-        self.heads: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.letters = byte_letters()
+        self.heads, self.words, self.parts = Recent(), Recent(), Recent()
+        self.letters = dict(enumerate(byte_letters()))
         self.cut_parts = (_BYTE_PARTS if lead else _WORD_PARTS).findall
 
     def _part(self, part: str) -> bytes:
-        spelt = "".join([self.letters[b] for b in part.encode()])
-        ids = np.asarray([t.id for t in self.tokenizer.model.tokenize(spelt)], "<u4").tobytes()
-        self.parts[part] = ids
-        return ids
+        found = self.parts.back(part)
+        if found is None:
+            spelt = part.encode().decode("latin-1").translate(self.letters)
+            found = self.parts[part] = _bytes([t.id for t in self.tokenizer.model.tokenize(spelt)])
+        return found
 
-    def _learn(self, cache: dict[str, bytes], words: list[str], before: str) -> None:
+    def _learn(self, cache: Recent, words: list[str], before: str, plain: bool) -> None:
         rare, get, lower = [], self.parts.get, not self.lead
-        for w in dict.fromkeys(w for w in words if w not in cache):
-            if _PLAIN.fullmatch(w):
+        for w in set(words).difference(cache):
+            if cache.back(w) is not None:
+                continue
+            if plain or _PLAIN.fullmatch(w):
                 cache[w] = b"".join([get(p) or self._part(p) for p in self.cut_parts(w.lower() if lower else before + w)])
             else:
                 rare.append(w)
         for at in range(0, len(rare), 4096):
             part = rare[at : at + 4096]
             found = self.tokenizer.encode_batch_fast([before + w for w in part], add_special_tokens=False)
-            cache.update((w, np.asarray(x.ids, "<u4").tobytes()) for w, x in zip(part, found))
+            cache.update((w, _bytes(x.ids)) for w, x in zip(part, found))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        if len(self.words) + len(self.heads) > CACHE:
-            self.words, self.heads, self.parts = {}, {}, {}
+        for cache in (self.heads, self.words, self.parts):
+            cache.turn()
+        plain = all(map(_PLAIN.fullmatch, texts))
         if not self.lead:
             split = [t.split(" ") for t in texts]
-            self._learn(self.words, [w for s in split for w in s], "")
+            self._learn(self.words, [w for s in split for w in s], "", plain)
             get = self.words.__getitem__
             return [b"".join(map(get, s)) for s in split]
         split = [self.cut.split(t) if self.odd.search(t) else t.split(" ") for t in texts]
-        self._learn(self.heads, [s[0] for s in split], "")
-        self._learn(self.words, [w for s in split for w in s[1:]], " ")
+        self._learn(self.heads, [s[0] for s in split], "", plain)
+        self._learn(self.words, [w for s in split for w in s[1:]], " ", plain)
         get = self.words.__getitem__
         return [self.heads[s[0]] + b"".join(map(get, s[1:])) for s in split]
 
