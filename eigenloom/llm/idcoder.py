@@ -1,6 +1,6 @@
 """Token-id files: an adaptive context-mixing range coder in independently reset, checksummed blocks.
 
-A block of ``BLOCK`` ids starts with an empty model. Two contexts predict the next id outright: the two ids before it (order 2) and the one before it
+A block of ``BLOCK`` ids (down to ``LEAST`` in a small segment, so that it has lanes enough; the segment says how many) starts with an empty model. Two contexts predict the next id outright: the two ids before it (order 2) and the one before it
 (order 1), each from a hashed table of what followed last and how often that held. A mixer, adaptive frequencies that
 depend on how well both predictions have held so far, shares the range among "order 2 is right", "order 1 is right" and "neither"; then the order-0 model codes the id: its two
 high nibbles by adaptive frequencies, the second given the first, and its low byte. Encoder and decoder run the same model.
@@ -30,8 +30,9 @@ from .frames import LAST, key
 from .tokens import encoder
 
 BLOCK = 4096
+LEAST = 256
 LANES = 1024
-MAGIC = b"EIDS1\0"
+MAGIC = b"EIDS2\0"
 #: One word is settled below the first; a whole id's symbols (44 bits at most) fit above the second.
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 48)
 _U = np.uint64
@@ -232,22 +233,25 @@ def encode_segment(doc_ids: list[int], docs: list[bytes]) -> bytes:
     """A segment of documents, given as little-endian unsigned 32-bit ids."""
     ids = np.frombuffer(b"".join(docs), "<u4").astype(np.int64)
     wide = bool(len(ids)) and int(ids.max()) >= 1 << 16
-    blocks = -(-len(ids) // BLOCK)
-    sizes = np.full(blocks, BLOCK)
+    block = LEAST
+    while block < BLOCK and len(ids) > block * LANES // 4:
+        block *= 2
+    blocks = -(-len(ids) // block)
+    sizes = np.full(blocks, block)
     if blocks:
-        sizes[-1] = len(ids) - BLOCK * (blocks - 1)
+        sizes[-1] = len(ids) - block * (blocks - 1)
     words: list[bytes] = []
     for at in range(0, blocks, LANES):
         part = sizes[at : at + LANES]
         grid = np.zeros((len(part), int(part[0])), np.int64)
-        grid.ravel()[: int(part.sum())] = ids[at * BLOCK : at * BLOCK + int(part.sum())]
+        grid.ravel()[: int(part.sum())] = ids[at * block : at * block + int(part.sum())]
         coder = _Writer(len(part))
         _run(coder, part, grid, wide)
         words += coder.finish(len(part))
-    sums = [zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()) for i in range(blocks)]
+    sums = [zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) for i in range(blocks)]
     index = np.asarray(doc_ids, "<i8").tobytes() + np.asarray([len(d) // 4 for d in docs], "<u8").tobytes()
     index += np.asarray([len(w) for w in words], "<u4").tobytes() + np.asarray(sums, "<u4").tobytes()
-    head = MAGIC + struct.pack("<BIQI", wide, len(docs), len(ids), zlib.crc32(index))
+    head = MAGIC + struct.pack("<BIIQI", wide, block, len(docs), len(ids), zlib.crc32(index))
     return head + index + b"".join(words)
 
 
@@ -255,9 +259,9 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document ids, their numbers of ids, all ids); a wrong checksum is an error."""
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("not a segment of token ids")
-    wide, n_docs, n_ids, crc = struct.unpack_from("<BIQI", data, len(MAGIC))
-    at = len(MAGIC) + struct.calcsize("<BIQI")
-    blocks = -(-n_ids // BLOCK)
+    wide, block, n_docs, n_ids, crc = struct.unpack_from("<BIIQI", data, len(MAGIC))
+    at = len(MAGIC) + struct.calcsize("<BIIQI")
+    blocks = -(-n_ids // block)
     index = data[at : at + 16 * n_docs + 8 * blocks]
     if zlib.crc32(index) != crc:
         raise ValueError("the index of a segment does not match its checksum")
@@ -265,16 +269,16 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lens = np.frombuffer(index, "<u4", blocks, 16 * n_docs).astype(np.int64)
     sums = np.frombuffer(index, "<u4", blocks, 16 * n_docs + 4 * blocks)
     place = at + len(index) + np.r_[0, np.cumsum(lens)]
-    full = np.full(blocks, BLOCK)
+    full = np.full(blocks, block)
     if blocks:
-        full[-1] = n_ids - BLOCK * (blocks - 1)
+        full[-1] = n_ids - block * (blocks - 1)
     out = np.empty(n_ids, np.int64)
     for b in range(0, blocks, LANES):
         part = full[b : b + LANES]
         coder = _Reader([data[place[i] : place[i + 1]] for i in range(b, b + len(part))])
-        out[b * BLOCK : b * BLOCK + int(part.sum())] = _run(coder, part, None, bool(wide)).ravel()[: int(part.sum())]
+        out[b * block : b * block + int(part.sum())] = _run(coder, part, None, bool(wide)).ravel()[: int(part.sum())]
     for i in range(blocks):
-        if zlib.crc32(out[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()) != sums[i]:
+        if zlib.crc32(out[i * block : (i + 1) * block].astype("<u4").tobytes()) != sums[i]:
             raise ValueError(f"block {i} of a segment does not match its checksum")
     return doc_ids, sizes, out
 
