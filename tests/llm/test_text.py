@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from eigenloom.llm import idcoder, packing, pieces, quality, simhash, substring_dedup, toxicity
+from eigenloom.llm import idcoder, packing, pieces, quality, simhash, substring_dedup, tokens, toxicity
 from eigenloom.llm.frames import LAST
 from eigenloom.llm.language import fit_language, forward_backward
 
@@ -165,6 +165,31 @@ def test_token_id_files(spark, rows, tmp_path):
         at += r["n_tokens"]
 
 
+@pytest.mark.parametrize("name,lead", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+@pytest.mark.parametrize("cache", [0, 20, 150_000])
+def test_word_caches_of_any_size_give_the_library_ids(name, lead, cache, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", cache)
+    r = np.random.default_rng(5)
+    words = ["the", "The", "don't", "Ärger", "naïvé.\nEz", "日本", "12345", "a\u3000b", "", "<|endoftext|>", "x\t\ty", "!?%%", "ß", "\n", "q\xa0q"]
+    words += ["".join(r.choice(list("abcdeXYZ"), 5)) for _ in range(60)]
+    texts = [" ".join(r.choice(words, n)) for n in r.integers(0, 40, 120)]
+    ours, theirs = tokens.Encoder(public_tokenizers.path(name), lead), Tokenizer.from_file(public_tokenizers.path(name))
+    theirs.encode_special_tokens = True
+    for at in range(0, len(texts), 7):
+        part = texts[at : at + 7]
+        want = [np.asarray(x.ids, "<u4").tobytes() for x in theirs.encode_batch(part, add_special_tokens=False)]
+        assert ours.encode(part) == want
+
+
+def test_segments_take_blocks_by_their_size(monkeypatch):
+    monkeypatch.setattr(idcoder, "LANES", 8)
+    r = np.random.default_rng(7)
+    for n in (1, 255, 256, 257, 511, 512, 513, 1024, 1025, 9000):
+        ids = np.minimum(r.geometric(0.01, n), 65535).astype("<u4")
+        found, sizes, out = idcoder.decode_segment(idcoder.encode_segment([4, 9], [ids[: n // 2].tobytes(), ids[n // 2 :].tobytes()]))
+        assert found.tolist() == [4, 9] and sizes.tolist() == [n // 2, n - n // 2] and (out == ids).all()
+
+
 def test_segments_round_trip_and_find_damage():
     r = np.random.default_rng(2)
     for n, top in ((0, 5), (1, 5), (9000, 50), (5000, 2**31)):
