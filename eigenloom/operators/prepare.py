@@ -9,6 +9,7 @@ from .vectors import finite
 
 BUCKET_DIGITS = 4  # hexadecimal digits: at most 65,536 buckets, whatever the number of rows
 BROADCAST_KEYS = 2_000_000  # ids sent to every task, some tens of megabytes
+BROADCAST_BYTES = 64 << 20  # and as text at most so many bytes
 BOUNDARY_ROWS = 100_000  # ids that may be sorted in one task to find the edge of a subset
 
 
@@ -56,11 +57,12 @@ def parity(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def unmatched(left: DataFrame, right: DataFrame, key: str, salts: int = 32) -> DataFrame:
     """Rows of ``left`` without a partner.
 
-    The distinct keys of ``right`` are counted: few are broadcast, so ``left`` stays where it is. Many are
+    The distinct keys of ``right`` and their bytes are counted: few are broadcast, so ``left`` stays where it is. Many are
     copied ``salts`` times, so that the rows of one frequent key spread over as many tasks.
     """
     keys = right.select(key).distinct()
-    if keys.count() <= BROADCAST_KEYS:
+    n, held = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(key).cast("string"))), F.lit(0))).first()
+    if n <= BROADCAST_KEYS and held <= BROADCAST_BYTES:
         return left.join(F.broadcast(keys), key, "left_anti")
     copies = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = left.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))

@@ -54,15 +54,15 @@ def test_shuffle_is_a_seeded_permutation(spark, monkeypatch, digits):
         assert {r.id: r.position for r in rows} == want
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_unmatched_rows(spark, monkeypatch, limit):
-    """With few keys by broadcast, with many salted; one key holds a third of the rows."""
-    monkeypatch.setattr(A, "BROADCAST_KEYS", limit)
+@pytest.mark.parametrize("name,limit", [("BROADCAST_KEYS", 0), ("BROADCAST_KEYS", 1000), ("BROADCAST_BYTES", 6)])
+def test_unmatched_rows(spark, monkeypatch, name, limit):
+    """With few keys by broadcast, with many or long ones salted; one key holds a third of the rows."""
+    monkeypatch.setattr(A, name, limit)
     rows = [(k, i) for i, k in enumerate([7] * 40 + [8] * 20 + list(range(100, 160)) + [None])]
     left = spark.createDataFrame(rows, "k int, v int").repartition(6)
     right = spark.createDataFrame([(8,), (8,), (101,), (None,), (999,)], "k int")
     out = A.unmatched(left, right, "k", salts=4)
-    assert ("SortMergeJoin" in out._jdf.queryExecution().toString()) == (limit == 0)
+    assert ("SortMergeJoin" in out._jdf.queryExecution().toString()) == (limit < 1000)
     assert sorted(r.v for r in out.collect()) == sorted(v for k, v in rows if k not in (8, 101))
     assert out.columns == ["k", "v"]
 
