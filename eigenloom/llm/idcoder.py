@@ -283,11 +283,11 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, sizes, out
 
 
-def write_ids(df: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> None:
-    """Writes every document's ids and end id, in ascending order of document ids, as files of segments."""
+def write_ids(df: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, added: bool = False) -> None:
+    """Writes every document's ids and end id, in ascending order of document ids, as files of segments. ``added``: see ``Encoder``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer_path, True), np.uint32(end_id).astype("<u4").tobytes()
+        enc, end = encoder(tokenizer_path, True, added), np.uint32(end_id).astype("<u4").tobytes()
         file, seq, start = TaskContext.get().partitionId(), 0, 0
         ids, docs, held = [], [], 0
 

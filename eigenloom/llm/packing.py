@@ -224,11 +224,11 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
     return ranked.mapInArrow(run, f"{ddl}, sequence_id long, offset long")
 
 
-def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document's ids and end id; only longer documents are cut."""
+def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every document's ids and end id; only longer documents are cut. ``added``: see ``Encoder``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer_path, False), np.uint32(end_id).astype("<u4").tobytes()
+        enc, end = encoder(tokenizer_path, False, added), np.uint32(end_id).astype("<u4").tobytes()
         for part, _, _ in X.slices(batches, "t"):
             rows = []
             for k, ids in zip(part.column("doc_id").to_pylist(), enc.encode([t or "" for t in part.column("t").to_pylist()])):
@@ -243,6 +243,6 @@ def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
     """One row per piece with its sequence and place there."""
-    return pack(stored(token_pieces(df, tokenizer_path, id_col, text_col, end_id, capacity)), "length", capacity)
+    return pack(stored(token_pieces(df, tokenizer_path, id_col, text_col, end_id, capacity, added)), "length", capacity)

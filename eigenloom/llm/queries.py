@@ -46,7 +46,7 @@ def op4_toxicity(spark, sf_dir):
 
 def op5_token_ids(spark, sf_dir):
     path = scratch_path(spark, "token-ids")
-    write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path, added=True)
     return read_ids(spark, path, ids=False)
 
 
@@ -55,7 +55,7 @@ def op6_simhash(spark, sf_dir):
 
 
 def op7_best_fit_packing(spark, sf_dir):
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), added=True)
 
 
 def op8_language(spark, sf_dir):

@@ -53,20 +53,27 @@ class Recent(dict):
 
 
 class Encoder:
-    """Ids as the ``tokenizers`` library gives them, special strings read as ordinary text.
+    """Ids as the ``tokenizers`` library gives them. ``added``: strings that the file lists as added tokens get their own ids, as by
+    the library's default; otherwise they are read as ordinary text.
 
     Its pre-tokenizer never joins what stands before and after a space that a non-space follows, so a text may be cut there
     and equal words encoded once. ``lead``: the space belongs to the word after it (byte-level files); otherwise spaces leave
     no ids. Words of ASCII and Latin-1 letters are cut by the pre-tokenizer's pattern here and only their parts go to the
-    library's model, each once; all other words go through the whole library.
+    library's model, each once; all other words go through the whole library. The library takes added tokens out of the raw text
+    first, the leftmost and longest, and reads what stands between them as texts of their own; so does ``encode``.
     """
 
-    def __init__(self, path: str, lead: bool):
+    def __init__(self, path: str, lead: bool, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        kinds = self.tokenizer.get_added_tokens_decoder() if added else {}
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in kinds.values()):
+            raise ValueError(f"{path}: added tokens that depend on the text around them or on normalized text are not supported")
+        self.added = {t.content: _bytes([i]) for i, t in kinds.items()}
+        self.around = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.lead = lead
         self.odd = re.compile(r" (?:\s|\Z)")
         self.cut = re.compile(r" (?=\S)")
@@ -97,6 +104,13 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
+        if not any(s in t for s in self.added for t in texts):
+            return self._ordinary(texts)
+        split = [self.around.split(t) for t in texts]
+        found = iter(self._ordinary([s for one in split for s in one[::2]]))
+        return [b"".join([self.added[s] if i % 2 else next(found) for i, s in enumerate(one)]) for one in split]
+
+    def _ordinary(self, texts: list[str]) -> list[bytes]:
         for cache in (self.heads, self.words, self.parts):
             cache.turn()
         plain = all(map(_PLAIN.fullmatch, texts))
@@ -113,5 +127,5 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, lead: bool) -> Encoder:
-    return Encoder(path, lead)
+def encoder(path: str, lead: bool, added: bool = False) -> Encoder:
+    return Encoder(path, lead, added)
