@@ -2,7 +2,7 @@
 
 Data and queries are grouped by their nearest of ``PIVOTS`` pivots (a bounded sample). A group is summarised by its size and radius R.
 For a query q and a group with pivot p every score lies within q.p - |q| R and q.p + |q| R; so the sizes of groups with large lower
-bounds give a score that k candidates reach for certain, and only groups whose upper bound reaches it are needed. Queries are copied to the
+bounds give a score that k candidates reach for certain (rows with the query's own id are counted beforehand and come on top of k), and only groups whose upper bound reaches it are needed. Queries are copied to the
 needed groups (they are fewer than the data), each group is solved locally in bounded blocks, and the blocks' results are merged.
 
 Components become floor(scale * x), scores are whole numbers without rounding. Defined results: vectors null, empty, or with null or
@@ -35,15 +35,15 @@ def _assign(pivots: np.ndarray):
     return run
 
 
-def needed(q: np.ndarray, pivots: np.ndarray, sizes: np.ndarray, radii: np.ndarray, k: int) -> np.ndarray:
-    """Which groups each query needs, from the groups' summaries; one candidate more is asked for, as the query itself may be one."""
+def needed(q: np.ndarray, pivots: np.ndarray, sizes: np.ndarray, radii: np.ndarray, k: int, own: np.ndarray) -> np.ndarray:
+    """Which groups each query needs, from the groups' summaries; ``own`` rows more are asked for, as those with the query's id may be among them."""
     norm = np.sqrt((q * q).sum(1))[:, None]
     middle, slack = q @ pivots.T, norm * radii[None, :]
     slack = slack + 1e-9 * (norm * (np.sqrt((pivots * pivots).sum(1)) + radii)[None, :] + 1)
     low, high = middle - slack, middle + slack
     low = np.where(sizes > 0, low, -np.inf)
     order = np.argsort(-low, axis=1)
-    reached = np.cumsum(sizes[order], axis=1) > k
+    reached = np.cumsum(sizes[order], axis=1) >= k + own[:, None]
     at = np.where(reached.any(1), reached.argmax(1), len(sizes) - 1)
     rows = np.arange(len(q))
     sure = np.where(reached.any(1), low[rows, order[rows, at]], -np.inf)
@@ -66,12 +66,14 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 10, scale: float = 102
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                wanted = needed(matrix(batch.column("v")), centres, sizes, radii, k)
+                wanted = needed(matrix(batch.column("v")), centres, sizes, radii, k, batch.column("own").to_numpy())
                 row, cell = np.nonzero(wanted)
                 cut = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
                 cells = pa.ListArray.from_arrays(pa.array(cut), pa.array(cell.astype(np.int32)))
-                yield pa.record_batch([*batch.columns, cells], [*batch.schema.names, "cells"])
+                yield pa.record_batch([*(batch.column(c) for c in ("id", "h", "v")), cells], ["id", "h", "v", "cells"])
 
-    routed = queries_of(rows, is_query).mapInArrow(route, "id long, h long, v array<double>, cells array<int>")
+    repeated = rows.filter(is_query).groupBy("id").agg(F.count("*").alias("own")).filter("own > 1")
+    queries = queries_of(rows, is_query).join(repeated, "id", "left").select("id", "h", "v", F.coalesce("own", F.lit(1)).alias("own"))
+    routed = queries.mapInArrow(route, "id long, h long, v array<double>, cells array<int>")
     found = search(data.drop("r"), routed, {int(s["cell"]): int(s["n"]) for s in summary}, k, True)
     return found.select("query_id", "rank", "vec_id", "score")

@@ -60,3 +60,18 @@ def test_tree_recall_and_scores(spark, table, monkeypatch):
         hit += len({i for _, i, _ in mine} & {i for i, _ in want[q]})
     assert hit >= 0.9 * 20 * len(want)
     assert kmeans_tree.near_neighbours(frame(spark, table).limit(0), F.col("id") == 0).count() == 0
+
+
+@pytest.mark.parametrize("copies", [11, 40])
+def test_exact_top_k_of_queries_with_many_rows(spark, copies):
+    r = np.random.default_rng(12)
+    rows = [(100, [9.0, 9.0])] * copies + [(200, [-8.0, 7.0])] * 3 + [(200, [1.0, 1.0])] * 9
+    rows += [(i, v.tolist()) for i, v in enumerate(r.normal(size=(60, 2)).round(2)) if i]
+    ids, x = np.array([i for i, _ in rows]), np.floor(np.array([v for _, v in rows]) * 1024)
+    want = []
+    for q in {(i, tuple(v)) for i, v in zip(ids.tolist(), x.tolist()) if i % 100 == 0}:
+        s = x @ np.array(q[1])
+        order = [j for j in np.lexsort((ids, -s)) if ids[j] != q[0]][:10]
+        want += [(q[0], n + 1, int(ids[j]), int(s[j])) for n, j in enumerate(order)]
+    got = exact_top_k(frame(spark, rows), F.col("id") % 100 == 0, pivots=200).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
