@@ -2,7 +2,7 @@
 
 Every word is scored for every language by hashed features: character n-grams of 2 to 4 bytes with the word's ends marked (so affixes are
 features of their own) and the whole word (the lexicon). Transitions between the languages of neighbouring words are learned too. Training
-text is code-switched: the words of a bounded sample of labelled documents (``FIT_ROWS``) are cut into runs of 3 to 40 words, which are chained in random order, each word labelled
+text is code-switched: the words of a bounded sample of labelled documents, with a share for every language (``fit_language``), are cut into runs of 3 to 40 words, which are chained in random order, each word labelled
 with its document's language; weights maximise the likelihood by forward-backward and Adam. A text's words get their marginals by forward-backward over the whole text, all
 texts of a batch in step; the language with the largest mean marginal over words with a letter is the prediction, the mean its score.
 
@@ -25,6 +25,9 @@ from . import textops as X
 from .frames import key
 
 FIT_ROWS = 600
+LEAST_ROWS = 20
+FIT_BYTES = 8 << 20
+LEAST_BYTES = 128 << 10
 BITS = 16
 ROUNDS = 25
 RIDGE = 1e-6
@@ -206,16 +209,46 @@ class LanguageModel:
         return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
-def fit_language(df: DataFrame, use: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> LanguageModel:
-    """A model from at most ``rows`` labelled rows, those with the smallest hashes of their ids; ``use`` is a condition on the id column ``k``."""
-    some = df.select(key(id_col).alias("k"), F.col(f"`{lang_col}`").cast("string").alias("y")).filter("y IS NOT NULL")
-    some = (some.filter(use) if use is not None else some).orderBy(F.xxhash64("k"), "k").limit(rows).distinct()
+def _picked(df: DataFrame, use: Column | None, id_col: str, text_col: str, lang_col: str, rows: int) -> tuple[DataFrame, list[tuple]]:
+    """(k, y, t, th) of the labelled texts with a letter, and the sample's distinct (y, th); ``th`` is the text's hash.
+
+    Every value of the language gets its share, however rare it is: distinct texts are counted by value, and of each only those below a
+    hash that some more than its rows are expected to reach come to the driver.
+    """
     texts = df.select(key(id_col).alias("k"), F.col(f"`{lang_col}`").cast("string").alias("y"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    got = texts.join(F.broadcast(some), ["k", "y"]).filter("t IS NOT NULL").orderBy(F.xxhash64("k"), "k", F.xxhash64("t")).limit(rows).toArrow()
+    texts = texts.filter("y IS NOT NULL").filter(F.col("t").rlike(r"\p{L}"))
+    texts = (texts.filter(use) if use is not None else texts).withColumn("th", F.xxhash64("t"))
+    distinct = texts.groupBy("y", "th").agg(F.max(F.octet_length("t")).alias("n"))
+    counts = {r["y"]: r["c"] for r in distinct.groupBy("y").agg(F.count("*").alias("c")).collect()}
+    if not counts:
+        return texts, []
+    each, size = max(-(-rows // len(counts)), LEAST_ROWS), max(FIT_BYTES // len(counts), LEAST_BYTES)
+    reach = each + 6 * int(each**0.5) + 10
+    cuts = [(y, 2**63 - 1 if c <= reach else int(reach / c * 2**64) - 2**63) for y, c in counts.items()]
+    cut = df.sparkSession.createDataFrame(cuts, "y string, cut long")
+    some = distinct.join(F.broadcast(cut), "y").filter("th <= cut").select("y", "th", "n").collect()
+    picked, had = [], {}
+    for r in sorted(some, key=lambda r: (r["y"], r["th"])):
+        many, held = had.get(r["y"], (0, 0))
+        if many < each and held < size:
+            picked.append((r["y"], r["th"]))
+            had[r["y"]] = many + 1, held + r["n"]
+    return texts.withColumn("t", F.substring("t", 1, size)), picked
+
+
+def fit_language(df: DataFrame, use: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> LanguageModel:
+    """A model from a sample of every language's distinct texts; ``use`` is a condition on the id column ``k``.
+
+    Per language those with the smallest hashes: an equal share of ``rows``, at least ``LEAST_ROWS``, until an equal share of ``FIT_BYTES``, at least
+    ``LEAST_BYTES``, is reached; the first so many characters of a text longer than that.
+    """
+    texts, picked = _picked(df, use, id_col, text_col, lang_col, rows)
+    if not picked:
+        return LanguageModel([], np.zeros((1, 1)), np.zeros((1, 1)))
+    some = df.sparkSession.createDataFrame(picked, "y string, th long")
+    got = texts.join(F.broadcast(some), ["y", "th"]).groupBy("y", "th").agg(F.min("t").alias("t")).orderBy("th", "y").toArrow()
     found = got.column("y").to_pylist()
     languages = sorted(set(found))
-    if not languages:
-        return LanguageModel([], np.zeros((1, 1)), np.zeros((1, 1)))
     number = {x: i for i, x in enumerate(languages)}
     weights, moves = fit_weights(got.column("t").to_pylist(), np.array([number[x] for x in found]), len(languages))
     return LanguageModel(languages, weights, moves)
