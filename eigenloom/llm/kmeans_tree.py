@@ -4,7 +4,7 @@ The tree is fitted on a bounded sample (``FIT_ROWS``): every node's rows are clu
 rows or fewer. Every row of the table is put into the leaf that it reaches by nearest centres. A query opens nodes from a priority queue, the
 largest inner product with a centre first; the number of leaves it visits is calibrated: ``CALIBRATE`` rows are searched by brute force over the whole
 table, their neighbours' leaves are looked up in the order in which the search opens leaves, and visits are widened until the mean recall reaches
-``RECALL``. Leaves with many rows are dealt over several blocks; a query's scores come from the original vectors.
+``RECALL``; a query goes on until its leaves hold k rows besides those with its own id. Leaves with many rows are dealt over several blocks; a query's scores come from the original vectors.
 
 Defined results: vectors null, empty, zero, with null or non-finite components, without an id, or of another than the commonest dimension take no part; ties go to the
 smaller id; a candidate with the query's id is the query's own; repeated candidates are separate, repeated queries count once; an empty table gives an empty result.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import matrix, queries_of, sample, search, squares, usable
+from .vectors import matrix, own_counted, sample, search, squares, usable
 
 FIT_ROWS = 10_000
 BRANCH = 8
@@ -68,13 +68,13 @@ class Tree:
                 work += [(kid, rows[near == i]) for i, kid in enumerate(kids)]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[list[int]]:
-        """The first ``most`` leaves that each query opens."""
+    def visits(self, q: np.ndarray, most: int, sizes: dict[int, int] | None = None, least: np.ndarray | None = None) -> list[list[int]]:
+        """The first ``most`` leaves that each query opens, and more until they hold its ``least`` rows by their ``sizes``."""
         out = []
-        for worth in q @ self.centres.T:
+        for worth, short in zip(q @ self.centres.T, [0] * len(q) if least is None else least.tolist()):
             seen: list[int] = []
             queue = [(0.0, len(self.children) - 1)]
-            while queue and len(seen) < most:
+            while queue and (len(seen) < most or short > 0):
                 _, node = heapq.heappop(queue)
                 while len(kids := self.children[node]):
                     ranked = kids[np.argsort(-worth[kids], kind="stable")]
@@ -82,6 +82,7 @@ class Tree:
                         heapq.heappush(queue, (-worth[kid], kid))
                     node = int(ranked[0])
                 seen.append(int(self.leaf[node]))
+                short -= sizes.get(seen[-1], 0) if sizes else 0
             out.append(seen)
         return out
 
@@ -121,12 +122,15 @@ def _leaves(tree: Tree):
     return run
 
 
-def _route(tree: Tree, most: int):
+def _route(tree: Tree, most: int, sizes: dict[int, int] | None = None, k: int = 0):
+    """With ``sizes`` the leaves of a query hold ``k`` rows besides its ``own``, if there are as many."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cells = pa.array(tree.visits(matrix(batch.column("v")), most), pa.list_(pa.int32()))
-                yield pa.record_batch([*batch.columns, cells], [*batch.schema.names, "cells"])
+                least = k + batch.column("own").to_numpy() if sizes else None
+                cells = pa.array(tree.visits(matrix(batch.column("v")), most, sizes, least), pa.list_(pa.int32()))
+                yield pa.record_batch([*(batch.column(c) for c in ("id", "h", "v")), cells], ["id", "h", "v", "cells"])
 
     return run
 
@@ -156,5 +160,5 @@ def near_neighbours(df: DataFrame, is_query: Column, k: int = 20, id_col: str =
     data = rows.mapInArrow(_leaves(tree), "cell int, id long, v array<double>")
     sizes = {r["cell"]: r["n"] for r in data.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     most = calibrate(tree, rows, data, sizes, k, recall=recall)
-    routed = queries_of(rows, is_query).mapInArrow(_route(tree, most), _ROUTED)
+    routed = own_counted(rows, is_query).mapInArrow(_route(tree, most, sizes, k), _ROUTED)
     return search(data, routed, sizes, k, False).select("query_id", "rank", "vec_id", "score")

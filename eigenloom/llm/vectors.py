@@ -130,6 +130,12 @@ def search(data: DataFrame, routed: DataFrame, sizes: dict[int, int], k: int, wh
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def own_counted(rows: DataFrame, condition: Column) -> DataFrame:
+    """``queries_of`` with ``own``, the number of rows that have the query's id; only ids on several rows are joined."""
+    repeated = rows.filter(condition).groupBy("id").agg(F.count("*").alias("own")).filter("own > 1")
+    return queries_of(rows, condition).join(repeated, "id", "left").select("id", "h", "v", F.coalesce("own", F.lit(1)).alias("own"))
+
+
 def queries_of(rows: DataFrame, condition: Column) -> DataFrame:
     """(id, h, v): the distinct query vectors; h tells different vectors of one id apart."""
     return rows.filter(condition).select("id", F.xxhash64("v").alias("h"), "v").dropDuplicates(["id", "h"])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import matrix, queries_of, sample, search, squares, usable
+from .vectors import matrix, own_counted, sample, search, squares, usable
 
 PIVOTS = 64
 
@@ -72,8 +72,6 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 10, scale: float = 102
                 cells = pa.ListArray.from_arrays(pa.array(cut), pa.array(cell.astype(np.int32)))
                 yield pa.record_batch([*(batch.column(c) for c in ("id", "h", "v")), cells], ["id", "h", "v", "cells"])
 
-    repeated = rows.filter(is_query).groupBy("id").agg(F.count("*").alias("own")).filter("own > 1")
-    queries = queries_of(rows, is_query).join(repeated, "id", "left").select("id", "h", "v", F.coalesce("own", F.lit(1)).alias("own"))
-    routed = queries.mapInArrow(route, "id long, h long, v array<double>, cells array<int>")
+    routed = own_counted(rows, is_query).mapInArrow(route, "id long, h long, v array<double>, cells array<int>")
     found = search(data.drop("r"), routed, {int(s["cell"]): int(s["n"]) for s in summary}, k, True)
     return found.select("query_id", "rank", "vec_id", "score")

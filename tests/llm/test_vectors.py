@@ -75,3 +75,16 @@ def test_exact_top_k_of_queries_with_many_rows(spark, copies):
         want += [(q[0], n + 1, int(ids[j]), int(s[j])) for n, j in enumerate(order)]
     got = exact_top_k(frame(spark, rows), F.col("id") % 100 == 0, pivots=200).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_small_leaves_still_give_k_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(kmeans_tree, "LEAF", 3)
+    monkeypatch.setattr(kmeans_tree, "calibrate", lambda *a, **b: 1)
+    r = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(200, 4)))] + [(0, [50.0, 0.0, 0.0, 0.0])] * 30
+    got = kmeans_tree.near_neighbours(frame(spark, rows), F.col("id") % 20 == 0).collect()
+    many = {}
+    for x in got:
+        many.setdefault((x["query_id"], x["rank"]), []).append(x["vec_id"])
+    assert {q for q, _ in many} == set(range(0, 200, 20)) and all((q, 20) in many for q in range(0, 200, 20))
+    assert len(many[0, 20]) == 2 and all(q not in v for (q, _), v in many.items())
