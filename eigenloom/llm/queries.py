@@ -18,6 +18,7 @@ from .simhash import near_duplicates
 from .substring_dedup import repeat_digest
 from .toxicity import fit_toxicity
 from .voronoi import exact_top_k
+from .whitening import whiten
 
 
 def fold(col: str, folds: int):
@@ -72,4 +73,8 @@ def op10_quality(spark, sf_dir):
     return importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op6_simhash, op7_best_fit_packing, op3_exact_top_k, op4_toxicity, op5_token_ids, op8_language, op9_nearest_neighbours, op10_quality)}
+def op13_whitening(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op6_simhash, op7_best_fit_packing, op3_exact_top_k, op4_toxicity, op5_token_ids, op8_language, op9_nearest_neighbours, op10_quality, op13_whitening)}
