@@ -19,4 +19,15 @@ pairs AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.e, d.e)
           FROM v q JOIN v d ON q.vec_id % 100 = 0 AND d.vec_id <> q.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pairs)
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 10""",
+    "op12_hard_negatives": """
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e
+      FROM embeddings WHERE label IS NOT NULL),
+pairs AS MATERIALIZED (SELECT a.vec_id AS anchor_id, a.label = d.label AS same, d.vec_id, CAST(list_dot_product(a.e, d.e) AS BIGINT) AS score
+          FROM v a JOIN v d ON a.vec_id % 100 = 0 AND d.vec_id <> a.vec_id),
+near AS MATERIALIZED (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+         QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+fits AS (SELECT near.*, pairs.vec_id AS negative_id, pairs.score AS negative_score,
+                row_number() OVER (PARTITION BY near.anchor_id, positive_id ORDER BY pairs.score DESC, pairs.vec_id) AS r
+         FROM near JOIN pairs ON near.anchor_id = pairs.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM fits WHERE r <= 5""",
 }

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_path
 from .frames import table
+from .hard_negatives import mine
 from .idcoder import read_ids, write_ids
 from .kmeans_tree import near_neighbours
 from .language import fit_language
 from .oracle import ORACLE  # noqa: F401
 from .packing import pack_documents
 from .pieces import round_trip
+from .pii import KINDS, digest, find_pii
 from .quality import importance_sample
 from .simhash import near_duplicates
 from .substring_dedup import repeat_digest
@@ -73,8 +75,19 @@ def op10_quality(spark, sf_dir):
     return importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_personal_data(spark, sf_dir):
+    found = find_pii(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.expr(f"filter(base, s -> s.kind = {k})")).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(digest("base"), 256).alias("base_sha256"), digest("spans").alias("spans"))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return mine(df, F.col("id") % 100 == 0)
+
+
 def op13_whitening(spark, sf_dir):
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op6_simhash, op7_best_fit_packing, op3_exact_top_k, op4_toxicity, op5_token_ids, op8_language, op9_nearest_neighbours, op10_quality, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op6_simhash, op7_best_fit_packing, op3_exact_top_k, op4_toxicity, op5_token_ids, op8_language, op9_nearest_neighbours, op10_quality, op11_personal_data, op12_hard_negatives, op13_whitening)}
