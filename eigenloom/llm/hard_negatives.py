@@ -41,6 +41,7 @@ FIT_ROWS = 10_000
 PROBE = 2_048
 BLOCK = 65_536
 SCORES = 2_000_000
+ANCHORS = 512
 LIMIT = 2.0**26
 LOWEST = np.iinfo(np.int64).min
 
@@ -214,17 +215,34 @@ class _Block:
             self.parts = []
 
     def search(self, rows: pa.RecordBatch, k: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
+        """The k best of this part for each anchor and window, over all the cells that it opens."""
         self.ready()
-        masks, ids, hs, labels = (rows.column(c).to_numpy() for c in ("m", "id", "h", "label"))
+        for at in range(0, rows.num_rows, ANCHORS):
+            some = rows.slice(at, ANCHORS)
+            found = list(self._cells(some, k, low, high))
+            if not found:
+                continue
+            row, w, col, score = (np.concatenate(c) for c in zip(*found))
+            order = np.lexsort((self.ids[col], -score, w, row))
+            row, w, col, score = row[order], w[order], col[order], score[order]
+            group = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (w[1:] != w[:-1])])
+            keep = np.arange(len(row)) - np.repeat(group, np.diff(np.r_[group, len(row)])) < k
+            row, w, col, score = row[keep], w[keep], col[keep], score[keep]
+            ids, hs = (some.column(c).to_numpy() for c in ("id", "h"))
+            yield pa.record_batch([pa.array(ids[row]), pa.array(hs[row]), pa.array(w), pa.array(self.ids[col]), pa.array(score), pa.array(self.copies[col])], ["id", "h", "w", "vec_id", "score", "copies"])
+
+    def _cells(self, rows: pa.RecordBatch, k: int, low: int, high: int):
+        """(anchor, window, row, score): the k best of each cell."""
+        masks, ids, labels = (rows.column(c).to_numpy() for c in ("m", "id", "label"))
         q, x = matrix(rows.column("v")), self.x
         if self.size * float(np.abs(q).max()) * q.shape[1] >= 2**53:
             q, x = q.astype(np.int64), x.astype(np.int64)
         given = rows.column("ps").to_pylist()
         width = max(len(p) for p in given if p is not None) if given[0] is not None else 0
         ps = np.array([p + [-1] * (width - len(p)) for p in given], np.int64).reshape(len(given), width) if width else None
-        for b, e in zip(self.cut[:-1], self.cut[1:]):
+        for b, e in zip(self.cut[:-1].tolist(), self.cut[1:].tolist()):
             wanted = np.flatnonzero(masks >> int(self.codes[b]) & 1)
-            for some in np.array_split(wanted, max(1, -(-len(wanted) * int(e - b) // SCORES))):
+            for some in np.array_split(wanted, max(1, -(-len(wanted) * (e - b) // SCORES))):
                 if not len(some):
                     continue
                 s = q[some] @ x[b:e].T
@@ -238,7 +256,7 @@ class _Block:
                 for w, fits in tries:
                     row, col = _best(s, fits, self.ids[b:e], k)
                     if len(row):
-                        yield pa.record_batch([pa.array(ids[some][row]), pa.array(hs[some][row]), pa.array(np.full(len(row), w, np.int32)), pa.array(self.ids[b:e][col]), pa.array(s[row, col].astype(np.int64)), pa.array(self.copies[b:e][col])], ["id", "h", "w", "vec_id", "score", "copies"])
+                        yield some[row], np.full(len(row), w, np.int32), col + b, s[row, col].astype(np.int64)
 
 
 def _scan(k: int, low: int, high: int):
