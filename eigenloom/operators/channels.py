@@ -99,7 +99,7 @@ def filter_channels(maps: DataFrame, kernels: DataFrame, th1: float = 0.001, th2
 
 def part_kernels(kernels: DataFrame, th1: float, th2: float) -> DataFrame:
     """Kernels with the role that an inner hop gives them."""
-    return kernels.withColumn("role", K.role(F.col("energy"), th1, th2, F.lit(False)))
+    return K.assign_roles(kernels, th1, th2, 2**31 - 1)
 
 
 def concat_hops(maps: Sequence[DataFrame]) -> DataFrame:

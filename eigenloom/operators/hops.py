@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from ..functions import blocks as B
 from ..spec import HopSpec
+from . import packed as PK
 from . import trees as T
 
 BATCH_BYTES = 64 << 20  # maps of one sub-batch of images inside a task
 STATE_BYTES = 512 << 20  # Gram matrices a task may hold; more nodes are split over several frames
-SENT_VALUES = 1 << 20  # sums in one Arrow batch
 COLUMNS = ("image_id", "height", "width", "channels", "pixels")
 
 
@@ -83,10 +83,9 @@ def union(frames) -> DataFrame:
 
 
 def image_stats(images: DataFrame, tree: list[dict], spec: HopSpec, shift: np.ndarray, dims) -> DataFrame:
-    """``stats (node, i, j, s)`` of every node of the hop after ``tree``, in one scan.
+    """``stats (node, i, row)`` of every node of the hop after ``tree``, in one scan; the rows are those of ``packed``.
 
-    ``i = j = -1``: patches; ``j = -1``: sum of feature i; else Gram entry, upper triangle. Values are
-    taken relative to ``shift``. Each task sends its sums once; the rest is a hash aggregate.
+    Values are taken relative to ``shift``. Each task sends its sums once, a record per node and feature.
     """
     nodes, k = shift.shape
     tree = T.slim(tree)
@@ -98,21 +97,7 @@ def image_stats(images: DataFrame, tree: list[dict], spec: HopSpec, shift: np.nd
         part = range(lo, min(nodes, lo + per))
         above = T.leading_to(tree, part) if tree and len(part) < nodes else tree
         frames.append(_partial_sums(source, above, spec, shift, dims, part))
-    return sum_stats(union(frames))
-
-
-def sum_stats(partial: DataFrame) -> DataFrame:
-    """Add up partial rows ``(node, i, row)``; ``row`` starts at j = -1, then runs from j = i."""
-    return (
-        partial.select("node", "i", F.posexplode("row").alias("p", "s"))
-        .select("node", "i", F.when(F.col("p") == 0, -1).otherwise(F.col("i") + F.col("p") - 1).alias("j"), "s")
-        .groupBy("node", "i", "j")
-        .agg(F.sum("s").alias("s"))
-    )
-
-
-PARTIAL = "node int, i int, row array<double>"
-PARTIAL_ARROW = pa.schema([("node", pa.int32()), ("i", pa.int32()), ("row", pa.list_(pa.float64()))])
+    return PK.summed(union(frames))
 
 
 def add_patches(state: dict, node: int, planes: np.ndarray, spec: HopSpec, shift: np.ndarray | None) -> None:
@@ -125,23 +110,9 @@ def add_patches(state: dict, node: int, planes: np.ndarray, spec: HopSpec, shift
 
 
 def state_rows(state: dict, bad: int = 0) -> Iterator[pa.RecordBatch]:
-    """The sums as rows ``(node, i, row)``, in batches of bounded size."""
-    rows, values = [(-1, -1, [float(bad)])] if bad else [], 0
-    for node, (n, s, g) in state.items():
-        rows.append((node, -1, [float(n)]))
-        for i in range(len(s)):
-            rows.append((node, i, np.concatenate([s[i : i + 1], g[i, i:]])))
-            values += len(s) - i + 1
-            if values > SENT_VALUES:
-                yield _partial_batch(rows)
-                rows, values = [], 0
-    if rows:
-        yield _partial_batch(rows)
-
-
-def _partial_batch(rows) -> pa.RecordBatch:
-    columns = [pa.array(c, t.type) for c, t in zip(zip(*rows), PARTIAL_ARROW)]
-    return pa.RecordBatch.from_arrays(columns, schema=PARTIAL_ARROW)
+    """The sums as packed rows, in batches of bounded size."""
+    rows = (line for node, sums in state.items() for line in PK.lines(node, *sums))
+    return PK.batches([(-1, -1, [float(bad)]), *rows] if bad else rows)
 
 
 def _partial_sums(source, tree, spec, shift, dims, part: range) -> DataFrame:
@@ -156,7 +127,7 @@ def _partial_sums(source, tree, spec, shift, dims, part: range) -> DataFrame:
                 add_patches(state, i, node_input(planes, spec, {"source": i - skipped}), spec, shift[i])
         yield from state_rows(state, bad if part.start == 0 else 0)
 
-    return source.mapInArrow(sums, PARTIAL)
+    return source.mapInArrow(sums, PK.SCHEMA)
 
 
 def residual_maxima(images: DataFrame, tree: list[dict], hops: list[int], dims) -> DataFrame:

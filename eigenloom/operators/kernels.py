@@ -7,16 +7,16 @@ of channels, thresholds), never from the number of images.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..spec import HopSpec
+from . import packed as PK
 
 SOLVED = (
     "node int, kidx int, is_dc boolean, use_dc boolean, k int, n bigint, mean array<double>, "
-    "dc_energy double, spread double, poor_shift boolean, weights array<double>, local_energy double"
+    "dc_energy double, spread double, poor_shift boolean, weights array<double>, local_energy double, alive boolean"
 )
 ROUNDING, ZERO_REL, TIE = 1e-24, 1e-14, 1e-9  # squared rounding noise; lost digits in sums; equal magnitudes
 POOR_SHIFT = 1e6  # squared distance of shift and mean, in units of the variance, that costs too many digits
@@ -64,42 +64,40 @@ def node_kernels(
 
 
 def solve(stats: DataFrame, spec: HopSpec, shift=None, floor=None) -> DataFrame:
-    """Kernels of every node from ``stats (node, i, j, s)``; a node's group has K(K+3)/2 + 1 rows.
+    """Kernels of every node from packed ``stats``; a task holds the Gram matrix of one node at a time.
 
     ``shift``: what was subtracted from the patches of each node, by node; nothing if None. ``floor``: the
-    variance below which a node counts as constant, by node; 0 if None.
+    variance below which a node counts as constant, by node; 0 if None. The mean stands in the row of kernel 0 only.
     Node -1 carries the number of malformed images and passes through as a row with ``kidx = -1``.
     """
 
-    def per_node(key, pdf):
-        node = int(key[0])
-        i, j, v = pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["s"].to_numpy()
-        n = float(v[i == -1][0])
-        if node < 0:
-            row = [node, -1, False, False, 0, int(n), [], 0.0, 0.0, False, [], 0.0]
-            return pd.DataFrame([row], columns=_names(SOLVED))
-        first = (i >= 0) & (j == -1)
-        k = int(first.sum())
-        s, gram = np.zeros(k), np.zeros((k, k))
-        s[i[first]] = v[first]
-        upper = j >= 0
-        gram[i[upper], j[upper]] = gram[j[upper], i[upper]] = v[upper]
-        base = np.zeros(k) if shift is None else shift[node]
-        r = node_kernels(n, s, gram, base, spec, 0.0 if floor is None else floor[node])
-        return pd.DataFrame(
-            [
-                [node, q, r["use_dc"] and q == 0, r["use_dc"], k, int(n), r["mean"], r["dc_energy"], r["spread"],
-                 r["poor_shift"], w, e]
-                for q, (w, e) in enumerate(zip(r["weights"], r["energy"]))
-            ],
-            columns=_names(SOLVED),
-        )
-
-    return stats.groupBy("node").applyInPandas(per_node, SOLVED)
-
-
-def _names(ddl: str) -> list[str]:
-    return [part.split()[0] for part in ddl.split(", ")]
+    def solved(it):
+        for node, n, s, gram, _ in PK.nodes(it):
+            if node < 0:
+                yield _rows([[node], [-1], [False], [False], [0], [int(n)], [[]], [0.0], [0.0], [False], [[]], [0.0], [False]])
+                continue
+            k, base = len(s), np.zeros(len(s)) if shift is None else shift[node]
+            r = node_kernels(n, s, gram, base, spec, 0.0 if floor is None else floor[node])
+            step = max(1, PK.SENT_VALUES // max(1, k))
+            for at in range(0, len(r["weights"]), step):
+                w = r["weights"][at : at + step]
+                m, numbers = len(w), range(at, at + len(w))
+                means = [r["mean"] if q == 0 else None for q in numbers]
+                yield _rows([[node] * m, numbers, [r["use_dc"] and q == 0 for q in numbers], [r["use_dc"]] * m, [k] * m, [int(n)] * m, means,
+                             [r["dc_energy"]] * m, [r["spread"]] * m, [r["poor_shift"]] * m, list(w), r["energy"][at : at + step], [bool(r["energy"].any())] * m])
+
+    return PK.by_node(stats).mapInArrow(solved, SOLVED)
+
+
+_SOLVED = pa.schema([
+    ("node", pa.int32()), ("kidx", pa.int32()), ("is_dc", pa.bool_()), ("use_dc", pa.bool_()), ("k", pa.int32()), ("n", pa.int64()), ("mean", pa.list_(pa.float64())),
+    ("dc_energy", pa.float64()), ("spread", pa.float64()), ("poor_shift", pa.bool_()), ("weights", pa.list_(pa.float64())), ("local_energy", pa.float64()),
+    ("alive", pa.bool_()),
+])
+
+
+def _rows(columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(columns, _SOLVED)], schema=_SOLVED)
 
 
 def small_frame(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> DataFrame:
@@ -134,22 +132,20 @@ def number_children(kernels: DataFrame) -> DataFrame:
     )
 
 
-def role(energy: Column, th1: float, th2: float, last: Column) -> Column:
+def role(energy: Column, th1: float, th2: float, last: Column, alive: Column | None = None) -> Column:
     """``forward`` to the next hop, ``emit`` as a feature, or ``discard``.
 
-    Inner hops forward ``E >= th1`` and emit ``th2 <= E < th1``; the last hop emits ``E >= th2``.
-    A channel without energy is always discarded.
+    Inner hops forward ``E >= th1`` and emit ``th2 <= E < th1``; the last hop emits ``E >= th2``, so a channel with
+    energy 0 too if ``th2`` is 0. ``alive``: false for the channels of a node without any energy, which are always discarded.
     """
-    return (
-        F.when(energy <= 0, "discard")
-        .when(~last & (energy >= th1), "forward")
-        .when(energy >= th2, "emit")
-        .otherwise("discard")
-    )
+    chosen = F.when(~last & (energy >= th1), "forward").when(energy >= th2, "emit").otherwise("discard")
+    return chosen if alive is None else F.when(alive, chosen).otherwise("discard")
 
 
 def assign_roles(kernels: DataFrame, th1: float, th2: float, depth: int) -> DataFrame:
-    return kernels.withColumn("role", role(F.col("energy"), th1, th2, F.col("hop") >= depth - 1))
+    """Kernels with their roles. Nodes without energy come marked from ``solve`` (``alive``); else a window over each node's kernels finds them."""
+    alive = F.col("alive") if "alive" in kernels.columns else F.max("energy").over(Window.partitionBy("hop", "node")) > 0
+    return kernels.withColumn("role", role(F.col("energy"), th1, th2, F.col("hop") >= depth - 1, alive))
 
 
 def filter_report(kernels: DataFrame) -> DataFrame:

@@ -1,10 +1,10 @@
 """Means, covariance and DC variance from the small ``stats`` table, and row-wise centring.
 
-``stats`` has one row per node and Gram cell. Each result is one group-wise pass over K x K rows per node, however many patches went into
+``stats`` has one packed row per node and feature (see ``packed``). Each result is one pass over the Gram matrix of each node, however many patches went into
 the sums, so the data behind ``stats`` is read once for each result.
 
 Sums are taken relative to a shift, because ``G/N - mm'`` loses the digits that a large offset takes. A shift that was measured here travels
-in ``stats`` (rows with ``j = -2``) and is added back to the means; one that the caller gave is not.
+in ``stats`` (rows with ``i = -2``) and is added back to the means; one that the caller gave is not.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +20,7 @@ from ..functions import blocks as B
 from ..functions import pixels as P
 from ..spec import HopSpec, check_hops
 from . import hops as H
+from . import packed as PK
 from . import vectors as V
 
 LOOK = 1024  # rows whose mean is the shift; any shift gives the same results up to rounding
@@ -64,32 +65,32 @@ def _middle(rows: np.ndarray) -> np.ndarray:
 
 
 def carry_shift(stats: DataFrame, shift: np.ndarray) -> DataFrame:
-    """``stats`` with the shift of its nodes, by node, in rows ``j = -2``; written into the plan, no scan."""
-    cells = [(n, i, -2, float(v)) for n, row in enumerate(shift) for i, v in enumerate(row) if v]
-    return stats.unionByName(stats.sparkSession.createDataFrame(cells, "node int, i int, j int, s double")) if cells else stats
+    """``stats`` with the shift of its nodes, by node, in rows ``i = -2``; written into the plan, no scan."""
+    rows = [(n, -2, row.tolist()) for n, row in enumerate(shift) if row.any()]
+    return stats.unionByName(stats.sparkSession.createDataFrame(rows, PK.SCHEMA)) if rows else stats
 
 
 def counts(stats: DataFrame) -> DataFrame:
-    return stats.filter("node >= 0 and i = -1").select("node", F.col("s").cast("bigint").alias("n"))
+    return stats.filter("node >= 0 and i = -1").groupBy("node").agg(F.sum(F.get("row", F.lit(0))).cast("bigint").alias("n"))
+
+
+_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
 
 
 def _by_node(stats: DataFrame, schema: str, rows: Callable) -> DataFrame:
     """One row set per node from ``rows(n, mean relative to the shift, population covariance, shift)``."""
-
-    def one(key, pdf):
-        i, j, s = (pdf[c].to_numpy() for c in "ijs")
-        first = (i >= 0) & (j == -1)
-        k, n = int(first.sum()), float(s[i == -1].sum())
-        if n == 0:  # nothing but a shift
-            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        m, shift, gram = np.zeros(k), np.zeros(k), np.zeros((k, k))
-        m[i[first]], shift[i[j == -2]] = s[first] / n, s[j == -2]
-        upper = j >= 0
-        gram[i[upper], j[upper]] = gram[j[upper], i[upper]] = s[upper]
-        out = rows(n, m, gram / n - np.outer(m, m), shift)
-        return pd.DataFrame({"node": int(key[0]), **out})
-
-    return stats.filter("node >= 0").groupBy("node").applyInPandas(one, schema)
+    names = [tuple(c.split()) for c in schema.split(", ")]
+
+    def results(it):
+        for node, n, s, gram, shift in PK.nodes(it):
+            if n == 0:  # nothing but a shift
+                continue
+            m = s / n
+            out = {"node": node, **rows(n, m, gram / n - np.outer(m, m), shift)}
+            size = max(np.size(v) for v in out.values())
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(out[c], size), _TYPES[t]) for c, t in names], names=[c for c, _ in names])
+
+    return PK.by_node(stats.filter("node >= 0")).mapInArrow(results, schema)
 
 
 def _cells(value: np.ndarray) -> dict:

@@ -44,7 +44,7 @@ def finite(x: Column) -> Column:
 
 
 def vector_stats(images: DataFrame, shift: np.ndarray) -> DataFrame:
-    """``stats (node, i, j, s)`` from one aggregate row; node -1 counts malformed rows."""
+    """``stats (node, i, row)`` as in ``packed``, from one aggregate row; node -1 counts malformed rows."""
     k = len(shift)
     bad = malformed(k)
     x = [F.when(~bad, e - F.lit(float(m))).alias(f"x{i}") for i, (e, m) in enumerate(zip(elements(k), shift))]
@@ -54,10 +54,13 @@ def vector_stats(images: DataFrame, shift: np.ndarray) -> DataFrame:
     sums.update({(i, j): F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(k) for j in range(i, k)})
     missing = F.count(F.when(x0.isNull(), 1)).cast("double").alias("bad")
     one = images.select(*x).agg(missing, *[v.alias(_name(c)) for c, v in sums.items()])
-    rows = [F.struct(F.lit(0).alias("node"), F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(_name((i, j))).alias("s"))
-            for i, j in sums]
-    rows.append(F.struct(F.lit(-1).alias("node"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.col("bad").alias("s")))
-    return one.select(F.inline(F.array(*rows))).filter("node = 0 or s > 0")
+    lines = {(0, -1): [(-1, -1)], **{(0, i): [(i, -1), *((i, j) for j in range(i, k))] for i in range(k)}}
+    rows = [_line(node, i, [F.col(_name(c)) for c in cells]) for (node, i), cells in lines.items()]
+    return one.select(F.inline(F.array(*rows, _line(-1, -1, [F.col("bad")])))).filter("node = 0 or row[0] > 0")
+
+
+def _line(node: int, i: int, values: list[Column]) -> Column:
+    return F.struct(F.lit(node).alias("node"), F.lit(i).alias("i"), F.array(*values).alias("row"))
 
 
 def _name(cell) -> str:

@@ -83,7 +83,7 @@ class _Fit:
         shift = np.stack([_patch_mean(H.node_input(sample, spec, {"source": p["node"]}), spec) for p in self.parents])
         rows = self._solved(spec, shift, h)
         if any(r.poor_shift for r in rows):  # the first image was far off: take the sums again around the mean
-            means = {r.node: r.mean for r in rows}
+            means = {r.node: r.mean for r in rows if r.kidx == 0}
             rows = self._solved(spec, np.array([means[i] for i in range(len(shift))]), h)
         self.tree.append({"spec": spec, "nodes": read_nodes(rows, tuple(out), est.emit)})
         if spec.need_bias:

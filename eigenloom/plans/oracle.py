@@ -15,7 +15,8 @@ def r(expr: str, digits: int = 6) -> str:
 
 
 def with_(*ctes: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n"
+    """Each step is computed once: inlined, a two-hop tree is planned (and, under a LIMIT, run) once for every reference to its steps."""
+    return "WITH " + ",\n".join(c.replace(" AS (", " AS MATERIALIZED (", 1) for c in ctes) + "\n"
 
 
 def pixels(h: int, w: int, c: int, name: str = "px") -> str:

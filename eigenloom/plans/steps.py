@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import blocks as B
 from ..operators import hops as H
 from ..operators import kernels as K
+from ..operators import packed as PK
 from ..operators import trees as T
 from ..spec import HopSpec
 from .estimator import SubspaceEstimator, SubspaceModel, read_nodes
@@ -103,7 +104,7 @@ def fit_channelwise(maps: DataFrame, energy: Mapping[int, float] | None = None,
     *out, k = B.map_shape(*shape, 1, spec)
     rows = _channel_kernels(maps, spec, shape, None)
     if any(r.poor_shift for r in rows):
-        rows = _channel_kernels(maps, spec, shape, {r.node: np.array(r.mean) for r in rows})
+        rows = _channel_kernels(maps, spec, shape, {r.node: np.array(r.mean) for r in rows if r.kidx == 0})
     channels = sorted({r.node for r in rows})
     parents = [{"node": ch, "parent_channel": ch, "parent_energy": float((energy or {}).get(ch, 1.0))} for ch in channels]
     number, first_kernel, nodes_in = {ch: i for i, ch in enumerate(channels)}, 0, []
@@ -135,7 +136,7 @@ def _channel_kernels(maps: DataFrame, spec: HopSpec, shape, shift) -> list[Row]:
                     state.clear()
         yield from H.state_rows(state, bad)
 
-    stats = H.sum_stats(maps.select(*H.MAP_NAMES).mapInArrow(sums, H.PARTIAL))
+    stats = PK.summed(maps.select(*H.MAP_NAMES).mapInArrow(sums, PK.SCHEMA))
     rows = K.solve(stats, spec, shift).collect()
     bad = sum(r.n for r in rows if r.node < 0)
     if bad:

@@ -33,13 +33,14 @@ def test_settings_are_checked():
 
 
 def test_threshold_edges(spark):
-    rows = spark.createDataFrame([(0, c, e) for c, e in enumerate([0.5, 0.2, 0.1, 0.05, 0.0])]
-                                 + [(1, c, e) for c, e in enumerate([0.5, 0.2, 0.1, 0.05, 0.0])], "hop int, channel int, energy double")
-    got = K.assign_roles(rows, 0.2, 0.1, 2).orderBy("hop", "channel").collect()
+    rows = spark.createDataFrame([(h, 0, c, e) for h in (0, 1) for c, e in enumerate([0.5, 0.2, 0.1, 0.05, 0.0])]
+                                 + [(h, 1, 5, 0.0) for h in (0, 1)], "hop int, node int, channel int, energy double")
+    got = K.assign_roles(rows, 0.2, 0.1, 2).filter("node = 0").orderBy("hop", "channel").collect()
     assert [r.role for r in got[:5]] == ["forward", "forward", "emit", "discard", "discard"]
     assert [r.role for r in got[5:]] == ["emit", "emit", "emit", "discard", "discard"]
-    zero = K.assign_roles(rows, 0.0, 0.0, 2).filter("energy = 0").collect()
-    assert {r.role for r in zero} == {"discard"}
+    zero = {(r.hop, r.node): r.role for r in K.assign_roles(rows, 0.3, 0.0, 2).filter("energy = 0").collect()}
+    assert zero == {(0, 0): "emit", (1, 0): "emit", (0, 1): "discard", (1, 1): "discard"}  # a node without energy has no features
+    assert {r.role for r in K.assign_roles(rows, 0.0, 0.0, 2).filter("node = 0 and hop = 0").collect()} == {"forward"}
 
 
 def test_constant_channel_is_discarded(spark):

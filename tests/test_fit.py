@@ -183,7 +183,7 @@ def test_all_pixel_types_and_a_pipeline(spark):
 def test_small_chunks_change_nothing(spark, monkeypatch):
     """One image row per chunk, one image per batch, one node per frame."""
     from eigenloom.operators import hops as H
-    from eigenloom.operators import trees as T
+    from eigenloom.operators import packed as PK
 
     x = smooth(np.random.default_rng(5), 12, 9, 9, 2)
     df, est = images(spark, x), SubspaceEstimator([HopSpec(3, 1, need_bias=True), HopSpec(2, 1)], th1=0.05, th2=0.001)
@@ -192,7 +192,8 @@ def test_small_chunks_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(B, "CHUNK_BYTES", 1)
     monkeypatch.setattr(H, "BATCH_BYTES", 1)
     monkeypatch.setattr(H, "STATE_BYTES", 1)
-    monkeypatch.setattr(H, "SENT_VALUES", 3)
+    monkeypatch.setattr(PK, "SENT_VALUES", 3)
+    monkeypatch.setattr(PK, "HELD_VALUES", 3)
     model = est.fit(df)
     np.testing.assert_allclose(maps_array(model.transform_maps(df, "all"), 1)[0], want, atol=1e-8)
 

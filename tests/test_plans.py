@@ -50,10 +50,14 @@ def test_channel_choice_is_a_broadcast(spark):
     assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
 
 
-def test_sums_are_combined_before_the_exchange(spark):
-    text = plan(H.image_stats(grey(spark, SF), [], SLIDE, np.zeros((1, 4)), GREY))
-    assert text.count("Exchange") == 1 and "partial_sum" in text
-    assert text.index("HashAggregate") < text.index("Exchange") < text.index("partial_sum") < text.index("MapInArrow")
+def test_sums_travel_packed(spark):
+    """One exchange of whole lines, added without exploding them; a task sends K + 1 records for each node."""
+    images = grey(spark, SF)
+    text = plan(H.image_stats(images, [], SLIDE, np.zeros((1, 4)), GREY))
+    assert text.count("Exchange") == 1 and "hashpartitioning(node" in text and "Generate" not in text and "partial_sum" not in text
+    for spec, nodes, k in ((SLIDE, 1, 4), (HopSpec(window=5), 1, 25)):
+        partial = H._partial_sums(H.image_columns(images.repartition(6)), [], spec, np.zeros((nodes, k)), GREY, range(nodes))
+        assert partial.count() == 6 * nodes * (k + 1)
 
 
 def test_short_vectors_never_leave_the_jvm(spark):
