@@ -107,23 +107,33 @@ def concat_hops(maps: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, maps)
 
 
-def wide_features(maps: DataFrame) -> DataFrame:
-    """One row per image, channels end to end by (hop, channel).
+def by_image(maps: DataFrame, *keys: str) -> DataFrame:
+    """``(image_id, keys, m)``: the maps of each image as an array of ``(hop, channel, v)``, in that order.
 
-    Needs a shuffle by image, whose group is one image's channels; ``SubspaceModel.features`` gives the
-    same from the images without one.
+    An image must have each channel once: rows without an id, or several with the same id, hop and channel, are an error. They would
+    otherwise grow into one long row. One shuffle, by image; repeated channels are found before anything is collected, so a group never
+    holds more than the channels of one image.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("hop", "channel", "v")))
-    return maps.groupBy("image_id").agg(F.flatten(F.transform(ordered, lambda s: s["v"])).alias("features"))
+    known = F.when(F.col("image_id").isNull(), F.raise_error(F.lit("a map has no image_id"))).otherwise(F.col("image_id"))
+    near = maps.select(known.alias("image_id"), *keys, "hop", "channel", "v").repartition("image_id")
+    once_each = near.groupBy("image_id", *keys, "hop", "channel").agg(F.count(F.lit(1)).alias("n"), F.any_value("v").alias("v"))
+    twice = F.raise_error(F.concat(F.lit("image "), F.col("image_id").cast("string"), F.lit(" has channel "), F.col("channel").cast("string"),
+                                   F.lit(" of hop "), F.col("hop").cast("string"), F.lit(" more than once")))
+    checked = once_each.withColumn("v", F.when(F.col("n") > 1, twice).otherwise(F.col("v")))
+    return checked.groupBy("image_id", *keys).agg(F.sort_array(F.collect_list(F.struct("hop", "channel", "v"))).alias("m"))
 
 
-def stack_channels(maps: DataFrame) -> DataFrame:
-    """Images with all channels of ``maps`` in channel order: the inverse of ``split_channels``.
+def wide_features(maps: DataFrame) -> DataFrame:
+    """One row per image, channels end to end by (hop, channel), from a table of maps; see ``by_image`` for what it asks of ids.
 
-    One shuffle by image; a group holds the channels of one image.
+    ``SubspaceModel.features`` gives the same from the images without a shuffle, and keeps rows with repeated or null ids apart.
     """
-    channels = F.transform(F.sort_array(F.collect_list(F.struct("hop", "channel", "v"))), lambda s: s["v"])
-    one = maps.groupBy("image_id", "height", "width").agg(channels.alias("m"))
+    return by_image(maps).select("image_id", F.flatten(F.transform("m", lambda s: s["v"])).alias("features"))
+
+
+def stack_channels(maps: DataFrame) -> DataFrame:
+    """Images with all channels of ``maps`` in channel order: the inverse of ``split_channels``; see ``by_image``."""
+    one = by_image(maps, "height", "width").withColumn("m", F.transform("m", lambda s: s["v"]))
     cells = F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)
     pixels = once(F.col("m"), lambda m: F.flatten(F.transform(cells, lambda p: F.transform(m, lambda v: F.get(v, p)))))
     return one.select("image_id", "height", "width", F.size("m").alias("channels"), pixels.alias("pixels"))

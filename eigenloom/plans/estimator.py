@@ -26,14 +26,24 @@ class SubspaceEstimator(Estimator):
     gives all of them together. Each scan starts from the images, so give it a stored table, not a long
     computation. ``th1``: energy from which a channel goes to the next hop; ``th2``: energy from
     which it is a feature. ``emit='all'`` makes every channel from ``th2`` on a feature, forwarded or not.
+
+    ``maps``: how a hop gets at the maps of the hop before it. ``recompute``: from the images, nothing is stored; ``stored``: from a table
+    in ``store`` (a folder that all executors share), written once per hop; ``auto``: stored where that is cheaper for the hops that are left, if there is a ``store``.
+    The model is the same. A fit that is started again with the same ``store``, settings and images goes on behind the last complete hop; other
+    images need another folder.
     """
 
     def __init__(self, hops: Sequence[HopSpec], depth: int | None = None, th1: float = 0.005, th2: float = 0.001,
-                 emit: str = "tail"):
+                 emit: str = "tail", maps: str = "auto", store: str | None = None):
         super().__init__()
         if emit not in ("tail", "all"):
             raise ValueError("emit must be 'tail' or 'all'")
+        if maps not in ("auto", "recompute", "stored"):
+            raise ValueError("maps must be 'auto', 'recompute' or 'stored'")
+        if maps == "stored" and not store:
+            raise ValueError("stored maps need a folder: give store")
         self.hops, self.th1, self.th2, self.emit = check_hops(hops, depth), float(th1), float(th2), emit
+        self.maps, self.store = maps, store
 
     def _fit(self, images: DataFrame) -> "SubspaceModel":
         first = H.image_columns(images).head(1)
@@ -48,19 +58,31 @@ class SubspaceEstimator(Estimator):
         h, w, c = dims
         sample = np.asarray(row.pixels, dtype=np.float64).reshape(1, h, w, c).transpose(3, 0, 1, 2)
         run = _Fit(self, images, dims, V.fits(self.hops, dims))
-        for _ in self.hops:
+        if self.store and self.maps != "recompute":
+            from .stages import Stages, fit_key
+
+            run.stages = Stages(images.sparkSession, self.store, fit_key(self.hops, self.th1, self.th2, self.emit, row))
+            sample = run.resumed(sample)
+        while sample is not None and len(run.tree) < len(self.hops):
             sample = run.next_hop(sample)
-            if sample is None:
-                break
+            if sample is not None:
+                run.store_maps()
         run.biases()
-        return SubspaceModel(run.tree, dims, self.th1, self.th2, self.emit, run.vectors)
+        model = SubspaceModel(run.tree, dims, self.th1, self.th2, self.emit, run.vectors)
+        model.passes = run.passes
+        return model
 
 
 class _Fit:
-    """State of one fit: the hops so far and those whose bias is still open."""
+    """State of one fit: the hops so far and those whose bias is still open.
+
+    ``images`` of ``dims`` are what hop ``base`` reads: the caller's images, or the stored maps behind hop ``base - 1``. ``passes``: what each scan was for
+    and how many hops it computed.
+    """
 
     def __init__(self, est: SubspaceEstimator, images: DataFrame, dims, vectors: bool):
         self.est, self.images, self.dims, self.vectors = est, images, dims, vectors
+        self.base, self.stages, self.passes = 0, None, []
         self.tree: list[dict] = []
         self.open: list[int] = []
         self.parents = [{"node": 0, "parent_channel": -1, "parent_energy": 1.0}]
@@ -99,12 +121,47 @@ class _Fit:
         self.floor = [K.ROUNDING * float(np.dot(r.weights, r.weights)) * r.spread for r in onward]
         return sample
 
+    def store_maps(self) -> None:
+        """Store what the last hop forwards, if that is asked for or pays; with its bias, which is found first."""
+        left, est, hop = len(self.est.hops) - len(self.tree), self.est, self.tree[-1]
+        if not self.stages or not left:
+            return
+        from .stages import forward_images, worth_storing
+
+        tree = T.slim(self.tree[self.base:])
+        side = hop["nodes"][0]["out"]
+        out = (*(out_side(v, hop["spec"].pool_after, hop["spec"].ragged) for v in side), len(self.parents))
+        biased = any(s.need_bias for s in est.hops[len(self.tree):])
+        if est.maps == "auto" and not worth_storing(tree, self.dims, out, left, biased, bool(self.open)):
+            return
+        if T.model_bytes(tree) > T.MODEL_BYTES:
+            return
+        self.biases()
+        maps = forward_images(self.images, self.tree[self.base:], self.dims)
+        self.passes.append(("write", len(self.tree) - self.base))
+        model = SubspaceModel(self.tree, self.dims, est.th1, est.th2, est.emit)
+        state = {"parents": self.parents, "floor": self.floor, "dims": out}
+        self.images = self.stages.write(len(self.tree) - 1, maps, model, state)
+        self.dims, self.base = out, len(self.tree)
+
+    def resumed(self, sample: np.ndarray) -> np.ndarray:
+        """Take up the last hop that an earlier run stored, if there is one; returns the sample's planes that its last hop read."""
+        hop = self.stages.last(len(self.est.hops) - 1)
+        if hop is None:
+            return sample
+        hooks = {f.__name__: f for s in self.est.hops for f in (s.patch_fn, s.pool_fn) if callable(f)}
+        self.tree, state = self.stages.read(hop, hooks)
+        self.parents, self.floor, self.dims = state["parents"], state["floor"], tuple(state["dims"])
+        self.images, self.base = self.stages.maps(hop), hop + 1
+        return H.advance(sample, T.slim(self.tree[:-1]))
+
     def _solved(self, spec: HopSpec, shift: np.ndarray, h: int) -> list[Row]:
         """One scan: all kernels of hop ``h``."""
         if self.vectors:
             stats = V.vector_stats(self.images, shift[0])
         else:
-            stats = H.image_stats(self.images, self.tree, spec, shift, self.dims)
+            stats = H.image_stats(self.images, self.tree[self.base:], spec, shift, self.dims)
+        self.passes.append(("sums", h - self.base + 1))
         rows = self._kernels(stats, spec, shift, h).collect()
         if any(r.node < 0 for r in rows):
             bad = next(r.n for r in rows if r.node < 0)
@@ -135,9 +192,10 @@ class _Fit:
         if self.vectors:
             found = V.largest_residual(self.images, self.tree[0]["nodes"][0])
         else:
-            found = H.residual_maxima(self.images, self.tree, self.open, self.dims)
+            found = H.residual_maxima(self.images, self.tree[self.base:], [h - self.base for h in self.open], self.dims)
+        self.passes.append(("bias", max(self.open) - self.base + 1))
         for r in found.collect():
-            node = self.tree[r.hop]["nodes"][r.node]
+            node = self.tree[self.base + r.hop]["nodes"][r.node]
             node["bias"] = float(np.sqrt((r.sq or 0.0) / len(node["mean"])))
         for h in self.open:
             if h + 1 < len(self.tree):

@@ -436,10 +436,10 @@ def transform_residual(spark, sf):
 
 @query(Q.with_(*ONE_HOP, Q.score4("h", "qd")) + value_sql(cols="CAST(kidx AS INT) AS kidx"))
 def transform_given(spark, sf):
-    """Projection on a kernel table by a join."""
+    """Projection on a table of kernels."""
     images, model = one_hop(spark, sf)
     patches = S.remove_mean(sliding(spark, sf), model.tree[0]["nodes"][0]["mean"]).withColumn("node", F.lit(0))
-    out = E.project_by_join(patches, model.kernels(spark))
+    out = E.project_on_kernels(patches, model.kernels(spark))
     return out.select("image_id", "kidx", "r", "c", num("value", 5).alias("value"))
 
 
@@ -903,7 +903,7 @@ def step_two(spark, sf):
     kernels, maps, _ = fit_joint(grey(spark, sf), spec=STEP)
     forward, fk, *_ = C.filter_channels(maps, kernels, 0.249, 0.24853)
     energy = {r.channel: r.energy for r in fk.select("channel", "energy").collect()}
-    return fit_channelwise(forward, energy, HopSpec(window=2, stride=1, ddof=0, need_bias=True))
+    return fit_channelwise(forward, energy, HopSpec(window=2, stride=1, ddof=0, need_bias=True), store=scratch_path(spark, "maps"))
 
 
 @query(Q.with_(*STEP2_SQL) + value_sql("g"))

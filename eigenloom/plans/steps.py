@@ -19,6 +19,7 @@ from ..operators import hops as H
 from ..operators import kernels as K
 from ..operators import packed as PK
 from ..operators import trees as T
+from ..sources.complete import complete_table
 from ..spec import HopSpec
 from .estimator import SubspaceEstimator, SubspaceModel, read_nodes
 
@@ -89,12 +90,18 @@ def channel_batches(it, shape, copies: int = 1):
                     yield int(channels[lo]), rows, np.array(v.reshape(1, -1, h, w), dtype=np.float64), 0
 
 
-def fit_channelwise(maps: DataFrame, energy: Mapping[int, float] | None = None, spec: HopSpec = FUNCTIONAL):
+def fit_channelwise(maps: DataFrame, energy: Mapping[int, float] | None = None, spec: HopSpec = FUNCTIONAL,
+                    store: str | None = None, key: str = ""):
     """Fit one hop on every channel of ``maps`` at once: ``(kernels, new maps, fitted hop)``.
 
     ``energy``: energy of each channel, 1 where missing. One scan for the sums of all channels, one more for
     a bias. Should the values of a channel lie far from zero, the sums are taken again around its mean.
+
+    ``maps`` that are not a table yet are computed anew by every scan and by the new maps. With ``store``, a folder that all executors share, they are
+    written there once and read from there by all of these; a later call with the same folder and ``key`` finds them complete.
     """
+    if store:
+        maps = complete_table(maps.select(*H.MAP_NAMES), store, key)
     spec, first = replace(spec, channelwise=True), maps.select(*H.MAP_NAMES).head(1)
     if not first:
         raise ValueError("there are no maps to fit on")

@@ -3,7 +3,11 @@
 import hashlib
 import time
 
+import os
+from functools import partial
+
 import numpy as np
+import pyarrow as pa
 import plain
 import pytest
 from helpers import images, maps_array, smooth
@@ -101,18 +105,19 @@ def test_reading_saved_arrays(spark, tmp_path, save, kind):
     y = np.arange(23) % 10
     path = str(tmp_path / "set.npz")
     save(path, x_train=x, y_train=y)
-    rows = I.read_npz(spark, path, "x_train", "y_train", parts=4).orderBy("image_id").collect()
+    read = partial(I.read_npz, spark, unpack=str(tmp_path / "unpacked"))
+    rows = read(path, "x_train", "y_train", parts=4).orderBy("image_id").collect()
     assert [r.image_id for r in rows] == list(range(23)) and [r.label for r in rows] == list(y)
     assert {(r.height, r.width, r.channels) for r in rows} == {(4, 5, 3)}
     np.testing.assert_array_equal([r.pixels for r in rows], x.reshape(23, -1))
-    assert I.read_npz(spark, path, "x_train").first().label is None
+    assert read(path, "x_train").first().label is None
     save(path, x_train=x, y_train=y[:5], flat=x.reshape(23, -1))
     with pytest.raises(ValueError, match="one label"):
-        I.read_npz(spark, path, "x_train", "y_train")
+        read(path, "x_train", "y_train")
     with pytest.raises(ValueError, match="four dimensions"):
-        I.read_npz(spark, path, "flat")
+        read(path, "flat")
     with pytest.raises(FileNotFoundError):
-        I.read_npz(spark, path + ".none", "x_train")
+        read(path + ".none", "x_train")
 
 
 def test_maps_stack_to_images(spark):
@@ -193,6 +198,59 @@ def test_statistics_tables(spark, k):
     assert S.bias(rows, v.mean(axis=0)).first().value == pytest.approx(np.sqrt((y * y).sum(axis=1)).max() / np.sqrt(k))
 
 
+def test_an_archive_is_read_front_to_back(tmp_path, monkeypatch):
+    """Each array is opened once by a task and its bytes are read once, in order."""
+    import builtins
+
+    path, x = str(tmp_path / "a.npz"), np.arange(500 * 12, dtype=np.float32).reshape(500, 2, 3, 2)
+    np.savez(path, other=np.zeros(77), x=x, y=np.arange(500))
+    array, labels = I.stored_array(path, "x"), I.stored_array(path, "y")
+    opened, seeks, read = [], [], []
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+        def tell(self):
+            return self.f.tell()
+
+        def seek(self, at):
+            seeks.append(at)
+            return self.f.seek(at)
+
+        def read(self, n):
+            read.append(n)
+            return self.f.read(n)
+
+    plain_open = builtins.open
+    monkeypatch.setattr(builtins, "open", lambda p, *a: opened.append(p) or Counted(plain_open(p, *a)))
+    monkeypatch.setattr(I, "STEP_BYTES", 10 * 12 * 8)
+    batches = [pa.record_batch({"id": np.arange(lo, lo + 100)}) for lo in (100, 200, 300)]
+    got = pa.Table.from_batches(I.archive_batches(iter(batches), array, labels))
+    monkeypatch.undo()
+    assert opened == [path, path] and len(seeks) == 2  # one stream for pixels, one for labels, each moved to its range once
+    assert sum(read) == 300 * (12 * 4 + 8)
+    np.testing.assert_array_equal(np.array(got["pixels"].to_pylist()), x[100:400].reshape(300, -1))
+    assert got["label"].to_pylist() == got["image_id"].to_pylist() == list(range(100, 400))
+
+
+def test_a_compressed_archive_is_unpacked_once(spark, tmp_path):
+    path, folder, x = str(tmp_path / "c.npz"), str(tmp_path / "unpacked"), np.arange(60.0).reshape(10, 2, 3, 1)
+    np.savez_compressed(path, x=x, y=np.arange(10))
+    with pytest.raises(ValueError, match="compressed"):
+        I.read_npz(spark, path, "x", "y")
+    rows = I.read_npz(spark, path, "x", "y", parts=3, unpack=folder).orderBy("image_id").collect()
+    np.testing.assert_array_equal([r.pixels for r in rows], x.reshape(10, 6))
+    assert [r.label for r in rows] == list(range(10))
+    assert sorted(os.listdir(folder)) == ["x.npy", "y.npy"]
+
+
 @pytest.mark.parametrize("use_dc", [True, False])
 @pytest.mark.parametrize("need_bias", [True, False])
 def test_inverse_restores_the_patches(spark, use_dc, need_bias):
@@ -214,11 +272,22 @@ def test_projection_on_a_large_kernel_table(spark, monkeypatch):
     model = SubspaceEstimator([HopSpec(2, 1)]).fit(df)
     patches = S.remove_mean(PT.patch_table(df, (6, 6, 1), HopSpec(2, 1)), model.tree[0]["nodes"][0]["mean"])
     patches = patches.withColumn("node", F.lit(0))
-    small = E.project_by_join(patches, model.kernels(spark))
-    monkeypatch.setattr(E, "BROADCAST_VALUES", 0)
-    large = E.project_by_join(patches, model.kernels(spark), salts=5)
-    assert "SortMergeJoin" in large._jdf.queryExecution().toString()
-    assert small.count() == large.count() == 10 * 25 * 4 and small.exceptAll(large).count() == 0
+    kernels = model.kernels(spark).unionByName(model.kernels(spark).withColumn("node", F.lit(7)))  # one node has no patches
+    odd = patches.limit(3).select("image_id", "r", "c", F.lit(9).alias("node"), "f")  # and one has no kernels
+    small = E.project_on_kernels(patches.unionByName(odd.select(patches.columns)), kernels)
+    monkeypatch.setattr(E, "BROADCAST_VALUES", 8)
+    monkeypatch.setattr(E, "OUTPUT_VALUES", 8)
+    large = E.project_on_kernels(patches, kernels, salts=5)
+    text = large._jdf.queryExecution().toString()
+    assert "Join" not in text and "hashpartitioning(bucket" in text  # products come before there is a row per kernel
+    want = {tuple(r[:5]): r.value for r in small.collect()}
+    got = {tuple(r[:5]): r.value for r in large.collect()}
+    assert got.keys() == want.keys() and len(got) == 10 * 25 * 4
+    assert max(abs(got[k] - want[k]) for k in got) < 1e-12
+    values = model.tree[0]["nodes"][0]["weights"] @ np.array([r.f for r in patches.orderBy("image_id", "r", "c").collect()]).T
+    assert max(abs(got[i, r, c, 0, q] - values[q, 25 * i + 5 * r + c]) for i, r, c, _, q in got) < 1e-9
+    with pytest.raises(Exception, match="does not have the 4 values"):
+        E.project_on_kernels(patches.withColumn("f", F.slice("f", 1, 3)), kernels).count()
 
 
 def test_inverse_of_the_second_hop(spark):

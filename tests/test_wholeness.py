@@ -50,6 +50,34 @@ def test_unmatched_rows_are_counted(spark):
     assert tuple(E.reconstruction_error(a.limit(0), b.limit(0)).first()) == (None, 0, 0, 0, 0)
 
 
+def test_patch_tables_meet_image_by_image(spark, monkeypatch):
+    """One exchange of a row per image, band and task; many bands, repeated keys and rows of one side only give the counts of a plain match."""
+    rng = np.random.default_rng(6)
+    keys = [(i, r, c) for i in range(6) for r in range(9) for c in range(4)]
+    a = [(*k, rng.standard_normal(3).round(2).tolist()) for k in keys if sum(k) % 7]
+    b = [(*k, rng.standard_normal(3).round(2).tolist()) for k in keys if sum(k) % 5]
+    a += [(*a[0][:3], [9.0, 9.0, 9.0]), (*a[1][:3], a[1][3])]
+    b += [(*a[1][:3], [0.0, 0.0])]
+    schema = "image_id long, r int, c int, f array<double>"
+    left, right = (spark.createDataFrame(x, schema).repartition(4) for x in (a, b))
+    gaps, only, unlike = [], [0, 0], 0
+    for k in keys:
+        x, y = sorted(v for *q, v in a if tuple(q) == k), sorted(v for *q, v in b if tuple(q) == k)
+        for p, q in zip(x, y):
+            gaps += [abs(s - t) for s, t in zip(p, q)] if len(p) == len(q) else []
+            unlike += len(p) != len(q)
+        only = [only[0] + max(0, len(x) - len(y)), only[1] + max(0, len(y) - len(x))]
+    for band in (64, 2):
+        monkeypatch.setattr(E, "BAND", band)
+        r = E.reconstruction_error(left, right)
+        text = plan(r)
+        assert "Join" not in text and text.count("hashpartitioning") == 1
+        r = r.first()
+        assert r.mae == pytest.approx(np.mean(gaps)) and (r.n, r.n_left_only, r.n_right_only, r.n_unlike) == (len(gaps) // 3, *only, unlike)
+    packed = E._banded(left, 0)
+    assert packed.count() <= 4 * 6 * 5 < left.count()  # a row per task, image and band, not per patch
+
+
 def test_the_way_back_is_measured_in_one_pass(spark):
     x = smooth(np.random.default_rng(2), 10, 6, 6, 2)
     df = images(spark, x)
@@ -70,6 +98,23 @@ def test_the_way_back_is_measured_in_one_pass(spark):
     assert tuple(E.round_trip_error(df.limit(0), one.tree, one.dims).first()) == (None, 0)
 
 
+def test_wide_vectors_from_maps_ask_for_an_identity(spark):
+    x = smooth(np.random.default_rng(1), 8, 5, 5, 2)
+    df = images(spark, x)
+    model = SubspaceEstimator([HopSpec(2, 1)], th1=2.0, th2=0.0).fit(df)
+    maps = model.transform(df)
+    wide = C.wide_features(maps)
+    assert plan(wide).count("hashpartitioning") == 1
+    want = {r.image_id: r.features for r in model.features(df).collect()}
+    assert {r.image_id: r.features for r in wide.collect()} == want
+    with pytest.raises(Exception, match="more than once"):
+        C.wide_features(maps.unionByName(maps.filter("image_id = 3"))).collect()
+    with pytest.raises(Exception, match="no image_id"):
+        C.wide_features(maps.withColumn("image_id", F.when(F.col("image_id") != 3, F.col("image_id")))).collect()
+    with pytest.raises(Exception, match="more than once"):
+        C.stack_channels(maps.unionByName(maps)).collect()
+
+
 def test_missing_cells_are_an_error(spark):
     cells = [(1, 0, r, c, 10.0 * r + c) for r in range(2) for c in range(3)]
     schema = "image_id long, channel int, r int, c int, value double"
