@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path
+
 LAST = 2**63 - 1
 
 
@@ -14,11 +18,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """At most ``rows`` rows in an Arrow batch, a smaller setting of the session stays: a batch of whole texts, and Spark's buffers for it, then hold a few MB."""
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Inside, an Arrow batch holds at most ``rows`` rows (a smaller setting of the session stays): a batch of whole texts, and Spark's buffers for
+    it, then hold a few MB. Outside, the session has its own setting again; what is computed later is computed with that."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
         spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, computed once and kept as a table of the folder that all executors share."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """The frame without columns that a result of those names is about to replace, whatever their case."""
+    taken = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
 def key(col: str | Column) -> Column:

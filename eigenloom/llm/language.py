@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as X
-from .frames import key
+from .frames import key, without
 
 FIT_ROWS = 600
 LEAST_ROWS = 20
@@ -30,6 +30,8 @@ FIT_BYTES = 8 << 20
 LEAST_BYTES = 128 << 10
 BITS = 16
 ROUNDS = 25
+#: Values of the language that are learned at most: each brings its own sample rows and weights to the driver.
+LANGUAGES = 200
 RIDGE = 1e-6
 #: Words that forward-backward takes at once, about.
 STEP_WORDS = 1_000_000
@@ -159,7 +161,8 @@ class LanguageModel:
     moves: np.ndarray
 
     def predict(self, df: DataFrame, text_col: str = "text") -> DataFrame:
-        """All columns with ``lang_pred`` and ``score``."""
+        """All columns with ``lang_pred`` and ``score``, in place of columns of these names."""
+        df = without(df, "lang_pred", "score")
         names, languages, moves = df.columns, self.languages, self.moves
         sent = df.sparkSession.sparkContext.broadcast(self.weights)
 
@@ -212,14 +215,14 @@ class LanguageModel:
 def _picked(df: DataFrame, use: Column | None, id_col: str, text_col: str, lang_col: str, rows: int) -> tuple[DataFrame, list[tuple]]:
     """(k, y, t, th) of the labelled texts with a letter, and the sample's distinct (y, th); ``th`` is the text's hash.
 
-    Every value of the language gets its share, however rare it is: distinct texts are counted by value, and of each only those below a
+    The ``LANGUAGES`` values with the most distinct texts (ties: the smaller) are learned. Each of them gets its share, however rare it is: distinct texts are counted by value, and of each only those below a
     hash that some more than its rows are expected to reach come to the driver.
     """
     texts = df.select(key(id_col).alias("k"), F.col(f"`{lang_col}`").cast("string").alias("y"), F.col(f"`{text_col}`").cast("string").alias("t"))
     texts = texts.filter("y IS NOT NULL").filter(F.col("t").rlike(r"\p{L}"))
     texts = (texts.filter(use) if use is not None else texts).withColumn("th", F.xxhash64("t"))
     distinct = texts.groupBy("y", "th").agg(F.max(F.octet_length("t")).alias("n"))
-    counts = {r["y"]: r["c"] for r in distinct.groupBy("y").agg(F.count("*").alias("c")).collect()}
+    counts = {r["y"]: r["c"] for r in distinct.groupBy("y").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "y").limit(LANGUAGES).collect()}
     if not counts:
         return texts, []
     each, size = max(-(-rows // len(counts)), LEAST_ROWS), max(FIT_BYTES // len(counts), LEAST_BYTES)

@@ -2,12 +2,14 @@
 
 Only the histogram of lengths (at most ``capacity`` numbers, whatever the corpus) reaches the driver. There
 
-1. lengths above ``SMALL`` of the capacity are sorted and cut into ``GROUPS`` groups of equal cardinality, each rounded up to its largest;
+1. lengths above a share of the capacity are sorted and cut into ``GROUPS`` groups of equal cardinality, each rounded up to its largest;
 2. the few rounded sizes give a cutting-stock linear program over configurations, solved by column generation (a knapsack over the
    capacity finds each new configuration) and rounded down;
 3. every configuration slot takes actual lengths of its group;
 4. what the rounding left over, and the small lengths, go best-fit into the free space, largest first, then into new sequences.
 
+Which lengths count as large decides how much is left to fill the gaps: the plan is made for each share in ``LARGE`` and the one with the fewest sequences is kept.
+
 The plan is a list of runs of equal sequences. Documents take their places by their rank among those of equal length, which
 is counted in hashed buckets, so that a length that a third of all documents share is ranked by many tasks.
 
@@ -17,6 +19,7 @@ a null id is kept; repeated rows are packed one by one; an empty table gives an
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -26,14 +29,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .frames import fresh, stored
+from .frames import fresh, stored, without
 from .tokens import encoder
 
 CAPACITY = 4096
-SMALL = 1 / 8
+#: Lengths above this share of the capacity are grouped and configured; smaller ones fill the gaps.
+LARGE = (1 / 8, 1 / 4, 1 / 2)
 GROUPS = 32
-#: Configurations that the linear program may add.
-ROUNDS = 400
+#: Configurations that the linear program may add; the plan is whole without its optimum, and a warning says so.
+ROUNDS = 2000
 
 
 def _knapsack(sizes: list[int], worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -73,6 +77,8 @@ def configurations(sizes: list[int], demand: np.ndarray, capacity: int) -> list[
         amount = np.maximum(amount - ratio[out] * step, 0)
         amount[out] = ratio[out]
         base[:, out] = column
+    else:
+        warnings.warn(f"the packing plan stopped after {ROUNDS} configurations, short of the optimum of its linear program")
     return [(base[:, i].round().astype(int), int(amount[i] + 1e-6)) for i in range(len(sizes)) if amount[i] + 1e-6 >= 1]
 
 
@@ -123,14 +129,12 @@ class _Sequences:
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, tuple]]:
-    """Runs (first sequence, how many, ((length, offset), ...)) that hold every length as often as the histogram says.
-
-    The grouped plan, unless taking no length as large (best-fit alone) needs fewer sequences.
-    """
-    return min((_plan(histogram, capacity, small) for small in (SMALL, 1.0)), key=lambda runs: sum(c for _, c, _ in runs))
+    """Runs (first sequence, how many, ((length, offset), ...)) that hold every length as often as the histogram says."""
+    return min((grouped_plan(histogram, capacity, share) for share in LARGE), key=lambda runs: sum(c for _, c, _ in runs))
 
 
-def _plan(histogram: dict[int, int], capacity: int, small: float) -> list[tuple[int, int, tuple]]:
+def grouped_plan(histogram: dict[int, int], capacity: int, small: float) -> list[tuple[int, int, tuple]]:
+    """The plan with lengths above ``small`` of the capacity as the large ones."""
     out = _Sequences(capacity)
     left: dict[int, int] = {}
     large = sorted((n for n in histogram if n > small * capacity), reverse=True)
@@ -184,7 +188,8 @@ def _plan(histogram: dict[int, int], capacity: int, small: float) -> list[tuple[
 
 
 def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY) -> DataFrame:
-    """The rows with ``sequence_id`` and ``offset``. The rows should be stored: they are read more than once."""
+    """The rows with ``sequence_id`` and ``offset``, in place of columns of these names. The rows should be stored: they are read more than once."""
+    pieces = without(pieces, "sequence_id", "offset")
     names = pieces.columns
     bucket, rank, before, n_col = (fresh(pieces, c) for c in ("__bucket", "__rank", "__before", "__n"))
     buckets = max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)

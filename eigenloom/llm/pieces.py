@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as X
+from .frames import without
 
 MARK = "▁"
 BYTE_SCORE = -40_000.0
@@ -121,17 +122,18 @@ def load(path: str) -> PieceModel:
 
 
 def _added(df: DataFrame, column: str, name: str, kind: T.DataType, work) -> DataFrame:
-    names = df.columns
+    kept = df if column == name else without(df, name)
+    names = [c for c in kept.columns if c != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([*batch.columns, work(batch.column(column))], [*names, name])
+            yield pa.record_batch([*(batch.column(c) for c in names), work(batch.column(column))], [*names, name])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
+    return kept.mapInArrow(run, T.StructType([*(f for f in kept.schema.fields if f.name != name), T.StructField(name, kind)]))
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", name: str = "ids") -> DataFrame:
-    """All columns and the list of ids."""
+    """All columns and the list of ids, in place of a column of that name."""
 
     def work(column):
         model = load(path)
@@ -141,7 +143,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", name: str = "ids")
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
-    """All columns and the text of the ids."""
+    """All columns and the text of the ids, in place of a column of that name."""
 
     def work(column):
         model = load(path)

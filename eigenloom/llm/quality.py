@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as X
-from .frames import key, stored
+from .frames import key, stored, without
 from .labels import labelled
 
 BITS = 16
@@ -97,6 +97,7 @@ class QualityModel:
     threshold: float
 
     def _map(self, df: DataFrame, text_col: str, fields: list[T.StructField], reject: bool) -> DataFrame:
+        df = without(df, *(f.name for f in fields))
         names, ratio, threshold = df.columns, self.ratio.astype(np.float32), self.threshold
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +115,7 @@ class QualityModel:
         return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
 
     def score(self, df: DataFrame, text_col: str = "text") -> DataFrame:
-        """All columns with n_grams, log_weight, score (its mean per n-gram) and accepted."""
+        """All columns with n_grams, log_weight, score (its mean per n-gram) and accepted, in place of columns of these names."""
         kinds = {"n_grams": T.LongType(), "log_weight": T.DoubleType(), "score": T.DoubleType(), "accepted": T.BooleanType()}
         return self._map(df, text_col, [T.StructField(n, k) for n, k in kinds.items()], False)
 

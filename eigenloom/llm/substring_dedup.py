@@ -7,11 +7,12 @@ meet under equal prefixes and a document sends about two prefixes in 44 words.
 1. Prefixes that occur in one document only are dropped (one partial aggregate over all prefixes).
 2. The text around the remaining anchors, as many words as their windows reach, is dealt out by prefix; equal pieces
    are merged before that, so that a passage copied a million times is one piece of its group.
-3. A group of up to ``GROUP`` pieces gets its subtree, built level by level: nodes of depth 1, 2, 4, ... ``window`` are named
+3. A group of up to ``GROUP`` pieces, copies counted, gets its subtree, built level by level: nodes of depth 1, 2, 4, ... ``window`` are named
    by pairs of names of half the depth (names of depth 1 are the words themselves, so names stand for texts, not hashes).
    A node of depth ``window`` is a repeat; it carries its smallest doc_id. A prefix with more pieces is lengthened to
-   the whole window: all suffixes of such a group share the node, and its smallest doc_id is a plain aggregate.
-4. Occurrences with a larger doc_id than their node's are removed.
+   the whole window: all suffixes of such a group share the node, and its smallest doc_id is a plain aggregate, which never enters a tree task.
+4. A piece's nodes are one row, so each occurrence of a piece meets one row; copies of a piece are dealt over several keys. Occurrences with a larger
+   doc_id than their node's are removed.
 
 Defined results: null or blank text has no words; a null doc_id counts as the largest; rows with the same doc_id never remove
 words of each other, repeated rows give repeated results; an empty table gives an empty result. Texts of any length are
@@ -36,6 +37,9 @@ WINDOW = 50
 PREFIX = 8
 #: Pieces in one subtree at most, and words built at once.
 GROUP = 32_768
+#: Copies of one piece that meet on one key, about, and keys they are dealt over at most.
+COPIES = 4_096
+SALTS = 256
 BUILD_WORDS = 250_000
 
 
@@ -73,15 +77,15 @@ def _prefixes(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offs in X.slices(batches, "t"):
             doc, prefix, *_ = anchors(X.Words(buf, offs), window)
-            pairs = np.unique(np.rec.fromarrays([doc, prefix], names="d,p"))
+            pairs, n = np.unique(np.rec.fromarrays([doc, prefix], names="d,p"), return_counts=True)
             ids = part.column("k").to_numpy()
-            yield pa.record_batch([pa.array(X.as_signed(pairs["p"])), pa.array(ids[pairs["d"]])], ["p", "k"])
+            yield pa.record_batch([pa.array(X.as_signed(pairs["p"])), pa.array(ids[pairs["d"]]), pa.array(n.astype(np.int64))], ["p", "k", "n"])
 
     return run
 
 
-_PIECE = pa.schema([("p", pa.int64()), ("sh", pa.binary()), ("k", pa.int64()), ("th", pa.int64()), ("w", pa.int32()), ("n", pa.int32()), ("d", pa.int32())])
-_PIECE_DDL = "p long, sh binary, k long, th long, w int, n int, d int"
+_PIECE = pa.schema([("p", pa.int64()), ("sh", pa.binary()), ("k", pa.int64()), ("th", pa.int64()), ("w", pa.int32()), ("n", pa.int32()), ("d", pa.int32()), ("salts", pa.int32())])
+_PIECE_DDL = "p long, sh binary, k long, th long, w int, n int, d int, salts int"
 _TEXT = pa.schema([("p", pa.int64()), ("sh", pa.binary()), ("seg", pa.binary())])
 _TEXT_DDL = "p long, sh binary, seg binary"
 
@@ -110,7 +114,7 @@ def _pieces(window: int, k_col: str, text_col: str, ps_col: str, texts: bool):
             row = np.repeat(np.arange(len(ids)), sizes)
             mine = np.rec.fromarrays([row, wanted.field("p").to_numpy().view(X.U64)], names="d,p")
             order = np.argsort(mine, kind="stable")
-            mine, heavy = mine[order], wanted.field("heavy").to_numpy(zero_copy_only=False)[order]
+            mine, heavy, salts = mine[order], wanted.field("heavy").to_numpy(zero_copy_only=False)[order], wanted.field("salts").to_numpy()[order]
             have = np.rec.fromarrays([doc.astype(np.int64), prefix], names="d,p")
             place = np.minimum(np.searchsorted(mine, have), max(len(mine) - 1, 0))
             hit = np.flatnonzero(mine[place] == have) if len(mine) else np.empty(0, np.int64)
@@ -119,17 +123,17 @@ def _pieces(window: int, k_col: str, text_col: str, ps_col: str, texts: bool):
             hashes = {} if texts else {r: _text_hash(buf, offs, r) for r in set(doc[hit].tolist())}
             for j in hit.tolist():
                 r, a, i, e = int(doc[j]), int(at[j]), int(lo[j]), int(hi[j])
-                p, base = int(prefix[j].view(np.int64)), int(words.first[r])
+                p, base, spread = int(prefix[j].view(np.int64)), int(words.first[r]), int(salts[place[j]])
                 if heavy[place[j]]:
                     for w in range(i, e + 1) if not texts else ():
                         sh = xxhash.xxh3_128_digest(text[starts[w] : ends[w + window - 1]])
-                        for f, v in zip(put, (p, sh, int(ids[r]), hashes[r], w - base, 1, -1)):
+                        for f, v in zip(put, (p, sh, int(ids[r]), hashes[r], w - base, 1, -1, spread)):
                             f(v)
                     continue
                 seg = text[starts[i] : ends[e + window - 1]]
                 sh = xxhash.xxh3_128_digest(seg, a - i)
                 if not texts:
-                    for f, v in zip(put, (p, sh, int(ids[r]), hashes[r], i - base, e - i + 1, a - i)):
+                    for f, v in zip(put, (p, sh, int(ids[r]), hashes[r], i - base, e - i + 1, a - i, spread)):
                         f(v)
                 elif sh not in seen:
                     if len(seen) > 200_000:
@@ -154,10 +158,10 @@ def node_names(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def _built(rows: list[tuple], window: int) -> Iterator[tuple]:
-    """(p, sh, first window, last window, smallest doc_id) of the repeats among pieces ``(p, sh, lo, hi, n, d, seg)``."""
+    """(p, sh, salts, marks) of pieces ``(p, sh, lo, hi, n, d, salts, seg)`` that hold repeats; marks are (first window, last window, smallest doc_id)."""
     vocabulary: dict[bytes, int] = {}
     name = vocabulary.setdefault
-    flat = [name(w, len(vocabulary)) for r in rows for w in r[6].split(b" ")]
+    flat = [name(w, len(vocabulary)) for r in rows for w in r[7].split(b" ")]
     flat = np.asarray(flat, np.int64)
     size = np.array([r[4] + window - 1 for r in rows])
     first = np.cumsum(size) - size
@@ -171,39 +175,44 @@ def _built(rows: list[tuple], window: int) -> Iterator[tuple]:
     np.minimum.at(least, node, low[piece])
     least = least[node]
     cut = np.flatnonzero(np.r_[True, (piece[1:] != piece[:-1]) | (least[1:] != least[:-1])])
+    now, marks = -1, []
     for b, e in zip(cut.tolist(), np.r_[cut[1:], len(piece)].tolist()):
-        r = rows[piece[b]]
-        if least[b] < r[3]:
-            yield r[0], r[1], int(offset[b]), int(offset[e - 1]), int(least[b])
+        if piece[b] != now:
+            if marks:
+                yield (*rows[now][:2], rows[now][6], marks)
+            now, marks = int(piece[b]), []
+        if least[b] < rows[now][3]:
+            marks.append({"w0": int(offset[b]), "w1": int(offset[e - 1]), "low": int(least[b])})
+    if marks:
+        yield (*rows[now][:2], rows[now][6], marks)
+
+
+_MARKS = pa.list_(pa.struct([("w0", pa.int32()), ("w1", pa.int32()), ("low", pa.int64())]))
+_NODES_DDL = "p long, sh binary, salts int, marks array<struct<w0:int,w1:int,low:long>>"
 
 
 def _trees(window: int):
-    """Subtrees of the pieces, which come sorted by prefix: whole groups are built together, some at once."""
+    """Subtrees of the pieces, which come sorted by prefix: whole groups are built together, some at once. A row for each piece with repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(found):
-            found = list(found)
-            cols = list(zip(*found)) if found else [[]] * 5
-            return pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()))], ["p", "sh", "w0", "w1", "low"])
+            cols = list(zip(*found)) or [[]] * 4
+            return pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), _MARKS))], ["p", "sh", "salts", "marks"])
 
         rows, words, about = [], 0, None
         for batch in batches:
-            ready = []
-            for r in zip(*(batch.column(c).to_pylist() for c in ("p", "sh", "lo", "hi", "n", "d", "seg"))):
-                if r[6] is None:  # what is known of a piece comes before its words
+            for r in zip(*(batch.column(c).to_pylist() for c in ("p", "sh", "lo", "hi", "n", "d", "salts", "seg"))):
+                if r[7] is None:  # what is known of a piece comes before its words
                     about = r
-                    if r[5] < 0 and r[2] < r[3]:  # the prefix is the window itself
-                        ready.append((r[0], r[1], 0, 0, r[2]))
                     continue
                 if about is None or about[1] != r[1]:
                     continue  # the same words, sent by another task
                 if words >= BUILD_WORDS and rows[-1][0] != r[0]:
                     yield out(_built(rows, window))
                     rows, words = [], 0
-                rows.append((*about[:6], r[6]))
+                rows.append((*about[:7], r[7]))
                 words += about[4] + window - 1
                 about = None
-            yield out(ready)
         if rows:
             yield out(_built(rows, window))
 
@@ -217,19 +226,25 @@ def _with_spans(df: DataFrame, id_col: str, text_col: str, window: int, group: i
     """
     k, spans, ps = fresh(df, "__k"), fresh(df, "__spans"), fresh(df, "__ps")
     base = df.withColumn(k, key(id_col))
-    pairs = df.select(key(id_col).alias("k"), F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(_prefixes(window), "p long, k long")
-    shared = pairs.groupBy("p").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
-    wanted = pairs.join(shared.select("p", (F.col("c") > group).alias("heavy")), "p")
-    wanted = wanted.groupBy(F.col("k").alias(k)).agg(F.collect_set(F.struct("p", "heavy")).alias(ps))
+    pairs = df.select(key(id_col).alias("k"), F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(_prefixes(window), "p long, k long, n long")
+    shared = pairs.groupBy("p").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.sum("n").alias("c")).filter("lo < hi")
+    salts = F.least(F.ceil(F.col("c") / F.lit(COPIES)), F.lit(SALTS)).cast("int")
+    wanted = pairs.join(shared.select("p", (F.col("c") > group).alias("heavy"), salts.alias("salts")), "p")
+    wanted = wanted.groupBy(F.col("k").alias(k)).agg(F.collect_set(F.struct("p", "heavy", "salts")).alias(ps))
     around = base.join(wanted, k)
     pieces = around.mapInArrow(_pieces(window, k, text_col, ps, False), _PIECE_DDL)
     texts = around.mapInArrow(_pieces(window, k, text_col, ps, True), _TEXT_DDL)
-    known = pieces.groupBy("p", "sh").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.first("n").alias("n"), F.first("d").alias("d"))
-    groups = known.withColumn("seg", F.lit(None).cast("binary")).unionByName(texts, allowMissingColumns=True)
-    nodes = groups.repartition("p").sortWithinPartitions("p", "sh", F.asc_nulls_first("seg")).mapInArrow(_trees(window), "p long, sh binary, w0 int, w1 int, low long")
-    found = pieces.select("p", "sh", "k", "th", "w").join(nodes, ["p", "sh"]).filter("low < k")
-    span = F.struct("th", (F.col("w") + F.col("w0")).alias("s"), (F.col("w") + F.col("w1") + window).alias("e"))
-    found = found.groupBy(F.col("k").alias(k)).agg(F.collect_list(span).alias(spans))
+    known = pieces.groupBy("p", "sh").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.first("n").alias("n"), F.first("d").alias("d"), F.first("salts").alias("salts"))
+    groups = known.filter("d >= 0").withColumn("seg", F.lit(None).cast("binary")).unionByName(texts, allowMissingColumns=True)
+    nodes = groups.repartition("p").sortWithinPartitions("p", "sh", F.asc_nulls_first("seg")).mapInArrow(_trees(window), _NODES_DDL)
+    zero = F.lit(0)
+    windows = known.filter("d < 0 AND lo < hi").select("p", "sh", "salts", F.array(F.struct(zero.alias("w0"), zero.alias("w1"), F.col("lo").alias("low"))).alias("marks"))
+    nodes = nodes.unionByName(windows).withColumn("salt", F.explode(F.sequence(zero, F.col("salts") - 1))).drop("salts")
+    salt = F.pmod(F.xxhash64("k", "w"), F.col("salts")).cast("int")
+    found = pieces.select("p", "sh", salt.alias("salt"), "k", "th", "w").join(nodes, ["p", "sh", "salt"])
+    found = found.select("k", "th", "w", F.filter("marks", lambda m: m["low"] < F.col("k")).alias("marks")).filter(F.size("marks") > 0)
+    span = F.transform("marks", lambda m: F.struct(F.col("th").alias("th"), (F.col("w") + m["w0"]).alias("s"), (F.col("w") + m["w1"] + window).alias("e")))
+    found = found.groupBy(F.col("k").alias(k)).agg(F.flatten(F.collect_list(span)).alias(spans))
     return base.join(found, k, "left"), k, spans
 
 

@@ -84,23 +84,32 @@ class Encoder:
     def _part(self, part: str) -> bytes:
         found = self.parts.back(part)
         if found is None:
-            spelt = part.encode().decode("latin-1").translate(self.letters)
+            if part.isascii() and part.isprintable():  # such bytes but the space stand for themselves
+                spelt = part.replace(" ", self.letters[32])
+            else:
+                spelt = part.encode().decode("latin-1").translate(self.letters)
             found = self.parts[part] = _bytes([t.id for t in self.tokenizer.model.tokenize(spelt)])
         return found
 
     def _learn(self, cache: Recent, words: list[str], before: str, plain: bool) -> None:
-        rare, get, lower = [], self.parts.get, not self.lead
+        """Put the ids of all ``words`` into ``cache``. A plain word of letters only is one part, others are cut by the pattern."""
+        rare, get, part, lower = [], self.parts.get, self._part, not self.lead
+        aside, cut = cache.aside, self.cut_parts
         for w in set(words).difference(cache):
-            if cache.back(w) is not None:
-                continue
-            if plain or _PLAIN.fullmatch(w):
-                cache[w] = b"".join([get(p) or self._part(p) for p in self.cut_parts(w.lower() if lower else before + w)])
-            else:
+            found = aside.get(w)
+            if found is not None:
+                cache[w] = found
+            elif not plain and not _PLAIN.fullmatch(w):
                 rare.append(w)
+            elif w.isalpha():
+                p = w.lower() if lower else before + w
+                cache[w] = get(p) or part(p)
+            else:
+                cache[w] = b"".join([get(p) or part(p) for p in cut(w.lower() if lower else before + w)])
         for at in range(0, len(rare), 4096):
-            part = rare[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([before + w for w in part], add_special_tokens=False)
-            cache.update((w, _bytes(x.ids)) for w, x in zip(part, found))
+            some = rare[at : at + 4096]
+            found = self.tokenizer.encode_batch_fast([before + w for w in some], add_special_tokens=False)
+            cache.update((w, _bytes(x.ids)) for w, x in zip(some, found))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -115,7 +124,7 @@ class Encoder:
             cache.turn()
         plain = all(map(_PLAIN.fullmatch, texts))
         if not self.lead:
-            split = [t.split(" ") for t in texts]
+            split = [t.split() if plain else t.split(" ") for t in texts]  # plain texts hold no other white space than ASCII's
             self._learn(self.words, [w for s in split for w in s], "", plain)
             get = self.words.__getitem__
             return [b"".join(map(get, s)) for s in split]

@@ -7,7 +7,7 @@ Labelled texts with an identity term are also taken with their terms swapped (``
 score's logit between a text and its counterfactual are added to the loss, so that naming a group does not raise a score.
 
 Scoring is one map over whole texts. Defined results: null and blank texts get the score of a text without features; without
-labelled rows of both kinds every score is 0 or as rare as the sample says; null ids, repeated rows and extra columns
+labelled rows of both kinds nothing is known, every score is 0 (below 1e-200) and nothing is rejected; null ids, repeated rows and extra columns
 are kept as they are; an empty table gives an empty result.
 """
 
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as X
+from .frames import without
 from .labels import labelled
 
 #: Labelled rows used at most, n-grams kept at most, hash buckets.
@@ -180,7 +181,9 @@ class ToxicityModel:
     bias: float
 
     def score(self, df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, reject: bool = False) -> DataFrame:
-        """All columns with ``score`` (0 to 1) and ``predicted`` (1 from the threshold on); with ``reject`` only the table's columns, without rows predicted 1."""
+        """All columns with ``score`` (0 to 1) and ``predicted`` (1 from the threshold on), in place of columns of these names; with ``reject`` only the table's
+        columns, without rows predicted 1."""
+        df = df if reject else without(df, "score", "predicted")
         names = df.columns
         buckets, weights, bias = self.buckets, self.weights, self.bias
 
@@ -208,7 +211,7 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_
     totals = {r["y"] > 0: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     t0, t1 = totals.get(False, 0), totals.get(True, 0)
     if not t0 or not t1:
-        return ToxicityModel(np.empty(0, int), np.empty(0), -5.0 if not t1 else 5.0)
+        return ToxicityModel(np.empty(0, int), np.empty(0), -500.0)
     counts = sample.mapInArrow(_tally, "b int, n0 long, n1 long").groupBy("b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     p = (F.col("n0") + F.col("n1")) / F.lit(t0 + t1)
     gain = (F.col("n1") / F.lit(t1) - F.col("n0") / F.lit(t0)) ** 2 / F.greatest(p * (1 - p) * F.lit(1 / t0 + 1 / t1), F.lit(1e-12))
