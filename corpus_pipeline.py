@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame; all but the last return the columns of documents. Classifiers are fitted on the rows that
 their stage gets, with the labels of ``sf_dir``. Rejected documents go; one document of each near-duplicate group stays; repeated passages are cut out of
-texts; what is left is packed into sequences. Every stage sees to it that the session's Arrow batches hold no more than 1,000 texts.
+texts; what is left is packed into sequences. A stage writes what it returns to the folder that all executors share, once, with at most 1,000 texts in an Arrow
+batch: the next stage reads it as often as it likes, and the session's own settings stay as they are.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eigenloom.llm.frames import text_batches
+from eigenloom.llm.frames import text_batches, written
 from eigenloom.llm.packing import pack_documents
 from eigenloom.llm.quality import fit_quality
 from eigenloom.llm.simhash import keep_first
@@ -23,28 +24,28 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    text_batches(spark)
-    return fit_quality(docs, _labels(spark, sf_dir)).accept(docs)
+    with text_batches(spark):
+        return written(fit_quality(docs, _labels(spark, sf_dir)).accept(docs), "quality")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    text_batches(spark)
-    return fit_toxicity(docs, _labels(spark, sf_dir)).score(docs, reject=True)
+    with text_batches(spark):
+        return written(fit_toxicity(docs, _labels(spark, sf_dir)).score(docs, reject=True), "toxicity")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    text_batches(spark)
-    return keep_first(docs)
+    with text_batches(spark):
+        return written(keep_first(docs), "near-duplicates")
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    text_batches(spark)
-    return strip_repeats(docs)
+    with text_batches(spark):
+        return written(strip_repeats(docs), "repeated-passages")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    text_batches(spark)
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), added=True)
+    with text_batches(spark):
+        return written(pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), added=True), "packing")
 
 
 STAGES = [
