@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -151,6 +152,14 @@ def label_parity(spark, sf):
     return A.parity(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
 
 
+@query("SELECT 4 AS height, 4 AS width, 4 AS channels, count(*) AS n FROM embeddings")
+def one_shape(spark, sf):
+    """The shape that all images share; mixed shapes are an error."""
+    images = colour(spark, sf)
+    shape = zip(("height", "width", "channels"), A.require_one_shape(images))
+    return images.agg(F.count(F.lit(1)).alias("n")).select(*[F.lit(v).alias(name) for name, v in shape], "n")
+
+
 @query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def label_missing(spark, sf):
     return A.unmatched(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id").select("doc_id", "n_chars")
@@ -591,6 +600,14 @@ def channel_split(spark, sf):
     return long.select("image_id", "channel", "pos", num("x").alias("value"))
 
 
+@query(ORACLE["channel_split"])
+def channel_slice(spark, sf):
+    """The maps of each channel as column expressions."""
+    one = [F.struct(F.lit(c).alias("channel"), P.channel_slice(F.col("pixels"), 16, 4, F.lit(c)).alias("v")) for c in range(4)]
+    maps = colour(spark, sf).select("image_id", F.explode(F.array(*one)).alias("m"))
+    return maps.select("image_id", "m.channel", F.posexplode("m.v").alias("pos", "x")).select("image_id", "channel", "pos", num("x").alias("value"))
+
+
 @query(Q.with_(Q.IMG) + "SELECT image_id, 4 AS channels, CAST(k AS INT) AS pos, " + f"{Q.r('p[k + 1]')} AS value FROM img, range(64) t(k)")
 def channel_stack(spark, sf):
     """Split into maps and put together again."""
@@ -802,6 +819,30 @@ def wide_features_from_maps(spark, sf):
     return flat(C.wide_features(model.transform(images)), "features", 5)
 
 
+@query(ORACLE["wide_features"])
+def wide_vectors(spark, sf):
+    """The same as vectors of ``pyspark.ml``, taken apart again."""
+    images, model = two_hops(spark, sf)
+    vectors = C.as_vector(model.features(images, keep=("label",)))
+    wide = vectors.select("image_id", "label", F.posexplode(vector_to_array("features")).alias("pos", "x"))
+    return wide.select("image_id", "label", "pos", num("x", 5).alias("value"))
+
+
+DEEP = [
+    *GREY_QUADS, *Q.fit4("h", "qd"), Q.roles("h", None, 0.12, 0.001, False), Q.children("h"), Q.score4("h", "qd"), Q.next_maps("m1", "h"),
+    Q.quads("qe", "m1", 6, 1), *Q.fit4("g", "qe"), Q.roles("g", "h_f", 0.12, 0.001, False), Q.children("g"), Q.score4("g", "qe", True),
+    Q.next_maps("m2", "g"), Q.quads("qf", "m2", 5, 1), *Q.fit4("f", "qf"), Q.roles("f", "g_f", 0.12, 0.001, True), Q.score4("f", "qf", True),
+]
+
+
+@query(Q.with_(*DEEP) + value_sql("f"))
+def deep_outputs(spark, sf):
+    """The third of three hops, each fitted on the stored maps of the one before."""
+    images, specs = grey(spark, sf), [SLIDE, HopSpec(need_bias=True), HopSpec(need_bias=True)]
+    model = SubspaceEstimator(specs, th1=0.12, th2=0.001, maps="stored", store=scratch_path(spark, "fit")).fit(images)
+    return cells(model.transform_maps(images, "all").filter("hop = 2"), "channel")
+
+
 POOLED = [
     *GREY_QUADS, *Q.fit4("h", "qd"), Q.roles("h", None, 0.249, 0.001, False), Q.children("h"), Q.score4("h", "qd", True),
     Q.pool("h_p", "h_o", 7, 2, "max", "pad", "image_id, channel, role"), Q.next_maps("m1", "h", "h_p"),

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import time
 
 import duckdb
 import pytest
@@ -29,6 +30,15 @@ def test_query_matches_sql(spark, duck, name):
     assert compare(got, duck.execute(oracle_sql()[name]).df()) == "ok"
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+@pytest.mark.parametrize("name", [*ORACLE])
+def test_sql_is_quick_under_a_limit(duck, name):
+    """A LIMIT around the SQL must not make DuckDB run its steps again and again."""
+    start = time.perf_counter()
+    duck.execute(f"SELECT * FROM ({ORACLE[name]}) LIMIT 10000000").fetchall()
+    assert time.perf_counter() - start < 5
+
+
 def test_every_query_has_sql_and_entry_runs(spark):
     assert set(QUERIES) == set(ORACLE)
     assert set(oracle_sql()) <= set(queries())

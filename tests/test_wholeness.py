@@ -1,8 +1,10 @@
 """No silently dropped, merged or shifted rows; one scan where one is enough."""
 
 import os
+import resource
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +117,28 @@ def test_wide_vectors_from_maps_ask_for_an_identity(spark):
         C.stack_channels(maps.unionByName(maps)).collect()
 
 
+def test_a_large_joint_node_fits_into_a_worker(spark):
+    """2,000 features: the Gram matrix reaches its solver as packed lines, and no Python worker passes 1 GB."""
+    k, n = 2000, 60
+    x = np.random.default_rng(3).standard_normal((n, 1, 1, k))
+    model = SubspaceEstimator([HopSpec(window=1, num_kernels=20)]).fit(images(spark, x, parts=4))
+    flat = x.reshape(n, k)
+    z = flat - flat.mean(axis=0)
+    z -= z.mean(axis=1, keepdims=True)
+    values = np.linalg.svd(z, compute_uv=False)[:19] ** 2 / (n - 1)
+    dc = k * (flat - flat.mean(axis=0)).mean(axis=1).var()
+    energy = np.array([r["energy"] for r in model.tree[0]["nodes"][0]["rows"]])
+    np.testing.assert_allclose(energy[1:] / energy[0], values / dc, rtol=1e-7)
+
+    def peak(it):
+        for batch in it:
+            mb = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+            yield pa.RecordBatch.from_pydict({"mb": [mb]})
+
+    workers = spark.range(0, 64, 1, 16).mapInArrow(peak, "mb double").collect()  # workers are used again
+    assert max(r.mb for r in workers) < 1024
+
+
 def test_missing_cells_are_an_error(spark):
     cells = [(1, 0, r, c, 10.0 * r + c) for r in range(2) for c in range(3)]
     schema = "image_id long, channel int, r int, c int, value double"
