@@ -16,7 +16,8 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from eigenloom import HopSpec, SubspaceEstimator  # noqa: E402
 from eigenloom.operators.channels import concat_hops  # noqa: E402
-from eigenloom.plans.queries import TH1, TH2, colour, grey  # noqa: E402
+from eigenloom.plans.queries import TH1, TH2, colour, grey, table  # noqa: E402
+from eigenloom.sources.images import vectors_from_array  # noqa: E402
 
 TREES = {
     "depth1": (grey, [HopSpec(2, 1)], TH1, TH2),
@@ -24,6 +25,7 @@ TREES = {
     "depth2 bias": (grey, [HopSpec(2, 1, need_bias=True)] * 2, TH1, TH2),
     "depth3 bias": (grey, [HopSpec(2, 1, need_bias=True)] * 3, 0.03, 0.001),
     "36 features": (colour, [HopSpec(3, 1)], TH1, 0.0),
+    "64 features": (lambda spark, sf: vectors_from_array(table(spark, sf, "embeddings"), "vec_id", "embedding", 64), [HopSpec(1, 1)], TH1, 0.0),
 }
 
 
@@ -61,9 +63,10 @@ def main(sf: str, copies: int) -> None:
                 t["tasks"] += 1
                 t["read"] += m["Input Metrics"]["Records Read"]
                 t["shuffled"] += m["Shuffle Write Metrics"]["Shuffle Bytes Written"]
+                t["records"] += m["Shuffle Write Metrics"]["Shuffle Records Written"]
     for name, s in seconds.items():
         t = total[name]
-        print(f"{name:20s} {s:6.2f} s  {t['jobs']:3d} jobs  {t['tasks']:4d} tasks  {t['read']:9d} rows read  {t['shuffled']:8d} bytes shuffled")
+        print(f"{name:20s} {s:6.2f} s  {t['jobs']:3d} jobs  {t['tasks']:4d} tasks  {t['read']:9d} rows read  {t['shuffled']:8d} bytes and {t['records']:6d} records shuffled")
 
 
 if __name__ == "__main__":
