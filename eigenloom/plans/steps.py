@@ -27,10 +27,14 @@ FUNCTIONAL = HopSpec(window=5, stride=1, ddof=0)
 
 
 def fit_joint(images: DataFrame, energy_multiplier: float = 1.0, spec: HopSpec = FUNCTIONAL):
-    """Fit one hop over all channels together: ``(kernels, maps of the images, model)``."""
+    """Fit one hop over all channels together: ``(kernels, maps of the images, model)``.
+
+    ``alive`` in ``kernels`` says whether the node has any energy, so that roles need no look at its other kernels.
+    """
     model = SubspaceEstimator([replace(spec, channelwise=False)], th2=0.0).fit(images)
     kernels = model.kernels(images.sparkSession).drop("role")
-    kernels = kernels.withColumn("energy", F.col("local_energy") * F.lit(float(energy_multiplier)))
+    alive = any(r["local_energy"] * float(energy_multiplier) > 0 for r in model.tree[0]["nodes"][0]["rows"])
+    kernels = kernels.withColumn("energy", F.col("local_energy") * F.lit(float(energy_multiplier))).withColumn("alive", F.lit(alive))
     return kernels, model.transform_maps(images, "all"), model
 
 
