@@ -18,18 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on an Arrow batch of the session holds at most ``rows`` rows (a smaller setting stays): a batch of whole texts, and Spark's buffers
+    for it, then hold a few MB. Spark reads the setting when a frame is computed, so a lazy frame needs it until then."""
+    if not 0 < int(spark.conf.get(BATCH_ROWS)) <= rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 @contextmanager
 def text_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Inside, an Arrow batch holds at most ``rows`` rows (a smaller setting of the session stays): a batch of whole texts, and Spark's buffers for
-    it, then hold a few MB. Outside, the session has its own setting again; what is computed later is computed with that."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    if not 0 < int(before) <= rows:
-        spark.conf.set(name, str(rows))
+    """``small_batches`` for what is computed inside; outside, the session has its own setting again."""
+    before = spark.conf.get(BATCH_ROWS)
+    small_batches(spark, rows)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(BATCH_ROWS, before)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

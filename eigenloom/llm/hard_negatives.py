@@ -12,8 +12,8 @@ bounds yields cells by their falling sum (multi-sequence). Two waves find the be
 
 This is done for the positives (rows of the anchor's label), then for the windows that their scores open for the negatives; a window is certified when
 it has k rows no open cell can beat, or when the bound passes its low end; cells that lie above all windows are left out. Cells of one first code form a block,
-dealt over parts of about ``BLOCK`` rows; an anchor is sent once to each part of a block in which it opens a cell, with the set of its cells, and multiplied with
-those only. Nothing is capped: an anchor whose bounds exclude nothing meets every row, in blocks.
+whose cells are laid out over parts of about ``BLOCK`` rows, whole cells together, a larger cell over parts of its own; an anchor is sent once to each part in which it
+opens a cell, with the set of its cells, and multiplied with those only. So its copies follow the rows that its bounds leave, not the table. Nothing is capped: an anchor whose bounds exclude nothing meets every row, in blocks.
 
 Defined results: rows with a null id or label, a null or empty vector, a null or non-finite component, or of another than the commonest dimension (ties: the larger) take no part;
 scaled components beyond ``LIMIT`` in size become it; rows with the anchor's id are neither its positives nor its negatives; repeated rows are separate candidates, repeated anchors
@@ -82,6 +82,22 @@ def windows(scores: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.nda
     return low * whole - (-low * rest) // 100, high * whole + (high * rest) // 100
 
 
+def layout(size: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first part, number of parts) of each cell; parts are numbered within a first code and hold about ``block`` rows."""
+    first, many = np.zeros(size.shape, int), np.ones(size.shape, int)
+    for i, row in enumerate(size.tolist()):
+        part, held = 0, 0
+        for j, n in enumerate(row):
+            if held and held + n > block:
+                part, held = part + 1, 0
+            first[i, j], many[i, j] = part, max(1, -(-n // block))
+            if n > block:
+                part, held = part + many[i, j], 0
+            else:
+                held += n
+    return first, many
+
+
 @dataclass
 class Cells:
     """Codebooks of both halves and each cell's rows and radii."""
@@ -142,22 +158,24 @@ def _assign(cells: Cells):
     return run
 
 
-ROUTED = "i int, m long, id long, h long, label long, v array<double>, ps array<long>"
+ROUTED = "i int, part int, m long, id long, h long, label long, v array<double>, ps array<long>"
 
 
-def _route(cells: Cells, probe: int, k: int, low: int, high: int, more: bool):
-    """Anchors with the cells they open, one row for each first code: ``m`` has a bit for each second code.
+def _route(cells: Cells, probe: int, block: int, low: int, high: int, more: bool):
+    """Anchors with the cells they open, one row for each part that holds some: ``m`` has a bit for each second code.
 
     ``ps``: scores of the positives, null while those are searched. ``more``: the wave after the probe; ``w`` and ``t`` are the windows in which the
     probe found k rows, and the k-th score.
     """
 
+    first, many = (a.tolist() for a in layout(cells.size, block))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 given = zip(batch.column("ps").to_pylist(), batch.column("w").to_pylist(), batch.column("t").to_pylist(), *cells.bounds(matrix(batch.column("v"))))
-                row, one, mask = [], [], []
+                row, one, mask = [], [], []  # one: (first code, part)
                 for n, (ps, w, t, a, b, lower, upper) in enumerate(given):
                     least, top = -np.inf, np.inf
                     if ps is not None:
@@ -171,14 +189,16 @@ def _route(cells: Cells, probe: int, k: int, low: int, high: int, more: bool):
                             least = np.array(least, ndmin=1)
                             least[w] = t
                         least = float(np.min(least if ps is None else least[open_]))
-                    sets: dict[int, int] = {}
+                    sets: dict[tuple[int, int], int] = {}
                     for i, j in cells.visits(a, b, lower, upper, probe, least if more else None, top):
-                        sets[i] = sets.get(i, 0) | 1 << j
+                        for part in range(first[i][j], first[i][j] + many[i][j]):
+                            sets[i, part] = sets.get((i, part), 0) | 1 << j
                     row += [n] * len(sets)
                     one += sets
                     mask += sets.values()
                 taken = batch.take(pa.array(row, pa.int64()))
-                yield pa.record_batch([pa.array(one, pa.int32()), pa.array(mask, pa.int64()), *(taken.column(c) for c in ("id", "h", "label", "v", "ps"))], ["i", "m", "id", "h", "label", "v", "ps"])
+                places = [pa.array([p[n] for p in one], pa.int32()) for n in (0, 1)]
+                yield pa.record_batch([*places, pa.array(mask, pa.int64()), *(taken.column(c) for c in ("id", "h", "label", "v", "ps"))], ["i", "part", "m", "id", "h", "label", "v", "ps"])
 
     return run
 
@@ -296,11 +316,12 @@ class MultiIndex:
 
     def search(self, routed: DataFrame, k: int, low: int, high: int) -> DataFrame:
         """(id, h, w, vec_id, score, copies) of the cells that anchors are routed to."""
-        parts = [int(-(-n // BLOCK)) or 1 for n in self.cells.size.sum(1)]
-        split = F.array(*[F.lit(p) for p in parts])[F.col("i")]
-        none = F.lit(None).cast("array<long>")
-        left = self.rows.select("i", F.pmod(F.xxhash64("id", "v"), split).cast("int").alias("part"), F.lit(0).alias("side"), F.col("j").cast("long").alias("m"), "id", F.col("copies").alias("h"), "label", "v", none.alias("ps"))
-        right = routed.select("i", F.explode(F.sequence(F.lit(0), split - 1)).alias("part"), F.lit(1).alias("side"), "m", "id", "h", "label", "v", "ps")
+        first, many = layout(self.cells.size, BLOCK)
+        cell, none = F.col("i") * F.lit(first.shape[1]) + F.col("j"), F.lit(None).cast("array<long>")
+        at, split = (F.array(*[F.lit(n) for n in a.ravel().tolist()])[cell] for a in (first, many))
+        part = (at + F.pmod(F.xxhash64("id", "v"), split)).cast("int")
+        left = self.rows.select("i", part.alias("part"), F.lit(0).alias("side"), F.col("j").cast("long").alias("m"), "id", F.col("copies").alias("h"), "label", "v", none.alias("ps"))
+        right = routed.select("i", "part", F.lit(1).alias("side"), "m", "id", "h", "label", "v", "ps")
         both = left.unionByName(right).repartition("i", "part").sortWithinPartitions("i", "part", "side", "m", "id")
         return both.mapInArrow(_scan(k, low, high), "id long, h long, w int, vec_id long, score long, copies long")
 
@@ -308,7 +329,7 @@ class MultiIndex:
         """The k best rows of each anchor (``ps`` null: of its label; else of other labels, in each window), certified in two waves; stored."""
 
         def wave(asked: DataFrame, more: bool) -> DataFrame:
-            return self.search(asked.mapInArrow(_route(self.cells, probe, k, low, high, more), ROUTED), k, low, high)
+            return self.search(asked.mapInArrow(_route(self.cells, probe, BLOCK, low, high, more), ROUTED), k, low, high)
 
         nothing = anchors.withColumn("w", F.lit(None).cast("array<int>")).withColumn("t", F.lit(None).cast("array<long>"))
         first = stored(best(wave(nothing, False), k))

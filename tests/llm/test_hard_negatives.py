@@ -98,6 +98,34 @@ def test_windows():
         assert 100 * b >= 80 * v > 100 * (b - 1) and 100 * t <= 100 * v < 100 * (t + 1)
 
 
+def test_layout_keeps_cells_together():
+    size = np.array([[5, 5, 5, 30, 1], [0, 0, 0, 0, 0], [10, 1, 10, 0, 9]])
+    first, many = N.layout(size, 10)
+    assert first.tolist() == [[0, 0, 1, 2, 5], [0, 0, 0, 0, 0], [0, 1, 2, 2, 3]]
+    assert many.tolist() == [[1, 1, 1, 3, 1], [1] * 5, [1] * 5]
+    held: dict = {}
+    for (i, j), n in np.ndenumerate(size):
+        for p in range(first[i, j], first[i, j] + many[i, j]):
+            held[i, p] = held.get((i, p), 0) + n / many[i, j]
+    assert max(held.values()) <= 10
+
+
+def test_anchors_are_sent_only_where_they_open_cells(spark, monkeypatch):
+    """Far clusters in parts of their own: an anchor's copies do not grow with the clusters it never opens."""
+    monkeypatch.setattr(N, "BLOCK", 20)
+    rng = np.random.default_rng(2)
+    copies = []
+    for clusters in (6, 24):
+        middle = 50 * rng.standard_normal((clusters, 8))
+        rows = [(i, (middle[i % clusters] + rng.standard_normal(8)).tolist(), i // clusters % 3) for i in range(clusters * 40)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+        index = N.build(N.integers(df, 256.0, "vec_id", "embedding", "label"))
+        anchors = index.rows.filter("id < 6").withColumn("h", F.lit(0).cast("long")).withColumn("ps", F.lit(None).cast("array<long>"))
+        asked = anchors.withColumn("w", F.lit(None).cast("array<int>")).withColumn("t", F.lit(None).cast("array<long>"))
+        copies.append(asked.mapInArrow(N._route(index.cells, 60, 20, 0, 0, False), N.ROUTED).count())
+    assert copies[1] < 2 * copies[0]
+
+
 def test_bounds_leave_cells_out():
     """Far clusters are never opened, and what is opened holds the best rows."""
     rng = np.random.default_rng(5)
