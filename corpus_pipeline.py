@@ -2,8 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame; all but the last return the columns of documents. Classifiers are fitted on the rows that
 their stage gets, with the labels of ``sf_dir``. Rejected documents go; one document of each near-duplicate group stays; repeated passages are cut out of
-texts; what is left is packed into sequences. A stage writes what it returns to the folder that all executors share, once, with at most 1,000 texts in an Arrow
-batch: the next stage reads it as often as it likes, and the session's own settings stay as they are.
+texts; what is left is packed into sequences.
+
+A stage returns a lazy frame that is to be computed with at most 1,000 texts in an Arrow batch, so a stage that is called on its own leaves the session with that
+setting. ``run`` writes the result of every stage once to the folder that all executors share, reads it as the next one's input, and leaves the session as it was.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eigenloom.llm.frames import text_batches, written
+from eigenloom.llm.frames import small_batches, text_batches, written
 from eigenloom.llm.packing import pack_documents
 from eigenloom.llm.quality import fit_quality
 from eigenloom.llm.simhash import keep_first
@@ -24,28 +26,28 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    with text_batches(spark):
-        return written(fit_quality(docs, _labels(spark, sf_dir)).accept(docs), "quality")
+    small_batches(spark)
+    return fit_quality(docs, _labels(spark, sf_dir)).accept(docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    with text_batches(spark):
-        return written(fit_toxicity(docs, _labels(spark, sf_dir)).score(docs, reject=True), "toxicity")
+    small_batches(spark)
+    return fit_toxicity(docs, _labels(spark, sf_dir)).score(docs, reject=True)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    with text_batches(spark):
-        return written(keep_first(docs), "near-duplicates")
+    small_batches(spark)
+    return keep_first(docs)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    with text_batches(spark):
-        return written(strip_repeats(docs), "repeated-passages")
+    small_batches(spark)
+    return strip_repeats(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    with text_batches(spark):
-        return written(pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), added=True), "packing")
+    small_batches(spark)
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), added=True)
 
 
 STAGES = [
@@ -61,6 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    with text_batches(spark):
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), name)
     return docs
