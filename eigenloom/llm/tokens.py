@@ -10,6 +10,8 @@ from functools import lru_cache
 
 #: Words, and parts of words, whose ids a worker remembers at least; it holds at most twice as many and those of one call.
 CACHE = 150_000
+#: Characters of a long text that are cut into parts at once, about.
+LONG = 1 << 20
 #: The pre-tokenizers' patterns of the two kinds of files, over ASCII and the letters of Latin-1.
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 _BYTE_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\t\n\r A-Za-zÀ-ÖØ-öø-ÿ0-9]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
@@ -58,8 +60,8 @@ class Encoder:
 
     Its pre-tokenizer never joins what stands before and after a space that a non-space follows, so a text may be cut there
     and equal words encoded once. ``lead``: the space belongs to the word after it (byte-level files); otherwise spaces leave
-    no ids. Words of ASCII and Latin-1 letters are cut by the pre-tokenizer's pattern here and only their parts go to the
-    library's model, each once; all other words go through the whole library. The library takes added tokens out of the raw text
+    no ids. Texts of ASCII and Latin-1 letters are cut by the pre-tokenizer's pattern here and only their parts go to the
+    library's model, each once; other texts are cut into words, and words with other letters go through the whole library. The library takes added tokens out of the raw text
     first, the leftmost and longest, and reads what stands between them as texts of their own; so does ``encode``.
     """
 
@@ -81,36 +83,53 @@ class Encoder:
         self.letters = dict(enumerate(byte_letters()))
         self.cut_parts = (_BYTE_PARTS if lead else _WORD_PARTS).findall
 
-    def _part(self, part: str) -> bytes:
-        found = self.parts.back(part)
-        if found is None:
-            if part.isascii() and part.isprintable():  # such bytes but the space stand for themselves
-                spelt = part.replace(" ", self.letters[32])
-            else:
-                spelt = part.encode().decode("latin-1").translate(self.letters)
-            found = self.parts[part] = _bytes([t.id for t in self.tokenizer.model.tokenize(spelt)])
-        return found
-
-    def _learn(self, cache: Recent, words: list[str], before: str, plain: bool) -> None:
-        """Put the ids of all ``words`` into ``cache``. A plain word of letters only is one part, others are cut by the pattern."""
-        rare, get, part, lower = [], self.parts.get, self._part, not self.lead
-        aside, cut = cache.aside, self.cut_parts
+    def _learn(self, cache: Recent, words: list[str], before: str) -> None:
+        """Put the ids of all ``words`` into ``cache``: of plain ones by their parts, of others by the whole library."""
+        rare, fresh = [], {}
         for w in set(words).difference(cache):
-            found = aside.get(w)
-            if found is not None:
-                cache[w] = found
-            elif not plain and not _PLAIN.fullmatch(w):
-                rare.append(w)
-            elif w.isalpha():
-                p = w.lower() if lower else before + w
-                cache[w] = get(p) or part(p)
+            if cache.back(w) is not None:
+                continue
+            if _PLAIN.fullmatch(w):
+                fresh[w] = self.cut_parts(before + w if self.lead else w.lower())
             else:
-                cache[w] = b"".join([get(p) or part(p) for p in cut(w.lower() if lower else before + w)])
+                rare.append(w)
+        self._learn_parts({p for parts in fresh.values() for p in parts})
+        get = self.parts.__getitem__
+        cache.update((w, b"".join(map(get, parts))) for w, parts in fresh.items())
         for at in range(0, len(rare), 4096):
             some = rare[at : at + 4096]
             found = self.tokenizer.encode_batch_fast([before + w for w in some], add_special_tokens=False)
             cache.update((w, _bytes(x.ids)) for w, x in zip(some, found))
 
+    def _learn_parts(self, parts: set[str]) -> None:
+        known, aside, tokenize, letters = self.parts, self.parts.aside, self.tokenizer.model.tokenize, self.letters
+        space = letters[32]
+        for p in parts.difference(known):
+            found = aside.get(p)
+            if found is None:
+                # printing ASCII but the space stands for itself
+                spelt = p.replace(" ", space) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(letters)
+                found = _bytes([t.id for t in tokenize(spelt)])
+            known[p] = found
+
+    def _plain_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain texts: cut into parts as a whole, a long text about every ``LONG`` characters at a space that a non-space follows."""
+        out = []
+        for t in texts:
+            t, ids, at = t if self.lead else t.lower(), [], 0
+            while at < len(t):
+                m = self.cut.search(t, at + LONG) if len(t) - at > LONG else None
+                end = m.start() if m else len(t)
+                ids.append(self.cut_parts(t[at:end]))
+                at = end
+            out.append(ids)
+        seen: set[str] = set()
+        for ids in out:
+            seen.update(*ids)
+        self._learn_parts(seen)
+        get = self.parts.__getitem__
+        return [b"".join([b"".join(map(get, parts)) for parts in ids]) for ids in out]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         if not any(s in t for s in self.added for t in texts):
@@ -122,15 +141,21 @@ class Encoder:
     def _ordinary(self, texts: list[str]) -> list[bytes]:
         for cache in (self.heads, self.words, self.parts):
             cache.turn()
-        plain = all(map(_PLAIN.fullmatch, texts))
+        plain = [_PLAIN.fullmatch(t) is not None for t in texts]
+        easy = iter(self._plain_ids([t for t, p in zip(texts, plain) if p]))
+        odd = iter(self._odd_ids([t for t, p in zip(texts, plain) if not p]))
+        return [next(easy if p else odd) for p in plain]
+
+    def _odd_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts with other letters, word by word."""
         if not self.lead:
-            split = [t.split() if plain else t.split(" ") for t in texts]  # plain texts hold no other white space than ASCII's
-            self._learn(self.words, [w for s in split for w in s], "", plain)
+            split = [t.split(" ") for t in texts]
+            self._learn(self.words, [w for s in split for w in s], "")
             get = self.words.__getitem__
             return [b"".join(map(get, s)) for s in split]
         split = [self.cut.split(t) if self.odd.search(t) else t.split(" ") for t in texts]
-        self._learn(self.heads, [s[0] for s in split], "", plain)
-        self._learn(self.words, [w for s in split for w in s[1:]], " ", plain)
+        self._learn(self.heads, [s[0] for s in split], "")
+        self._learn(self.words, [w for s in split for w in s[1:]], " ")
         get = self.words.__getitem__
         return [self.heads[s[0]] + b"".join(map(get, s[1:])) for s in split]
 

@@ -59,3 +59,13 @@ def test_op7_and_packing_stage_take_the_library_default(spark, sf):
     stage = corpus_pipeline.packing_stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
     for got in (queries.op7_best_fit_packing(spark, sf), stage):
         assert sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize(("name", "lead"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+@pytest.mark.parametrize("long", [1, 7, 1 << 20])
+def test_long_texts_are_cut_where_nothing_is_joined(name, lead, long, monkeypatch):
+    monkeypatch.setattr(tokens, "LONG", long)
+    texts = ["a  b   c d\n\n e 'll don't  x ", " lead  and\ttab \r\n 12 3,4 !? ", "Über ñandú, l'été  ß", "日本 and 語 mixed  words", "", " ", "x" * 50 + " y" * 40]
+    enc = tokens.Encoder(public_tokenizers.path(name), lead, True)
+    for _ in range(2):
+        assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)] == [plain(name).encode(t, add_special_tokens=False).ids for t in texts]
