@@ -7,12 +7,12 @@ meet under equal prefixes and a document sends about two prefixes in 44 words.
 1. Prefixes that occur in one document only are dropped (one partial aggregate over all prefixes).
 2. The text around the remaining anchors, as many words as their windows reach, is dealt out by prefix; equal pieces
    are merged before that, so that a passage copied a million times is one piece of its group.
-3. A group of up to ``GROUP`` pieces, copies counted, gets its subtree, built level by level: nodes of depth 1, 2, 4, ... ``window`` are named
+3. A group of up to ``GROUP`` different pieces gets its subtree, built level by level: nodes of depth 1, 2, 4, ... ``window`` are named
    by pairs of names of half the depth (names of depth 1 are the words themselves, so names stand for texts, not hashes).
    A node of depth ``window`` is a repeat; it carries its smallest doc_id. A prefix with more pieces is lengthened to
-   the whole window: all suffixes of such a group share the node, and its smallest doc_id is a plain aggregate, which never enters a tree task.
-4. A piece's nodes are one row, so each occurrence of a piece meets one row; copies of a piece are dealt over several keys. Occurrences with a larger
-   doc_id than their node's are removed.
+   the whole window: its pieces, each once, are broken into windows, whose smallest doc_id is a plain aggregate, and never enter a tree task.
+4. A piece's nodes are one row, and so are all its places in a text, so that a text meets one row for each of its different pieces; copies of a piece are
+   dealt over several keys. Places in texts with a larger doc_id than their node's are removed.
 
 Defined results: null or blank text has no words; a null doc_id counts as the largest; rows with the same doc_id never remove
 words of each other, repeated rows give repeated results; an empty table gives an empty result. Texts of any length are
@@ -37,7 +37,7 @@ WINDOW = 50
 PREFIX = 8
 #: Pieces in one subtree at most, and words built at once.
 GROUP = 32_768
-#: Copies of one piece that meet on one key, about, and keys they are dealt over at most.
+#: Copies of one piece, or window, that meet on one key, about, and keys they are dealt over at most.
 COPIES = 4_096
 SALTS = 256
 BUILD_WORDS = 250_000
@@ -77,15 +77,15 @@ def _prefixes(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offs in X.slices(batches, "t"):
             doc, prefix, *_ = anchors(X.Words(buf, offs), window)
-            pairs, n = np.unique(np.rec.fromarrays([doc, prefix], names="d,p"), return_counts=True)
+            pairs = np.unique(np.rec.fromarrays([doc, prefix], names="d,p"))
             ids = part.column("k").to_numpy()
-            yield pa.record_batch([pa.array(X.as_signed(pairs["p"])), pa.array(ids[pairs["d"]]), pa.array(n.astype(np.int64))], ["p", "k", "n"])
+            yield pa.record_batch([pa.array(X.as_signed(pairs["p"])), pa.array(ids[pairs["d"]])], ["p", "k"])
 
     return run
 
 
-_PIECE = pa.schema([("p", pa.int64()), ("sh", pa.binary()), ("k", pa.int64()), ("th", pa.int64()), ("w", pa.int32()), ("n", pa.int32()), ("d", pa.int32()), ("salts", pa.int32())])
-_PIECE_DDL = "p long, sh binary, k long, th long, w int, n int, d int, salts int"
+_PIECE = pa.schema([("p", pa.int64()), ("sh", pa.binary()), ("k", pa.int64()), ("th", pa.int64()), ("ws", pa.list_(pa.int32())), ("n", pa.int32())])
+_PIECE_DDL = "p long, sh binary, k long, th long, ws array<int>, n int"
 _TEXT = pa.schema([("p", pa.int64()), ("sh", pa.binary()), ("seg", pa.binary())])
 _TEXT_DDL = "p long, sh binary, seg binary"
 
@@ -95,7 +95,7 @@ def _text_hash(buf: np.ndarray, offs: np.ndarray, row: int) -> int:
 
 
 def _pieces(window: int, k_col: str, text_col: str, ps_col: str, texts: bool):
-    """Of each text, the places of the pieces around anchors whose prefix is in its list; those of heavy prefixes window by window.
+    """Of each text, the pieces around anchors whose prefix is in its list, each once with all its places.
 
     ``texts``: instead the words of the pieces, each once a task at least.
     """
@@ -110,31 +110,27 @@ def _pieces(window: int, k_col: str, text_col: str, ps_col: str, texts: bool):
             text = text.tobytes()
             lists, ids = part.column(ps_col), part.column(k_col).to_numpy()
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-            wanted = lists.flatten()
             row = np.repeat(np.arange(len(ids)), sizes)
-            mine = np.rec.fromarrays([row, wanted.field("p").to_numpy().view(X.U64)], names="d,p")
-            order = np.argsort(mine, kind="stable")
-            mine, heavy, salts = mine[order], wanted.field("heavy").to_numpy(zero_copy_only=False)[order], wanted.field("salts").to_numpy()[order]
+            mine = np.sort(np.rec.fromarrays([row, lists.flatten().to_numpy().view(X.U64)], names="d,p"))
             have = np.rec.fromarrays([doc.astype(np.int64), prefix], names="d,p")
             place = np.minimum(np.searchsorted(mine, have), max(len(mine) - 1, 0))
             hit = np.flatnonzero(mine[place] == have) if len(mine) else np.empty(0, np.int64)
             cols: list[list] = [[] for _ in schema]
             put = [c.append for c in cols]
+            places: dict[tuple[int, bytes], list[int]] = {}
             hashes = {} if texts else {r: _text_hash(buf, offs, r) for r in set(doc[hit].tolist())}
             for j in hit.tolist():
                 r, a, i, e = int(doc[j]), int(at[j]), int(lo[j]), int(hi[j])
-                p, base, spread = int(prefix[j].view(np.int64)), int(words.first[r]), int(salts[place[j]])
-                if heavy[place[j]]:
-                    for w in range(i, e + 1) if not texts else ():
-                        sh = xxhash.xxh3_128_digest(text[starts[w] : ends[w + window - 1]])
-                        for f, v in zip(put, (p, sh, int(ids[r]), hashes[r], w - base, 1, -1, spread)):
-                            f(v)
-                    continue
+                p, base = int(prefix[j].view(np.int64)), int(words.first[r])
                 seg = text[starts[i] : ends[e + window - 1]]
                 sh = xxhash.xxh3_128_digest(seg, a - i)
                 if not texts:
-                    for f, v in zip(put, (p, sh, int(ids[r]), hashes[r], i - base, e - i + 1, a - i, spread)):
-                        f(v)
+                    ws = places.get((r, sh))
+                    if ws is None:
+                        places[r, sh] = ws = []
+                        for f, v in zip(put, (p, sh, int(ids[r]), hashes[r], ws, e - i + 1)):
+                            f(v)
+                    ws.append(i - base)
                 elif sh not in seen:
                     if len(seen) > 200_000:
                         seen.clear()
@@ -158,10 +154,10 @@ def node_names(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def _built(rows: list[tuple], window: int) -> Iterator[tuple]:
-    """(p, sh, salts, marks) of pieces ``(p, sh, lo, hi, n, d, salts, seg)`` that hold repeats; marks are (first window, last window, smallest doc_id)."""
+    """(p, sh, marks) of pieces ``(p, sh, lo, hi, n, seg)`` that hold repeats; marks are (first window, last window, smallest doc_id)."""
     vocabulary: dict[bytes, int] = {}
     name = vocabulary.setdefault
-    flat = [name(w, len(vocabulary)) for r in rows for w in r[7].split(b" ")]
+    flat = [name(w, len(vocabulary)) for r in rows for w in r[5].split(b" ")]
     flat = np.asarray(flat, np.int64)
     size = np.array([r[4] + window - 1 for r in rows])
     first = np.cumsum(size) - size
@@ -179,16 +175,28 @@ def _built(rows: list[tuple], window: int) -> Iterator[tuple]:
     for b, e in zip(cut.tolist(), np.r_[cut[1:], len(piece)].tolist()):
         if piece[b] != now:
             if marks:
-                yield (*rows[now][:2], rows[now][6], marks)
+                yield (*rows[now][:2], marks)
             now, marks = int(piece[b]), []
         if least[b] < rows[now][3]:
             marks.append({"w0": int(offset[b]), "w1": int(offset[e - 1]), "low": int(least[b])})
     if marks:
-        yield (*rows[now][:2], rows[now][6], marks)
+        yield (*rows[now][:2], marks)
 
 
 _MARKS = pa.list_(pa.struct([("w0", pa.int32()), ("w1", pa.int32()), ("low", pa.int64())]))
-_NODES_DDL = "p long, sh binary, salts int, marks array<struct<w0:int,w1:int,low:long>>"
+_NODES_DDL = "p long, sh binary, marks array<struct<w0:int,w1:int,low:long>>"
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(p, sh, lo, hi, n, seg) of each piece, whose rows come one after another: what is known of it before its words, which several tasks may have sent."""
+    about = None
+    for batch in batches:
+        for r in zip(*(batch.column(c).to_pylist() for c in ("p", "sh", "lo", "hi", "n", "seg"))):
+            if r[5] is None:
+                about = r
+            elif about is not None and about[1] == r[1]:
+                yield (*about[:5], r[5])
+                about = None
 
 
 def _trees(window: int):
@@ -196,29 +204,58 @@ def _trees(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(found):
-            cols = list(zip(*found)) or [[]] * 4
-            return pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), _MARKS))], ["p", "sh", "salts", "marks"])
-
-        rows, words, about = [], 0, None
-        for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("p", "sh", "lo", "hi", "n", "d", "salts", "seg"))):
-                if r[7] is None:  # what is known of a piece comes before its words
-                    about = r
-                    continue
-                if about is None or about[1] != r[1]:
-                    continue  # the same words, sent by another task
-                if words >= BUILD_WORDS and rows[-1][0] != r[0]:
-                    yield out(_built(rows, window))
-                    rows, words = [], 0
-                rows.append((*about[:7], r[7]))
-                words += about[4] + window - 1
-                about = None
+            cols = list(zip(*found)) or [[]] * 3
+            return pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.binary(), _MARKS))], ["p", "sh", "marks"])
+
+        rows, words = [], 0
+        for r in _merged(batches):
+            if words >= BUILD_WORDS and rows[-1][0] != r[0]:
+                yield out(_built(rows, window))
+                rows, words = [], 0
+            rows.append(r)
+            words += r[4] + window - 1
         if rows:
             yield out(_built(rows, window))
 
     return run
 
 
+_WINDOW = pa.schema([("wh", pa.binary()), ("p", pa.int64()), ("sh", pa.binary()), ("lo", pa.int64()), ("hi", pa.int64()), ("w", pa.int32())])
+_WINDOW_DDL = "wh binary, p long, sh binary, lo long, hi long, w int"
+
+
+def _broken(window: int):
+    """The windows of pieces, by the hash of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def out():
+            return pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _WINDOW)], schema=_WINDOW)
+
+        for p, sh, lo, hi, n, seg in _merged(batches):
+            words = seg.split(b" ")
+            rows += [(xxhash.xxh3_128_digest(b" ".join(words[w : w + window])), p, sh, lo, hi, w) for w in range(n)]
+            if len(rows) > 10_000:
+                yield out()
+                rows = []
+        if rows:
+            yield out()
+
+    return run
+
+
+def _joined(rows: DataFrame, nodes: DataFrame, counts: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with the one row that ``nodes`` has for their key. ``counts``: how many ``copies`` a key has in ``rows``; keys with more than ``COPIES``,
+    which are few, are dealt over several."""
+    salts = F.least(F.ceil(F.col("copies") / F.lit(COPIES)), F.lit(SALTS)).cast("int")
+    hot = counts.filter(F.col("copies") > COPIES).select(*on, salts.alias("salts"))
+    each = F.coalesce(F.col("salts"), F.lit(1))
+    rows = rows.join(F.broadcast(hot), on, "left").withColumn("salt", F.pmod(F.xxhash64(*rows.columns), each).cast("int")).drop("salts")
+    nodes = nodes.join(F.broadcast(hot), on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), each - 1))).drop("salts")
+    return rows.join(nodes, [*on, "salt"]).drop("salt")
+
+
 def _with_spans(df: DataFrame, id_col: str, text_col: str, window: int, group: int = GROUP) -> tuple[DataFrame, str, str]:
     """The rows with their key and ``spans``: an array of (th, s, e), words s to e - 1 of the key's text with hash th are repeats.
 
@@ -226,25 +263,25 @@ def _with_spans(df: DataFrame, id_col: str, text_col: str, window: int, group: i
     """
     k, spans, ps = fresh(df, "__k"), fresh(df, "__spans"), fresh(df, "__ps")
     base = df.withColumn(k, key(id_col))
-    pairs = df.select(key(id_col).alias("k"), F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(_prefixes(window), "p long, k long, n long")
-    shared = pairs.groupBy("p").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.sum("n").alias("c")).filter("lo < hi")
-    salts = F.least(F.ceil(F.col("c") / F.lit(COPIES)), F.lit(SALTS)).cast("int")
-    wanted = pairs.join(shared.select("p", (F.col("c") > group).alias("heavy"), salts.alias("salts")), "p")
-    wanted = wanted.groupBy(F.col("k").alias(k)).agg(F.collect_set(F.struct("p", "heavy", "salts")).alias(ps))
+    pairs = df.select(key(id_col).alias("k"), F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(_prefixes(window), "p long, k long")
+    shared = pairs.groupBy("p").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi")
+    wanted = pairs.join(shared.select("p"), "p").groupBy(F.col("k").alias(k)).agg(F.collect_set("p").alias(ps))
     around = base.join(wanted, k)
     pieces = around.mapInArrow(_pieces(window, k, text_col, ps, False), _PIECE_DDL)
     texts = around.mapInArrow(_pieces(window, k, text_col, ps, True), _TEXT_DDL)
-    known = pieces.groupBy("p", "sh").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.first("n").alias("n"), F.first("d").alias("d"), F.first("salts").alias("salts"))
-    groups = known.filter("d >= 0").withColumn("seg", F.lit(None).cast("binary")).unionByName(texts, allowMissingColumns=True)
-    nodes = groups.repartition("p").sortWithinPartitions("p", "sh", F.asc_nulls_first("seg")).mapInArrow(_trees(window), _NODES_DDL)
-    zero = F.lit(0)
-    windows = known.filter("d < 0 AND lo < hi").select("p", "sh", "salts", F.array(F.struct(zero.alias("w0"), zero.alias("w1"), F.col("lo").alias("low"))).alias("marks"))
-    nodes = nodes.unionByName(windows).withColumn("salt", F.explode(F.sequence(zero, F.col("salts") - 1))).drop("salts")
-    salt = F.pmod(F.xxhash64("k", "w"), F.col("salts")).cast("int")
-    found = pieces.select("p", "sh", salt.alias("salt"), "k", "th", "w").join(nodes, ["p", "sh", "salt"])
-    found = found.select("k", "th", "w", F.filter("marks", lambda m: m["low"] < F.col("k")).alias("marks")).filter(F.size("marks") > 0)
-    span = F.transform("marks", lambda m: F.struct(F.col("th").alias("th"), (F.col("w") + m["w0"]).alias("s"), (F.col("w") + m["w1"] + window).alias("e")))
-    found = found.groupBy(F.col("k").alias(k)).agg(F.flatten(F.collect_list(span)).alias(spans))
+    known = pieces.groupBy("p", "sh").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    crowded = F.broadcast(known.groupBy("p").agg(F.count("*").alias("c")).filter(F.col("c") > group).select("p"))  # one prefix in ``group`` pieces at most
+    groups = known.drop("copies").withColumn("seg", F.lit(None).cast("binary")).unionByName(texts, allowMissingColumns=True)
+    order = ("p", "sh", F.asc_nulls_first("seg"))
+    nodes = groups.join(crowded, "p", "left_anti").repartition("p").sortWithinPartitions(*order).mapInArrow(_trees(window), _NODES_DDL)
+    windows = groups.join(crowded, "p", "left_semi").repartition("p", "sh").sortWithinPartitions(*order).mapInArrow(_broken(window), _WINDOW_DDL)
+    least = windows.groupBy("wh").agg(F.min("lo").alias("low"), F.count("*").alias("copies"))
+    marked = _joined(windows, least.select("wh", "low"), least, ["wh"]).filter("low < hi")
+    marked = marked.groupBy("p", "sh").agg(F.collect_list(F.struct(F.col("w").alias("w0"), F.col("w").alias("w1"), "low")).alias("marks"))
+    found = _joined(pieces.select("p", "sh", "k", "th", "ws"), nodes.unionByName(marked), known, ["p", "sh"])
+    found = found.select("k", "th", "ws", F.filter("marks", lambda m: m["low"] < F.col("k")).alias("marks")).filter(F.size("marks") > 0)
+    span = lambda w: F.transform("marks", lambda m: F.struct(F.col("th").alias("th"), (w + m["w0"]).alias("s"), (w + m["w1"] + window).alias("e")))
+    found = found.groupBy(F.col("k").alias(k)).agg(F.flatten(F.collect_list(F.flatten(F.transform("ws", span)))).alias(spans))
     return base.join(found, k, "left"), k, spans
 
 

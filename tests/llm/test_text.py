@@ -77,6 +77,33 @@ def test_strip_repeats_keeps_columns_and_other_text(spark, rows):
     assert substring_dedup.strip_repeats(df.limit(0)).count() == 0
 
 
+def joined_rows(plan):
+    """Rows out of each join of an executed plan."""
+    name, out = plan.nodeName(), []
+    if name.startswith("AdaptiveSparkPlan"):
+        return joined_rows(plan.executedPlan())
+    if "QueryStage" in name or name == "ResultQueryStage":
+        return joined_rows(plan.plan())
+    if "Join" in name:
+        out.append(plan.metrics().get("numOutputRows").get().value())
+    children = plan.children()
+    return out + [n for i in range(children.size()) for n in joined_rows(children.apply(i))]
+
+
+@pytest.mark.parametrize("group", [32768, 2])
+def test_a_text_meets_one_row_for_each_of_its_different_pieces(spark, group, monkeypatch):
+    line = " ".join("l%d" % i for i in range(13))
+    rows = [(i, f"a{i} " + " ".join([line] * (20 + i)) + f" z{i}") for i in range(30)]
+    found = []
+    real = substring_dedup._with_spans
+    monkeypatch.setattr(substring_dedup, "_with_spans", lambda *a: found.append(real(*a, group)) or found[0])
+    monkeypatch.setattr(substring_dedup, "COPIES", 8)
+    got = substring_dedup.repeat_digest(docs(spark, rows))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, removed_by_force(rows, 50)))
+    # one line over and over: hundreds of windows in a text, but few different pieces
+    assert max(joined_rows(got._jdf.queryExecution().executedPlan())) <= 10 * len(rows)
+
+
 def prints(rows):
     out = []
     for k, t in rows:
