@@ -234,7 +234,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer_path, False, added), np.uint32(end_id).astype("<u4").tobytes()
-        for part, _, _ in X.slices(batches, "t"):
+        for part, _, _ in X.slices(batches, "t", X.FEW_BYTES):
             rows = []
             for k, ids in zip(part.column("doc_id").to_pylist(), enc.encode([t or "" for t in part.column("t").to_pylist()])):
                 ids += end

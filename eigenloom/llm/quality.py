@@ -65,7 +65,7 @@ def ngrams(words: X.Words) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums = np.zeros(1 << BITS, np.int64)
-    for _, buf, offs in X.slices(batches, "t"):
+    for _, buf, offs in X.slices(batches, "t", X.FEW_BYTES):
         sums += np.bincount(ngrams(X.Words(buf, offs))[1], minlength=1 << BITS)
     at = np.flatnonzero(sums)
     yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["b", "n"])
@@ -101,7 +101,7 @@ class QualityModel:
         names, ratio, threshold = df.columns, self.ratio.astype(np.float32), self.threshold
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, buf, offs in X.slices(batches, text_col):
+            for part, buf, offs in X.slices(batches, text_col, X.FEW_BYTES):
                 doc, bucket = ngrams(X.Words(buf, offs))
                 n = np.bincount(doc, minlength=part.num_rows)
                 weight = np.bincount(doc, ratio[bucket].astype(float), minlength=part.num_rows).astype(float)

@@ -50,7 +50,7 @@ def _bit_sums(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
-        for part, buf, offs in X.slices(batches, "t"):
+        for part, buf, offs in X.slices(batches, "t", X.FEW_BYTES):
             words = X.Words(np.where((buf >= 65) & (buf <= 90), buf + 32, buf).astype(np.uint8), offs)
             text, starts, ends = words.joined()
             text = text.tobytes()

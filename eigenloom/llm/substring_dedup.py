@@ -75,7 +75,7 @@ def anchors(words: X.Words, window: int) -> tuple[np.ndarray, ...]:
 
 def _prefixes(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, offs in X.slices(batches, "t"):
+        for part, buf, offs in X.slices(batches, "t", X.FEW_BYTES):
             doc, prefix, *_ = anchors(X.Words(buf, offs), window)
             pairs = np.unique(np.rec.fromarrays([doc, prefix], names="d,p"))
             ids = part.column("k").to_numpy()
@@ -103,7 +103,7 @@ def _pieces(window: int, k_col: str, text_col: str, ps_col: str, texts: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for part, buf, offs in X.slices(batches, text_col):
+        for part, buf, offs in X.slices(batches, text_col, X.FEW_BYTES):
             words = X.Words(buf, offs)
             doc, prefix, at, lo, hi = anchors(words, window)
             text, starts, ends = words.joined()
@@ -307,7 +307,7 @@ def repeat_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row its id, n_words, n_removed and the SHA-256 of its kept words, joined by single spaces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, offs in X.slices(batches, "t"):
+        for part, buf, offs in X.slices(batches, "t", X.FEW_BYTES):
             words = X.Words(buf, offs)
             gone = _removed(part, "spans", buf, offs, words)
             text, starts, ends = words.joined()
@@ -342,7 +342,7 @@ def strip_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, offs in X.slices(batches, text_col):
+        for part, buf, offs in X.slices(batches, text_col, X.FEW_BYTES):
             words = X.Words(buf, offs)
             gone = _removed(part, spans, buf, offs, words)
             doc = words.doc()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+#: For work whose arrays are up to a hundred times as large as the text, so that a slice decides what a Python worker needs.
+FEW_BYTES = 1 << 18
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -29,14 +32,25 @@ def flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Runs of rows with about ``limit`` bytes of text (one row at least), with their bytes and offsets."""
-    for batch in batches:
-        buf, offs = flat(batch.column(column))
-        at, n = 0, batch.num_rows
-        while at < n:
-            to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
-            yield batch.slice(at, to - at), buf[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
-            at = to
+    """Runs of rows with about ``limit`` bytes of text (one row at least), with their bytes and offsets. What the task has freed is given back at the end."""
+    try:
+        for batch in batches:
+            buf, offs = flat(batch.column(column))
+            at, n = 0, batch.num_rows
+            while at < n:
+                to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
+                yield batch.slice(at, to - at), buf[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
+                at = to
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Spark's Python workers live on after a task, and would hold what its largest slice took beside the next stage's needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
 
 
 class Words:

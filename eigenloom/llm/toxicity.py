@@ -33,8 +33,6 @@ FEATURES = 2048
 BITS = 20
 TIMES = (2, 3, 5)
 LONGEST = 8
-#: Bytes of text whose n-grams are held at once, about.
-SLICE = 1 << 20
 THRESHOLD = 0.7
 #: Weight of the counterfactual term; weight of the squared weights, divided by the number of rows; least chi-square of an n-gram.
 PAIR_WEIGHT = 1.0
@@ -111,11 +109,11 @@ def swapped(text: str, pattern: re.Pattern, other: dict[str, str]) -> str:
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums = np.zeros((2, 1 << BITS), np.int64)
-    for part, buf, offs in X.slices(batches, "t", SLICE):
+    for part, buf, offs in X.slices(batches, "t", X.FEW_BYTES):
         y = part.column("y").to_numpy() > 0
         doc, bucket = _present(X.Words(buf, offs))
         for kind in (0, 1):
-            sums[kind] += np.bincount(bucket[y[doc] == kind], minlength=1 << BITS)
+            np.add.at(sums[kind], bucket[y[doc] == kind], 1)
     at = np.flatnonzero(sums.sum(0))
     yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(sums[0, at]), pa.array(sums[1, at])], ["b", "n0", "n1"])
 
@@ -134,7 +132,7 @@ def _sparse(chosen: np.ndarray, swaps):
             cut = np.searchsorted(doc, np.arange(len(array) + 1)).astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(cut), pa.array(np.searchsorted(chosen, bucket).astype(np.int32)))
 
-        for part, _, _ in X.slices(batches, "t", SLICE):
+        for part, _, _ in X.slices(batches, "t", X.FEW_BYTES):
             texts = part.column("t")
             twins = [swapped(t, pattern, other) if t and pattern and pattern.search(t) else None for t in texts.to_pylist()]
             paired = [t is not None for t in twins]
@@ -192,7 +190,7 @@ class ToxicityModel:
             table[buckets] = weights
             used = table != 0
             sources = _sources(used)
-            for part, buf, offs in X.slices(batches, text_col, SLICE):
+            for part, buf, offs in X.slices(batches, text_col, X.FEW_BYTES):
                 doc, bucket = _present(X.Words(buf, offs), used, sources)
                 z = np.bincount(doc, table[bucket].astype(float), minlength=part.num_rows) + bias
                 score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
