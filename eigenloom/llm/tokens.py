@@ -143,6 +143,7 @@ class Encoder:
         self.lead = lead
         self.odd = re.compile(r" (?:\s|\Z)")
         self.cut = re.compile(r" (?=\S)")
+        self.ends = re.compile(r"(?<=[A-Za-z])(?![A-Za-zÀ-ÖØ-öø-ÿ])|(?<=[0-9])(?![0-9])" + ("" if lead else "|(?=[0-9])"))
         self.heads, self.words, self.parts = Recent(), Recent(), Recent()
         self.table = Table()
         self.letters = dict(enumerate(byte_letters()))
@@ -180,14 +181,14 @@ class Encoder:
             known[p] = found
 
     def _plain_ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of plain texts, about ``LONG`` characters at once; a longer text is cut at a space that a non-space follows."""
+        """Ids of plain texts, about ``LONG`` characters at once; a longer text is cut where letters or digits end, which ends a part in any text."""
         out: list[list[bytes]] = [[] for _ in texts]
         some: list[tuple[int, str]] = []
         held = 0
         for i, t in enumerate(texts):
             at = 0
             while at < len(t):
-                m = self.cut.search(t, at + LONG) if len(t) - at > LONG else None
+                m = self.ends.search(t, at + LONG) if len(t) - at > LONG else None
                 end = m.start() if m else len(t)
                 if held and held + end - at > LONG:
                     self._put(some, out)

@@ -63,3 +63,17 @@ def test_new_words_do_not_walk_through_the_caches(name, lead):
     theirs = Tokenizer.from_file(public_tokenizers.path(name))
     for texts in (["plain words"], ["other 日本 words"], ["newer words, 語 too", "and plain"]):
         assert ids(enc, texts) == [theirs.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize(("name", "lead"), FILES)
+@pytest.mark.parametrize("long", [1, 5])
+def test_long_texts_without_spaces_are_cut(name, lead, long, monkeypatch):
+    monkeypatch.setattr(tokens, "LONG", long)
+    enc, theirs, sizes = tokens.Encoder(public_tokenizers.path(name), lead, True), Tokenizer.from_file(public_tokenizers.path(name)), []
+    put = enc._put
+    monkeypatch.setattr(enc, "_put", lambda some, out: (sizes.append(sum(len(t) for _, t in some)), put(some, out)))
+    texts = [*some_texts(5, True), *(t.replace(" ", "") for t in some_texts(6, True))]
+    assert ids(enc, texts) == [theirs.encode(t, add_special_tokens=False).ids for t in texts]
+    sizes.clear()
+    assert ids(enc, ["ab1,c2.d34;" * 9]) == [theirs.encode("ab1,c2.d34;" * 9, add_special_tokens=False).ids]
+    assert max(sizes) <= long + 3
